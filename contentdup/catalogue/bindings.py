@@ -8,8 +8,18 @@ from pyspark.sql import functions as F
 from contentdup.sources.tables import table_items
 
 
+# Columns the queries use; with the schema given, no file is opened to plan.
+SCHEMAS = {
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "pages": "page_id bigint, url string, html string",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "orders": "o_orderkey bigint, o_custkey bigint",
+}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
 
 def _document_path(source, name):

@@ -37,8 +37,9 @@ def in_size_range(size: Column, spec: ScanSpec) -> Column:
     return kept
 
 
-def _rejections(spec: ScanSpec) -> list[tuple[str, Column]]:
-    name, dirs, size = F.col("name"), F.col("dirs"), F.col("size_bytes")
+def _entry_rules(spec: ScanSpec) -> list[tuple[str, Column]]:
+    """Rejections by kind, name and place, in the order they are tested."""
+    name, dirs = F.col("name"), F.col("dirs")
     rules = [("symlink", F.col("is_symlink"))]
     if spec.exclude_hidden:
         rules.append(("hidden", is_hidden(name, dirs)))
@@ -46,23 +47,23 @@ def _rejections(spec: ScanSpec) -> list[tuple[str, Column]]:
         rules.append(("excluded_dir", in_excluded_dir(dirs, spec.exclude_dirs)))
     if spec.exclude:
         rules.append(("excluded_file", matches_glob(name, spec.exclude)))
-    rules.append(("unreadable", size.isNull()))
-    rules.append(("size_out_of_range", ~in_size_range(size, spec)))
     return rules
 
 
 def keep_items(items: DataFrame, spec: ScanSpec) -> DataFrame:
     """Items that pass every rule of ``spec``; one ``where`` per rule."""
-    for _, rejected in _rejections(spec)[:-2]:
+    for _, rejected in _entry_rules(spec):
         items = items.where(~rejected)
     return items.where(in_size_range(F.col("size_bytes"), spec))
 
 
 def audit(items: DataFrame, spec: ScanSpec) -> DataFrame:
     """Every item with the first rule that rejects it, or ``kept``."""
-    reason = None
-    for label, rejected in _rejections(spec):
-        reason = F.when(rejected, F.lit(label)) if reason is None else reason.when(rejected, F.lit(label))
+    size = F.col("size_bytes")
+    rules = [*_entry_rules(spec), ("unreadable", size.isNull()), ("size_out_of_range", ~in_size_range(size, spec))]
+    reason = F
+    for label, rejected in rules:
+        reason = reason.when(rejected, F.lit(label))
     return items.select("path", "size_bytes", reason.otherwise(F.lit("kept")).alias("reason"))
 
 

@@ -13,6 +13,7 @@ import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -40,6 +41,10 @@ class Settled:
             self._count.append(self.df.count())
         return self._count[0]
 
+    def text_bytes(self, column: str) -> int:
+        """Bytes of a text column, to decide whether it may be broadcast."""
+        return self.df.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()[0]
+
 
 def settle(df: DataFrame, label: str, compact: bool = False) -> Settled:
     """Write ``df``; ``compact`` evens out many small outputs of a wide scan first."""

@@ -21,8 +21,8 @@ from contentdup.spec import ScanSpec
 
 STORE_COLUMNS = ["path", "size_bytes", "modified", "algorithm", "mode", "digest"]
 
-# Up to this many new paths go to the content by broadcast.
-BROADCAST_ROWS = 500_000
+# New paths of up to this many bytes go to the content by broadcast.
+BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def stored_mode(spec: ScanSpec) -> str:
@@ -79,7 +79,7 @@ def rescan_items(items: DataFrame, store: DataFrame, spec: ScanSpec = ScanSpec()
     found = keep_items(items, spec).select("path", "size_bytes", "modified")
     valid, fresh = _split(found, store, spec)
     paths = fresh.df.select("path")
-    if fresh.n_rows <= BROADCAST_ROWS:
+    if fresh.text_bytes("path") <= BROADCAST_BYTES:
         digested = digest_items(items.join(F.broadcast(paths), "path", "left_semi"), spec)
     else:
         digested = settle(digest_items(items, spec), "digests", compact=True).df.join(paths, "path", "left_semi")
