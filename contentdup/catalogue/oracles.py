@@ -154,7 +154,7 @@ ORACLES: dict[str, str] = {
     "scan_audit_counts": f"""
         SELECT reason, count(*)::BIGINT AS n_files, sum(size_bytes)::BIGINT AS total_bytes
         FROM ({_AUDIT}) GROUP BY reason""",
-    "distinct_path_rows": f"""
+    "distinct_paths": f"""
         SELECT path, size_bytes FROM ({_DOCUMENTS}) UNION SELECT path, size_bytes FROM ({_DOCUMENTS})""",
     "scan_equivalence": f"""
         WITH a AS (SELECT path, size_bytes FROM ({_MARKED}) WHERE {_KEPT}),
@@ -169,7 +169,7 @@ ORACLES: dict[str, str] = {
     "digest_adaptive_pages": f"SELECT path, size_bytes, sha256({_ADAPTIVE}) AS candidate_digest FROM ({_PAGES})",
     "digest_three_region_pages": _digested(_PAGES, _REGIONS),
     "read_tiers": f"SELECT path, size_bytes, ({_PREFIX_BYTES})::BIGINT AS prefix_bytes FROM ({_PAGES})",
-    "candidate_sizes": f"""
+    "candidates_by_size": f"""
         SELECT path, size_bytes FROM ({_DOCUMENTS}) QUALIFY count(*) OVER (PARTITION BY size_bytes) > 1""",
     "dupes_full": _members(_DOCUMENTS),
     "dupes_quick": _members(_DOCUMENTS, "content[1:4096]"),
@@ -186,7 +186,7 @@ ORACLES: dict[str, str] = {
     "dupes_blake2b_groups": f"SELECT size_bytes, n_files FROM ({_groups(_DOCUMENTS)})",
     "dupes_groups": _groups(_DOCUMENTS),
     "dupes_groups_nested": _nested(2, "size_bytes, hash, part, n_files, paths"),
-    "quick_false_positive_rows": f"""
+    "quick_false_positives": f"""
         SELECT path, size_bytes, candidate_digest, digest FROM (
             SELECT *, count(*) OVER (PARTITION BY size_bytes, candidate_digest) AS n_alike,
                    count(*) OVER (PARTITION BY size_bytes, digest) AS n_same
@@ -194,51 +194,51 @@ ORACLES: dict[str, str] = {
                   FROM ({_DOCUMENTS})))
         WHERE n_alike > 1 AND n_same = 1""",
     "rescan_incremental": _members(_DOCUMENTS),
-    "space_savings_full": f"SELECT {_SAVINGS} FROM ({_groups(_DOCUMENTS)})",
+    "space_savings": f"SELECT {_SAVINGS} FROM ({_groups(_DOCUMENTS)})",
     "space_savings_empty": f"SELECT {_SAVINGS} FROM ({_groups(_DOCUMENTS, 'size_bytes <= -1')})",
-    "scan_summary_full": f"""
+    "scan_summary": f"""
         SELECT *, {_size_text('total_bytes')} AS total_text, {_size_text('reclaimable_bytes')} AS reclaimable_text
         FROM (SELECT count(*)::BIGINT AS n_groups, coalesce(sum(n_files), 0)::BIGINT AS n_files, {_SAVINGS}
               FROM ({_groups(_DOCUMENTS)}))""",
-    "scan_funnel_full": _funnel(_ADAPTIVE),
+    "scan_funnel": _funnel(_ADAPTIVE),
     "scan_funnel_short_prefix": _funnel("content[1:4]"),
-    "corpus_statistics": f"""
+    "corpus_stats": f"""
         SELECT count(DISTINCT (size_bytes, digest))::BIGINT AS unique_files,
                (count(*) - count(DISTINCT (size_bytes, digest)))::BIGINT AS duplicate_files,
                count(*)::BIGINT AS total_files, sum(size_bytes)::BIGINT AS total_bytes,
                count(DISTINCT regexp_replace(path, '/[^/]*$', ''))::BIGINT AS directories
         FROM ({_digested(_DOCUMENTS)})""",
-    "format_sizes": f"""
+    "format_bytes": f"""
         SELECT o_orderkey, {_size_text('o_orderkey')} AS small_text,
                {_size_text('o_orderkey * o_custkey')} AS medium_text,
                {_size_text('o_orderkey * o_custkey * 1024 * 1024')} AS large_text,
                {_size_text('o_orderkey * 1024 * 1024 * 1024 * 512')} AS huge_text,
                {_size_text('-o_orderkey')} AS negative_text
         FROM orders""",
-    "details": f"""
+    "detail_report": f"""
         SELECT group_no, {_size_text('size_bytes')} AS size_text, left(digest, 8) || '...' AS short_digest,
                member_no, path
         FROM ({_NUMBERED})""",
-    "result_rows": f"""
+    "result_table": f"""
         SELECT group_no, size_bytes, {_size_text('size_bytes')} AS size_text, digest,
                left(digest, 8) || '...' || right(digest, 8) AS display_digest, path
         FROM ({_NUMBERED})""",
     "path_filter": f"SELECT * FROM ({_members(_DOCUMENTS)}) WHERE contains(lower(path), 'src1')",
-    "removal_manifest_rows": _manifest("path"),
+    "removal_manifest": _manifest("path"),
     "removal_manifest_shortest": _manifest("length(path), path"),
     "removal_survivors": f"""
         SELECT path, size_bytes, digest FROM ({_digested(_DOCUMENTS)})
         WHERE path NOT IN (SELECT path FROM ({_manifest('path')}))""",
-    "removal_decided": f"""
+    "removal_by_decision": f"""
         SELECT size_bytes, digest, path, member_no, 'would_delete' AS action FROM ({_DECIDED})
         WHERE (raw_choice = ' A ' AND member_no > 0) OR (raw_choice LIKE '0, 2%' AND member_no IN (0, 2))
            OR (raw_choice = '1' AND member_no = 1)""",
-    "removal_invalid_decisions": f"""
+    "invalid_decisions": f"""
         SELECT DISTINCT size_bytes, digest, raw_choice AS choice FROM ({_DECIDED}) WHERE raw_choice IN ('1,x', '')""",
-    "removal_picked": f"""
+    "removal_selected": f"""
         SELECT size_bytes, digest, path, 'would_delete' AS action FROM ({_PICKED})
         WHERE picked AND NOT (all_picked AND path = first_path)""",
-    "removal_picked_unguarded": f"""
+    "removal_selected_unguarded": f"""
         SELECT size_bytes, digest, path, 'would_delete' AS action FROM ({_PICKED}) WHERE picked""",
     "export_json_rows": _nested(10_000, "size_bytes, hash, part, paths"),
     "export_csv_rows": f"SELECT size_bytes, digest AS hash, path FROM ({_members(_DOCUMENTS)})",

@@ -44,9 +44,12 @@ MARKED_SPEC = ScanSpec(
 SHORT_PREFIX = ScanSpec(mode="quick", prefix_bytes=4)
 
 
-def query(function):
-    QUERIES[function.__name__] = function
-    return function
+def query(name: str):
+    def register(function):
+        QUERIES[name] = function
+        return function
+
+    return register
 
 
 def _sized(items: DataFrame, spec: ScanSpec) -> DataFrame:
@@ -60,14 +63,14 @@ def _flat(members: DataFrame) -> DataFrame:
 # Sources and filters
 
 
-@query
+@query("inventory_table")
 def inventory_table(spark, folder):
     return b.documents(spark, folder).select(
         "path", "name", F.element_at("dirs", 1).alias("top_dir"), F.size("dirs").cast("bigint").alias("depth"), "size_bytes"
     )
 
 
-@query
+@query("path_parts")
 def path_parts(spark, folder):
     path = F.col("path")
     return b.documents(spark, folder).select(
@@ -75,111 +78,111 @@ def path_parts(spark, folder):
     )
 
 
-@query
+@query("size_range_inclusive")
 def size_range_inclusive(spark, folder):
     return _sized(b.documents(spark, folder), ScanSpec(min_bytes=416, max_bytes=2258))
 
 
-@query
+@query("size_range_exclusive")
 def size_range_exclusive(spark, folder):
     return _sized(b.documents(spark, folder), ScanSpec(min_bytes=416, max_bytes=2258, inclusive=False))
 
 
-@query
+@query("exclude_glob")
 def exclude_glob(spark, folder):
     return _sized(b.documents(spark, folder), ScanSpec(exclude=("*7.txt", "[!1-5]?.txt")))
 
 
-@query
+@query("exclude_dir")
 def exclude_dir(spark, folder):
     return _sized(b.documents(spark, folder), ScanSpec(exclude_dirs=("fr", "src7")))
 
 
-@query
+@query("exclude_hidden")
 def exclude_hidden(spark, folder):
     return _sized(b.marked_documents(spark, folder), ScanSpec(exclude_hidden=True))
 
 
-@query
+@query("exclude_symlink")
 def exclude_symlink(spark, folder):
     return _sized(b.marked_documents(spark, folder), ScanSpec())
 
 
-@query
+@query("scan_audit")
 def scan_audit(spark, folder):
     return audit(b.marked_documents(spark, folder), MARKED_SPEC)
 
 
-@query
+@query("scan_audit_counts")
 def scan_audit_counts(spark, folder):
     return audit_counts(scan_audit(spark, folder))
 
 
-@query
+@query("distinct_paths")
 def distinct_path_rows(spark, folder):
     items = b.documents(spark, folder).select("path", "size_bytes")
     return distinct_paths(items.unionByName(items))
 
 
-@query
+@query("scan_equivalence")
 def scan_equivalence(spark, folder):
     items = b.marked_documents(spark, folder)
     kept = audit(items, MARKED_SPEC).where("reason = 'kept'").drop("reason")
     return scan_difference(_sized(items, MARKED_SPEC), kept)
 
 
-@query
+@query("files_inventory")
 def files_inventory(spark, folder):
     """The files of the tables themselves."""
-    return inventory(spark, folder).select("name", "size_bytes", "is_symlink")
+    return inventory(spark, folder, strategy="subtrees").select("name", "size_bytes", "is_symlink")
 
 
-@query
+@query("files_digests")
 def files_digests(spark, folder):
     """Those files read by path in tasks."""
-    found = inventory(spark, folder, strategy="levels")
+    found = inventory(spark, folder)
     return read_digests(found.where(~F.col("is_symlink"))).select("name", "size_bytes", "digest")
 
 
 # Digests
 
 
-@query
+@query("digest_full")
 def digest_full(spark, folder):
     return digest_items(b.documents(spark, folder))
 
 
-@query
+@query("digest_prefix")
 def digest_prefix(spark, folder):
     return digest_items(b.documents(spark, folder), ScanSpec(mode="quick"))
 
 
-@query
+@query("digest_adaptive")
 def digest_adaptive(spark, folder):
     return digest_stages(b.documents(spark, folder)).select("path", "size_bytes", "candidate_digest")
 
 
-@query
+@query("digest_three_region")
 def digest_three_region(spark, folder):
     return digest_items(b.documents(spark, folder), ScanSpec(mode="multi_region", verify=False))
 
 
-@query
+@query("digest_adaptive_pages")
 def digest_adaptive_pages(spark, folder):
     return digest_stages(b.pages(spark, folder)).select("path", "size_bytes", "candidate_digest")
 
 
-@query
+@query("digest_three_region_pages")
 def digest_three_region_pages(spark, folder):
     return digest_items(b.pages(spark, folder), ScanSpec(mode="multi_region", verify=False))
 
 
-@query
+@query("digest_blake2b")
 def digest_blake2b(spark, folder):
     return digest_items(b.documents(spark, folder), ScanSpec(algorithm="blake2b"))
 
 
-@query
+@query("read_tiers")
 def read_tiers(spark, folder):
     return b.pages(spark, folder).select(
         "path", "size_bytes", prefix_length(F.col("size_bytes")).cast("bigint").alias("prefix_bytes")
@@ -189,84 +192,84 @@ def read_tiers(spark, folder):
 # Scans
 
 
-@query
+@query("candidates_by_size")
 def candidate_sizes(spark, folder):
     return candidates_by_size(b.documents(spark, folder))
 
 
-@query
+@query("dupes_full")
 def dupes_full(spark, folder):
     return _flat(scan_items(b.documents(spark, folder)).member_rows)
 
 
-@query
+@query("dupes_quick")
 def dupes_quick(spark, folder):
     return _flat(scan_items(b.documents(spark, folder), ScanSpec(mode="quick")).member_rows)
 
 
-@query
+@query("dupes_quick_short_prefix")
 def dupes_quick_short_prefix(spark, folder):
     return _flat(scan_items(b.documents(spark, folder), SHORT_PREFIX).member_rows)
 
 
-@query
+@query("dupes_multi_region")
 def dupes_multi_region(spark, folder):
     return _flat(scan_items(b.documents(spark, folder), ScanSpec(mode="multi_region")).member_rows)
 
 
-@query
+@query("dupes_regions_only")
 def dupes_regions_only(spark, folder):
     spec = ScanSpec(mode="multi_region", verify=False)
     return _flat(scan_items(b.documents(spark, folder), spec).member_rows)
 
 
-@query
+@query("dupes_legacy")
 def dupes_legacy(spark, folder):
     spec = ScanSpec(min_bytes=416, max_bytes=2258, inclusive=False)
     return _flat(scan_items(b.documents(spark, folder), spec).member_rows)
 
 
-@query
+@query("dupes_filtered")
 def dupes_filtered(spark, folder):
     return _flat(scan_items(b.marked_documents(spark, folder), MARKED_SPEC).member_rows)
 
 
-@query
+@query("dupes_pages")
 def dupes_pages(spark, folder):
     return _flat(scan_items(b.pages(spark, folder)).member_rows)
 
 
-@query
+@query("dupes_conversations")
 def dupes_conversations(spark, folder):
     return _flat(scan_items(b.conversations(spark, folder)).member_rows)
 
 
-@query
+@query("dupes_planted")
 def dupes_planted(spark, folder):
     return _flat(scan_items(plant_copies(b.documents(spark, folder))).member_rows)
 
 
-@query
+@query("dupes_blake2b_groups")
 def dupes_blake2b_groups(spark, folder):
     return scan_groups(b.documents(spark, folder), ScanSpec(algorithm="blake2b")).select("size_bytes", "n_files")
 
 
-@query
+@query("dupes_groups")
 def dupes_groups(spark, folder):
     return scan_groups(b.documents(spark, folder))
 
 
-@query
+@query("dupes_groups_nested")
 def dupes_groups_nested(spark, folder):
     return nested_groups(scan_items(b.documents(spark, folder)).member_rows, paths_per_row=2)
 
 
-@query
+@query("quick_false_positives")
 def quick_false_positive_rows(spark, folder):
     return quick_false_positives(b.documents(spark, folder), SHORT_PREFIX)
 
 
-@query
+@query("rescan_incremental")
 def rescan_incremental(spark, folder):
     """The store holds the labelled documents; the others are new."""
     items = b.documents(spark, folder)
@@ -281,37 +284,37 @@ def rescan_incremental(spark, folder):
 # Summaries and reports
 
 
-@query
+@query("space_savings")
 def space_savings_full(spark, folder):
     return space_savings(scan_groups(b.documents(spark, folder)))
 
 
-@query
+@query("space_savings_empty")
 def space_savings_empty(spark, folder):
     return space_savings(scan_groups(b.documents(spark, folder), ScanSpec(max_bytes=-1)))
 
 
-@query
+@query("scan_summary")
 def scan_summary_full(spark, folder):
     return scan_summary(scan_groups(b.documents(spark, folder)))
 
 
-@query
+@query("scan_funnel")
 def scan_funnel_full(spark, folder):
     return scan_funnel(digest_stages(b.documents(spark, folder)))
 
 
-@query
+@query("scan_funnel_short_prefix")
 def scan_funnel_short_prefix(spark, folder):
     return scan_funnel(digest_stages(b.documents(spark, folder), SHORT_PREFIX))
 
 
-@query
+@query("corpus_stats")
 def corpus_statistics(spark, folder):
     return corpus_stats(digest_items(b.documents(spark, folder)))
 
 
-@query
+@query("format_bytes")
 def format_sizes(spark, folder):
     key, customer = F.col("o_orderkey"), F.col("o_custkey")
     sizes = {
@@ -326,17 +329,17 @@ def format_sizes(spark, folder):
     )
 
 
-@query
+@query("detail_report")
 def details(spark, folder):
     return detail_report(scan_items(b.documents(spark, folder)).member_rows)
 
 
-@query
+@query("result_table")
 def result_rows(spark, folder):
     return result_table(scan_items(b.documents(spark, folder)).member_rows)
 
 
-@query
+@query("path_filter")
 def path_filter(spark, folder):
     return path_contains(dupes_full(spark, folder), "SRC1")
 
@@ -344,17 +347,17 @@ def path_filter(spark, folder):
 # Removal
 
 
-@query
+@query("removal_manifest")
 def removal_manifest_rows(spark, folder):
     return removal_manifest(scan_items(b.documents(spark, folder)).members)
 
 
-@query
+@query("removal_manifest_shortest")
 def removal_manifest_shortest(spark, folder):
     return removal_manifest(scan_items(b.documents(spark, folder)).members, "shortest_path")
 
 
-@query
+@query("removal_survivors")
 def removal_survivors(spark, folder):
     scan = scan_items(b.documents(spark, folder))
     return survivors(scan.digests.df, removal_manifest(scan.members))
@@ -374,13 +377,13 @@ def _decisions(groups: DataFrame) -> DataFrame:
     return groups.select(*KEYS, choice.alias("choice"))
 
 
-@query
+@query("removal_by_decision")
 def removal_decided(spark, folder):
     scan = scan_items(b.documents(spark, folder))
     return removal_by_decision(scan.member_rows, _decisions(scan.groups))
 
 
-@query
+@query("invalid_decisions")
 def removal_invalid_decisions(spark, folder):
     groups = scan_items(b.documents(spark, folder)).groups
     return invalid_decisions(groups, _decisions(groups))
@@ -390,12 +393,12 @@ def _picked(spark, folder) -> DataFrame:
     return b.documents(spark, folder).where(F.element_at("dirs", 2).isin("en", "fr")).select("path")
 
 
-@query
+@query("removal_selected")
 def removal_picked(spark, folder):
     return removal_selected(scan_items(b.documents(spark, folder)).members.df, _picked(spark, folder))
 
 
-@query
+@query("removal_selected_unguarded")
 def removal_picked_unguarded(spark, folder):
     return removal_selected(scan_items(b.documents(spark, folder)).member_rows, _picked(spark, folder), keep_one=False)
 
@@ -403,11 +406,11 @@ def removal_picked_unguarded(spark, folder):
 # Exports
 
 
-@query
+@query("export_json_rows")
 def export_json_rows(spark, folder):
     return json_rows(nested_groups(scan_items(b.documents(spark, folder)).member_rows))
 
 
-@query
+@query("export_csv_rows")
 def export_csv_rows(spark, folder):
     return csv_rows(scan_items(b.documents(spark, folder)).member_rows)

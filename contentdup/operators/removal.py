@@ -85,10 +85,11 @@ def removal_selected(
     picked; switch it off to remove exactly what was picked.
     """
     picks = selected.select("path").distinct().withColumn("picked", F.lit(True))
-    marked = members.select(*KEYS, "path").join(picks, "path", "left")
-    picked = marked.where("picked").select(*KEYS, "path")
+    rows = members.select(*KEYS, "path")
     if not keep_one:
-        return _action(picked, dry_run)
+        return _action(rows.join(picks, "path", "left_semi").select(*KEYS, "path"), dry_run)
+    marked = settle(rows.join(picks, "path", "left"), "marked").df
+    picked = marked.where("picked").select(*KEYS, "path")
     # One row per group on both sides of the joins below.
     safe = marked.where(F.col("picked").isNull()).select(*KEYS).distinct()
     first = picked.groupBy(*KEYS).agg(F.min("path").alias("path"))

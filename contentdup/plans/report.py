@@ -12,6 +12,7 @@ from contentdup.functions.paths import relative_path
 from contentdup.operators.groups import KEYS
 from contentdup.operators.numbering import number_members
 from contentdup.operators.removal import removal_manifest
+from contentdup.operators.settle import settle
 from contentdup.operators.summary import scan_summary
 from contentdup.plans.export import write_csv, write_json
 from contentdup.plans.scan import Scan
@@ -20,10 +21,17 @@ from contentdup.plans.scan import Scan
 PATHS_PER_ROW = 10_000
 
 
+def _numbered(members: DataFrame) -> DataFrame:
+    return members if "member_no" in members.columns else number_members(members)
+
+
 def detail_report(members: DataFrame, base: str | None = None) -> DataFrame:
-    """Group number, size text, short digest, member number and path."""
+    """Group number, size text, short digest, member number and path.
+
+    The reports take members, or members that are numbered already.
+    """
     path = F.col("path") if base is None else relative_path(F.col("path"), base)
-    return number_members(members).select(
+    return _numbered(members).select(
         "group_no",
         format_bytes(F.col("size_bytes")).alias("size_text"),
         short_digest(F.col("digest")).alias("short_digest"),
@@ -34,7 +42,7 @@ def detail_report(members: DataFrame, base: str | None = None) -> DataFrame:
 
 def result_table(members: DataFrame) -> DataFrame:
     """Display values next to the raw values they are sorted by."""
-    return number_members(members).select(
+    return _numbered(members).select(
         "group_no",
         "size_bytes",
         format_bytes(F.col("size_bytes")).alias("size_text"),
@@ -62,7 +70,7 @@ def nested_groups(members: DataFrame, paths_per_row: int = PATHS_PER_ROW) -> Dat
     in order; a group with more than ``paths_per_row`` paths continues in rows
     with ``part`` 1, 2, ..."""
     return (
-        number_members(members)
+        _numbered(members)
         .groupBy(
             "size_bytes",
             F.col("digest").alias("hash"),
@@ -84,12 +92,13 @@ def report(scan: Scan, json_out: str | None = None, csv_out: str | None = None,
     """Summary, details, removal manifest (dry run) and exports of one scan;
     all of them read the written members."""
     members = scan.members
+    numbered = settle(number_members(members.df), "numbered").df
     if json_out:
-        write_json(nested_groups(members.df), json_out)
+        write_json(nested_groups(numbered), json_out)
     if csv_out:
         write_csv(members.df, csv_out)
     return Report(
         summary=scan_summary(scan.groups),
-        details=detail_report(members.df),
+        details=detail_report(numbered),
         manifest=removal_manifest(members, keep),
     )

@@ -70,14 +70,16 @@ def _split(found: DataFrame, store: DataFrame, spec: ScanSpec) -> tuple[DataFram
 def rescan_items(items: DataFrame, store: DataFrame, spec: ScanSpec = ScanSpec()) -> Rescan:
     """Re-scan rows that carry their content.
 
-    Content is matched to the new paths by broadcast while these are few.
+    Pays off when sizes are stored with the rows (``size`` of
+    :func:`contentdup.sources.tables.table_items`), else finding what changed
+    reads all content once. Content is matched to the new paths by broadcast while these are few.
     Beyond that all content is digested where it lies and the narrow digest
     rows are matched: digesting costs less than shuffling content.
     """
     if "modified" not in items.columns:
         items = items.withColumn("modified", F.lit(None).cast("timestamp"))
-    found = keep_items(items, spec).select("path", "size_bytes", "modified")
-    valid, fresh = _split(found, store, spec)
+    found = settle(keep_items(items, spec).select("path", "size_bytes", "modified"), "found", compact=True)
+    valid, fresh = _split(found.df, store, spec)
     paths = fresh.df.select("path")
     if fresh.text_bytes("path") <= BROADCAST_BYTES:
         digested = digest_items(items.join(F.broadcast(paths), "path", "left_semi"), spec)
@@ -89,8 +91,8 @@ def rescan_items(items: DataFrame, store: DataFrame, spec: ScanSpec = ScanSpec()
 
 def rescan_files(found: DataFrame, store: DataFrame, spec: ScanSpec = ScanSpec()) -> Rescan:
     """Re-scan an inventory; only new or changed files are opened."""
-    kept = keep_items(found, spec).select("path", "size_bytes", "modified")
-    valid, fresh = _split(kept, store, spec)
+    kept = settle(keep_items(found, spec).select("path", "size_bytes", "modified"), "found")
+    valid, fresh = _split(kept.df, store, spec)
     how = spec.mode if stored_mode(spec) != "whole" else "whole"
     digested = read_digests(fresh.df, how, spec.prefix_bytes, spec.algorithm).where("digest IS NOT NULL")
     renewed = valid.select(*STORE_COLUMNS).unionByName(store_rows(digested, spec))

@@ -115,7 +115,7 @@ def scan_files(
     spark: SparkSession,
     bases: str | list[str],
     spec: ScanSpec = ScanSpec(),
-    strategy: str = "subtrees",
+    strategy: str = "levels",
     floor: int | None = None,
 ) -> Scan:
     """Scan files on mounted storage: size, then prefix, then all bytes.

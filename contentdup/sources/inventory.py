@@ -2,12 +2,13 @@
 
 Two strategies with the same result:
 
-* ``subtrees``: the ``corpus_inventory`` data source, one input partition per
-  subtree. Size bounds are pushed into it as filters, directory rules are
-  given as options so that whole subtrees are never entered.
 * ``levels``: one Spark job per directory level. Directories of a level are
   dealt out over the tasks, and file sizes are read in a second step after a
   shuffle, so neither a deep subtree nor one huge folder stays with a task.
+* ``subtrees``: the ``corpus_inventory`` data source, one input partition per
+  subtree, for trees that are known to be even. Size bounds are pushed into
+  it as filters, directory rules are given as options so that whole subtrees
+  are never entered.
 
 All entries but directories are listed, links included (never followed).
 """
@@ -276,7 +277,7 @@ def _by_levels(spark: SparkSession, base: str, spec: ScanSpec, per_task: int = 6
 
 
 def inventory(
-    spark: SparkSession, bases: str | list[str], spec: ScanSpec | None = None, strategy: str = "subtrees"
+    spark: SparkSession, bases: str | list[str], spec: ScanSpec | None = None, strategy: str = "levels"
 ) -> DataFrame:
     """Files below one or several folders, one row per path.
 

@@ -17,22 +17,25 @@ def table_items(
     content: Column,
     is_symlink: Column | None = None,
     modified: Column | None = None,
+    size: Column | None = None,
 ) -> DataFrame:
     """Bind a table: ``path`` is any unique text id, ``content`` text or bytes.
 
-    Rows without content have no size and drop out of every scan.
+    ``size`` is a stored byte size, if there is one: with it, size rules and
+    inventories need not read the content. Rows without content have no size and drop out of every scan.
     """
     columns = [
         path.alias("path"),
         base_name(path).alias("name"),
         dir_names(path).alias("dirs"),
-        F.octet_length(content).cast("bigint").alias("size_bytes"),
+        (F.octet_length(content) if size is None else size).cast("bigint").alias("size_bytes"),
         (F.lit(False) if is_symlink is None else is_symlink).alias("is_symlink"),
         content.cast("binary").alias("content"),
     ]
     if modified is not None:
         columns.append(modified.alias("modified"))
-    return rows.where(content.isNotNull()).select(*columns)
+    present = content.isNotNull() if size is None else size.isNotNull()
+    return rows.where(present).select(*columns)
 
 
 def binary_file_items(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from contentdup.plans.rescan import store_rows
+from contentdup.plans.rescan import STORE_COLUMNS, store_rows
 from contentdup.plans.scan import digest_items
 from contentdup.spec import ScanSpec
 
@@ -26,3 +27,12 @@ def ingest(items: DataFrame, store: str, checkpoint: str, spec: ScanSpec = ScanS
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
+
+
+def read_store(spark: SparkSession, store: str) -> DataFrame:
+    """The latest row of each path in a store that :func:`ingest` fills."""
+    values = [c for c in STORE_COLUMNS if c != "path"]
+    latest = F.max(F.struct("batch", *values))
+    return (
+        spark.read.parquet(store).groupBy("path").agg(latest.alias("latest")).select("path", *(f"latest.{c}" for c in values))
+    )

@@ -15,7 +15,7 @@ from contentdup.sources.inventory import InventoryReader, inventory
 from contentdup.sources.synthetic import synthetic_items, write_files
 from contentdup.sources.tables import binary_file_items
 from contentdup.spec import ScanSpec
-from contentdup.streaming.arrivals import ingest
+from contentdup.streaming.arrivals import ingest, read_store
 from tests.conftest import expected_groups, flat
 
 big = bytes(range(256)) * 100
@@ -75,7 +75,7 @@ def test_strategies_agree_also_on_overlaps(spark, tree):
 
 
 def test_size_bounds_reach_the_source(spark, tree):
-    kept = inventory(spark, tree).where("size_bytes >= 5 AND size_bytes < 100 AND NOT is_symlink")
+    kept = inventory(spark, tree, strategy="subtrees").where("size_bytes >= 5 AND size_bytes < 100 AND NOT is_symlink")
     assert {r.path for r in kept.collect()} == below(tree, ["node/deep/e.txt"])
     from pyspark.sql.datasource import EqualTo, GreaterThan, LessThanOrEqual
 
@@ -88,9 +88,9 @@ def test_size_bounds_reach_the_source(spark, tree):
 
 def test_bad_base(spark, tmp_path):
     with pytest.raises(Exception, match="not a folder"):
-        inventory(spark, str(tmp_path / "none"), strategy="levels")
+        inventory(spark, str(tmp_path / "none"))
     with pytest.raises(Exception, match="not a folder"):
-        inventory(spark, str(tmp_path / "none")).count()
+        inventory(spark, str(tmp_path / "none"), strategy="subtrees").count()
 
 
 @pytest.mark.parametrize("mode", ["full", "multi_region", "quick"])
@@ -98,7 +98,8 @@ def test_bad_base(spark, tmp_path):
 def test_scan_files_equals_scan_items(spark, tree, corpus, mode, floor):
     files = {os.path.join(tree, n): c for n, c in FILES.items()}
     compared = (lambda c: c[:4096]) if mode == "quick" else (lambda c: c)
-    found = flat(scan_files(spark, tree, ScanSpec(mode=mode), "subtrees", floor).member_rows)
+    strategy = "subtrees" if floor else "levels"
+    found = flat(scan_files(spark, tree, ScanSpec(mode=mode), strategy, floor).member_rows)
     assert found == expected_groups(files, compared)
     if floor is None:
         assert found == flat(scan_items(corpus(files), ScanSpec(mode=mode)).member_rows)
@@ -165,9 +166,17 @@ def test_rescan_of_items(spark, corpus, monkeypatch):
 def test_arriving_items(spark, corpus, tmp_path):
     incoming, store = str(tmp_path / "in"), str(tmp_path / "store")
     corpus({"/a": b"x", "/b": b"y"}).write.parquet(incoming)
-    for k in range(2):
+    for later in ({"/c": b"x", "/b": b"z"}, {"/never": b"read"}):
         stream = spark.readStream.schema(corpus({"/a": b""}).schema).parquet(incoming)
         ingest(stream, store, str(tmp_path / "ckpt")).awaitTermination(120)
-        corpus({"/c": b"x"}).write.mode("append").parquet(incoming)
-    rows = spark.read.parquet(store)
-    assert sorted(r.path for r in rows.collect()) == ["/a", "/b", "/c"]
+        corpus(later).write.mode("append").parquet(incoming)
+    rows = read_store(spark, store)
+    digests = {p: hashlib.sha256(c).hexdigest() for p, c in (("/a", b"x"), ("/b", b"z"), ("/c", b"x"))}
+    assert {r.path: r.digest for r in rows.collect()} == digests and rows.count() == 3
+    again = rescan_items(corpus({"/a": b"x", "/b": b"z", "/d": b"z"}), rows)
+    assert again.n_fresh == 1 and flat(again.members()) == {(1, frozenset({"/b", "/d"}))}
+
+
+def test_tables_lie_in_the_named_folder(spark):
+    named = spark.conf.get("spark.checkpoint.dir")
+    assert settle(spark.range(3), "probe").folder.startswith(named + "/contentdup/")

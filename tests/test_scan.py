@@ -119,8 +119,26 @@ def test_hot_limit_bounds_the_broadcast():
         assert n // g.hot_limit(n) <= g.HOT_KEYS
 
 
-def exchanges(plan):
-    return [line for line in plan.splitlines() if "Exchange" in line and "Query" not in line]
+def final_plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def test_hot_groups_are_not_shuffled_and_counted_once(spark):
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = settle(skewed(spark), "skewed")
+        plan = final_plan(g.shared_rows(rows, floor=100))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    lines = plan.splitlines()
+    # The counts, the cold rows, and nothing else.
+    assert sum("+- Exchange hashpartitioning" in line for line in lines) == 2
+    assert sum("ReusedExchange" in line for line in lines) == 2
+    assert sum("BroadcastHashJoin" in line for line in lines) == 2
+    assert sum("SortMergeJoin" in line for line in lines) == 1
 
 
 def test_content_is_read_once_and_never_shuffled(corpus, spark, tmp_path):
