@@ -47,8 +47,12 @@ class Settled:
 
 
 def settle(df: DataFrame, label: str, compact: bool = False) -> Settled:
-    """Write ``df``; ``compact`` evens out many small outputs of a wide scan first."""
+    """Write ``df`` and read it back.
+
+    ``compact`` evens out the many small outputs of a wide scan first. Rows go
+    by path, so a repeated task sends each row where it went before.
+    """
     spark = df.sparkSession
     folder = f"{shared_folder(spark)}/contentdup/{label}-{uuid.uuid4().hex}"
-    (df.hint("rebalance") if compact else df).write.parquet(folder)
+    (df.hint("rebalance", "path") if compact else df).write.parquet(folder)
     return Settled(spark.read.schema(df.schema).parquet(folder), folder)

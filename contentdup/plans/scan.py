@@ -7,8 +7,8 @@ then prefixes decide which files are opened at all.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from functools import cached_property
+from dataclasses import dataclass, field
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,6 +65,9 @@ class Scan:
 
     digests: Settled
     floor: int | None = None
+    # Written stages of a file scan, and the files it could not read.
+    stages: dict[str, Settled] = field(default_factory=dict)
+    unreadable: DataFrame | None = None
 
     @cached_property
     def groups(self) -> DataFrame:
@@ -125,18 +128,40 @@ def scan_files(
     """
     found = keep_items(inventory(spark, bases, spec, strategy), spec)
     sized = settle(found.select("path", "size_bytes", "modified"), "inventory")
-    same_size = settle(shared_rows(sized, ["size_bytes"], floor).drop("n_files"), "same-size").df
-    first = settle(
-        read_digests(same_size, spec.mode, spec.prefix_bytes, spec.algorithm).where("digest IS NOT NULL").drop("error"),
-        "prefix-digests",
-    )
+    same_size = settle(shared_rows(sized, ["size_bytes"], floor).drop("n_files"), "same-size")
+    first = settle(read_digests(same_size.df, spec.mode, spec.prefix_bytes, spec.algorithm), "prefix-digests")
+    stages = {"found": sized, "same_size": same_size}
+    readable, failed = _by_outcome(first)
     if _one_stage(spec):
-        return Scan(first, floor)
-    alike = settle(shared_rows(first, KEYS, floor).drop("n_files"), "alike").df
+        return Scan(readable, floor, stages, failed)
+    alike = settle(shared_rows(readable, KEYS, floor).drop("n_files"), "alike")
     covered = F.col("size_bytes") <= _covered_bytes(spec)
-    whole = read_digests(alike.where(~covered), "whole", algorithm=spec.algorithm)
-    known = alike.where(covered)
-    return Scan(settle(known.unionByName(whole.where("digest IS NOT NULL").drop("error")), "digests"), floor)
+    whole = settle(read_digests(alike.df.where(~covered), "whole", algorithm=spec.algorithm), "whole-digests")
+    verified, failed_later = _by_outcome(whole)
+    digests = settle(alike.df.where(covered).unionByName(verified.df), "digests")
+    return Scan(digests, floor, stages | {"candidates": alike}, failed.unionByName(failed_later))
+
+
+def _by_outcome(read: Settled) -> tuple[Settled, DataFrame]:
+    """Rows with a digest, and path and error of the others."""
+    return (
+        Settled(read.df.where("digest IS NOT NULL").drop("error"), read.folder),
+        read.df.where("digest IS NULL").select("path", "error"),
+    )
+
+
+def stage_counts(scan: Scan) -> DataFrame:
+    """Files and bytes that each stage of a file scan left, duplicates last."""
+    stages = {name: stage.df for name, stage in scan.stages.items()} | {"duplicates": scan.members.df}
+    counts = [
+        rows.agg(
+            F.lit(name).alias("stage"),
+            F.count(F.lit(1)).alias("n_files"),
+            F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("total_bytes"),
+        )
+        for name, rows in stages.items()
+    ]
+    return reduce(DataFrame.unionByName, counts)
 
 
 def quick_false_positives(

@@ -12,9 +12,8 @@ from pyspark.sql import functions as F
 from contentdup.operators.settle import settle
 from contentdup.sources.tables import table_items
 
-# Folder count and text of the generated items.
 FOLDERS = 5
-SENTENCE = "Unique file content %d with some random data to make it different from others. "
+SENTENCE = "Synthetic item %d, like no other item of this corpus apart from its copies.\n"
 REPEATS = 10
 
 

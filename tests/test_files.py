@@ -1,5 +1,7 @@
+import fnmatch
 import hashlib
 import os
+import random
 import time
 
 import pytest
@@ -9,7 +11,7 @@ from contentdup.operators.filters import audit, keep_items
 from contentdup.operators.groups import scan_difference
 from contentdup.operators.settle import settle
 from contentdup.plans.rescan import rescan_files, rescan_items, store_rows
-from contentdup.plans.scan import digest_items, scan_files, scan_items
+from contentdup.plans.scan import digest_items, scan_files, scan_items, stage_counts
 from contentdup.sources.content import read_digests
 from contentdup.sources.inventory import InventoryReader, inventory
 from contentdup.sources.synthetic import synthetic_items, write_files
@@ -86,6 +88,51 @@ def test_size_bounds_reach_the_source(spark, tree):
     assert [r["name"] for r in rows] == ["e.txt"]
 
 
+def walk(folder, spec):
+    """The same rules, entry by entry."""
+    for entry in os.scandir(folder):
+        if entry.is_symlink() or (spec.exclude_hidden and entry.name.startswith(".")):
+            continue
+        if entry.is_dir():
+            if entry.name not in spec.exclude_dirs:
+                yield from walk(entry.path, spec)
+        elif not any(fnmatch.fnmatchcase(entry.name, p) for p in spec.exclude):
+            size = entry.stat().st_size
+            if spec.min_bytes <= size <= spec.max_bytes:
+                yield entry.path, size
+
+
+def test_random_trees(spark, tmp_path):
+    rng = random.Random(9)
+    names = [".a", "a", "b", "skip", "x.log", "y.LOG", "_c"]
+
+    def grow(folder, depth):
+        for name in rng.sample(names, 4):
+            path = os.path.join(folder, name)
+            kind = rng.choice("fffdl" if depth else "ffl")
+            if kind == "d":
+                os.mkdir(path)
+                grow(path, depth - 1)
+            elif kind == "l":
+                os.symlink(rng.choice([folder, "/nowhere"]), path)
+            else:
+                with open(path, "wb") as file:
+                    file.write(b"z" * rng.randrange(6))
+
+    base = str(tmp_path / "skip")
+    os.mkdir(base)
+    for n in range(12):
+        os.mkdir(f"{base}/{n}")
+        grow(f"{base}/{n}", 4)
+    for spec in (
+        ScanSpec(min_bytes=1, max_bytes=4, exclude=("*.log", "_*"), exclude_dirs=("skip", "b"), exclude_hidden=True),
+        ScanSpec(min_bytes=0, max_bytes=9, exclude=("[!a]*",)),
+    ):
+        for strategy in ("levels", "subtrees"):
+            kept = keep_items(inventory(spark, base, spec, strategy), spec)
+            assert {(r.path, r.size_bytes) for r in kept.collect()} == set(walk(base, spec)), (spec, strategy)
+
+
 def test_bad_base(spark, tmp_path):
     with pytest.raises(Exception, match="not a folder"):
         inventory(spark, str(tmp_path / "none"))
@@ -101,6 +148,18 @@ def test_scan_files_equals_scan_items(spark, tree, corpus, mode, floor):
     strategy = "subtrees" if floor else "levels"
     found = flat(scan_files(spark, tree, ScanSpec(mode=mode), strategy, floor).member_rows)
     assert found == expected_groups(files, compared)
+    if mode == "full" and floor:
+        os.mkfifo(os.path.join(tree, "pipe"))
+        scan = scan_files(spark, tree)
+        sizes = [len(c) for c in FILES.values()] + [0]
+        shared = [s for s in sizes if sizes.count(s) > 1]
+        assert [tuple(r) for r in stage_counts(scan).collect()] == [
+            ("found", len(sizes), sum(sizes)),
+            ("same_size", len(shared), sum(shared)),
+            ("candidates", 5 + 2 + 3, 5 * 4 + 3 * len(big)),
+            ("duplicates", 5 + 2 + 2, 5 * 4 + 2 * len(big)),
+        ]
+        assert [os.path.basename(r.path) for r in scan.unreadable.collect()] == ["pipe"]
     if floor is None:
         assert found == flat(scan_items(corpus(files), ScanSpec(mode=mode)).member_rows)
 

@@ -91,7 +91,9 @@ def test_synthetic_corpus(spark):
     stats = corpus_stats(digest_items(items)).first()
     assert (stats.unique_files, stats.duplicate_files, stats.total_files, stats.directories) == (10, 5, 15, 5)
     assert scan_summary(scan_groups(synthetic_items(spark, 500, 50))).first()[:2] == (50, 100)
-    assert corpus_stats(digest_items(synthetic_items(spark, 500, 50))).first().total_bytes == 438300
+    line = len("Synthetic item , like no other item of this corpus apart from its copies.\n")
+    total = sum(10 * (line + len(str(n))) for n in [*range(500), *range(50)])
+    assert corpus_stats(digest_items(synthetic_items(spark, 500, 50))).first().total_bytes == total
     assert scan_groups(plant_copies(items)).count() == 10
 
 
@@ -149,7 +151,7 @@ def test_content_is_read_once_and_never_shuffled(corpus, spark, tmp_path):
     from contentdup.sources.tables import table_items
 
     items = table_items(spark.read.parquet(source), F.col("path"), F.col("content"))
-    digested = digest_items(items).hint("rebalance")
+    digested = digest_items(items).hint("rebalance", "path")
     plan = digested._jdf.queryExecution().executedPlan().toString()
     below = plan[plan.index("Exchange") :]
     assert plan.count("FileScan") == 1 and plan.count("sha2") == 1
