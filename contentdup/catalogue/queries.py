@@ -380,7 +380,7 @@ def _decisions(groups: DataFrame) -> DataFrame:
 @query("removal_by_decision")
 def removal_decided(spark, folder):
     scan = scan_items(b.documents(spark, folder))
-    return removal_by_decision(scan.member_rows, _decisions(scan.groups))
+    return removal_by_decision(scan.members, _decisions(scan.groups))
 
 
 @query("invalid_decisions")

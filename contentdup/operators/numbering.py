@@ -1,10 +1,9 @@
 """Group numbers and member numbers without a window over a whole group.
 
 Members are range-partitioned and sorted by size, digest and path, so that a
-large group spreads over several pieces. Each piece numbers its own rows; a
-table with one row per piece and group (the runs) carries what the pieces
-before it hold. A group has at most one run per piece, a piece at most as
-many runs as rows, and the table of piece offsets one row per piece.
+large group spreads over several pieces. Each piece numbers its own rows. What
+a piece takes over from those before it (groups begun, and members of a group
+that goes on) comes from a table with one row per piece.
 """
 
 from __future__ import annotations
@@ -20,54 +19,55 @@ from contentdup.operators.settle import settle
 _ROW_BITS = 33
 
 
-def number_members(members: DataFrame, per_group: DataFrame | None = None, pieces: int | None = None) -> DataFrame:
-    """Add ``group_no`` (from 1, by size and digest), ``member_no`` (from 0, by
-    path) and ``n_files``.
-
-    ``per_group``: optional frame with one row per ``size_bytes, digest`` whose
-    other columns are left-joined to the members.
-    """
-    rows = members.select("path", *KEYS)
-    order = [*KEYS, "path"]
-    ranged = rows.repartitionByRange(pieces, *order) if pieces else rows.repartitionByRange(*order)
-    placed = settle(
-        ranged.sortWithinPartitions(*order).withColumn("slot", F.monotonically_increasing_id()), "placed"
-    ).df.withColumn("piece", F.shiftright("slot", _ROW_BITS))
-
-    across = W.partitionBy(*KEYS).orderBy("piece")
-    runs = (
+def _taken_over(placed: DataFrame) -> DataFrame:
+    """Per piece: groups begun before its first group, members of that group
+    that lie in earlier pieces. The windows here see one row per piece."""
+    key = F.struct(*KEYS)
+    ends = (
         placed.groupBy("piece", *KEYS)
-        .agg(F.min("slot").alias("run_slot"), F.count(F.lit(1)).alias("run_rows"))
-        .withColumn("before", F.sum("run_rows").over(across) - F.col("run_rows"))
-        .withColumn("n_files", F.sum("run_rows").over(W.partitionBy(*KEYS)))
-        .withColumn("starts", (F.col("before") == 0).cast("bigint"))
-    )
-    # One row per piece: the running sum below needs no more than that.
-    offsets = (
-        runs.groupBy("piece")
-        .agg(F.sum("starts").alias("piece_starts"))
-        .select(
-            "piece",
-            (F.sum("piece_starts").over(W.orderBy("piece")) - F.col("piece_starts")).alias("groups_before"),
+        .agg(F.count(F.lit(1)).alias("rows"))
+        .groupBy("piece")
+        .agg(
+            F.count(F.lit(1)).alias("n_groups"),
+            F.min(key).alias("first"),
+            F.max(key).alias("last"),
+            F.max_by("rows", key).alias("last_rows"),
         )
     )
-    within = W.partitionBy("piece").orderBy(*KEYS)
-    runs = (
-        runs.withColumn("started", F.sum("starts").over(within))
-        .join(F.broadcast(offsets), "piece")
+    in_order = W.orderBy("piece")
+    goes_on = F.coalesce((F.col("first") == F.lag("last").over(in_order)).cast("bigint"), F.lit(0))
+    return (
+        ends.withColumn("so_far", F.sum("last_rows").over(W.partitionBy("last").orderBy("piece")))
+        .withColumn("goes_on", goes_on)
         .select(
             "piece",
-            *KEYS,
-            "run_slot",
-            "before",
-            "n_files",
-            (F.col("groups_before") + F.col("started")).alias("group_no"),
+            (F.sum(F.col("n_groups") - F.col("goes_on")).over(in_order) - F.col("n_groups")).alias("groups_before"),
+            (F.col("goes_on") * F.coalesce(F.lag("so_far").over(in_order), F.lit(0))).alias("members_before"),
         )
     )
-    if per_group is not None:
-        runs = runs.join(per_group, KEYS, "left")
-    return (
-        placed.join(runs, ["piece", *KEYS])
-        .withColumn("member_no", F.col("slot") - F.col("run_slot") + F.col("before"))
-        .drop("slot", "piece", "run_slot", "before")
+
+
+def number_members(members: DataFrame, pieces: int | None = None) -> DataFrame:
+    """Add ``group_no`` (from 1, by size and digest) and ``member_no`` (from 0,
+    by path); other columns stay."""
+    order = [*KEYS, "path"]
+    ranged = members.repartitionByRange(pieces, *order) if pieces else members.repartitionByRange(*order)
+    placed = settle(
+        ranged.sortWithinPartitions(*order).withColumn("slot", F.monotonically_increasing_id()), "placed"
+    ).df.withColumn("piece", F.shiftright("slot", _ROW_BITS))
+
+    # Both windows run on one shuffle by piece and one sort.
+    in_group = W.partitionBy("piece", *KEYS)
+    in_piece = W.partitionBy("piece").orderBy(*KEYS)
+    numbered = (
+        placed.repartition("piece")
+        .withColumn("row", F.col("slot") - F.min("slot").over(in_group))
+        .withColumn("group", F.dense_rank().over(in_piece))
+        .join(F.broadcast(_taken_over(placed)), "piece")
+    )
+    before = F.when(F.col("group") == 1, F.col("members_before")).otherwise(F.lit(0))
+    return numbered.select(
+        *members.columns,
+        (F.col("groups_before") + F.col("group")).alias("group_no"),
+        (F.col("row") + before).alias("member_no"),
     )

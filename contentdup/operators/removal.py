@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contentdup.operators.groups import KEYS, join_groups, keepers
+from contentdup.operators.groups import KEYS, count_groups, join_groups, keepers
 from contentdup.operators.numbering import number_members
 from contentdup.operators.settle import Settled, settle
 from contentdup.ship import ship
@@ -42,28 +42,30 @@ def survivors(items: DataFrame, manifest: DataFrame) -> DataFrame:
 
 def read_decisions(decisions: DataFrame) -> DataFrame:
     """Parse ``choice``: ``a`` (all but the first), ``s`` (skip) or 0-based
-    member numbers separated by commas. One bad number voids the choice."""
-    choice = F.lower(F.regexp_replace("choice", r"^\s+|\s+$", ""))
-    tokens = F.transform(F.split(choice, ","), lambda t: F.regexp_replace(t, r"^\s+|\s+$", ""))
+    member numbers separated by commas. One bad number voids the choice, and
+    so do two different choices for one group."""
+    blank = r"^\s+|\s+$"
+    tidy = decisions.select(*KEYS, F.lower(F.regexp_replace(F.coalesce("choice", F.lit("")), blank, "")).alias("choice"))
+    single = tidy.groupBy(*KEYS).agg(F.min("choice").alias("choice"), F.max("choice").alias("other"))
+    choice = F.when(F.col("choice") == F.col("other"), F.col("choice")).otherwise(F.concat_ws(" / ", "choice", "other"))
+    tokens = F.transform(F.split("choice", ","), lambda t: F.regexp_replace(t, blank, ""))
     numbers = F.transform(tokens, lambda t: F.replace(t, F.lit("_"), F.lit("")).try_cast("bigint"))
-    word = choice.isin("a", "s")
-    return decisions.select(
-        *KEYS,
-        choice.alias("choice"),
+    word = F.col("choice").isin("a", "s")
+    return single.select(*KEYS, choice.alias("choice")).select(
+        "*",
         F.when(~word, numbers).alias("numbers"),
         (word | F.forall(tokens, lambda t: t.rlike(INTEGER))).alias("valid"),
     )
 
 
-def removal_by_decision(members: DataFrame, decisions: DataFrame, dry_run: bool = True) -> DataFrame:
-    """Members that one decision per group names; numbers outside the group
-    are ignored, a group may lose all members."""
-    parsed = read_decisions(decisions).where("valid")
-    numbered = number_members(members, parsed.select(*KEYS, "choice"))
+def removal_by_decision(members: Settled, decisions: DataFrame, dry_run: bool = True) -> DataFrame:
+    """Members that the decision on their group names; numbers outside the
+    group are ignored, a group may lose all members."""
+    parsed = settle(read_decisions(decisions).where("valid AND choice <> 's'"), "decisions").df
+    decided = parsed.select(*KEYS, "choice").join(count_groups(members.df), KEYS)
+    numbered = number_members(join_groups(members.df.select(*KEYS, "path"), decided, members.n_rows))
     named = (
-        parsed.select(*KEYS, F.explode("numbers").alias("member_no"))
-        .distinct()
-        .withColumn("named", F.lit(True))
+        parsed.select(*KEYS, F.explode("numbers").alias("member_no")).distinct().withColumn("named", F.lit(True))
     )
     chosen = numbered.join(named, [*KEYS, "member_no"], "left").where(
         F.col("named") | ((F.col("choice") == "a") & (F.col("member_no") > 0))

@@ -55,7 +55,7 @@ def test_survivors_have_no_duplicates(corpus):
         ("a", {"/a/1", "/a/2"}), (" A\n", {"/a/1", "/a/2"}), ("s", set()), ("0,2", {"/a/0", "/a/2"}), (" 1 ", {"/a/1"}),
         ("-1", set()), ("99", set()), ("0,1,2", {"/a/0", "/a/1", "/a/2"}), ("1,1", {"/a/1"}), ("+1,0_2", {"/a/1", "/a/2"}),
         ("99999999999999999999,1", {"/a/1"}),
-        ("1,x", None), ("", None), ("1.0", None), ("1,", None), ("invalid", None),
+        (None, None), ("1,x", None), ("", None), ("1.0", None), ("1,", None), ("invalid", None),
     ],
 )
 def test_decisions(spark, choice, removed):
@@ -65,7 +65,15 @@ def test_decisions(spark, choice, removed):
     assert bad == (removed is None)
     assert read_decisions(decisions).first().valid == (removed is not None)
     if choice in ("a", "0,2", "-1", "1,x", "+1,0_2", "99999999999999999999,1"):
-        assert paths(removal_by_decision(members(spark), decisions)) == (removed or set())
+        assert paths(removal_by_decision(settle(members(spark), "m"), decisions)) == (removed or set())
+
+
+def test_contradicting_decisions(spark):
+    rows = [(1, "a", "a"), (1, "a", "s"), (2, "b", "A"), (2, "b", "a "), (3, "no such group", "x")]
+    decisions = spark.createDataFrame(rows, "size_bytes bigint, digest string, choice string")
+    groups = members(spark).select("size_bytes", "digest").distinct()
+    assert [r.choice for r in invalid_decisions(groups, decisions).collect()] == ["a / s"]
+    assert paths(removal_by_decision(settle(members(spark), "m"), decisions)) == {"/z"}
 
 
 def test_selected(spark):

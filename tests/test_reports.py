@@ -14,12 +14,16 @@ from tests.test_scan import demo
 MEMBERS = "size_bytes bigint, digest string, path string"
 
 
+def with_counts(members):
+    return members.join(members.groupBy("size_bytes", "digest").agg(F.count("path").alias("n_files")), ["size_bytes", "digest"])
+
+
 def brute(rows):
     groups = {}
     for size, digest, path in sorted(rows):
         groups.setdefault((size, digest), []).append(path)
     return {
-        path: (number, member, len(paths))
+        path: (number, member)
         for number, (_, paths) in enumerate(sorted(groups.items()), 1)
         for member, path in enumerate(paths)
     }
@@ -33,7 +37,7 @@ def test_numbers_match_a_global_sort(spark, pieces):
     rows += [(5 + n, "z", f"/single{n}") for n in range(20)]
     rng.shuffle(rows)
     numbered = number_members(spark.createDataFrame(rows, MEMBERS), pieces=pieces)
-    assert {r.path: (r.group_no, r.member_no, r.n_files) for r in numbered.collect()} == brute(rows)
+    assert {r.path: (r.group_no, r.member_no) for r in numbered.collect()} == brute(rows)
 
 
 def test_numbers_of_nothing(spark):
@@ -42,7 +46,7 @@ def test_numbers_of_nothing(spark):
 
 def test_nested_groups_split_long_lists(spark):
     rows = [(1, "a", f"/{n:03}") for n in range(25)] + [(2, "b", "/x"), (2, "b", "/y")]
-    found = sorted(nested_groups(spark.createDataFrame(rows, MEMBERS), 10).collect())
+    found = sorted(nested_groups(with_counts(spark.createDataFrame(rows, MEMBERS)), 10).collect())
     assert [(r.hash, r.part, r.n_files, len(r.paths)) for r in found] == [
         ("a", 0, 25, 10), ("a", 1, 25, 10), ("a", 2, 25, 5), ("b", 0, 2, 2),
     ]
@@ -67,7 +71,7 @@ def test_details_and_table(corpus):
 def test_exports(spark, tmp_path):
     rows = [(1024, "hash1", "/f1"), (1024, "hash1", "/f2"), (2048, "hash2", "/f3")]
     members = spark.createDataFrame(rows, MEMBERS)
-    write_json(nested_groups(members), str(tmp_path / "json"))
+    write_json(nested_groups(with_counts(members)), str(tmp_path / "json"))
     records = [json.loads(line) for part in (tmp_path / "json").glob("part*") for line in part.read_text().splitlines()]
     assert {(r["size_bytes"], r["hash"], tuple(r["paths"])) for r in records} == {
         (1024, "hash1", ("/f1", "/f2")), (2048, "hash2", ("/f3",)),
@@ -77,7 +81,7 @@ def test_exports(spark, tmp_path):
     assert back.columns == ["size_bytes", "hash", "path"] and back.count() == 3
     write_csv(members.where("false"), str(tmp_path / "none"))
     assert [p.read_text() for p in (tmp_path / "none").glob("part*")] == ["size_bytes,hash,path\n"]
-    write_json(nested_groups(members.where("false")), str(tmp_path / "nojson"))
+    write_json(nested_groups(with_counts(members).where("false")), str(tmp_path / "nojson"))
     assert not any(p.read_text() for p in (tmp_path / "nojson").glob("part*"))
 
 
