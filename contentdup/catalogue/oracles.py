@@ -72,6 +72,10 @@ _NUMBERED = f"""
            count(*) OVER (PARTITION BY size_bytes, digest)::BIGINT AS n_files
     FROM ({_members(_DOCUMENTS)})
 """
+_RESULT_TABLE = f"""
+    SELECT group_no, size_bytes, {_size_text('size_bytes')} AS size_text, digest,
+           left(digest, 8) || '...' || right(digest, 8) AS display_digest, path
+    FROM ({_NUMBERED})"""
 _GLOBS = "(name GLOB '*7.txt' OR name GLOB '[!1-5]?.txt')"
 _HIDDEN = "(starts_with(dir, '.') OR starts_with(lang, '.') OR starts_with(name, '.'))"
 _AUDIT = f"""
@@ -219,10 +223,9 @@ ORACLES: dict[str, str] = {
         SELECT group_no, {_size_text('size_bytes')} AS size_text, left(digest, 8) || '...' AS short_digest,
                member_no, path
         FROM ({_NUMBERED})""",
-    "result_table": f"""
-        SELECT group_no, size_bytes, {_size_text('size_bytes')} AS size_text, digest,
-               left(digest, 8) || '...' || right(digest, 8) AS display_digest, path
-        FROM ({_NUMBERED})""",
+    "result_table": _RESULT_TABLE,
+    "result_table_by_size": f"SELECT * FROM ({_RESULT_TABLE}) ORDER BY size_bytes DESC",
+    "groups_sorted": f"SELECT * FROM ({_groups(_DOCUMENTS)}) ORDER BY size_bytes, digest",
     "path_filter": f"SELECT * FROM ({_members(_DOCUMENTS)}) WHERE contains(lower(path), 'src1')",
     "removal_manifest": _manifest("path"),
     "removal_manifest_shortest": _manifest("length(path), path"),

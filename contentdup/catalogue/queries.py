@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contentdup.catalogue import bindings as b
-from contentdup.functions import dir_path, format_bytes, prefix_length, relative_path
+from contentdup.functions import base_name, dir_path, format_bytes, prefix_length, relative_path
 from contentdup.operators.filters import audit, audit_counts, keep_items, path_contains
 from contentdup.operators.groups import KEYS, distinct_paths, scan_difference
 from contentdup.operators.removal import (
@@ -19,8 +19,9 @@ from contentdup.operators.removal import (
     survivors,
 )
 from contentdup.operators.summary import corpus_stats, scan_funnel, scan_summary, space_savings
+from contentdup.operators.settle import settle
 from contentdup.plans.export import csv_rows, json_rows
-from contentdup.plans.report import detail_report, nested_groups, result_table
+from contentdup.plans.report import detail_report, nested_groups, result_table, sort_groups, sort_rows
 from contentdup.plans.rescan import rescan_items, store_rows
 from contentdup.plans.scan import (
     candidates_by_size,
@@ -31,8 +32,9 @@ from contentdup.plans.scan import (
     scan_items,
 )
 from contentdup.sources.content import read_digests
-from contentdup.sources.inventory import inventory
+from contentdup.sources.inventory import inventory, mounted_path
 from contentdup.sources.synthetic import plant_copies
+from contentdup.sources.tables import binary_file_items
 from contentdup.spec import ScanSpec
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -139,9 +141,12 @@ def files_inventory(spark, folder):
 
 @query("files_digests")
 def files_digests(spark, folder):
-    """Those files read by path in tasks."""
-    found = inventory(spark, folder)
-    return read_digests(found.where(~F.col("is_symlink"))).select("name", "size_bytes", "digest")
+    """Those files read by path in tasks, or by Spark where they are not mounted."""
+    if mounted_path(folder) is None:
+        digests = digest_items(binary_file_items(spark, folder))
+        return digests.select(base_name(F.col("path")).alias("name"), "size_bytes", "digest")
+    found = settle(inventory(spark, folder).where(~F.col("is_symlink")), "inventory").df
+    return read_digests(found).select("name", "size_bytes", "digest")
 
 
 # Digests
@@ -339,6 +344,16 @@ def result_rows(spark, folder):
     return result_table(scan_items(b.documents(spark, folder)).member_rows)
 
 
+@query("groups_sorted")
+def groups_sorted(spark, folder):
+    return sort_groups(scan_groups(b.documents(spark, folder)))
+
+
+@query("result_table_by_size")
+def result_table_by_size(spark, folder):
+    return sort_rows(result_table(scan_items(b.documents(spark, folder)).member_rows), "size", ascending=False)
+
+
 @query("path_filter")
 def path_filter(spark, folder):
     return path_contains(dupes_full(spark, folder), "SRC1")

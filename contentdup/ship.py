@@ -21,6 +21,8 @@ def ship(spark: SparkSession) -> None:
     if context.applicationId in _shipped:
         return
     here = os.path.dirname(os.path.abspath(__file__))
+    if not os.path.isdir(here):  # already runs from a shipped archive
+        return
     archive = shutil.make_archive(
         os.path.join(tempfile.mkdtemp(prefix="contentdup-"), "contentdup"), "zip", os.path.dirname(here), "contentdup"
     )

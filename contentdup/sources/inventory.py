@@ -11,6 +11,9 @@ Two strategies with the same result:
   are never entered.
 
 All entries but directories are listed, links included (never followed).
+Folders of an object store (any other scheme than ``file``) are listed by the
+built-in ``binaryFile`` reader instead, within its limits; their content is
+not read.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 from datetime import datetime, timezone
+from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
@@ -38,6 +42,7 @@ from pyspark.sql.datasource import (
 from contentdup.operators.groups import distinct_paths
 from contentdup.operators.settle import settle
 from contentdup.ship import ship
+from contentdup.sources.tables import binary_file_items
 from contentdup.spec import ScanSpec
 
 SCHEMA = (
@@ -276,6 +281,18 @@ def _by_levels(spark: SparkSession, base: str, spec: ScanSpec, per_task: int = 6
     return files.repartition(tasks, "path").mapInPandas(_stat_files, SCHEMA)
 
 
+def mounted_path(folder: str) -> str | None:
+    """The plain path of a mounted folder, None for an object store."""
+    scheme, colon, rest = folder.partition(":")
+    if not colon or "/" in scheme:
+        return folder
+    return "/" + rest.lstrip("/") if scheme == "file" else None
+
+
+def _by_listing(spark: SparkSession, base: str) -> DataFrame:
+    return binary_file_items(spark, base).drop("content").withColumn("error", F.lit(None).cast("string"))
+
+
 def inventory(
     spark: SparkSession, bases: str | list[str], spec: ScanSpec | None = None, strategy: str = "levels"
 ) -> DataFrame:
@@ -288,7 +305,8 @@ def inventory(
     walk = {"subtrees": _by_subtrees, "levels": _by_levels}[strategy]
     ship(spark)
     bases = [bases] if isinstance(bases, str) else list(bases)
-    found = walk(spark, bases[0], spec)
-    for base in bases[1:]:
-        found = found.unionByName(walk(spark, base, spec))
-    return found if len(bases) == 1 else distinct_paths(found)
+    trees = [
+        _by_listing(spark, base) if mounted_path(base) is None else walk(spark, mounted_path(base), spec)
+        for base in bases
+    ]
+    return trees[0] if len(trees) == 1 else distinct_paths(reduce(DataFrame.unionByName, trees))

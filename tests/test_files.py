@@ -5,7 +5,6 @@ import random
 import time
 
 import pytest
-from pyspark.sql import functions as F
 
 from contentdup.operators.filters import audit, keep_items
 from contentdup.operators.groups import scan_difference
@@ -13,7 +12,7 @@ from contentdup.operators.settle import settle
 from contentdup.plans.rescan import rescan_files, rescan_items, store_rows
 from contentdup.plans.scan import digest_items, scan_files, scan_items, stage_counts
 from contentdup.sources.content import read_digests
-from contentdup.sources.inventory import InventoryReader, inventory
+from contentdup.sources.inventory import InventoryReader, inventory, mounted_path
 from contentdup.sources.synthetic import synthetic_items, write_files
 from contentdup.sources.tables import binary_file_items
 from contentdup.spec import ScanSpec
@@ -185,6 +184,16 @@ def test_binary_files(spark, tree):
     assert [(r.size_bytes, r.n_files) for r in groups.collect()] == [(4, 2)]
 
 
+def test_kinds_of_folders(spark, tree, monkeypatch):
+    assert [mounted_path(f) for f in ("/a/b", "file:/a", "file:///a", "s3a://x/y", "a/b:c")] == ["/a/b", "/a", "/a", None, "a/b:c"]
+    monkeypatch.setattr("contentdup.sources.inventory.mounted_path", lambda folder: None)
+    listed = inventory(spark, f"file:{tree}/sub")
+    assert {(r.name, r.size_bytes, tuple(r.dirs)) for r in listed.collect()} == {
+        ("b.txt", 4, ()), ("c.log", 4, ("deep",)),
+    }
+    assert "content" not in listed._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[1]
+
+
 def test_written_corpus(spark, tmp_path):
     items = synthetic_items(spark, 20, 7)
     assert write_files(items, str(tmp_path / "c")).count() == 27
@@ -195,8 +204,10 @@ def test_written_corpus(spark, tmp_path):
 def test_rescan_of_files(spark, tree):
     spec = ScanSpec()
     found = inventory(spark, tree)
-    first = rescan_files(found, store_rows(spark.createDataFrame([], "path string, size_bytes bigint, digest string"), spec), spec)
-    assert first.n_fresh == len(FILES) and flat(first.members()) == expected_groups({os.path.join(tree, n): c for n, c in FILES.items()})
+    nothing = spark.createDataFrame([], "path string, size_bytes bigint, digest string")
+    first = rescan_files(found, store_rows(nothing, spec), spec)
+    assert first.n_fresh == len(FILES)
+    assert flat(first.members()) == expected_groups({os.path.join(tree, n): c for n, c in FILES.items()})
     later = dict(FILES, **{"a.txt": b"tent", "new": b"other"})
     os.remove(os.path.join(tree, "big2"))
     del later["big2"]

@@ -37,7 +37,8 @@ def test_automatic_policy(spark):
     assert removal_manifest(rows, dry_run=False).first().action == "delete"
     with pytest.raises(ValueError):
         removal_manifest(rows, "oldest")
-    aged = members(spark).withColumn("modified", F.when(F.col("path") == "/a/2", F.timestamp_seconds(F.lit(1))).otherwise(F.timestamp_seconds(F.lit(9))))
+    second = F.when(F.col("path") == "/a/2", F.lit(1)).otherwise(F.lit(9))
+    aged = members(spark).withColumn("modified", F.timestamp_seconds(second))
     assert {r.keep_path for r in keepers(aged, "oldest").collect()} == {"/a/2", "/long/b"}
 
 
@@ -85,7 +86,8 @@ def test_selected(spark):
 def test_execution(spark, tmp_path):
     for name, text in (("keep", "xx"), ("one", "xx"), ("grown", "xxx")):
         (tmp_path / name).write_text(text)
-    rows = [(2, "d", str(tmp_path / n), str(tmp_path / k)) for n, k in (("one", "keep"), ("gone", "keep"), ("grown", "keep"), ("keep", "no"))]
+    pairs = (("one", "keep"), ("gone", "keep"), ("grown", "keep"), ("keep", "no"))
+    rows = [(2, "d", str(tmp_path / n), str(tmp_path / k)) for n, k in pairs]
     manifest = spark.createDataFrame(rows, "size_bytes bigint, digest string, path string, keep_path string")
     assert {r.status for r in execute_removal(manifest).collect()} == {"would_delete"}
     assert len(os.listdir(tmp_path)) == 3

@@ -50,7 +50,12 @@ def test_modes_differ_only_where_they_should(corpus):
     files |= {"/empty1": b"", "/empty2": b""}
     items = corpus(files)
     exact = expected_groups(files)
-    regions = expected_groups(files, lambda c: c if len(c) <= 12288 else b"".join(c[p : p + 4096] for p in (0, len(c) // 2 - 2048, len(c) - 4096)))
+
+    def three_parts(c):
+        starts = (0, len(c) // 2 - 2048, len(c) - 4096) if len(c) > 12288 else (0, 4096, 8192)
+        return b"".join(c[p : p + 4096] for p in starts)
+
+    regions = expected_groups(files, three_parts)
     assert flat(scan_items(items, FULL).member_rows) == exact
     assert flat(scan_items(items, REGIONS).member_rows) == exact
     assert flat(scan_items(items, REGIONS_ONLY).member_rows) == regions != exact
