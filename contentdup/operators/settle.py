@@ -43,7 +43,10 @@ class Settled:
 
     def text_bytes(self, column: str) -> int:
         """Bytes of a text column, to decide whether it may be broadcast."""
-        return self.df.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()[0]
+        length = F.sum(F.octet_length(column))
+        n_rows, total = self.df.agg(F.count(F.lit(1)), F.coalesce(length, F.lit(0))).first()
+        self._count[:] = [n_rows]
+        return total
 
 
 def settle(df: DataFrame, label: str, compact: bool = False) -> Settled:

@@ -55,16 +55,21 @@ class Rescan:
         return shared_rows(self.store, floor=floor)
 
 
-def _split(found: DataFrame, store: DataFrame, spec: ScanSpec) -> tuple[DataFrame, Settled]:
+def _match(found: DataFrame, store: DataFrame, spec: ScanSpec) -> tuple[DataFrame, Settled]:
+    """Store rows that are still valid, and the items without one; both are
+    parts of one written join, which reads the inventory once."""
     usable = store.where((F.col("algorithm") == spec.algorithm) & (F.col("mode") == stored_mode(spec)))
     same = (
         (found["path"] == usable["path"])
         & (found["size_bytes"] == usable["size_bytes"])
         & found["modified"].eqNullSafe(usable["modified"])
     )
-    valid = usable.join(found, same, "left_semi")
-    fresh = settle(found.join(usable, same, "left_anti"), "fresh")
-    return valid, fresh
+    matched = settle(
+        found.join(usable, same, "left").select(found["path"], found["size_bytes"], found["modified"], "digest"),
+        "matched",
+    )
+    fresh = matched.df.where("digest IS NULL").drop("digest")
+    return store_rows(matched.df.where("digest IS NOT NULL"), spec), Settled(fresh, matched.folder)
 
 
 def rescan_items(items: DataFrame, store: DataFrame, spec: ScanSpec = ScanSpec()) -> Rescan:
@@ -72,28 +77,27 @@ def rescan_items(items: DataFrame, store: DataFrame, spec: ScanSpec = ScanSpec()
 
     Pays off when sizes are stored with the rows (``size`` of
     :func:`contentdup.sources.tables.table_items`), else finding what changed
-    reads all content once. Content is matched to the new paths by broadcast while these are few.
-    Beyond that all content is digested where it lies and the narrow digest
-    rows are matched: digesting costs less than shuffling content.
+    reads all content once. Content is matched to the new paths by broadcast
+    while these are few. Beyond that all content is digested where it lies and
+    the narrow digest rows are matched: digesting costs less than shuffling
+    content.
     """
     if "modified" not in items.columns:
         items = items.withColumn("modified", F.lit(None).cast("timestamp"))
-    found = settle(keep_items(items, spec).select("path", "size_bytes", "modified"), "found", compact=True)
-    valid, fresh = _split(found.df, store, spec)
+    valid, fresh = _match(keep_items(items, spec).select("path", "size_bytes", "modified"), store, spec)
     paths = fresh.df.select("path")
     if fresh.text_bytes("path") <= BROADCAST_BYTES:
         digested = digest_items(items.join(F.broadcast(paths), "path", "left_semi"), spec)
     else:
         digested = settle(digest_items(items, spec), "digests", compact=True).df.join(paths, "path", "left_semi")
-    renewed = valid.select(*STORE_COLUMNS).unionByName(store_rows(digested, spec))
+    renewed = valid.unionByName(store_rows(digested, spec))
     return Rescan(settle(renewed, "digest-store", compact=True), fresh.n_rows)
 
 
 def rescan_files(found: DataFrame, store: DataFrame, spec: ScanSpec = ScanSpec()) -> Rescan:
     """Re-scan an inventory; only new or changed files are opened."""
-    kept = settle(keep_items(found, spec).select("path", "size_bytes", "modified"), "found")
-    valid, fresh = _split(kept.df, store, spec)
+    valid, fresh = _match(keep_items(found, spec).select("path", "size_bytes", "modified"), store, spec)
     how = spec.mode if stored_mode(spec) != "whole" else "whole"
     digested = read_digests(fresh.df, how, spec.prefix_bytes, spec.algorithm).where("digest IS NOT NULL")
-    renewed = valid.select(*STORE_COLUMNS).unionByName(store_rows(digested, spec))
+    renewed = valid.unionByName(store_rows(digested, spec))
     return Rescan(settle(renewed, "digest-store", compact=True), fresh.n_rows)
