@@ -180,6 +180,9 @@ def test_read_digests(spark, tree):
 def test_binary_files(spark, tree):
     found = {r.name: r for r in binary_file_items(spark, tree).select("name", "dirs", "size_bytes").collect()}
     assert found["c.log"].dirs in (["sub", "deep"], ["linked", "deep"]) and found["big1"].size_bytes == len(big)
+    bounded = keep_items(binary_file_items(spark, tree), ScanSpec(min_bytes=5, max_bytes=9)).select("path")
+    plan = bounded._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(length,5)" in plan and "LessThanOrEqual(length,9)" in plan
     groups = scan_items(binary_file_items(spark, os.path.join(tree, "sub"))).groups
     assert [(r.size_bytes, r.n_files) for r in groups.collect()] == [(4, 2)]
 

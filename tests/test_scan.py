@@ -1,8 +1,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from contentdup.operators import groups as g
+from contentdup.operators.filters import keep_items
 from contentdup.operators.settle import settle
 from contentdup.operators.summary import corpus_stats, scan_funnel, scan_summary, space_savings
 from contentdup.plans.scan import (
@@ -14,6 +16,7 @@ from contentdup.plans.scan import (
     scan_items,
 )
 from contentdup.sources.synthetic import plant_copies, synthetic_items
+from contentdup.sources.tables import table_items
 from contentdup.spec import ScanSpec
 from tests.conftest import expected_groups, flat
 
@@ -151,10 +154,6 @@ def test_hot_groups_are_not_shuffled_and_counted_once(spark):
 def test_content_is_read_once_and_never_shuffled(corpus, spark, tmp_path):
     source = str(tmp_path / "items")
     corpus(demo()).select("path", "content").write.parquet(source)
-    from pyspark.sql import functions as F
-
-    from contentdup.sources.tables import table_items
-
     items = table_items(spark.read.parquet(source), F.col("path"), F.col("content"))
     digested = digest_items(items).hint("rebalance", "path")
     plan = digested._jdf.queryExecution().executedPlan().toString()
@@ -166,3 +165,17 @@ def test_content_is_read_once_and_never_shuffled(corpus, spark, tmp_path):
     assert groups.count("FileScan") == 1 and groups.count("Exchange") == 1
     members = scan_items(items).member_rows._jdf.queryExecution().executedPlan().toString()
     assert "content" not in members.replace("contentdup", "")
+
+
+def test_stored_sizes_spare_the_content(spark, tmp_path):
+    source = str(tmp_path / "sized")
+    rows = [(path, content, len(content)) for path, content in demo().items()]
+    spark.createDataFrame(rows, "path string, content binary, n_bytes bigint").write.parquet(source)
+    items = table_items(spark.read.parquet(source), F.col("path"), F.col("content"), size=F.col("n_bytes"))
+    spec = ScanSpec(min_bytes=100, max_bytes=5000)
+    plan = keep_items(items, spec).select("path", "size_bytes")._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(n_bytes,100)" in plan and "LessThanOrEqual(n_bytes,5000)" in plan
+    assert "ReadSchema: struct<path:string,n_bytes:bigint>" in plan
+    assert flat(scan_items(items, spec).member_rows) == expected_groups(
+        {path: content for path, content in demo().items() if 100 <= len(content) <= 5000}
+    )
