@@ -7,9 +7,33 @@ from pyspark.sql import DataFrame, SparkSession
 
 from contentdup.llm.common import read_table
 from contentdup.llm.token_files import read_token_files, write_token_files
+from contentdup.llm.top_products import top_products
 from contentdup.llm.word_bpe import encode_words
 
 
+def op4_top_products(spark: SparkSession, folder: str) -> DataFrame:
+    return top_products(read_table(spark, folder, "embeddings"), every=50, k=5, scale=256)
+
+
+OP4_SQL = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS w
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.w, c.w) AS BIGINT) AS score
+    FROM v q JOIN v c ON c.vec_id <> q.vec_id
+    WHERE q.vec_id % 50 = 0
+), ranked AS (
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+           vec_id, score
+    FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
 def op9_bit_planes(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_table(spark, folder, "documents")
     written = write_token_files(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
@@ -22,8 +46,9 @@ def op10_word_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 
 LLM_QUERIES = {
+    "op4_top_products": op4_top_products,
     "op9_bit_planes": op9_bit_planes,
     "op10_word_bpe": op10_word_bpe,
 }
 
-LLM_ORACLES: dict[str, str] = {}
+LLM_ORACLES = {"op4_top_products": OP4_SQL}
