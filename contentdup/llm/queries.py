@@ -5,9 +5,11 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from contentdup.llm.chat import format_chats
 from contentdup.llm.common import read_table
 from contentdup.llm.token_files import read_token_files, write_token_files
 from contentdup.llm.top_products import top_products
+from contentdup.llm.url_trees import Rule, judge_urls
 from contentdup.llm.word_bpe import encode_words
 
 
@@ -34,6 +36,44 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
 
+def op6_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    return format_chats(read_table(spark, folder, "conversations"))
+
+
+OP6_SQL = """
+WITH t AS (
+    SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+           row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+    FROM conversations WHERE conv_id IS NOT NULL
+), c AS (
+    SELECT conv_id, count(*) AS n, list([role, text] ORDER BY pos) AS turns FROM t GROUP BY conv_id
+), kept AS (
+    SELECT conv_id, n FROM c
+    WHERE NOT EXISTS (
+        SELECT 1 FROM c b
+        WHERE b.turns[1] = c.turns[1] AND b.conv_id <> c.conv_id AND b.turns[1:c.n] = c.turns
+          AND (b.n > c.n OR b.conv_id < c.conv_id)
+    )
+)
+SELECT t.conv_id, CAST((t.pos - 1) // 256 AS BIGINT) AS part, k.n AS n_turns,
+       string_agg('<|' || t.role || '|>' || chr(10) || t.text || '<|end|>' || chr(10), '' ORDER BY t.pos) AS rendered
+FROM t JOIN kept k USING (conv_id)
+GROUP BY t.conv_id, part, k.n
+"""
+
+# Hosts and paths to block and to allow.
+URL_RULES = [
+    Rule("block", "net/"),
+    Rule("allow", "example.net/en/"),
+    Rule("block", "example.com/de/"),
+    Rule("allow", "org/fr/"),
+]
+
+
+def op7_url_trees(spark: SparkSession, folder: str) -> DataFrame:
+    return judge_urls(read_table(spark, folder, "pages"), URL_RULES)
+
+
 def op9_bit_planes(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_table(spark, folder, "documents")
     written = write_token_files(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
@@ -47,8 +87,10 @@ def op10_word_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 LLM_QUERIES = {
     "op4_top_products": op4_top_products,
+    "op6_chat_format": op6_chat_format,
+    "op7_url_trees": op7_url_trees,
     "op9_bit_planes": op9_bit_planes,
     "op10_word_bpe": op10_word_bpe,
 }
 
-LLM_ORACLES = {"op4_top_products": OP4_SQL}
+LLM_ORACLES = {"op4_top_products": OP4_SQL, "op6_chat_format": OP6_SQL}
