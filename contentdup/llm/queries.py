@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from contentdup.llm.chat import format_chats
 from contentdup.llm.common import read_table
+from contentdup.llm.rules import apply_rules, train_rule_model
 from contentdup.llm.token_files import read_token_files, write_token_files
 from contentdup.llm.top_products import top_products
 from contentdup.llm.url_trees import Rule, judge_urls
@@ -74,6 +76,17 @@ def op7_url_trees(spark: SparkSession, folder: str) -> DataFrame:
     return judge_urls(read_table(spark, folder, "pages"), URL_RULES)
 
 
+def training_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """Labelled rows that may be learnt from; the others measure accuracy."""
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    return read_table(spark, folder, "labels").where(~held_out)
+
+
+def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents")
+    return apply_rules(docs, train_rule_model(docs, training_labels(spark, folder)))
+
+
 def op9_bit_planes(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_table(spark, folder, "documents")
     written = write_token_files(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
@@ -86,6 +99,7 @@ def op10_word_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 
 LLM_QUERIES = {
+    "op8_quality_rules": op8_quality_rules,
     "op4_top_products": op4_top_products,
     "op6_chat_format": op6_chat_format,
     "op7_url_trees": op7_url_trees,
