@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contentdup.llm.chat import format_chats
 from contentdup.llm.common import read_table
+from contentdup.llm.quality import score_quality
 from contentdup.llm.rules import apply_rules, train_rule_model
 from contentdup.llm.token_files import read_token_files, write_token_files
 from contentdup.llm.top_products import top_products
@@ -15,6 +16,21 @@ from contentdup.llm.url_trees import Rule, judge_urls
 from contentdup.llm.word_bpe import encode_words
 
 
+def held_out(doc_id: Column) -> Column:
+    """Rows whose labels are never learnt from; they measure accuracy."""
+    return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
+
+
+def training_labels(spark: SparkSession, folder: str) -> DataFrame:
+    return read_table(spark, folder, "labels").where(~held_out(F.col("doc_id")))
+
+
+def op2_quality_kernel(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents")
+    scored = score_quality(docs, training_labels(spark, folder), threshold=0.7)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op4_top_products(spark: SparkSession, folder: str) -> DataFrame:
     return top_products(read_table(spark, folder, "embeddings"), every=50, k=5, scale=256)
 
@@ -76,12 +92,6 @@ def op7_url_trees(spark: SparkSession, folder: str) -> DataFrame:
     return judge_urls(read_table(spark, folder, "pages"), URL_RULES)
 
 
-def training_labels(spark: SparkSession, folder: str) -> DataFrame:
-    """Labelled rows that may be learnt from; the others measure accuracy."""
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
-    return read_table(spark, folder, "labels").where(~held_out)
-
-
 def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_table(spark, folder, "documents")
     return apply_rules(docs, train_rule_model(docs, training_labels(spark, folder)))
@@ -99,6 +109,7 @@ def op10_word_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 
 LLM_QUERIES = {
+    "op2_quality_kernel": op2_quality_kernel,
     "op8_quality_rules": op8_quality_rules,
     "op4_top_products": op4_top_products,
     "op6_chat_format": op6_chat_format,
