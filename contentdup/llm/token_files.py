@@ -12,6 +12,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -78,6 +79,12 @@ class PieceEncoder:
         return found
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> PieceEncoder:
+    """One encoder per worker process, so that tasks share what it has seen."""
+    return PieceEncoder(path)
+
+
 _BLOB_SCHEMA = "piece int, seq int, n_ids bigint, n_docs bigint, blob binary"
 
 
@@ -95,7 +102,7 @@ def write_token_files(
     ship(spark)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(tokenizer)
+        encoder = _encoder(tokenizer)
         piece, seq = TaskContext.get().partitionId(), 0
         end = np.asarray([end_id], "<u4").tobytes()
         ids: list[bytes] = []
