@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from contentdup.llm.chat import format_chats
 from contentdup.llm.common import read_table
+from contentdup.llm.ngram_join import ngram_components
 from contentdup.llm.quality import score_quality
 from contentdup.llm.rules import apply_rules, train_rule_model
 from contentdup.llm.token_files import read_token_files, write_token_files
@@ -31,6 +32,10 @@ def op2_quality_kernel(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op3_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_components(read_table(spark, folder, "documents"), n=4, num=85, den=100)
+
+
 def op4_top_products(spark: SparkSession, folder: str) -> DataFrame:
     return top_products(read_table(spark, folder, "embeddings"), every=50, k=5, scale=256)
 
@@ -111,6 +116,7 @@ def op10_word_bpe(spark: SparkSession, folder: str) -> DataFrame:
 LLM_QUERIES = {
     "op2_quality_kernel": op2_quality_kernel,
     "op8_quality_rules": op8_quality_rules,
+    "op3_ngram_join": op3_ngram_join,
     "op4_top_products": op4_top_products,
     "op6_chat_format": op6_chat_format,
     "op7_url_trees": op7_url_trees,
