@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from contentdup.llm.ordering import carried, number_within
 from contentdup.operators.settle import settle
 
 TURNS_PER_PART = 256
@@ -22,30 +23,13 @@ _SUMS = ["s0", "s1", "s2", "s3"]
 _LOW = (1 << 32) - 1
 
 
-def _carried(totals: DataFrame, columns: list[str]) -> DataFrame:
-    """Per piece, what the conversation it begins with has in earlier pieces;
-    at most one row per piece, as only the first one can come from before."""
-    earlier = W.partitionBy("conv_id").orderBy("piece").rowsBetween(W.unboundedPreceding, -1)
-    return totals.select(
-        "piece", "conv_id", *(F.sum(c).over(earlier).alias(f"{c}_before") for c in columns)
-    ).where(F.col(f"{columns[0]}_before").isNotNull())
-
-
 def _placed(conversations: DataFrame) -> DataFrame:
     """Turns in order with their position from 1, however long a conversation."""
     order = ["conv_id", "turn", "role", "text"]
     turns = conversations.where(F.col("conv_id").isNotNull()).select(
         "conv_id", "turn", *(F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("role", "text"))
     )
-    ranged = turns.repartitionByRange(*order).sortWithinPartitions(*order)
-    rows = settle(ranged.withColumn("slot", F.monotonically_increasing_id()), "turns").df.withColumn(
-        "piece", F.shiftright("slot", 33)
-    )
-    totals = rows.groupBy("piece", "conv_id").agg(F.count(F.lit(1)).alias("n"), F.min("slot").alias("first"))
-    # One row per piece and conversation, joined to turns that share both.
-    before = totals.join(F.broadcast(_carried(totals, ["n"])), ["piece", "conv_id"], "left")
-    starts = before.select("piece", "conv_id", (F.col("first") - F.coalesce("n_before", F.lit(0)) - 1).alias("start"))
-    return rows.join(starts, ["piece", "conv_id"]).withColumn("pos", F.col("slot") - F.col("start"))
+    return number_within(turns, "conv_id", order[1:], "turns")
 
 
 def _prefixes(turns: DataFrame) -> DataFrame:
@@ -60,7 +44,7 @@ def _prefixes(turns: DataFrame) -> DataFrame:
     return (
         hashed.repartition("piece")
         .select("*", *(F.sum(f"h{i}").over(so_far).alias(s) for i, s in enumerate(_SUMS)))
-        .join(F.broadcast(_carried(totals, _SUMS)), ["piece", "conv_id"], "left")
+        .join(F.broadcast(carried(totals, "conv_id", _SUMS)), ["piece", "conv_id"], "left")
         .select(
             "conv_id",
             "pos",

@@ -38,13 +38,16 @@ def feature_table(docs: DataFrame) -> DataFrame:
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            column = batch.column("text")
-            rows = document_features(Words.of(*text_bytes(column), fold=False), column.to_pylist())
+            rows = _measured(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, rows.T)], ["doc_id", *FEATURES])
 
     return texts(docs).mapInArrow(measure, ", ".join(["doc_id bigint", *(f"{name} double" for name in FEATURES)]))
 
 
+def _measured(column: pa.Array) -> np.ndarray:
+    return document_features(Words.of(*text_bytes(column), fold=False), column.to_pylist())
+
+
 @dataclass(frozen=True)
 class QualityModel:
     means: np.ndarray
@@ -185,3 +188,19 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) ->
     """
     features = settle(feature_table(docs), "document-features").df
     return score_features(features, train_quality_model(features, labels), threshold)
+
+
+def keep_by_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs`` whose score reaches ``threshold``, with all columns.
+
+    Scores are those of :func:`score_quality`; the statistics are computed a
+    second time, which costs less than a shuffle of the texts.
+    """
+    model = train_quality_model(settle(feature_table(docs), "document-features").df, labels)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            p = model.probability(_measured(batch.column("text").fill_null("")))
+            yield batch.filter(pa.array(np.round(np.clip(p, 0, 1), 9) >= threshold))
+
+    return docs.mapInArrow(keep, docs.schema)

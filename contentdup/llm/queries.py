@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from contentdup.llm.chat import format_chats
 from contentdup.llm.common import read_table
 from contentdup.llm.ngram_join import ngram_components
+from contentdup.llm.packing import pack_documents
+from contentdup.llm.pii import find_personal_data
 from contentdup.llm.quality import score_quality
 from contentdup.llm.rules import apply_rules, train_rule_model
 from contentdup.llm.token_files import read_token_files, write_token_files
@@ -26,6 +28,10 @@ def training_labels(spark: SparkSession, folder: str) -> DataFrame:
     return read_table(spark, folder, "labels").where(~held_out(F.col("doc_id")))
 
 
+def op1_skip_chain(spark: SparkSession, folder: str) -> DataFrame:
+    return find_personal_data(read_table(spark, folder, "documents"))
+
+
 def op2_quality_kernel(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_table(spark, folder, "documents")
     scored = score_quality(docs, training_labels(spark, folder), threshold=0.7)
@@ -59,6 +65,10 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
 
+def op5_length_buckets(spark: SparkSession, folder: str) -> DataFrame:
+    return pack_documents(read_table(spark, folder, "documents"))
+
+
 def op6_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     return format_chats(read_table(spark, folder, "conversations"))
 
@@ -114,10 +124,12 @@ def op10_word_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 
 LLM_QUERIES = {
+    "op1_skip_chain": op1_skip_chain,
     "op2_quality_kernel": op2_quality_kernel,
     "op8_quality_rules": op8_quality_rules,
     "op3_ngram_join": op3_ngram_join,
     "op4_top_products": op4_top_products,
+    "op5_length_buckets": op5_length_buckets,
     "op6_chat_format": op6_chat_format,
     "op7_url_trees": op7_url_trees,
     "op9_bit_planes": op9_bit_planes,

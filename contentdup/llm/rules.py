@@ -172,12 +172,29 @@ def apply_rules(docs: DataFrame, model: RuleModel, threshold: float = THRESHOLD)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            words = Words.of(*text_bytes(batch.column("text")), fold=False)
-            n_words, repeated = words.counts, repeated_words(words)
-            lines = np.array([repeated_lines(text) for text in batch.column("text").to_pylist()], np.int64)
-            failed = (n_words < 50) | (100 * repeated > 50 * n_words)
-            p = np.round(model.probability(words), 9)
-            columns = [n_words, word_chars(words), symbols(words), lines, repeated, failed, ~failed & (p >= threshold), p]
+            columns = _judged(batch.column("text"), model, threshold)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, columns)], _NAMES)
 
     return texts(docs).mapInArrow(judge, _SCHEMA)
+
+
+def _judged(column: pa.Array, model: RuleModel, threshold: float) -> list[np.ndarray]:
+    words = Words.of(*text_bytes(column), fold=False)
+    n_words, repeated = words.counts, repeated_words(words)
+    lines = np.array([repeated_lines(text) for text in column.to_pylist()], np.int64)
+    failed = (n_words < 50) | (100 * repeated > 50 * n_words)
+    p = np.round(model.probability(words), 9)
+    return [n_words, word_chars(words), symbols(words), lines, repeated, failed, ~failed & (p >= threshold), p]
+
+
+def keep_by_rules(docs: DataFrame, model: RuleModel, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` whose text :func:`apply_rules` keeps, with all
+    columns, in one pass over the texts."""
+    ship(docs.sparkSession)
+    kept = _NAMES.index("kept") - 1
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            yield batch.filter(pa.array(_judged(batch.column("text").fill_null(""), model, threshold)[kept]))
+
+    return docs.mapInArrow(keep, docs.schema)

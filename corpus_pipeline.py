@@ -1,12 +1,73 @@
-"""Documents to packed training batches, one text operator per stage."""
+"""Documents to packed training batches, one text operator per stage.
+
+Every stage takes what its predecessor kept, as written and read again, and
+all but the last return the columns of ``documents``. Columns that are named
+alike in other tables do no harm, since every stage selects what it reads.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from contentdup.llm.ngram_join import ngram_components
+from contentdup.llm.packing import pack_documents
+from contentdup.llm.pii import mask_personal_data
+from contentdup.llm.quality import keep_by_quality
+from contentdup.llm.queries import training_labels
+from contentdup.llm.rules import keep_by_rules, train_rule_model
+from contentdup.operators.settle import settle
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+QUALITY_THRESHOLD = 0.7
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that the kernel classifier scores below 0.7."""
+    return keep_by_quality(docs.select(*COLUMNS), training_labels(spark, sf_dir), QUALITY_THRESHOLD)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that the fixed rules or the regression reject."""
+    docs = docs.select(*COLUMNS)
+    return keep_by_rules(docs, train_rule_model(docs, training_labels(spark, sf_dir)))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group that shares 80 % of its five-word
+    shingles: the one with the smallest ``doc_id``. Rows of one ``doc_id`` stay
+    or go together; rows without one stay."""
+    placed = ngram_components(docs, n=5, num=80, den=100)
+    dropped = settle(placed.where("doc_id <> component_id").select("doc_id").distinct(), "near-copies").df
+    return docs.select(*COLUMNS).join(dropped, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace personal data by its kind; ``n_chars`` follows the text."""
+    masked = mask_personal_data(docs.select(*COLUMNS))
+    return masked.withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Batches of similar length: one row per document with its place."""
+    return pack_documents(docs)
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("personal_data", personal_data),
+    ("packing", packing),
+]
 
+# Trained models decide which rows remain, so SQL cannot give them.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on ``documents``, each written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = settle(stage(spark, docs, sf_dir), name).df
     return docs
