@@ -28,7 +28,7 @@ from contentdup.operators.settle import Settled, settle
 from contentdup.ship import ship
 
 IDS_PER_BLOB = 1 << 20
-CACHE_ENTRIES = 800_000
+CACHE_ENTRIES = 1_500_000
 CACHED_LENGTH = 48
 
 
@@ -66,7 +66,7 @@ class PieceEncoder:
         split = [BYTE_LEVEL_WORDS.findall(text) if self._is_plain(text) else None for text in values]
         if len(self.known) > CACHE_ENTRIES:
             self.known.clear()
-        new = list({piece for pieces in split if pieces for piece in pieces} - self.known.keys())
+        new = list(set().union(*filter(None, split)).difference(self.known))
         coded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
         self.known.update((piece, _as_bytes(c.ids)) for piece, c in zip(new, coded))
         found = [
