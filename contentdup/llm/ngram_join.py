@@ -5,8 +5,10 @@ Exact in its links, and linear in the number of copies:
 1. All n-grams are ordered by a table of fixed size that counts their hashes,
    rare ones first. Two sets that are similar enough share one of the first
    elements of each (prefix filter).
-2. Texts with equal sets count once. Sets that share a prefix element belong
-   to one cluster; links lie inside clusters.
+2. Texts with equal sets count once. Pairs of sets that share a prefix element
+   of few sets are tested by size and by a bitmap, which bounds the overlap;
+   the sets of a frequent prefix element are chained by size. Both give
+   clusters, and all links lie inside clusters.
 3. A cluster is cut into blocks of bounded size. In a block the sets form a
    trie, which is walked for links between sets that are not yet connected.
 4. Clusters of more than one block are joined by the representatives of what
@@ -24,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from contentdup.llm.common import slices, text_bytes, texts
@@ -36,6 +39,8 @@ from contentdup.ship import ship
 # Slots of the frequency table, and how many go in one row while it is summed.
 FREQUENCY_BITS = 19
 ROW_SLOTS = 2048
+# Prefix elements of up to so many sets give pairs, others a chain.
+PAIRED_SETS = 16
 # Sets and elements that one block may hold (a larger set is a block's only one).
 BLOCK_SETS = 512
 BLOCK_ELEMENTS = 1_000_000
@@ -93,14 +98,15 @@ def gram_frequencies(docs: DataFrame, n: int) -> np.ndarray:
 
 
 def gram_signatures(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """``doc_id, n_grams, name, prefix``: size and name of the set, and the
-    elements of which a similar set must share one. No name without words."""
+    """``doc_id, n_grams, name, prefix, bits``: size and name of the set, the
+    elements of which a similar set must share one, and a bitmap of the set.
+    No name without words."""
     frequencies = docs.sparkSession.sparkContext.broadcast(gram_frequencies(docs, n))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = frequencies.value
         for batch in slices(batches):
-            sizes, names, prefixes = [], [], []
+            sizes, names, prefixes, bits = [], [], [], []
             for elements in _grams(batch, n):
                 size = len(elements)
                 sizes.append(size)
@@ -108,6 +114,7 @@ def gram_signatures(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
                 kept = size - -(-num * size // den) + 1 if size else 0
                 order = np.lexsort((elements, common[_slot(elements)]))[:kept]
                 prefixes.append(elements[order].view(np.int64))
+                bits.append(bitmap(elements))
             ends = np.append(0, np.cumsum([len(p) for p in prefixes])).astype(np.int32)
             flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -116,20 +123,87 @@ def gram_signatures(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
                     pa.array(sizes, pa.int64()),
                     pa.array(names, pa.int64()),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
+                    pa.array(bits, pa.binary()),
                 ],
-                ["doc_id", "n_grams", "name", "prefix"],
+                ["doc_id", "n_grams", "name", "prefix", "bits"],
             )
 
-    return texts(docs).mapInArrow(sign, "doc_id bigint, n_grams bigint, name bigint, prefix array<bigint>")
+    return texts(docs).mapInArrow(sign, "doc_id bigint, n_grams bigint, name bigint, prefix array<bigint>, bits binary")
 
 
-def _clusters(sets: DataFrame) -> DataFrame:
-    """``name, root``: sets that share prefix elements, directly or by others."""
-    elements = sets.select("name", F.explode("prefix").alias("element"))
-    shared = elements.groupBy("element").agg(F.min("name").alias("lowest"), F.max("name").alias("other"))
-    links = elements.join(shared.where("lowest <> other").drop("other"), "element").select(
-        F.col("name").alias("a"), F.col("lowest").alias("b")
+def bitmap(elements: np.ndarray) -> bytes:
+    """One to two bits per element, at least 64 in all."""
+    size = 1 << max(6, int(len(elements) - 1).bit_length()) if len(elements) else 64
+    marks = np.zeros(size, np.uint8)
+    marks[(elements & np.uint64(size - 1)).astype(np.int64)] = 1
+    return np.packbits(marks, bitorder="little").tobytes()
+
+
+def overlap_bound(n_a: int, bits_a: bytes, n_b: int, bits_b: bytes) -> int:
+    """No overlap is larger: every bit of one set only is an element less."""
+    a, b = np.frombuffer(bits_a, np.uint8), np.frombuffer(bits_b, np.uint8)
+    while len(a) > len(b):
+        a = a[: len(a) // 2] | a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] | b[len(b) // 2 :]
+    return min(n_a - int(np.bitwise_count(a & ~b).sum()), n_b - int(np.bitwise_count(b & ~a).sum()))
+
+
+def _possible(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs ``a, b`` whose bitmaps leave room for the overlap needed."""
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("n_a", "bits_a", "n_b", "bits_b")]
+            kept = []
+            for n_a, bits_a, n_b, bits_b in zip(*columns):
+                bound = overlap_bound(n_a, bits_a, n_b, bits_b)
+                kept.append(den * bound >= num * (n_a + n_b - bound))
+            yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+
+    for side in ("a", "b"):
+        one = sets.select(F.col("name").alias(side), F.col("n_grams").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}"))
+        pairs = pairs.join(one, side)
+    return pairs.mapInArrow(test, "a bigint, b bigint")
+
+
+def _chained(shared: DataFrame, num: int, den: int) -> DataFrame:
+    """Link the sets of an element to the next larger one, if their sizes allow
+    a link: sets that two links could join stay connected.
+
+    Rows are range-partitioned, so a frequent element spreads over pieces; a
+    piece's first row follows the last row of the piece before.
+    """
+    order = ["element", "n_grams", "name"]
+    ranged = shared.select(*order).repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = settle(ranged.withColumn("row_slot", F.monotonically_increasing_id()), "frequent-elements").df
+    rows = rows.withColumn("piece", F.shiftright("row_slot", 33))
+    last = rows.groupBy("piece").agg(F.max_by(F.struct(*order), "row_slot").alias("last"))
+    before = last.select("piece", F.lag("last").over(W.orderBy("piece")).alias("before"))  # one row per piece
+    in_piece = W.partitionBy("piece").orderBy("row_slot")
+    follows = F.coalesce(F.lag(F.struct(*order)).over(in_piece), "before")
+    return (
+        rows.join(F.broadcast(before), "piece")
+        .select(*order, follows.alias("p"))
+        .where((F.col("p.element") == F.col("element")) & (F.lit(den) * F.col("p.n_grams") >= F.lit(num) * F.col("n_grams")))
+        .select(F.col("name").alias("a"), F.col("p.name").alias("b"))
+    )
+
+
+def _clusters(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """``name, root``: sets that may be linked, directly or by others."""
+    elements = sets.select("name", F.col("n_grams").cast("int").alias("n_grams"), F.explode("prefix").alias("element"))
+    counts = elements.groupBy("element").agg(F.count(F.lit(1)).alias("n_sets")).where("n_sets > 1")
+    shared = settle(elements.join(counts, "element"), "shared-elements").df
+    few = shared.where(F.col("n_sets") <= PAIRED_SETS)
+    first, second = (few.select("element", F.col("name").alias(n), F.col("n_grams").alias(f"n_{n}")) for n in ("a", "b"))
+    pairs = (
+        first.join(second, "element")
+        .where((F.col("a") < F.col("b")) & (F.lit(den) * F.least("n_a", "n_b") >= F.lit(num) * F.greatest("n_a", "n_b")))
+        .select("a", "b")
+        .distinct()
     )
+    links = _possible(pairs, sets, num, den).union(_chained(shared.where(F.col("n_sets") > PAIRED_SETS), num, den))
     return connected_components(links).select(F.col("node").alias("name"), "root")
 
 
@@ -137,10 +211,11 @@ def _filter_slot() -> F.Column:
     return F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS))
 
 
-def _element_table(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
-    """``name, elements`` of the member sets, computed from their texts again.
+def _with_elements(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
+    """Members with ``elements``, computed from their texts again.
 
     A bit table of fixed size keeps most other texts out; the join is exact.
+    Rows that repeat a text give the same set again.
     """
     bits = (
         members.select(_filter_slot().alias("slot"))
@@ -173,7 +248,7 @@ def _element_table(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
 
     rows = texts(docs).where("doc_id IS NOT NULL").withColumn("slot", _filter_slot()).select("doc_id", "text", place.alias("place"))
     found = rows.mapInArrow(collect_elements, "doc_id bigint, name bigint, elements binary")
-    return found.join(members.select("name", "doc_id"), ["name", "doc_id"]).select("name", "elements").dropDuplicates(["name"])
+    return found.join(members, ["name", "doc_id"])
 
 
 def _linked(blocks: DataFrame, num: int, den: int) -> DataFrame:
@@ -199,8 +274,8 @@ def _linked(blocks: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]):
-    """The sets of one block at a time; of a set that is there twice, the row
-    that probes."""
+    """The sets of one block at a time; of rows that repeat a set one counts,
+    if there is one, that probes."""
     key, held = None, []
 
     def block():
@@ -228,9 +303,10 @@ def _pieces(rows: DataFrame, sets: int) -> DataFrame:
     return rows.join(sizes, "root")
 
 
-def _with_components(members: DataFrame, links: DataFrame) -> DataFrame:
+def _components(members: DataFrame, links: DataFrame) -> DataFrame:
+    """Members with the component that ``links`` put them in."""
     found = connected_components(links).select(F.col("node").alias("name"), F.col("root").alias("component"))
-    return members.drop("component").join(found, "name", "left").withColumn("component", F.coalesce("component", "name"))
+    return settle(members.join(found, "name", "left").withColumn("component", F.coalesce("component", "name")), "components").df
 
 
 def _part(pieces: str, seed: int) -> F.Column:
@@ -239,45 +315,35 @@ def _part(pieces: str, seed: int) -> F.Column:
 
 def set_links(docs: DataFrame, sets: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """Links that connect all similar sets; ``sets`` has ``name, doc_id,
-    n_grams, prefix``, one row per set."""
-    members = settle(_pieces(sets.drop("prefix").join(_clusters(sets), "name"), BLOCK_SETS), "cluster-members").df
-    elements = settle(members.join(_element_table(docs, members, n), "name"), "cluster-sets").df
-    alone = F.col("name").alias("component")
-    whole = elements.select("*", _part("pieces", 1).alias("part"), alone, F.lit(True).alias("probe"))
-    links = settle(_linked(whole, num, den), "links-in-blocks").df
-
-    wide = elements.where("pieces > 1")
-    if wide.isEmpty():
+    n_grams, prefix, bits``, one row per set."""
+    narrow = sets.select("name", "doc_id", "n_grams")
+    members = settle(_pieces(narrow.join(_clusters(sets, num, den), "name"), BLOCK_SETS), "cluster-members").df
+    whole = settle(_with_elements(docs, members, n), "cluster-sets").df
+    blocks = whole.select("*", _part("pieces", 1).alias("part"), F.col("name").alias("component"), F.lit(True).alias("probe"))
+    links = settle(_linked(blocks, num, den), "links-in-blocks").df
+
+    members = members.where("pieces > 1")
+    if members.isEmpty():
         return links
+    elements = whole.where("pieces > 1").select("name", "elements")
     # One set for each component of a block meets those of the other blocks.
-    placed = settle(_with_components(wide, links), "wide-clusters").df
-    heads = _pieces(placed.where("name = component").drop("pieces"), BLOCK_SETS)
-    heads = heads.withColumns({"part": _part("pieces", 2), "probe": F.lit(True)})
+    heads = _pieces(_components(members, links).where("name = component").drop("pieces"), BLOCK_SETS)
+    heads = heads.withColumns({"part": _part("pieces", 2), "probe": F.lit(True)}).join(elements, "name")
     links = links.union(settle(_linked(heads, num, den), "links-of-heads").df)
 
     # What is still outside the largest component is compared with every block.
-    placed = settle(_with_components(wide, links), "wide-components").df
+    placed = _components(members, links)
     counts = placed.groupBy("root", "component").agg(F.count(F.lit(1)).alias("n"))
     major = counts.groupBy("root").agg(F.max_by("component", F.struct("n", "component")).alias("major"))
     outside = placed.join(major, "root").where("component <> major").drop("major")
     chunks = outside.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / F.lit(PROBE_SETS)).cast("int").alias("chunks"))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    code = lambda piece, chunk, probe: [
-        (F.col(piece).cast("bigint") * F.lit(1 << 31) + F.col(chunk)).alias("part"), F.lit(probe).alias("probe")
-    ]
-    columns = ["root", "name", "component", "elements"]
-    probes = (
-        outside.join(chunks, "root")
-        .select(*columns, "pieces", _part("chunks", 3).alias("chunk"))
-        .select(*columns, every("pieces").alias("piece"), "chunk")
-        .select(*columns, *code("piece", "chunk", True))
-    )
-    blocks = (
-        placed.join(chunks, "root")
-        .select(*columns, _part("pieces", 1).alias("piece"), every("chunks").alias("chunk"))
-        .select(*columns, *code("piece", "chunk", False))
-    )
-    return links.union(settle(_linked(probes.union(blocks), num, den), "links-outside").df)
+    columns = ["root", "name", "component", "piece", "chunk"]
+    probes = outside.join(chunks, "root").select("*", _part("chunks", 3).alias("chunk"), every("pieces").alias("piece"))
+    others = placed.join(chunks, "root").select("*", _part("pieces", 1).alias("piece"), every("chunks").alias("chunk"))
+    both = probes.select(*columns, F.lit(True).alias("probe")).union(others.select(*columns, F.lit(False).alias("probe")))
+    blocks = both.withColumn("part", F.col("piece").cast("bigint") * F.lit(1 << 31) + F.col("chunk")).join(elements, "name")
+    return links.union(settle(_linked(blocks, num, den), "links-outside").df)
 
 
 def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -303,6 +369,7 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
             F.count(F.lit(1)).alias("copies"),
             F.min("n_grams").alias("n_grams"),
             F.first("prefix").alias("prefix"),
+            F.first("bits").alias("bits"),
         ),
         "sets",
     ).df

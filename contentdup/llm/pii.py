@@ -161,7 +161,7 @@ def read_tokens(text: str, spans: list[tuple[int, int, int]]) -> Tokens:
             chain.append((previous, number))
         key = _link_key(match.group())
         if key is not None:
-            if key in last and last[key] != number - 1:
+            if key in last and not (was_of_interest and last[key] == previous):
                 skip.append((last[key], number))
             last[key] = number
         previous, was_of_interest = number, True

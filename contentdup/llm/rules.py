@@ -137,7 +137,7 @@ def train_rule_model(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMP
     total = max(sum(row.n for row in fitted), 1)
     weights = sum(np.frombuffer(row.weights, np.float32) * (row.n / total) for row in fitted)
     weights = np.asarray(weights, np.float32) * np.ones(1 << BITS, np.float32)
-    bias = sum(row.bias * row.n / total for row in fitted)
+    bias = float(sum(row.bias * row.n / total for row in fitted))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):

@@ -1,0 +1,82 @@
+"""Personal data: base spans against plain patterns, added spans, masking."""
+
+import hashlib
+import random
+import re
+
+from contentdup.llm import pii
+from tests.llm.cases import TEXTS, documents, rows_of
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def digits(match):
+    return re.sub("[^0-9]", "", match.group())
+
+
+def checked(number):
+    doubled = [int(d) if i % 2 == 0 else sum(divmod(2 * int(d), 10)) for i, d in enumerate(reversed(number))]
+    return sum(doubled) % 10 == 0
+
+
+def plain(text):
+    spans = [(m.start(), 0, m.end()) for m in EMAIL.finditer(text)]
+    spans += [(m.start(), 1, m.end()) for m in IP.finditer(text) if max(map(int, m.group().split("."))) <= 255]
+    spans += [(m.start(), 2, m.end()) for m in CARD.finditer(text) if 12 <= len(digits(m)) <= 19 and checked(digits(m))]
+    spans += [(m.start(), 3, m.end()) for m in PHONE.finditer(text) if 9 <= len(digits(m)) <= 15]
+    return sorted(spans)
+
+
+def test_base_spans_equal_the_patterns():
+    source = random.Random(5)
+    for _ in range(8000):
+        text = "".join(source.choice("12 34.-+()@a.@b0 55\né") for _ in range(source.randint(0, 40)))
+        assert pii.base_spans(text) == plain(text)
+    for text in ("1" * 50_000, "a" * 50_000 + "@", "1.1" * 30_000, "a@" * 30_000, "+1 " * 30_000):
+        assert len(pii.base_spans(text)) >= 0
+
+
+CORPUS = [(i, f"See {i % 7}. Call +1 (504) 555-{2000 + i} or mail u{i}@host{i % 3}.example.com, {i} pieces at 10.0.{i % 250}.1 now.") for i in range(300)]
+CORPUS += [(1000 + i, f"order {i * 7919 % 10**6} of {i} in 20{i % 100:02d}") for i in range(300)]
+
+
+def test_field_adds_repeated_and_alike(spark):
+    field = pii.train_field(documents(spark, CORPUS))
+    text = "Call +1 (504) 555-2652 today.\nLater: 555-2652, or (504) 555-9999 at night; order 1234 of 2024."
+    base, spans = pii.find_spans(text, field, 0.9)
+    assert base == plain(text) and set(base) <= set(spans)
+    assert [text[a:b] for a, k, b in spans if (a, k, b) not in base] == ["555-2652", "(504) 555-9999"]
+    for clean in ("order 77 of 3 in 2021", "version 3.0", "12345", "no digits at all", "300.1.1.1", "a@b", ""):
+        assert pii.find_spans(clean, field, 0.9)[1] == plain(clean)
+
+
+def test_links_join_tokens_over_any_distance():
+    text = "4111 x " + "word 12 " * 50 + "5552652 y 5552652"
+    tokens = pii.read_tokens(text, [])
+    assert [tuple(text[a:b] for a, b in (tokens.spans[i], tokens.spans[j])) for i, j in tokens.skip] == [("5552652", "5552652")]
+    assert len(tokens.chain) == 0 or all(b == a + 1 for a, b in tokens.chain)
+
+
+def test_documents(spark):
+    got = pii.find_personal_data(documents(spark))
+    wanted = []
+    for doc_id, text in TEXTS:
+        spans = plain(text or "")
+        counts = [sum(k == kind for _, k, _ in spans) for kind in range(4)]
+        wanted.append((doc_id, *counts, hashlib.sha256(pii.show_spans(spans).encode()).hexdigest()))
+    assert rows_of(got, "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256") == sorted(wanted, key=repr)
+    for row in got.collect():
+        assert len([s for s in row.spans.split(",") if s]) == row.n_email + row.n_ip + row.n_card + row.n_phone + row.n_added
+    assert pii.find_personal_data(documents(spark).where("false")).count() == 0
+
+
+def test_masking_keeps_columns(spark):
+    docs = documents(spark)
+    masked = pii.mask_personal_data(docs)
+    assert masked.schema == docs.schema
+    texts = {row.doc_id: row.text for row in masked.collect()}
+    assert texts[6] == "Mail [EMAIL] or call [PHONE], host [IP], card [CARD]."
+    assert texts[2] is None and texts[1] == TEXTS[0][1]
