@@ -70,8 +70,13 @@ def keepers(members: DataFrame, policy: str = "first_path") -> DataFrame:
 
 
 def distinct_paths(items: DataFrame) -> DataFrame:
-    """One row per path, for inventories of overlapping folders."""
-    return items.dropDuplicates(["path"])
+    """One row per path, for inventories of overlapping folders: the one seen
+    from the topmost folder, whose ``dirs`` are longest."""
+    if "dirs" not in items.columns:
+        return items.dropDuplicates(["path"])
+    others = [c for c in items.columns if c != "path"]
+    best = F.max_by(F.struct(*others), F.struct(F.size("dirs"), "dirs")).alias("best")
+    return items.groupBy("path").agg(best).select("path", *(f"best.{c}" for c in others)).select(*items.columns)
 
 
 def scan_difference(first: DataFrame, second: DataFrame) -> DataFrame:

@@ -19,6 +19,11 @@ from contentdup.ship import ship
 INTEGER = r"^[+-]?[0-9]+(_[0-9]+)*$"
 
 
+def _carried(members: DataFrame) -> list[str]:
+    """Columns that a manifest takes along to recognise the file later."""
+    return [c for c in ("modified",) if c in members.columns]
+
+
 def _action(rows: DataFrame, dry_run: bool) -> DataFrame:
     return rows.withColumn("action", F.lit("would_delete" if dry_run else "delete"))
 
@@ -27,7 +32,7 @@ def removal_manifest(members: Settled, policy: str = "first_path", dry_run: bool
     """All members of each group but the one that stays."""
     rows = join_groups(members.df.drop("n_files"), keepers(members.df, policy), members.n_rows)
     return _action(
-        rows.where(F.col("path") != F.col("keep_path")).select(*KEYS, "path", "keep_path"), dry_run
+        rows.where(F.col("path") != F.col("keep_path")).select(*KEYS, "path", "keep_path", *_carried(rows)), dry_run
     )
 
 
@@ -58,19 +63,27 @@ def read_decisions(decisions: DataFrame) -> DataFrame:
     )
 
 
+def _with_keep_path(chosen: DataFrame, staying: DataFrame) -> DataFrame:
+    """Add ``keep_path``, the first member of the group that stays; null only
+    where none does."""
+    first = staying.groupBy(*KEYS).agg(F.min("path").alias("keep_path"))
+    return chosen.join(first, KEYS, "left")
+
+
 def removal_by_decision(members: Settled, decisions: DataFrame, dry_run: bool = True) -> DataFrame:
     """Members that the decision on their group names; numbers outside the
     group are ignored, a group may lose all members."""
     parsed = settle(read_decisions(decisions).where("valid AND choice <> 's'"), "decisions").df
     decided = parsed.select(*KEYS, "choice").join(count_groups(members.df), KEYS)
-    numbered = number_members(join_groups(members.df.select(*KEYS, "path"), decided, members.n_rows))
+    extra = _carried(members.df)
+    numbered = number_members(join_groups(members.df.select(*KEYS, "path", *extra), decided, members.n_rows))
     named = (
         parsed.select(*KEYS, F.explode("numbers").alias("member_no")).distinct().withColumn("named", F.lit(True))
     )
-    chosen = numbered.join(named, [*KEYS, "member_no"], "left").where(
-        F.col("named") | ((F.col("choice") == "a") & (F.col("member_no") > 0))
-    )
-    return _action(chosen.select(*KEYS, "path", "member_no"), dry_run)
+    goes = F.coalesce("named", F.lit(False)) | ((F.col("choice") == "a") & (F.col("member_no") > 0))
+    marked = settle(numbered.join(named, [*KEYS, "member_no"], "left").withColumn("goes", goes), "decided-members").df
+    chosen = _with_keep_path(marked.where("goes"), marked.where("NOT goes"))
+    return _action(chosen.select(*KEYS, "path", "member_no", "keep_path", *extra), dry_run)
 
 
 def invalid_decisions(groups: DataFrame, decisions: DataFrame) -> DataFrame:
@@ -87,33 +100,53 @@ def removal_selected(
     picked; switch it off to remove exactly what was picked.
     """
     picks = selected.select("path").distinct().withColumn("picked", F.lit(True))
-    rows = members.select(*KEYS, "path")
-    if not keep_one:
-        return _action(rows.join(picks, "path", "left_semi").select(*KEYS, "path"), dry_run)
-    marked = settle(rows.join(picks, "path", "left"), "marked").df
-    picked = marked.where("picked").select(*KEYS, "path")
-    # One row per group on both sides of the joins below.
-    safe = marked.where(F.col("picked").isNull()).select(*KEYS).distinct()
-    first = picked.groupBy(*KEYS).agg(F.min("path").alias("path"))
-    spared = first.join(safe, KEYS, "left_anti").select("path")
-    return _action(picked.join(spared, "path", "left_anti").select(*KEYS, "path"), dry_run)
+    columns = [*KEYS, "path", *_carried(members)]
+    marked = settle(members.select(*columns).join(picks, "path", "left"), "marked").df
+    picked, others = marked.where("picked").select(*columns), marked.where("picked IS NULL")
+    if keep_one:
+        # One row per group on both sides of the joins below.
+        first = picked.groupBy(*KEYS).agg(F.min("path").alias("path"))
+        spared = settle(first.join(others.select(*KEYS).distinct(), KEYS, "left_anti"), "spared").df
+        picked = picked.join(spared.select("path"), "path", "left_anti")
+        others = others.select(*KEYS, "path").unionByName(spared.select(*KEYS, "path"))
+    return _action(_with_keep_path(picked, others).select(*KEYS, "path", "keep_path", *_carried(members)), dry_run)
 
 
 _LOG_SCHEMA = "path string, status string, error string"
 
 
+def _refusal(path: str, size: int, keep: str | None, modified: float | None) -> str | None:
+    """Why a file must stay, or None."""
+    found = os.lstat(path)
+    if found.st_size != size:
+        return "size changed since the scan"
+    if modified is not None and abs(found.st_mtime - modified) > 1e-5:
+        return "changed since the scan"
+    if keep is None:
+        return None
+    try:
+        kept = os.lstat(keep)
+    except FileNotFoundError:
+        return f"kept copy is missing: {keep}"
+    same_entry = os.path.realpath(path) == os.path.realpath(keep)
+    if same_entry or (os.path.samestat(found, kept) and found.st_nlink == 1):
+        return f"kept copy is this file: {keep}"
+    if kept.st_size != size:
+        return f"kept copy has changed: {keep}"
+    return None
+
+
 def _delete(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
-        for path, size, keep in zip(batch["path"], batch["size_bytes"], batch["keep_path"]):
+        for path, size, keep, modified in zip(*(batch[c] for c in ("path", "size_bytes", "keep_path", "modified"))):
             status, error = "deleted", None
             try:
-                if keep is not None and not os.path.lexists(keep):
-                    status, error = "failed", f"kept copy is missing: {keep}"
-                elif os.lstat(path).st_size != size:
-                    status, error = "failed", "size changed since the scan"
-                else:
+                error = _refusal(path, size, keep, None if pd.isna(modified) else modified)
+                if error is None:
                     os.remove(path)
+                else:
+                    status = "failed"
             except FileNotFoundError:
                 status = "absent"
             except OSError as problem:
@@ -125,13 +158,17 @@ def _delete(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def execute_removal(manifest: DataFrame, dry_run: bool = True) -> DataFrame:
     """Carry out a manifest on mounted storage and return the log.
 
-    A file that is already gone counts as ``absent``, so a repeated task does
-    no harm; failures are logged and the rest goes on. The log is written
-    before it is returned: reading it again deletes nothing.
+    A file stays when its size or (where the manifest has ``modified``) its
+    time of change is another one, when the copy to keep is missing, has
+    another size, or is the same file under another name. A file that is
+    already gone counts as ``absent``, so a repeated task does no harm;
+    failures are logged and the rest goes on. The log is written before it is
+    returned: reading it again deletes nothing.
     """
     if dry_run:
         return manifest.select("path", F.lit("would_delete").alias("status"), F.lit(None).cast("string").alias("error"))
     ship(manifest.sparkSession)
     keep = F.col("keep_path") if "keep_path" in manifest.columns else F.lit(None).cast("string")
-    todo = manifest.select("path", "size_bytes", keep.alias("keep_path"))
+    modified = F.unix_micros("modified") / 1e6 if "modified" in manifest.columns else F.lit(None).cast("double")
+    todo = manifest.select("path", "size_bytes", keep.alias("keep_path"), modified.alias("modified"))
     return settle(todo.mapInPandas(_delete, _LOG_SCHEMA), "removal-log").df

@@ -14,7 +14,7 @@ from contentdup.operators.removal import (
     survivors,
 )
 from contentdup.operators.settle import settle
-from contentdup.plans.scan import scan_items
+from contentdup.plans.scan import scan_files, scan_items
 
 MEMBERS = "size_bytes bigint, digest string, path string"
 ROWS = [(1, "a", f"/a/{n}") for n in range(3)] + [(2, "b", "/long/b"), (2, "b", "/z")]
@@ -83,6 +83,72 @@ def test_selected(spark):
     assert paths(removal_selected(members(spark), picks)) == {"/a/0", "/a/1", "/z"}
 
 
+def test_kept_paths_of_decisions_and_selections(spark):
+    rows = settle(members(spark), "m")
+    decisions = spark.createDataFrame([(1, "a", "0"), (2, "b", "0,1")], "size_bytes bigint, digest string, choice string")
+    assert {(r.path, r.keep_path) for r in removal_by_decision(rows, decisions).collect()} == {
+        ("/a/0", "/a/1"), ("/long/b", None), ("/z", None),
+    }
+    picks = spark.createDataFrame([("/a/0",), ("/z",), ("/long/b",)], "path string")
+    assert {(r.path, r.keep_path) for r in removal_selected(rows.df, picks).collect()} == {("/a/0", "/a/1"), ("/z", "/long/b")}
+    assert {(r.path, r.keep_path) for r in removal_selected(rows.df, picks, keep_one=False).collect()} == {
+        ("/a/0", "/a/1"), ("/long/b", None), ("/z", None),
+    }
+
+
+def executed(manifest):
+    return {os.path.basename(r.path): (r.status, r.error) for r in execute_removal(manifest, dry_run=False).collect()}
+
+
+def test_a_file_under_two_names_stays(spark, tmp_path):
+    data, alias = tmp_path / "data", tmp_path / "alias"
+    data.mkdir()
+    (data / "only").write_text("text")
+    os.symlink(data, alias)
+    scan = scan_files(spark, [str(data), str(alias)])
+    assert removal_manifest(scan.members).count() == 0
+    row = (4, "d", str(alias / "only"), str(data / "only"))
+    manifest = spark.createDataFrame([row], "size_bytes bigint, digest string, path string, keep_path string")
+    assert executed(manifest)["only"] == ("failed", f"kept copy is this file: {data / 'only'}")
+    assert os.listdir(data) == ["only"]
+
+
+def test_hard_links_may_go(spark, tmp_path):
+    (tmp_path / "a").write_text("text")
+    os.link(tmp_path / "a", tmp_path / "b")
+    manifest = removal_manifest(scan_files(spark, str(tmp_path)).members)
+    assert executed(manifest) == {"b": ("deleted", None)} and os.listdir(tmp_path) == ["a"]
+
+
+def test_changed_files_stay(spark, tmp_path):
+    for name in "abc":
+        (tmp_path / name).write_text("same")
+    scan = scan_files(spark, str(tmp_path))
+    manifest = settle(removal_manifest(scan.members), "manifest").df
+    assert "modified" in manifest.columns
+    (tmp_path / "b").write_text("diff")
+    os.utime(tmp_path / "b", (10, 10))
+    assert executed(manifest) == {"b": ("failed", "changed since the scan"), "c": ("deleted", None)}
+    assert (tmp_path / "b").read_text() == "diff"
+
+
+def test_missing_or_changed_kept_copies(spark, tmp_path):
+    for name in ("one", "two", "three"):
+        (tmp_path / name).write_text("same")
+    scan = scan_files(spark, str(tmp_path))
+    choice = scan.groups.select("size_bytes", "digest", F.lit("1").alias("choice"))
+    decided = settle(removal_by_decision(scan.members, choice), "decided").df
+    picked = settle(
+        removal_selected(scan.members.df, spark.createDataFrame([(str(tmp_path / "two"),)], "path string")), "picked"
+    ).df
+    assert [os.path.basename(r.keep_path) for r in (decided.first(), picked.first())] == ["one", "one"]
+    (tmp_path / "one").write_text("longer text")
+    assert executed(picked)["two"] == ("failed", f"kept copy has changed: {tmp_path / 'one'}")
+    os.remove(tmp_path / "one")
+    assert executed(decided)["three"] == ("failed", f"kept copy is missing: {tmp_path / 'one'}")
+    assert sorted(os.listdir(tmp_path)) == ["three", "two"]
+
+
 def test_execution(spark, tmp_path):
     for name, text in (("keep", "xx"), ("one", "xx"), ("grown", "xxx")):
         (tmp_path / name).write_text(text)
