@@ -1,15 +1,17 @@
 """Re-scan with stored digests: only new or changed items are digested.
 
-The store has one row per item: ``path, size_bytes, modified, algorithm,
-mode, digest``. A stored row is valid while path, size and time of change
-are the same and the digest was made the same way.
+The store has the columns ``path, size_bytes, modified, algorithm, mode,
+digest``. A stored row is valid while path, size and time of change are the
+same and the digest was made the same way. Without a time of change an item
+counts as changed. ``version`` names another column of the items that changes
+with their content; its values are stored in place of the time.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contentdup.operators.filters import keep_items
@@ -21,8 +23,9 @@ from contentdup.spec import ScanSpec
 
 STORE_COLUMNS = ["path", "size_bytes", "modified", "algorithm", "mode", "digest"]
 
-# New paths of up to this many bytes go to the content by broadcast.
-BROADCAST_BYTES = 64 * 1024 * 1024
+# Bits of the filter that keeps known items from being digested again: a table
+# of fixed size for any number of paths, exact matching follows.
+FILTER_BITS = 1 << 26
 
 
 def stored_mode(spec: ScanSpec) -> str:
@@ -32,8 +35,8 @@ def stored_mode(spec: ScanSpec) -> str:
     return "whole" if spec.verify or spec.mode == "full" else "regions"
 
 
-def store_rows(digests: DataFrame, spec: ScanSpec) -> DataFrame:
-    modified = F.col("modified") if "modified" in digests.columns else F.lit(None).cast("timestamp")
+def store_rows(digests: DataFrame, spec: ScanSpec, version: str = "modified") -> DataFrame:
+    modified = F.col(version) if version in digests.columns else F.lit(None).cast("timestamp")
     return digests.select(
         "path",
         "size_bytes",
@@ -46,10 +49,12 @@ def store_rows(digests: DataFrame, spec: ScanSpec) -> DataFrame:
 
 @dataclass
 class Rescan:
-    """The new store, and how many items had to be digested for it."""
+    """The new store, how many items were new or changed, and how many were
+    digested (the filter lets a few others through)."""
 
     store: Settled
     n_fresh: int
+    n_digested: int
 
     def members(self, floor: int | None = None) -> DataFrame:
         return shared_rows(self.store, floor=floor)
@@ -58,11 +63,14 @@ class Rescan:
 def _match(found: DataFrame, store: DataFrame, spec: ScanSpec) -> tuple[DataFrame, Settled]:
     """Store rows that are still valid, and the items without one; both are
     parts of one written join, which reads the inventory once."""
-    usable = store.where((F.col("algorithm") == spec.algorithm) & (F.col("mode") == stored_mode(spec)))
+    made_alike = store.where((F.col("algorithm") == spec.algorithm) & (F.col("mode") == stored_mode(spec)))
+    # One row per path; of several the one with the latest time of change.
+    latest = F.max(F.struct("modified", "size_bytes", "digest")).alias("latest")
+    usable = made_alike.groupBy("path").agg(latest).select("path", "latest.*")
     same = (
         (found["path"] == usable["path"])
         & (found["size_bytes"] == usable["size_bytes"])
-        & found["modified"].eqNullSafe(usable["modified"])
+        & (found["modified"] == usable["modified"])
     )
     matched = settle(
         found.join(usable, same, "left").select(found["path"], found["size_bytes"], found["modified"], "digest"),
@@ -72,26 +80,40 @@ def _match(found: DataFrame, store: DataFrame, spec: ScanSpec) -> tuple[DataFram
     return store_rows(matched.df.where("digest IS NOT NULL"), spec), Settled(fresh, matched.folder)
 
 
-def rescan_items(items: DataFrame, store: DataFrame, spec: ScanSpec = ScanSpec()) -> Rescan:
+def _slot(bits: int) -> Column:
+    return F.pmod(F.xxhash64("path"), F.lit(bits))
+
+
+def among(items: DataFrame, paths: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """Items whose path may be in ``paths``, decided without a shuffle of the
+    items: a bit table of ``bits`` bits is sent to all tasks."""
+    slots = paths.select(_slot(bits).alias("slot"))
+    table = slots.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("marks")
+    )
+    place = F.bitmap_bit_position(_slot(bits))
+    byte = F.conv(F.hex(F.substring("marks", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    marked = F.expr("pow(2, `place` % 8)").cast("int")
+    with_place = items.withColumns({"bucket": F.bitmap_bucket_number(_slot(bits)), "place": place})
+    hit = (F.floor(byte / marked) % 2) == 1
+    return with_place.join(F.broadcast(table), "bucket").where(hit).select(*items.columns)
+
+
+def rescan_items(items: DataFrame, store: DataFrame, spec: ScanSpec = ScanSpec(), version: str = "modified") -> Rescan:
     """Re-scan rows that carry their content.
 
     Pays off when sizes are stored with the rows (``size`` of
     :func:`contentdup.sources.tables.table_items`), else finding what changed
-    reads all content once. Content is matched to the new paths by broadcast
-    while these are few. Beyond that all content is digested where it lies and
-    the narrow digest rows are matched: digesting costs less than shuffling
-    content.
+    reads all content once. Content is neither moved nor digested for items
+    that the filter of new paths rules out; the narrow digests are matched
+    exactly.
     """
-    if "modified" not in items.columns:
-        items = items.withColumn("modified", F.lit(None).cast("timestamp"))
+    column = F.col(version) if version in items.columns else F.lit(None).cast("timestamp")
+    items = items.withColumn("modified", column)
     valid, fresh = _match(keep_items(items, spec).select("path", "size_bytes", "modified"), store, spec)
-    paths = fresh.df.select("path")
-    if fresh.text_bytes("path") <= BROADCAST_BYTES:
-        digested = digest_items(items.join(F.broadcast(paths), "path", "left_semi"), spec)
-    else:
-        digested = settle(digest_items(items, spec), "digests", compact=True).df.join(paths, "path", "left_semi")
-    renewed = valid.unionByName(store_rows(digested, spec))
-    return Rescan(settle(renewed, "digest-store", compact=True), fresh.n_rows)
+    digested = settle(digest_items(among(items, fresh.df.select("path")), spec), "digests", compact=True)
+    renewed = valid.unionByName(store_rows(digested.df.join(fresh.df.select("path"), "path", "left_semi"), spec))
+    return Rescan(settle(renewed, "digest-store", compact=True), fresh.n_rows, digested.n_rows)
 
 
 def rescan_files(found: DataFrame, store: DataFrame, spec: ScanSpec = ScanSpec()) -> Rescan:
@@ -100,4 +122,4 @@ def rescan_files(found: DataFrame, store: DataFrame, spec: ScanSpec = ScanSpec()
     how = spec.mode if stored_mode(spec) != "whole" else "whole"
     digested = read_digests(fresh.df, how, spec.prefix_bytes, spec.algorithm).where("digest IS NOT NULL")
     renewed = valid.unionByName(store_rows(digested, spec))
-    return Rescan(settle(renewed, "digest-store", compact=True), fresh.n_rows)
+    return Rescan(settle(renewed, "digest-store", compact=True), fresh.n_rows, fresh.n_rows)

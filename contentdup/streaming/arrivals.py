@@ -12,14 +12,18 @@ from contentdup.spec import ScanSpec
 
 
 def ingest(items: DataFrame, store: str, checkpoint: str, spec: ScanSpec = ScanSpec(), **trigger) -> StreamingQuery:
-    """Digest arriving items into the store, one folder per micro-batch.
+    """Digest arriving items into the store, one folder per stream and batch.
 
-    A repeated micro-batch overwrites its own folder, so rows are stored once.
-    The stream keeps no state: grouping reads the store.
+    A stream is known by the id that Spark keeps in its checkpoint, so a
+    stream with a new checkpoint adds to the store. A repeated micro-batch
+    overwrites its own folder, so rows are stored once. The stream keeps no
+    state: grouping reads the store. ``ingested`` is the time of the batch.
     """
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        store_rows(digest_items(batch, spec), spec).write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
+        stream = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        rows = store_rows(digest_items(batch, spec), spec).withColumn("ingested", F.current_timestamp())
+        rows.write.mode("overwrite").parquet(f"{store}/stream={stream}/batch={batch_id}")
 
     return (
         items.writeStream.foreachBatch(append)
@@ -30,9 +34,13 @@ def ingest(items: DataFrame, store: str, checkpoint: str, spec: ScanSpec = ScanS
 
 
 def read_store(spark: SparkSession, store: str) -> DataFrame:
-    """The latest row of each path in a store that :func:`ingest` fills."""
-    values = [c for c in STORE_COLUMNS if c != "path"]
-    latest = F.max(F.struct("batch", *values))
+    """The latest row of each path in a store that :func:`ingest` fills: by
+    time of ingest, then batch; within a batch by time of change."""
+    values = [c for c in STORE_COLUMNS if c not in ("path", "modified")]
+    latest = F.max(F.struct("ingested", "batch", "modified", *values))
     return (
-        spark.read.parquet(store).groupBy("path").agg(latest.alias("latest")).select("path", *(f"latest.{c}" for c in values))
+        spark.read.parquet(store)
+        .groupBy("path")
+        .agg(latest.alias("latest"))
+        .select("path", *(f"latest.{c}" for c in STORE_COLUMNS if c != "path"))
     )
