@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import fnmatch
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,11 +21,61 @@ def matches_glob(name: Column, patterns: tuple[str, ...]) -> Column:
     """Case-sensitive shell patterns against the base name."""
     hit = F.lit(False)
     for pattern in patterns:
-        regex = fnmatch.translate(pattern).replace(r"\Z", r"\z")
-        hit = hit | name.rlike("^" + regex)
+        hit = hit | name.rlike(glob_regex(pattern))
     return hit
 
 
+def _quoted(character: str) -> str:
+    return character if character.isascii() and character.isalnum() else f"\\x{{{ord(character):X}}}"
+
+
+def _class_regex(inside: str) -> str:
+    """A bracket expression without its brackets, as a Java class."""
+    negated = inside.startswith("!")
+    inside = inside[negated:]
+    items, at = [], 0
+    while at < len(inside):
+        if at + 2 < len(inside) and inside[at + 1] == "-":
+            low, high = inside[at], inside[at + 2]
+            if low <= high:
+                items.append(f"{_quoted(low)}-{_quoted(high)}")
+            at += 3
+        else:
+            items.append(_quoted(inside[at]))
+            at += 1
+    if not items:
+        return "." if negated else "(?!)"
+    return f"[{'^' if negated else ''}{''.join(items)}]"
+
+
+def glob_regex(pattern: str) -> str:
+    """A shell pattern as a Java regular expression for the whole name.
+
+    ``*`` and ``?`` match any characters, line ends included; brackets hold
+    characters and ranges, ``!`` first negates. A ``]`` counts as a character
+    when it comes first; a bracket that is never closed is a plain ``[``.
+    """
+    parts, at = [], 0
+    while at < len(pattern):
+        character = pattern[at]
+        at += 1
+        if character == "*":
+            parts.append(".*")
+        elif character == "?":
+            parts.append(".")
+        elif character == "[":
+            first = at + (pattern[at : at + 1] == "!")
+            close = pattern.find("]", first + (pattern[first : first + 1] == "]"))
+            if close < 0:
+                parts.append(_quoted("["))
+            else:
+                parts.append(_class_regex(pattern[at:close]))
+                at = close + 1
+        else:
+            parts.append(_quoted(character))
+    return "(?s)\\A" + "".join(parts) + "\\z"
+
+
 def in_size_range(size: Column, spec: ScanSpec) -> Column:
     kept = size.isNotNull()
     if spec.min_bytes is not None:
@@ -60,7 +108,8 @@ def keep_items(items: DataFrame, spec: ScanSpec) -> DataFrame:
 def audit(items: DataFrame, spec: ScanSpec) -> DataFrame:
     """Every item with the first rule that rejects it, or ``kept``."""
     size = F.col("size_bytes")
-    rules = [*_entry_rules(spec), ("unreadable", size.isNull()), ("size_out_of_range", ~in_size_range(size, spec))]
+    lost = size.isNull() | F.col("content").isNull() if "content" in items.columns else size.isNull()
+    rules = [*_entry_rules(spec), ("unreadable", lost), ("size_out_of_range", ~in_size_range(size, spec))]
     reason = F
     for label, rejected in rules:
         reason = reason.when(rejected, F.lit(label))

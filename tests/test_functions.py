@@ -132,3 +132,20 @@ def test_spec():
     for bad in ({"mode": "fast"}, {"algorithm": "md5"}, {"prefix_bytes": 0}):
         with pytest.raises(ValueError):
             ScanSpec(**bad)
+
+
+def test_random_globs_match_shell_rules(spark):
+    source = random.Random(12)
+    letters = "ab[]^&\\-!*?.c\n{}()+$|#x"
+    made = lambda n: "".join(source.choice(letters) for _ in range(source.randint(0, n)))
+    patterns = ["[a[]x", "[a[b]x", "[]a]", "[!]a]", "[a-]", "[--a]", "[z-a]", "[!z-a]", "[a&&b]", "[", "[!", "[]", "\\[", *(
+        "[" + made(5) + "]" + made(3) for _ in range(150)
+    ), *(made(7) for _ in range(100))]
+    names = [made(5) for _ in range(250)] + ["ax", "[x", "bx", "]", "-", "z", "&", ""]
+    rows = spark.createDataFrame([(n,) for n in names], "name string")
+    for start in range(0, len(patterns), 50):
+        part = patterns[start : start + 50]
+        flags = [matches_glob(F.col("name"), (p,)).alias(f"p{i}") for i, p in enumerate(part)]
+        for row in rows.select("name", *flags).collect():
+            for i, pattern in enumerate(part):
+                assert row[f"p{i}"] == fnmatch.fnmatchcase(row["name"], pattern), (row["name"], pattern)
