@@ -13,7 +13,6 @@ import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -22,9 +21,14 @@ def shared_folder(spark: SparkSession) -> str:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    folder = tempfile.mkdtemp(prefix="contentdup-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    # Local mode without a setting: one folder per application.
+    application = spark.sparkContext.applicationId
+    if application not in _local_folders:
+        _local_folders[application] = tempfile.mkdtemp(prefix="contentdup-")
+    return _local_folders[application]
+
+
+_local_folders: dict[str, str] = {}
 
 
 @dataclass
@@ -41,12 +45,17 @@ class Settled:
             self._count.append(self.df.count())
         return self._count[0]
 
-    def text_bytes(self, column: str) -> int:
-        """Bytes of a text column, to decide whether it may be broadcast."""
-        length = F.sum(F.octet_length(column))
-        n_rows, total = self.df.agg(F.count(F.lit(1)), F.coalesce(length, F.lit(0))).first()
-        self._count[:] = [n_rows]
-        return total
+    def drop(self) -> None:
+        """Delete the table; frames made from it end with it."""
+        context = self.df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+    def __enter__(self) -> Settled:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.drop()
 
 
 def settle(df: DataFrame, label: str, compact: bool = False) -> Settled:

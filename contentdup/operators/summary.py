@@ -38,12 +38,19 @@ def scan_summary(groups: DataFrame) -> DataFrame:
 
 def corpus_stats(digests: DataFrame) -> DataFrame:
     """Distinct contents, further copies, files, bytes and directories."""
-    return digests.agg(
-        F.count_distinct("size_bytes", "digest").alias("unique_files"),
-        F.count(F.lit(1)).alias("total_files"),
-        _total(F.col("size_bytes")).alias("total_bytes"),
-        F.count_distinct(dir_path(F.col("path"))).alias("directories"),
-    ).select(
+    size, n = F.col("size_bytes"), F.col("n")
+    contents = digests.groupBy("size_bytes", "digest").agg(F.count(F.lit(1)).alias("n"))
+    files = contents.agg(
+        F.count(F.lit(1)).alias("unique_files"), _total(n).alias("total_files"), _total(size * n).alias("total_bytes")
+    ).withColumn("directories", F.lit(0).cast("bigint"))
+    folders = digests.select(dir_path(F.col("path")).alias("folder")).distinct()
+    counted = folders.agg(
+        *(F.lit(0).cast("bigint").alias(c) for c in ("unique_files", "total_files", "total_bytes")),
+        F.count("folder").alias("directories"),
+    )
+    # Two one-row results put together.
+    both = files.unionByName(counted)
+    return both.agg(*(F.sum(c).alias(c) for c in both.columns)).select(
         "unique_files",
         (F.col("total_files") - F.col("unique_files")).alias("duplicate_files"),
         "total_files",

@@ -11,7 +11,7 @@ from contentdup.functions.display import display_digest, format_bytes, short_dig
 from contentdup.functions.paths import relative_path
 from contentdup.operators.groups import KEYS
 from contentdup.operators.numbering import number_members
-from contentdup.operators.removal import removal_manifest
+from contentdup.operators.removal import removal_by_decision, removal_manifest
 from contentdup.operators.settle import settle
 from contentdup.operators.summary import scan_summary
 from contentdup.plans.export import write_csv, write_json
@@ -58,7 +58,9 @@ SORT_VALUES = {"group": "group_no", "size": "size_bytes", "hash": "digest", "pat
 
 def sort_rows(rows: DataFrame, column: str = "group", ascending: bool = True) -> DataFrame:
     """Order a result table by a displayed column, numeric where it is a number."""
-    return rows.orderBy(F.col(SORT_VALUES[column]).asc() if ascending else F.col(SORT_VALUES[column]).desc())
+    first = F.col(SORT_VALUES[column])
+    # Further columns make the order definite and spread equal values over tasks.
+    return rows.orderBy(first.asc() if ascending else first.desc(), *KEYS, "path")
 
 
 def sort_groups(groups: DataFrame) -> DataFrame:
@@ -88,17 +90,29 @@ class Report:
     manifest: DataFrame
 
 
-def report(scan: Scan, json_out: str | None = None, csv_out: str | None = None, keep: str = "first_path") -> Report:
+def report(
+    scan: Scan,
+    json_out: str | None = None,
+    csv_out: str | None = None,
+    keep: str = "first_path",
+    decisions: DataFrame | None = None,
+    paths_per_row: int = PATHS_PER_ROW,
+) -> Report:
     """Summary, details, removal manifest (dry run) and exports of one scan;
-    all of them read the written members."""
+    all of them read the written members.
+
+    With ``decisions`` (a choice per group, see
+    :func:`contentdup.operators.removal.read_decisions`) the manifest follows
+    them, else ``keep``. The exports show the scan before any removal.
+    """
     members = scan.members
     numbered = settle(number_members(members.df), "numbered").df
     if json_out:
-        write_json(nested_groups(numbered), json_out)
+        write_json(nested_groups(numbered, paths_per_row), json_out)
     if csv_out:
         write_csv(members.df, csv_out)
     return Report(
         summary=scan_summary(scan.groups),
         details=detail_report(numbered),
-        manifest=removal_manifest(members, keep),
+        manifest=removal_manifest(members, keep) if decisions is None else removal_by_decision(members, decisions),
     )

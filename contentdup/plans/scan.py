@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 
 from contentdup.functions.digests import PREFIX_TIERS, candidate_bytes, digest_bytes
 from contentdup.operators.filters import keep_items
-from contentdup.operators.groups import KEYS, count_groups, shared_rows
+from contentdup.operators.groups import KEYS, count_groups, distinct_paths, shared_rows
 from contentdup.operators.settle import Settled, settle
 from contentdup.sources.content import read_digests
-from contentdup.sources.inventory import inventory
+from contentdup.sources.inventory import inventory, mounted_path
+from contentdup.sources.tables import binary_file_items
 from contentdup.spec import REGION_MIN_BYTES, ScanSpec
 
 
@@ -69,6 +70,17 @@ class Scan:
     stages: dict[str, Settled] = field(default_factory=dict)
     unreadable: DataFrame | None = None
 
+    def drop(self) -> None:
+        """Delete the written tables; frames made from them end with them."""
+        for table in (self.digests, *self.stages.values(), *([self.members] if "members" in self.__dict__ else [])):
+            table.drop()
+
+    def __enter__(self) -> Scan:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.drop()
+
     @cached_property
     def groups(self) -> DataFrame:
         """``size_bytes, digest, n_files`` of every group of two or more."""
@@ -88,14 +100,13 @@ class Scan:
 def scan_items(items: DataFrame, spec: ScanSpec = ScanSpec(), floor: int | None = None) -> Scan:
     """Scan rows that carry their content.
 
-    Full mode needs no candidate stage here, as the pass that would compute
-    prefixes has all bytes at hand. The multi-region mode keeps both stages.
+    Verified modes need no candidate stage here, as the pass that would
+    compute prefixes or regions has all bytes at hand. Rows without content
+    are listed in ``unreadable``.
     """
-    if spec.mode != "multi_region" or not spec.verify:
-        return Scan(settle(digest_items(items, spec), "digests", compact=True), floor)
-    both = settle(digest_stages(items, spec), "digests", compact=True)
-    alike = shared_rows(both, ["size_bytes", "candidate_digest"], floor)
-    return Scan(settle(alike.drop("candidate_digest", "n_files"), "candidates"), floor)
+    without = keep_items(items, spec).where(F.col("content").isNull())
+    unreadable = without.select("path", F.lit("no content").alias("error"))
+    return Scan(settle(digest_items(items, spec), "digests", compact=True), floor, unreadable=unreadable)
 
 
 def scan_groups(items: DataFrame, spec: ScanSpec = ScanSpec()) -> DataFrame:
@@ -118,20 +129,34 @@ def scan_files(
     spark: SparkSession,
     bases: str | list[str],
     spec: ScanSpec = ScanSpec(),
-    strategy: str = "levels",
     floor: int | None = None,
 ) -> Scan:
-    """Scan files on mounted storage: size, then prefix, then all bytes.
+    """Scan files: size, then prefix, then all bytes.
 
     Every stage is written, so a file is opened at most once per stage, and a
-    file whose prefix covers it is not opened again.
+    file whose prefix covers it is not opened again. ``unreadable`` lists what
+    could not be listed, opened, or had another size when it was read.
+
+    Folders that no executor mounts (object stores) are read as rows by
+    :func:`contentdup.sources.tables.binary_file_items`; the two kinds cannot
+    be mixed in one scan.
     """
-    found = keep_items(inventory(spark, bases, spec, strategy), spec)
+    bases = [bases] if isinstance(bases, str) else list(bases)
+    mounted = [mounted_path(base) is not None for base in bases]
+    if not any(mounted):
+        items = reduce(DataFrame.unionByName, (binary_file_items(spark, base) for base in bases))
+        return scan_items(distinct_paths(items) if len(bases) > 1 else items, spec, floor)
+    if not all(mounted):
+        raise ValueError("scan mounted folders and object stores separately")
+    entries = settle(inventory(spark, bases, spec), "entries").df
+    unlisted = entries.where(F.col("error").isNotNull()).select("path", "error")
+    found = keep_items(entries.where(F.col("error").isNull()), spec)
     sized = settle(found.select("path", "size_bytes", "modified"), "inventory")
     same_size = settle(shared_rows(sized, ["size_bytes"], floor).drop("n_files"), "same-size")
     first = settle(read_digests(same_size.df, spec.mode, spec.prefix_bytes, spec.algorithm), "prefix-digests")
     stages = {"found": sized, "same_size": same_size}
     readable, failed = _by_outcome(first)
+    failed = unlisted.unionByName(failed)
     if _one_stage(spec):
         return Scan(readable, floor, stages, failed)
     alike = settle(shared_rows(readable, KEYS, floor).drop("n_files"), "alike")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contentdup.functions.digests import LARGEST_PREFIX, PREFIX_TIERS, WHOLE_UP_TO, prefix_length
+from contentdup.operators.settle import settle
 from contentdup.ship import ship
 from contentdup.spec import REGION_BYTES, REGION_MIN_BYTES
 
@@ -34,19 +35,23 @@ def _ranges(size: int, how: str, prefix: int) -> list[tuple[int, int]]:
     return [(0, next((length for bound, length in PREFIX_TIERS if size <= bound), LARGEST_PREFIX))]
 
 
-def _digest_file(path: str, how: str, prefix: int, algorithm: str) -> str:
+def _digest_file(path: str, how: str, prefix: int, algorithm: str) -> tuple[str, int]:
+    """The digest and the size that the file has while it is read."""
     state = hashlib.blake2b() if algorithm == "blake2b" else hashlib.sha256()
     if not stat.S_ISREG(os.stat(path).st_mode):
         raise OSError(f"not a regular file: {path}")
     with open(path, "rb") as file:
-        for offset, left in _ranges(os.fstat(file.fileno()).st_size, how, prefix):
+        size = os.fstat(file.fileno()).st_size
+        for offset, left in _ranges(size, how, prefix):
             file.seek(offset)
             while chunk := file.read(_CHUNK if left < 0 else min(left, _CHUNK)):
                 state.update(chunk)
                 left -= len(chunk) if left > 0 else 0
                 if left == 0:
                     break
-    return state.hexdigest()
+        if os.fstat(file.fileno()).st_size != size:
+            raise OSError(f"size changed while reading: {path}")
+    return state.hexdigest(), size
 
 
 def _cost(size: Column, how: str, prefix: int) -> Column:
@@ -62,11 +67,13 @@ def _cost(size: Column, how: str, prefix: int) -> Column:
 def read_digests(
     files: DataFrame, how: str = "whole", prefix: int = 4096, algorithm: str = "sha2", column: str = "digest"
 ) -> DataFrame:
-    """Add the digest (null with ``error`` set when a file cannot be read).
+    """Add the digest (null with ``error`` set when a file cannot be read, or
+    has another size than the row says).
 
     ``files`` should be a written table: it is read twice, once to size the
-    tasks. Files are dealt out by path, the largest first within a task. The
-    number of tasks is explicit since the rows are far smaller than the files.
+    tasks. Files are dealt out in order of size, so that tasks get about
+    equal bytes, and each reads its largest first. The number of tasks is
+    explicit since the rows are far smaller than the files.
     """
     ship(files.sparkSession)
     load = files.agg(
@@ -83,9 +90,12 @@ def read_digests(
     def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             digests, errors = [], []
-            for path in batch["path"]:
+            for path, expected in zip(batch["path"], batch["size_bytes"]):
                 try:
-                    digests.append(_digest_file(path, how, prefix, algorithm))
+                    found, size = _digest_file(path, how, prefix, algorithm)
+                    if size != expected:
+                        raise OSError(f"size changed since the inventory: {path}")
+                    digests.append(found)
                     errors.append(None)
                 except OSError as problem:
                     digests.append(None)
@@ -94,8 +104,13 @@ def read_digests(
 
     rows = files.drop("error", column)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    by_size = rows.repartitionByRange(F.desc("size_bytes"), "path").sortWithinPartitions(F.desc("size_bytes"), "path")
+    # The low bits count the rows of a piece: files of similar size go round.
+    turn = F.pmod(F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)), F.lit(tasks))
+    dealt = settle(by_size.withColumn("turn", turn.cast("int")), "dealt").df
     return (
-        rows.repartition(tasks, "path")
+        dealt.repartitionById(tasks, "turn")
+        .drop("turn")
         .sortWithinPartitions(F.desc("size_bytes"))
         .mapInPandas(digest, f"{schema}, {column} string, error string")
     )

@@ -1,16 +1,11 @@
 """Inventories of a folder tree on storage that every executor mounts.
 
-Two strategies with the same result:
+One Spark job per directory level: the folders of a level are dealt out over
+the tasks, and file sizes are read in a second step after a shuffle, so neither
+a deep subtree nor one huge folder stays with a task. All entries but
+directories are listed, links included (never followed). What cannot be listed
+or has a name that is no text is a row with ``error``.
 
-* ``levels``: one Spark job per directory level. Directories of a level are
-  dealt out over the tasks, and file sizes are read in a second step after a
-  shuffle, so neither a deep subtree nor one huge folder stays with a task.
-* ``subtrees``: the ``corpus_inventory`` data source, one input partition per
-  subtree, for trees that are known to be even. Size bounds are pushed into
-  it as filters, directory rules are given as options so that whole subtrees
-  are never entered.
-
-All entries but directories are listed, links included (never followed).
 Folders of an object store (any other scheme than ``file``) are listed by the
 built-in ``binaryFile`` reader instead, within its limits; their content is
 not read.
@@ -24,20 +19,8 @@ from datetime import datetime, timezone
 from functools import reduce
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import (
-    DataSource,
-    DataSourceReader,
-    EqualTo,
-    Filter,
-    GreaterThan,
-    GreaterThanOrEqual,
-    InputPartition,
-    LessThan,
-    LessThanOrEqual,
-)
 
 from contentdup.operators.groups import distinct_paths
 from contentdup.operators.settle import settle
@@ -49,26 +32,7 @@ SCHEMA = (
     "path string, name string, dirs array<string>, size_bytes bigint, "
     "is_symlink boolean, modified timestamp, error string"
 )
-_ARROW = pa.schema(
-    [
-        ("path", pa.string()),
-        ("name", pa.string()),
-        ("dirs", pa.list_(pa.string())),
-        ("size_bytes", pa.int64()),
-        ("is_symlink", pa.bool_()),
-        ("modified", pa.timestamp("us", tz="UTC")),
-        ("error", pa.string()),
-    ]
-)
 _BATCH_ROWS = 10_000
-# The driver lists at most this many entries to find the subtrees.
-_DRIVER_ENTRIES = 100_000
-
-
-def _pruned(name: str, skip_dirs: frozenset, skip_hidden: bool) -> bool:
-    return name in skip_dirs or (skip_hidden and name.startswith("."))
-
-
 def _stat(path: str):
     try:
         found = os.lstat(path)
@@ -77,145 +41,12 @@ def _stat(path: str):
         return None, None, str(problem)
 
 
-class _Subtree(InputPartition):
-    """A folder; ``recurse`` is off when its subfolders are other partitions."""
-
-    def __init__(self, folder: str, dirs: list[str], recurse: bool):
-        self.folder, self.dirs, self.recurse = folder, dirs, recurse
-
-
-class InventoryReader(DataSourceReader):
-    def __init__(self, options):
-        self.base = os.path.abspath(options["path"])
-        self.skip_dirs = frozenset(d for d in options.get("excludeDirs", "").split("/") if d)
-        self.skip_hidden = options.get("excludeHidden", "false").lower() == "true"
-        self.wanted = int(options.get("numPartitions", "64"))
-        self.low, self.high = -1, None
-
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        for condition in filters:
-            if getattr(condition, "attribute", None) != ("size_bytes",):
-                yield condition
-            elif isinstance(condition, GreaterThan):
-                self.low = max(self.low, condition.value + 1)
-            elif isinstance(condition, GreaterThanOrEqual):
-                self.low = max(self.low, condition.value)
-            elif isinstance(condition, LessThan):
-                self._lower_high(condition.value - 1)
-            elif isinstance(condition, LessThanOrEqual):
-                self._lower_high(condition.value)
-            elif isinstance(condition, EqualTo):
-                self.low = max(self.low, condition.value)
-                self._lower_high(condition.value)
-            else:
-                yield condition
-
-    def _lower_high(self, bound: int) -> None:
-        self.high = bound if self.high is None else min(self.high, bound)
-
-    def partitions(self) -> list[InputPartition]:
-        """Open the topmost folders until there are enough subtrees."""
-        if not os.path.isdir(self.base):
-            raise ValueError(f"not a folder: {self.base}")
-        shallow, open_, budget = [], [_Subtree(self.base, [], True)], _DRIVER_ENTRIES
-        while open_ and len(shallow) + len(open_) < self.wanted and budget > 0:
-            next_level = []
-            for tree in open_:
-                children = []
-                try:
-                    with os.scandir(tree.folder) as entries:
-                        for entry in entries:
-                            budget -= 1
-                            if budget <= 0:
-                                break
-                            if (
-                                not entry.is_symlink()
-                                and entry.is_dir(follow_symlinks=False)
-                                and not _pruned(entry.name, self.skip_dirs, self.skip_hidden)
-                            ):
-                                children.append(_Subtree(entry.path, [*tree.dirs, entry.name], True))
-                except OSError:
-                    pass  # the task that reads the folder reports it
-                if budget <= 0:
-                    next_level.append(tree)  # only partly listed: left whole
-                    continue
-                shallow.append(_Subtree(tree.folder, tree.dirs, False))
-                next_level.extend(children)
-            open_ = next_level
-        return shallow + open_
-
-    def _entries(self, tree: _Subtree):
-        pending = [(tree.folder, tree.dirs)]
-        while pending:
-            folder, dirs = pending.pop()
-            try:
-                with os.scandir(folder) as entries:
-                    for entry in entries:
-                        is_link = entry.is_symlink()
-                        if not is_link and entry.is_dir(follow_symlinks=False):
-                            if tree.recurse and not _pruned(entry.name, self.skip_dirs, self.skip_hidden):
-                                pending.append((entry.path, [*dirs, entry.name]))
-                            continue
-                        size, modified, error = _stat(entry.path)
-                        yield entry.path, entry.name, dirs, size, is_link, modified, error
-            except OSError as problem:
-                yield folder, os.path.basename(folder), dirs[:-1], None, False, None, str(problem)
-
-    def _in_range(self, size: int | None) -> bool:
-        if self.low < 0 and self.high is None:
-            return True
-        return size is not None and size >= self.low and (self.high is None or size <= self.high)
-
-    def read(self, partition: _Subtree) -> Iterator[pa.RecordBatch]:
-        rows = []
-        for row in self._entries(partition):
-            if self._in_range(row[3]):
-                rows.append(row)
-            if len(rows) == _BATCH_ROWS:
-                yield _batch(rows)
-                rows = []
-        if rows:
-            yield _batch(rows)
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows))
-    return pa.RecordBatch.from_arrays(
-        [pa.array(values, field.type) for values, field in zip(columns, _ARROW)], schema=_ARROW
-    )
-
-
-class CorpusInventory(DataSource):
-    """``spark.read.format("corpus_inventory").load(folder)``.
-
-    Options: ``excludeDirs`` (names separated by ``/``), ``excludeHidden``,
-    ``numPartitions``.
-    """
-
-    @classmethod
-    def name(cls) -> str:
-        return "corpus_inventory"
-
-    def schema(self) -> str:
-        return SCHEMA
-
-    def reader(self, schema) -> DataSourceReader:
-        return InventoryReader(self.options)
-
-
-def _by_subtrees(spark: SparkSession, base: str, spec: ScanSpec) -> DataFrame:
-    spark.dataSource.register(CorpusInventory)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    return (
-        spark.read.format("corpus_inventory")
-        .option("excludeDirs", "/".join(spec.exclude_dirs))
-        .option("excludeHidden", str(spec.exclude_hidden).lower())
-        .option("numPartitions", str(4 * spark.sparkContext.defaultParallelism))
-        .load(base)
-    )
+_LISTED = "path string, name string, dirs array<string>, is_symlink boolean, is_dir boolean, error string"
 
 
-_LISTED = "path string, name string, dirs array<string>, is_symlink boolean, is_dir boolean, error string"
+def _as_text(name: str) -> str:
+    """The name, with bytes that are no UTF-8 shown as escapes."""
+    return os.fsencode(name).decode("utf-8", "backslashreplace")
 
 
 def _list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -231,7 +62,12 @@ def _list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     for entry in entries:
                         is_link = entry.is_symlink()
                         is_dir = not is_link and entry.is_dir(follow_symlinks=False)
-                        rows.append((entry.path, entry.name, dirs, is_link, is_dir, None))
+                        name = _as_text(entry.name)
+                        if name == entry.name:
+                            rows.append((entry.path, name, dirs, is_link, is_dir, None))
+                        else:
+                            problem = "the name is not valid UTF-8"
+                            rows.append((_as_text(entry.path), name, dirs, is_link, False, problem))
                         if len(rows) == _BATCH_ROWS:
                             yield frame(rows)
                             rows = []
@@ -256,7 +92,7 @@ def _stat_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _by_levels(spark: SparkSession, base: str, spec: ScanSpec, per_task: int = 64) -> DataFrame:
-    base = os.path.abspath(base)
+    base = os.path.realpath(base)
     if not os.path.isdir(base):
         raise ValueError(f"not a folder: {base}")
     frontier = spark.createDataFrame([(base, [])], "path string, dirs array<string>")
@@ -294,19 +130,22 @@ def _by_listing(spark: SparkSession, base: str) -> DataFrame:
 
 
 def inventory(
-    spark: SparkSession, bases: str | list[str], spec: ScanSpec | None = None, strategy: str = "levels"
+    spark: SparkSession, bases: str | list[str], spec: ScanSpec | None = None
 ) -> DataFrame:
     """Files below one or several folders, one row per path.
 
+    Links in the names of the folders themselves are resolved, so that no file
+    is listed under two paths. Of rows with one path that with most ``dirs``
+    stays.
+
     Of ``spec`` only the directory rules apply here, to save entering pruned
     subtrees; apply :func:`contentdup.operators.filters.keep_items` for all.
     """
     spec = spec or ScanSpec()
-    walk = {"subtrees": _by_subtrees, "levels": _by_levels}[strategy]
     ship(spark)
     bases = [bases] if isinstance(bases, str) else list(bases)
     trees = [
-        _by_listing(spark, base) if mounted_path(base) is None else walk(spark, mounted_path(base), spec)
+        _by_listing(spark, base) if mounted_path(base) is None else _by_levels(spark, mounted_path(base), spec)
         for base in bases
     ]
     return trees[0] if len(trees) == 1 else distinct_paths(reduce(DataFrame.unionByName, trees))

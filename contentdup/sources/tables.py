@@ -22,7 +22,9 @@ def table_items(
     """Bind a table: ``path`` is any unique text id, ``content`` text or bytes.
 
     ``size`` is a stored byte size, if there is one: with it, size rules and
-    inventories need not read the content. Rows without content have no size and drop out of every scan.
+    inventories need not read the content. Rows without content stay: the
+    audit calls them unreadable and a scan lists them, with a null size where
+    none is stored.
     """
     columns = [
         path.alias("path"),
@@ -34,8 +36,7 @@ def table_items(
     ]
     if modified is not None:
         columns.append(modified.alias("modified"))
-    present = content.isNotNull() if size is None else size.isNotNull()
-    return rows.where(present).select(*columns)
+    return rows.select(*columns)
 
 
 def binary_file_items(spark: SparkSession, folder: str) -> DataFrame:

@@ -5,15 +5,16 @@ import random
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from contentdup.operators.filters import audit, keep_items
 from contentdup.operators.groups import scan_difference
 from contentdup.operators.settle import settle
-from contentdup.plans.rescan import rescan_files, rescan_items, store_rows
+from contentdup.plans.rescan import among, rescan_files, rescan_items, store_rows
 from contentdup.plans.scan import digest_items, scan_files, scan_items, stage_counts
 from contentdup.sources.content import read_digests
-from contentdup.sources.inventory import InventoryReader, inventory, mounted_path
-from contentdup.sources.synthetic import synthetic_items, write_files
+from contentdup.sources.inventory import _LISTED, _list_folders, inventory, mounted_path
+from contentdup.sources.synthetic import plant_copies, write_files
 from contentdup.sources.tables import binary_file_items
 from contentdup.spec import ScanSpec
 from contentdup.streaming.arrivals import ingest, read_store
@@ -52,9 +53,8 @@ def below(base, names):
     return {os.path.join(base, n) for n in names}
 
 
-@pytest.mark.parametrize("strategy", ["subtrees", "levels"])
-def test_inventory(spark, tree, strategy):
-    found = {r.path: r for r in inventory(spark, tree, strategy=strategy).collect()}
+def test_inventory(spark, tree):
+    found = {r.path: r for r in inventory(spark, tree).collect()}
     assert set(found) == below(tree, [*FILES, "link.txt", "linked"])
     assert {p for p, r in found.items() if r.is_symlink} == below(tree, ["link.txt", "linked"])
     for name, content in FILES.items():
@@ -62,29 +62,50 @@ def test_inventory(spark, tree, strategy):
         assert row.size_bytes == len(content) and row.dirs == name.split("/")[:-1] and row.name == os.path.basename(name)
         assert abs(row.modified.timestamp() - time.time()) < 3600 * 24
     spec = ScanSpec(exclude=("*.log",), exclude_dirs=("deep",), exclude_hidden=True, min_bytes=1)
-    kept = keep_items(inventory(spark, tree, spec, strategy), spec)
+    kept = keep_items(inventory(spark, tree, spec), spec)
     assert {r.path for r in kept.collect()} == below(tree, ["a.txt", "sub/b.txt", "big1", "big2", "big3", "big4"])
-    reasons = dict(audit(inventory(spark, tree, strategy=strategy), spec).groupBy("reason").count().collect())
+    reasons = dict(audit(inventory(spark, tree), spec).groupBy("reason").count().collect())
     assert reasons == {"symlink": 2, "hidden": 2, "excluded_dir": 2, "size_out_of_range": 2, "kept": 6}
 
 
-def test_strategies_agree_also_on_overlaps(spark, tree):
-    bases = [tree, os.path.join(tree, "sub")]
-    first, second = (inventory(spark, bases, strategy=s).select("path", "size_bytes") for s in ("subtrees", "levels"))
-    assert first.count() == len(FILES) + 2
-    assert tuple(scan_difference(first, second).first()) == (0, 0)
+def test_overlapping_folders(spark, tree, tmp_path):
+    os.symlink(tree, tmp_path / "alias")
+    bases = [os.path.join(tree, "sub"), tree, str(tmp_path / "alias")]
+    both, one = (inventory(spark, b).select("path", "size_bytes", "dirs") for b in (bases, tree))
+    assert both.count() == len(FILES) + 2
+    assert tuple(scan_difference(both, one).first()) == (0, 0)
 
 
-def test_size_bounds_reach_the_source(spark, tree):
-    kept = inventory(spark, tree, strategy="subtrees").where("size_bytes >= 5 AND size_bytes < 100 AND NOT is_symlink")
-    assert {r.path for r in kept.collect()} == below(tree, ["node/deep/e.txt"])
-    from pyspark.sql.datasource import EqualTo, GreaterThan, LessThanOrEqual
+def test_names_that_are_no_text_and_closed_folders(spark, tmp_path):
+    for name in (b"caf\xe9", b"a", b"b"):
+        with open(os.path.join(os.fsencode(tmp_path), name), "wb") as file:
+            file.write(b"same")
+    os.mkdir(os.path.join(os.fsencode(tmp_path), b"d\xff"))
+    scan = scan_files(spark, str(tmp_path))
+    assert {os.path.basename(r.path) for r in scan.member_rows.collect()} == {"a", "b"}
+    assert {(os.path.basename(r.path), r.error) for r in scan.unreadable.collect()} == {
+        (n, "the name is not valid UTF-8") for n in ("caf\\xe9", "d\\xff")
+    }
+    gone = spark.createDataFrame([(str(tmp_path / "gone"), [])], "path string, dirs array<string>")
+    listed = gone.mapInPandas(_list_folders, _LISTED).first()
+    assert "No such file" in listed.error and not listed.is_dir
+
+
+def test_size_changes_between_listing_and_reading(spark, tmp_path):
+    for name in "ab":
+        (tmp_path / name).write_bytes(b"x" * 10)
+    files = settle(inventory(spark, str(tmp_path)).select("path", "size_bytes"), "files").df
+    (tmp_path / "a").write_bytes(b"x" * 50_000)
+    found = {os.path.basename(r.path): r for r in read_digests(files, "full").collect()}
+    assert found["a"].digest is None and "size changed" in found["a"].error and found["b"].digest
 
-    reader = InventoryReader({"path": tree})
-    other = EqualTo(("name",), "x")
-    assert list(reader.pushFilters([GreaterThan(("size_bytes",), 4), LessThanOrEqual(("size_bytes",), 9), other])) == [other]
-    rows = [r for part in reader.partitions() for batch in reader.read(part) for r in batch.to_pylist()]
-    assert [r["name"] for r in rows] == ["e.txt"]
+
+def test_object_stores(spark, tree, monkeypatch):
+    monkeypatch.setattr("contentdup.plans.scan.mounted_path", lambda folder: None if folder.startswith("file:") else folder)
+    scan = scan_files(spark, f"file:{tree}/sub")
+    assert [(r.size_bytes, r.n_files) for r in scan.groups.collect()] == [(4, 2)]
+    with pytest.raises(ValueError, match="separately"):
+        scan_files(spark, [f"file:{tree}/sub", tree])
 
 
 def walk(folder, spec):
@@ -127,16 +148,13 @@ def test_random_trees(spark, tmp_path):
         ScanSpec(min_bytes=1, max_bytes=4, exclude=("*.log", "_*"), exclude_dirs=("skip", "b"), exclude_hidden=True),
         ScanSpec(min_bytes=0, max_bytes=9, exclude=("[!a]*",)),
     ):
-        for strategy in ("levels", "subtrees"):
-            kept = keep_items(inventory(spark, base, spec, strategy), spec)
-            assert {(r.path, r.size_bytes) for r in kept.collect()} == set(walk(base, spec)), (spec, strategy)
+        kept = keep_items(inventory(spark, base, spec), spec)
+        assert {(r.path, r.size_bytes) for r in kept.collect()} == set(walk(base, spec)), spec
 
 
 def test_bad_base(spark, tmp_path):
     with pytest.raises(Exception, match="not a folder"):
         inventory(spark, str(tmp_path / "none"))
-    with pytest.raises(Exception, match="not a folder"):
-        inventory(spark, str(tmp_path / "none"), strategy="subtrees").count()
 
 
 @pytest.mark.parametrize("mode", ["full", "multi_region", "quick"])
@@ -144,8 +162,7 @@ def test_bad_base(spark, tmp_path):
 def test_scan_files_equals_scan_items(spark, tree, corpus, mode, floor):
     files = {os.path.join(tree, n): c for n, c in FILES.items()}
     compared = (lambda c: c[:4096]) if mode == "quick" else (lambda c: c)
-    strategy = "subtrees" if floor else "levels"
-    found = flat(scan_files(spark, tree, ScanSpec(mode=mode), strategy, floor).member_rows)
+    found = flat(scan_files(spark, tree, ScanSpec(mode=mode), floor).member_rows)
     assert found == expected_groups(files, compared)
     if mode == "full" and floor:
         os.mkfifo(os.path.join(tree, "pipe"))
@@ -197,11 +214,14 @@ def test_kinds_of_folders(spark, tree, monkeypatch):
     assert "content" not in listed._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[1]
 
 
-def test_written_corpus(spark, tmp_path):
-    items = synthetic_items(spark, 20, 7)
-    assert write_files(items, str(tmp_path / "c")).count() == 27
-    scan = scan_files(spark, str(tmp_path / "c"))
-    assert scan.groups.count() == 7 and scan.members.n_rows == 14
+def test_written_corpus(spark, corpus, tmp_path):
+    items = plant_copies(corpus({f"/{n}/{n}.bin": bytes([n]) * 3000 * n for n in range(1, 8)}))
+    assert write_files(items, str(tmp_path / "c")).count() == 14
+    with scan_files(spark, str(tmp_path / "c")) as scan:
+        assert scan.groups.count() == 7 and scan.members.n_rows == 14
+        folders = [t.folder for t in (scan.digests, scan.members)]
+        assert all(map(os.path.isdir, folders))
+    assert not any(map(os.path.exists, folders))
 
 
 def test_rescan_of_files(spark, tree):
@@ -225,15 +245,40 @@ def test_rescan_of_files(spark, tree):
     assert other.n_fresh == len(later)
 
 
-def test_rescan_of_items(spark, corpus, monkeypatch):
-    old = {"/a": b"one", "/b": b"two", "/gone": b"two"}
-    new = {"/a": b"one", "/b": b"twoo", "/c": b"one", "/d": b"twoo"}
-    store = store_rows(digest_items(corpus(old)), ScanSpec())
-    small = rescan_items(corpus(new), store)
-    assert small.n_fresh == 3 and flat(small.members()) == expected_groups(new)
-    monkeypatch.setattr("contentdup.plans.rescan.BROADCAST_BYTES", -1)
-    large = rescan_items(corpus(new), store)
-    assert sorted(large.store.df.collect()) == sorted(small.store.df.collect())
+def versioned(items, version):
+    """Items with one version number, or a number per path."""
+    number = F.lit(version) if isinstance(version, int) else F.create_map(*(F.lit(x) for pair in version.items() for x in pair))[F.col("path")]
+    return items.withColumn("version", number)
+
+
+def test_rescan_of_items(spark, corpus):
+    old = {"/a": b"one", "/b": b"two", "/gone": b"two", "/same_size": b"abc"}
+    new = {"/a": b"one", "/b": b"twoo", "/c": b"one", "/d": b"twoo", "/same_size": b"one"}
+    digested = digest_items(corpus(old)).withColumn("version", F.lit(1))
+    store = store_rows(digested.unionByName(digested.where("path <> '/b'")), ScanSpec(), "version")
+    items = versioned(corpus(new), {path: 2 if path == "/same_size" else 1 for path in new})
+    again = rescan_items(items, store, version="version")
+    assert again.n_fresh == 4 and again.n_digested == 4 and again.store.n_rows == len(new)
+    assert flat(again.members()) == expected_groups(new)
+    # Without a version nothing proves that the content is the same.
+    unknown = rescan_items(corpus(new), store_rows(digest_items(corpus(old)), ScanSpec()))
+    assert unknown.n_fresh == len(new) and flat(unknown.members()) == expected_groups(new)
+    other_way = rescan_items(items, store, ScanSpec(mode="quick"), version="version")
+    assert other_way.n_fresh == len(new)
+
+
+def test_known_items_are_not_digested(spark, corpus, tmp_path):
+    files = {f"/{n}": bytes([n]) for n in range(200)}
+    source = str(tmp_path / "items")
+    corpus(files).write.parquet(source)
+    items = spark.read.parquet(source)
+    wanted = spark.createDataFrame([(f"/{n}",) for n in range(0, 200, 10)], "path string")
+    found = {r.path for r in among(items, wanted).collect()}
+    assert found == {f"/{n}" for n in range(0, 200, 10)}
+    assert {r.path for r in among(items, wanted, bits=64).collect()} >= found
+    plan = digest_items(among(items, wanted))._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("sha2") < plan.index("BroadcastHashJoin") < plan.index("FileScan")
+    assert "SortMergeJoin" not in plan
 
 
 def test_arriving_items(spark, corpus, tmp_path):
@@ -246,8 +291,14 @@ def test_arriving_items(spark, corpus, tmp_path):
     rows = read_store(spark, store)
     digests = {p: hashlib.sha256(c).hexdigest() for p, c in (("/a", b"x"), ("/b", b"z"), ("/c", b"x"))}
     assert {r.path: r.digest for r in rows.collect()} == digests and rows.count() == 3
-    again = rescan_items(corpus({"/a": b"x", "/b": b"z", "/d": b"z"}), rows)
-    assert again.n_fresh == 1 and flat(again.members()) == {(1, frozenset({"/b", "/d"}))}
+    # A stream with a new checkpoint starts at batch 0 again and adds to the store.
+    second = str(tmp_path / "in2")
+    corpus({"/d": b"x", "/a": b"new"}).write.parquet(second)
+    stream = spark.readStream.schema(corpus({"/a": b""}).schema).parquet(second)
+    ingest(stream, store, str(tmp_path / "ckpt2")).awaitTermination(120)
+    digests |= {p: hashlib.sha256(c).hexdigest() for p, c in (("/d", b"x"), ("/a", b"new"))}
+    assert {r.path: r.digest for r in read_store(spark, store).collect()} == digests
+    assert len([d for d in os.listdir(store) if d.startswith("stream=")]) == 2
 
 
 def test_tables_lie_in_the_named_folder(spark):

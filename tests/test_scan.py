@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from contentdup.operators import groups as g
-from contentdup.operators.filters import keep_items
+from contentdup.operators.filters import audit, keep_items
 from contentdup.operators.settle import settle
 from contentdup.operators.summary import corpus_stats, scan_funnel, scan_summary, space_savings
 from contentdup.plans.scan import (
@@ -15,7 +15,7 @@ from contentdup.plans.scan import (
     scan_groups,
     scan_items,
 )
-from contentdup.sources.synthetic import plant_copies, synthetic_items
+from contentdup.sources.synthetic import plant_copies
 from contentdup.sources.tables import table_items
 from contentdup.spec import ScanSpec
 from tests.conftest import expected_groups, flat
@@ -94,15 +94,28 @@ def test_space_savings_rows(spark):
     assert tuple(space_savings(single).first()) == (3072, 0)
 
 
-def test_synthetic_corpus(spark):
-    items = synthetic_items(spark, 10, 5)
-    stats = corpus_stats(digest_items(items)).first()
-    assert (stats.unique_files, stats.duplicate_files, stats.total_files, stats.directories) == (10, 5, 15, 5)
-    assert scan_summary(scan_groups(synthetic_items(spark, 500, 50))).first()[:2] == (50, 100)
-    line = len("Synthetic item , like no other item of this corpus apart from its copies.\n")
-    total = sum(10 * (line + len(str(n))) for n in [*range(500), *range(50)])
-    assert corpus_stats(digest_items(synthetic_items(spark, 500, 50))).first().total_bytes == total
-    assert scan_groups(plant_copies(items)).count() == 10
+def test_corpus_statistics(spark, corpus):
+    items = plant_copies(corpus({f"/{n % 5}/{n}": bytes([n]) * n for n in range(1, 11)}))
+    digests = digest_items(items)
+    stats = corpus_stats(digests).first()
+    assert tuple(stats) == (10, 10, 20, 110, 10)
+    assert scan_groups(items).count() == 10
+    assert tuple(corpus_stats(digests.where("false")).first()) == (0, 0, 0, 0, 0)
+    assert "Expand" not in corpus_stats(digests)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_without_content_are_listed(spark):
+    rows = spark.createDataFrame([("/a", b"x", 1), ("/b", b"x", 1), ("/c", None, 1), ("/d", None, 9)], "p string, c binary, n bigint")
+    items = table_items(rows, F.col("p"), F.col("c"), size=F.col("n"))
+    scan = scan_items(items, ScanSpec(max_bytes=5))
+    assert [r.path for r in scan.unreadable.collect()] == ["/c"] and scan.members.n_rows == 2
+    reasons = {r.path: r.reason for r in audit(items, ScanSpec(max_bytes=5)).collect()}
+    assert reasons == {"/a": "kept", "/b": "kept", "/c": "unreadable", "/d": "unreadable"}
+
+
+def test_verified_regions_digest_once(corpus):
+    plan = scan_items(corpus(demo()), REGIONS).digests.df
+    assert plan.columns == ["path", "size_bytes", "digest"]
 
 
 def skewed(spark):
