@@ -59,3 +59,37 @@ def conversations(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("/"), "role", F.lit("/"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")
     )
     return table_items(table(spark, folder, "conversations"), path, F.col("text"))
+
+
+def versioned_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with ``version``, a number that would change with the text,
+    and ``doc_id``."""
+    rows = table(spark, folder, "documents")
+    path = _document_path(F.col("source"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    items = table_items(rows, path, F.col("text"))
+    doc_id = F.regexp_extract("path", r"([0-9]+)\.txt$", 1).cast("bigint")
+    return items.withColumns({"doc_id": doc_id, "version": doc_id % 3 + 10})
+
+
+def altered_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Each document, one with another last byte below ``/tail``, and one with
+    another byte at 5,001 (where there is one) below ``/gap``."""
+    items = documents(spark, folder).where("size_bytes > 0")
+    content, size = F.col("content"), F.col("size_bytes").cast("int")
+    tail = F.concat(F.substring(content, F.lit(1), size - 1), F.lit(b"\x01"))
+    gap = F.concat(F.substring(content, 1, 5000), F.lit(b"\x02"), F.substring(content, F.lit(5002), size))
+
+    def under(name, changed):
+        return {"path": F.concat(F.lit(name), "path"), "content": changed}
+
+    return items.unionByName(items.withColumns(under("/tail", tail))).unionByName(
+        items.where("size_bytes > 5001").withColumns(under("/gap", gap))
+    )
+
+
+def partly_empty_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with a stored size; every ninth has lost its text."""
+    rows = table(spark, folder, "documents")
+    path = _document_path(F.col("source"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    text = F.when(F.col("doc_id") % 9 != 0, F.col("text"))
+    return table_items(rows, path, text, size=F.octet_length("text"))

@@ -66,12 +66,18 @@ _SAVINGS = """
     coalesce(sum(size_bytes * n_files), 0)::BIGINT AS total_bytes,
     coalesce(sum(size_bytes * (n_files - 1)), 0)::BIGINT AS reclaimable_bytes
 """
-_NUMBERED = f"""
+
+
+def _numbered(corpus: str) -> str:
+    return f"""
     SELECT *, dense_rank() OVER (ORDER BY size_bytes, digest)::BIGINT AS group_no,
            (row_number() OVER (PARTITION BY size_bytes, digest ORDER BY path) - 1)::BIGINT AS member_no,
            count(*) OVER (PARTITION BY size_bytes, digest)::BIGINT AS n_files
-    FROM ({_members(_DOCUMENTS)})
-"""
+    FROM ({_members(corpus)})
+    """
+
+
+_NUMBERED = _numbered(_DOCUMENTS)
 _RESULT_TABLE = f"""
     SELECT group_no, size_bytes, {_size_text('size_bytes')} AS size_text, digest,
            left(digest, 8) || '...' || right(digest, 8) AS display_digest, path
@@ -114,6 +120,47 @@ _PICKED = f"""
     WINDOW grouped AS (PARTITION BY size_bytes, digest)
 """
 
+_BY_DECISION = f"""
+    SELECT size_bytes, digest, path, member_no, keep_path, 'would_delete' AS action FROM (
+        SELECT *, min(path) FILTER (WHERE NOT goes) OVER (PARTITION BY size_bytes, digest) AS keep_path FROM (
+            SELECT *, (raw_choice = ' A ' AND member_no > 0) OR (raw_choice LIKE '0, 2%' AND member_no IN (0, 2))
+                      OR (raw_choice = '1' AND member_no = 1) AS goes
+            FROM ({_DECIDED})))
+    WHERE goes
+"""
+
+
+def _details(numbered: str) -> str:
+    return f"""
+        SELECT group_no, {_size_text('size_bytes')} AS size_text, left(digest, 8) || '...' AS short_digest,
+               member_no, path
+        FROM ({numbered})"""
+
+
+def _selected(goes: str) -> str:
+    return f"""
+        SELECT size_bytes, digest, path, keep_path, 'would_delete' AS action FROM (
+            SELECT *, min(path) FILTER (WHERE NOT goes) OVER (PARTITION BY size_bytes, digest) AS keep_path
+            FROM (SELECT *, {goes} AS goes FROM ({_PICKED})))
+        WHERE goes
+    """
+
+
+def _planted(corpus: str) -> str:
+    return f"""
+        SELECT path, size_bytes, content FROM ({corpus})
+        UNION ALL SELECT '/copies' || path, size_bytes, content FROM ({corpus})
+    """
+
+
+_ALTERED = f"""
+    SELECT path, size_bytes, content FROM ({_DOCUMENTS}) WHERE size_bytes > 0
+    UNION ALL SELECT '/tail' || path, size_bytes, content[1:size_bytes - 1] || '\\x01'::BLOB FROM ({_DOCUMENTS})
+    WHERE size_bytes > 0
+    UNION ALL SELECT '/gap' || path, size_bytes, content[1:5000] || '\\x02'::BLOB || content[5002:size_bytes] FROM ({_DOCUMENTS})
+    WHERE size_bytes > 5001
+"""
+
 
 def _funnel(candidate: str) -> str:
     return f"""
@@ -184,9 +231,22 @@ ORACLES: dict[str, str] = {
     "dupes_filtered": _members(_MARKED, where=_KEPT),
     "dupes_pages": _members(_PAGES),
     "dupes_conversations": _members(_CONVERSATIONS),
-    "dupes_planted": _members(f"""
-        SELECT path, size_bytes, content FROM ({_DOCUMENTS})
-        UNION ALL SELECT '/copies' || path, size_bytes, content FROM ({_DOCUMENTS})"""),
+    "dupes_pages_planted": _members(_planted(_PAGES)),
+    "dupes_conversations_planted": _members(_planted(_CONVERSATIONS)),
+    "dupes_full_hot": _members(_DOCUMENTS),
+    "dupes_by_mode": f"""
+        SELECT *, 'quick' AS mode FROM ({_members(_ALTERED, "content[1:4096]")})
+        UNION ALL SELECT *, 'multi_region' FROM ({_members(_ALTERED, _REGIONS)})
+        UNION ALL SELECT *, 'full' FROM ({_members(_ALTERED)})""",
+    "scan_unreadable": """
+        SELECT '/' || source || '/' || lang || '/' || doc_id || '.txt' AS path,
+               CASE WHEN doc_id % 9 = 0 THEN 'unreadable' WHEN strlen(text) > 6000 THEN 'size_out_of_range' ELSE 'kept' END AS reason,
+               doc_id % 9 = 0 AND strlen(text) <= 6000 AS reported
+        FROM documents""",
+    "exclude_glob_brackets": f"""
+        SELECT path, size_bytes FROM ({_DOCUMENTS})
+        WHERE NOT regexp_full_match(name, '[\\[1].*') AND NOT regexp_full_match(name, '[^0-8].[\\]^\\-0].*')""",
+    "dupes_planted": _members(_planted(_DOCUMENTS)),
     "dupes_blake2b_groups": f"SELECT size_bytes, n_files FROM ({_groups(_DOCUMENTS)})",
     "dupes_groups": _groups(_DOCUMENTS),
     "dupes_groups_nested": _nested(2, "size_bytes, hash, part, n_files, paths"),
@@ -219,10 +279,8 @@ ORACLES: dict[str, str] = {
                {_size_text('o_orderkey * 1024 * 1024 * 1024 * 512')} AS huge_text,
                {_size_text('-o_orderkey')} AS negative_text
         FROM orders""",
-    "detail_report": f"""
-        SELECT group_no, {_size_text('size_bytes')} AS size_text, left(digest, 8) || '...' AS short_digest,
-               member_no, path
-        FROM ({_NUMBERED})""",
+    "detail_report": _details(_NUMBERED),
+    "detail_report_pieces": _details(_numbered(_planted(_DOCUMENTS))),
     "result_table": _RESULT_TABLE,
     "result_table_by_size": f"SELECT * FROM ({_RESULT_TABLE}) ORDER BY size_bytes DESC",
     "groups_sorted": f"SELECT * FROM ({_groups(_DOCUMENTS)}) ORDER BY size_bytes, digest",
@@ -232,17 +290,14 @@ ORACLES: dict[str, str] = {
     "removal_survivors": f"""
         SELECT path, size_bytes, digest FROM ({_digested(_DOCUMENTS)})
         WHERE path NOT IN (SELECT path FROM ({_manifest('path')}))""",
-    "removal_by_decision": f"""
-        SELECT size_bytes, digest, path, member_no, 'would_delete' AS action FROM ({_DECIDED})
-        WHERE (raw_choice = ' A ' AND member_no > 0) OR (raw_choice LIKE '0, 2%' AND member_no IN (0, 2))
-           OR (raw_choice = '1' AND member_no = 1)""",
+    "removal_by_decision": _BY_DECISION,
+    "report_by_decision": _BY_DECISION,
     "invalid_decisions": f"""
         SELECT DISTINCT size_bytes, digest, raw_choice AS choice FROM ({_DECIDED}) WHERE raw_choice IN ('1,x', '')""",
-    "removal_selected": f"""
-        SELECT size_bytes, digest, path, 'would_delete' AS action FROM ({_PICKED})
-        WHERE picked AND NOT (all_picked AND path = first_path)""",
-    "removal_selected_unguarded": f"""
-        SELECT size_bytes, digest, path, 'would_delete' AS action FROM ({_PICKED}) WHERE picked""",
+    "removal_selected": _selected("picked AND NOT (all_picked AND path = first_path)"),
+    "removal_selected_unguarded": _selected("picked"),
+    "export_json_written": _nested(2, "size_bytes, hash, part, paths"),
+    "export_csv_written": f"SELECT size_bytes, digest AS hash, path FROM ({_members(_DOCUMENTS)})",
     "export_json_rows": _nested(10_000, "size_bytes, hash, part, paths"),
     "export_csv_rows": f"SELECT size_bytes, digest AS hash, path FROM ({_members(_DOCUMENTS)})",
 }

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contentdup.catalogue import bindings as b
-from contentdup.functions import base_name, dir_path, format_bytes, prefix_length, relative_path
+from contentdup.functions import dir_path, format_bytes, prefix_length, relative_path
 from contentdup.operators.filters import audit, audit_counts, keep_items, path_contains
 from contentdup.operators.groups import KEYS, distinct_paths, scan_difference
 from contentdup.operators.removal import (
@@ -19,9 +20,10 @@ from contentdup.operators.removal import (
     survivors,
 )
 from contentdup.operators.summary import corpus_stats, scan_funnel, scan_summary, space_savings
-from contentdup.operators.settle import settle
+from contentdup.operators.numbering import number_members
+from contentdup.operators.settle import shared_folder
 from contentdup.plans.export import csv_rows, json_rows
-from contentdup.plans.report import detail_report, nested_groups, result_table, sort_groups, sort_rows
+from contentdup.plans.report import detail_report, nested_groups, report, result_table, sort_groups, sort_rows
 from contentdup.plans.rescan import rescan_items, store_rows
 from contentdup.plans.scan import (
     candidates_by_size,
@@ -31,10 +33,7 @@ from contentdup.plans.scan import (
     scan_groups,
     scan_items,
 )
-from contentdup.sources.content import read_digests
-from contentdup.sources.inventory import inventory, mounted_path
 from contentdup.sources.synthetic import plant_copies
-from contentdup.sources.tables import binary_file_items
 from contentdup.spec import ScanSpec
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,6 +94,12 @@ def exclude_glob(spark, folder):
     return _sized(b.documents(spark, folder), ScanSpec(exclude=("*7.txt", "[!1-5]?.txt")))
 
 
+@query("exclude_glob_brackets")
+def exclude_glob_brackets(spark, folder):
+    """Classes that hold brackets, a caret and a minus."""
+    return _sized(b.documents(spark, folder), ScanSpec(exclude=("[[1]*", "[!0-8]?[]^0-]*")))
+
+
 @query("exclude_dir")
 def exclude_dir(spark, folder):
     return _sized(b.documents(spark, folder), ScanSpec(exclude_dirs=("fr", "src7")))
@@ -133,22 +138,6 @@ def scan_equivalence(spark, folder):
     return scan_difference(_sized(items, MARKED_SPEC), kept)
 
 
-@query("files_inventory")
-def files_inventory(spark, folder):
-    """The files of the tables themselves."""
-    return inventory(spark, folder, strategy="subtrees").select("name", "size_bytes", "is_symlink")
-
-
-@query("files_digests")
-def files_digests(spark, folder):
-    """Those files read by path in tasks, or by Spark where they are not mounted."""
-    if mounted_path(folder) is None:
-        digests = digest_items(binary_file_items(spark, folder))
-        return digests.select(base_name(F.col("path")).alias("name"), "size_bytes", "digest")
-    found = settle(inventory(spark, folder).where(~F.col("is_symlink")), "inventory").df
-    return read_digests(found).select("name", "size_bytes", "digest")
-
-
 # Digests
 
 
@@ -182,11 +171,6 @@ def digest_three_region_pages(spark, folder):
     return digest_items(b.pages(spark, folder), ScanSpec(mode="multi_region", verify=False))
 
 
-@query("digest_blake2b")
-def digest_blake2b(spark, folder):
-    return digest_items(b.documents(spark, folder), ScanSpec(algorithm="blake2b"))
-
-
 @query("read_tiers")
 def read_tiers(spark, folder):
     return b.pages(spark, folder).select(
@@ -249,6 +233,43 @@ def dupes_conversations(spark, folder):
     return _flat(scan_items(b.conversations(spark, folder)).member_rows)
 
 
+@query("dupes_pages_planted")
+def dupes_pages_planted(spark, folder):
+    return _flat(scan_items(plant_copies(b.pages(spark, folder))).member_rows)
+
+
+@query("dupes_conversations_planted")
+def dupes_conversations_planted(spark, folder):
+    return _flat(scan_items(plant_copies(b.conversations(spark, folder))).member_rows)
+
+
+@query("dupes_full_hot")
+def dupes_full_hot(spark, folder):
+    """With every group above the limit of the broadcast branch."""
+    return _flat(scan_items(b.documents(spark, folder), floor=1).member_rows)
+
+
+@query("dupes_by_mode")
+def dupes_by_mode(spark, folder):
+    """Documents beside versions that differ in one place: the last byte, or
+    one that the three regions leave out."""
+    items = b.altered_documents(spark, folder)
+    specs = {m: ScanSpec(mode=m, verify=m != "multi_region") for m in ("quick", "multi_region", "full")}
+    found = [_flat(scan_items(items, spec).member_rows).withColumn("mode", F.lit(mode)) for mode, spec in specs.items()]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+@query("scan_unreadable")
+def scan_unreadable(spark, folder):
+    """Documents with a stored size of which every ninth has no content: what
+    the audit says, and what the scan reports."""
+    items = b.partly_empty_documents(spark, folder)
+    scan = scan_items(items, ScanSpec(max_bytes=6000))
+    reported = scan.unreadable.select("path", F.lit(True).alias("reported"))
+    audited = audit(items, ScanSpec(max_bytes=6000))
+    return audited.join(reported, "path", "left").select("path", "reason", F.coalesce("reported", F.lit(False)).alias("reported"))
+
+
 @query("dupes_planted")
 def dupes_planted(spark, folder):
     return _flat(scan_items(plant_copies(b.documents(spark, folder))).member_rows)
@@ -276,14 +297,24 @@ def quick_false_positive_rows(spark, folder):
 
 @query("rescan_incremental")
 def rescan_incremental(spark, folder):
-    """The store holds the labelled documents; the others are new."""
-    items = b.documents(spark, folder)
-    labelled = (
-        b.table(spark, folder, "labels").select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"))
+    """A store of the labelled documents in which every fifth has older content
+    of the same size, every seventh is stored twice, and some are gone."""
+    items = b.versioned_documents(spark, folder)
+    labelled = b.table(spark, folder, "labels").select("doc_id").distinct()
+    known = items.join(labelled, "doc_id", "left_semi")
+    stale = F.col("doc_id") % 5 == 0
+    old = known.withColumns(
+        {
+            "content": F.when(stale, F.reverse(F.col("content").cast("string")).cast("binary")).otherwise(F.col("content")),
+            "version": F.when(stale, F.col("version") - 1).otherwise(F.col("version")),
+        }
+    ).where(F.octet_length("content") == F.col("size_bytes"))
+    stored = old.select("path", "size_bytes", "version", F.sha2("content", 256).alias("digest"), "doc_id")
+    rows = stored.unionByName(stored.where("doc_id % 7 = 0")).unionByName(
+        stored.where("doc_id % 11 = 0").withColumn("path", F.concat(F.lit("/gone"), "path"))
     )
-    seen = digest_items(items).withColumn("name", F.element_at(F.split("path", "/"), -1))
-    store = store_rows(seen.join(labelled, "name", "left_semi"), ScanSpec())
-    return _flat(rescan_items(items, store).members())
+    store = store_rows(rows, ScanSpec(), "version")
+    return _flat(rescan_items(items.drop("doc_id"), store, version="version").members())
 
 
 # Summaries and reports
@@ -339,6 +370,13 @@ def details(spark, folder):
     return detail_report(scan_items(b.documents(spark, folder)).member_rows)
 
 
+@query("detail_report_pieces")
+def detail_report_pieces(spark, folder):
+    """Numbered in many pieces, so that groups and pieces meet in all ways."""
+    members = scan_items(plant_copies(b.documents(spark, folder))).members
+    return detail_report(number_members(members.df, pieces=37))
+
+
 @query("result_table")
 def result_rows(spark, folder):
     return result_table(scan_items(b.documents(spark, folder)).member_rows)
@@ -429,3 +467,30 @@ def export_json_rows(spark, folder):
 @query("export_csv_rows")
 def export_csv_rows(spark, folder):
     return csv_rows(scan_items(b.documents(spark, folder)).member_rows)
+
+
+def _export_folder(spark, kind: str) -> str:
+    return f"{shared_folder(spark)}/contentdup/{kind}-{uuid.uuid4().hex}"
+
+
+@query("export_json_written")
+def export_json_written(spark, folder):
+    """The JSON Lines of a whole run, read back."""
+    out = _export_folder(spark, "json")
+    report(scan_items(b.documents(spark, folder)), json_out=out, paths_per_row=2)
+    return spark.read.schema("size_bytes bigint, hash string, part bigint, paths array<string>").json(out)
+
+
+@query("export_csv_written")
+def export_csv_written(spark, folder):
+    """The CSV of a whole run, read back."""
+    out = _export_folder(spark, "csv")
+    report(scan_items(b.documents(spark, folder)), csv_out=out)
+    return spark.read.schema("size_bytes bigint, hash string, path string").option("header", True).csv(out)
+
+
+@query("report_by_decision")
+def report_by_decision(spark, folder):
+    """The manifest of a run that follows decisions."""
+    scan = scan_items(b.documents(spark, folder))
+    return report(scan, decisions=_decisions(scan.groups)).manifest
