@@ -80,21 +80,18 @@ def _match(found: DataFrame, store: DataFrame, spec: ScanSpec) -> tuple[DataFram
     return store_rows(matched.df.where("digest IS NOT NULL"), spec), Settled(fresh, matched.folder)
 
 
-def _slot(bits: int) -> Column:
-    return F.pmod(F.xxhash64("path"), F.lit(bits))
-
-
-def among(items: DataFrame, paths: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
-    """Items whose path may be in ``paths``, decided without a shuffle of the
+def among(items: DataFrame, keys: DataFrame, bits: int = FILTER_BITS, column: str = "path") -> DataFrame:
+    """Items whose key may be in ``keys``, decided without a shuffle of the
     items: a bit table of ``bits`` bits is sent to all tasks."""
-    slots = paths.select(_slot(bits).alias("slot"))
+    slot = F.pmod(F.xxhash64(column), F.lit(bits))
+    slots = keys.select(slot.alias("slot"))
     table = slots.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("marks")
     )
-    place = F.bitmap_bit_position(_slot(bits))
+    place = F.bitmap_bit_position(slot)
     byte = F.conv(F.hex(F.substring("marks", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     marked = F.expr("pow(2, `place` % 8)").cast("int")
-    with_place = items.withColumns({"bucket": F.bitmap_bucket_number(_slot(bits)), "place": place})
+    with_place = items.withColumns({"bucket": F.bitmap_bucket_number(slot), "place": place})
     hit = (F.floor(byte / marked) % 2) == 1
     return with_place.join(F.broadcast(table), "bucket").where(hit).select(*items.columns)
 
