@@ -14,22 +14,25 @@ def connected_components(links: DataFrame) -> DataFrame:
 
     Each round sends every node's smallest neighbour to all its neighbours
     (large star), then links every node's smaller neighbours to the smallest
-    (small star), until the links are stars. A round is a few aggregations
-    and joins, written to the shared folder; the driver sees two numbers.
+    (small star), until every node has one link and no root has any. A round
+    is two aggregations and joins, written to the shared folder; the driver
+    sees whether any node is left.
     """
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = settle(edges, "links").df
-    before = None
-    while True:
+    while not _are_stars(edges):
         large = _star(edges.union(edges.select("b", "a")), larger=True)
         edges = settle(_star(large, larger=False), "links").df
-        # The links are stars when no round changes them; equal sums say so.
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
-                edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
-            )
-        before = state
+    roots = edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(
+        edges.select("b", F.lit(0), F.lit(1))
+    )
+    ends = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return ends.where("up > 1 OR (up = 1 AND down = 1)").isEmpty()
 
 
 def _star(edges: DataFrame, larger: bool) -> DataFrame:
@@ -40,8 +43,6 @@ def _star(edges: DataFrame, larger: bool) -> DataFrame:
     smallest = edges.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
     joined = edges.join(smallest, "a")
     if larger:
-        linked = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        # A node without smaller neighbours keeps its own links.
-        return linked.where("a <> b").distinct()
+        return joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     linked = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(joined.select("a", F.col("m").alias("b")))
     return linked.where("a <> b").distinct()

@@ -11,9 +11,9 @@ Exact in its links, and linear in the number of copies:
    clusters, and all links lie inside clusters.
 3. A cluster is cut into blocks of bounded size. In a block the sets form a
    trie, which is walked for links between sets that are not yet connected.
-4. Clusters of more than one block are joined by the representatives of what
-   their blocks have connected, then by comparing every set outside the
-   cluster's largest component with all blocks.
+4. All blocks of a larger cluster hold some of its sets in common, which
+   joins what is alike across blocks. Then every set outside the cluster's
+   largest component is compared with all its blocks.
 
 Sets are held as 64-bit hashes of their n-grams.
 """
@@ -34,6 +34,7 @@ from contentdup.llm.components import connected_components
 from contentdup.llm.hashing import Words, word_grams
 from contentdup.llm.trie_join import Forest, Trie
 from contentdup.operators.settle import settle
+from contentdup.plans.rescan import among
 from contentdup.ship import ship
 
 # Slots of the frequency table, and how many go in one row while it is summed.
@@ -45,6 +46,10 @@ PAIRED_SETS = 16
 BLOCK_SETS = 512
 BLOCK_ELEMENTS = 1_000_000
 PROBE_SETS = 256
+# Sets (about) that all blocks of one cluster have in common.
+COMMON_SETS = 32
+# Bits of the filter that keeps elements of one set only out of the shuffle.
+ELEMENT_BITS = 1 << 24
 # Bits of the filter that keeps texts without a partner out of the shuffle.
 FILTER_BITS = 24
 
@@ -168,11 +173,13 @@ def _possible(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
 
 
 def _chained(shared: DataFrame, num: int, den: int) -> DataFrame:
-    """Link the sets of an element to the next larger one, if their sizes allow
-    a link: sets that two links could join stay connected.
+    """Link the sets of an element, in order of size, as long as each is close
+    enough in size to the one before: sets that could be linked stay
+    connected, whatever lies between them.
 
-    Rows are range-partitioned, so a frequent element spreads over pieces; a
-    piece's first row follows the last row of the piece before.
+    Rows are range-partitioned, so a frequent element spreads over pieces. In
+    a piece such a run is linked to its first row; a piece's first row is
+    linked to the last row of the piece before.
     """
     order = ["element", "n_grams", "name"]
     ranged = shared.select(*order).repartitionByRange(*order).sortWithinPartitions(*order)
@@ -181,20 +188,28 @@ def _chained(shared: DataFrame, num: int, den: int) -> DataFrame:
     last = rows.groupBy("piece").agg(F.max_by(F.struct(*order), "row_slot").alias("last"))
     before = last.select("piece", F.lag("last").over(W.orderBy("piece")).alias("before"))  # one row per piece
     in_piece = W.partitionBy("piece").orderBy("row_slot")
-    follows = F.coalesce(F.lag(F.struct(*order)).over(in_piece), "before")
-    return (
-        rows.join(F.broadcast(before), "piece")
-        .select(*order, follows.alias("p"))
-        .where((F.col("p.element") == F.col("element")) & (F.lit(den) * F.col("p.n_grams") >= F.lit(num) * F.col("n_grams")))
-        .select(F.col("name").alias("a"), F.col("p.name").alias("b"))
-    )
+    goes_on = (F.col("p.element") == F.col("element")) & (F.lit(den) * F.col("p.n_grams") >= F.lit(num) * F.col("n_grams"))
+    inside = rows.select("piece", "row_slot", *order, F.lag(F.struct(*order)).over(in_piece).alias("p"))
+    runs = inside.withColumn("run", F.count_if(~F.coalesce(goes_on, F.lit(False))).over(in_piece))
+    first = F.first("name").over(W.partitionBy("piece", "run").orderBy("row_slot"))
+    to_first = runs.select(F.col("name").alias("a"), first.alias("b")).where("a <> b")
+    heads = rows.groupBy("piece").agg(F.min_by(F.struct(*order), "row_slot").alias("h")).select("piece", "h.*")
+    across = heads.join(before, "piece").withColumnRenamed("before", "p").where(goes_on)
+    return to_first.union(across.select("name", "p.name"))
 
 
-def _clusters(sets: DataFrame, num: int, den: int) -> DataFrame:
+def _clusters(signed: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """``name, root``: sets that may be linked, directly or by others."""
-    elements = sets.select("name", F.col("n_grams").cast("int").alias("n_grams"), F.explode("prefix").alias("element"))
-    counts = elements.groupBy("element").agg(F.count(F.lit(1)).alias("n_sets")).where("n_sets > 1")
-    shared = settle(elements.join(counts, "element"), "shared-elements").df
+    elements = signed.where("name IS NOT NULL AND doc_id IS NOT NULL").select(
+        "name", F.col("n_grams").cast("int").alias("n_grams"), F.explode("prefix").alias("element")
+    )
+    several = elements.groupBy("element").agg(F.min("name").alias("lowest"), F.max("name").alias("highest"))
+    several = settle(several.where("lowest <> highest").select("element"), "several-sets").df
+    # The bit filter leaves few rows to shuffle; copies of a text count once.
+    near = among(elements, several, ELEMENT_BITS, "element").join(several, "element", "left_semi").distinct()
+    near = settle(near, "near-elements").df
+    shared = near.join(near.groupBy("element").agg(F.count(F.lit(1)).alias("n_sets")), "element")
+    shared = settle(shared, "shared-elements").df
     few = shared.where(F.col("n_sets") <= PAIRED_SETS)
     first, second = (few.select("element", F.col("name").alias(n), F.col("n_grams").alias(f"n_{n}")) for n in ("a", "b"))
     pairs = (
@@ -295,55 +310,49 @@ def _blocks(batches: Iterator[pa.RecordBatch]):
         yield block()
 
 
-def _pieces(rows: DataFrame, sets: int) -> DataFrame:
-    """Rows with ``pieces``, the number of blocks their root needs."""
-    sizes = rows.groupBy("root").agg(
-        F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(sets)), F.ceil(F.sum("n_grams") / F.lit(BLOCK_ELEMENTS))).cast("int").alias("pieces")
-    )
-    return rows.join(sizes, "root")
-
-
-def _components(members: DataFrame, links: DataFrame) -> DataFrame:
-    """Members with the component that ``links`` put them in."""
-    found = connected_components(links).select(F.col("node").alias("name"), F.col("root").alias("component"))
-    return settle(members.join(found, "name", "left").withColumn("component", F.coalesce("component", "name")), "components").df
-
-
 def _part(pieces: str, seed: int) -> F.Column:
     return F.pmod(F.xxhash64(F.lit(seed), "name"), F.col(pieces)).cast("bigint")
 
 
-def set_links(docs: DataFrame, sets: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Links that connect all similar sets; ``sets`` has ``name, doc_id,
-    n_grams, prefix, bits``, one row per set."""
-    narrow = sets.select("name", "doc_id", "n_grams")
-    members = settle(_pieces(narrow.join(_clusters(sets, num, den), "name"), BLOCK_SETS), "cluster-members").df
+def _every(count: str) -> F.Column:
+    return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+
+
+def set_components(docs: DataFrame, signed: DataFrame, sets: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """``name, root`` of all sets that are linked; ``sets`` has ``name,
+    doc_id, n_grams, bits``, one row per set."""
+    clustered = sets.select("name", "doc_id", "n_grams").join(_clusters(signed, sets, num, den), "name")
+    clustered = settle(clustered, "clustered").df
+    sizes = clustered.groupBy("root").agg(
+        F.count(F.lit(1)).alias("n_sets"),
+        F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_SETS)), F.ceil(F.sum("n_grams") / F.lit(BLOCK_ELEMENTS))).cast("int").alias("pieces"),
+    )
+    members = clustered.join(sizes, "root")
     whole = settle(_with_elements(docs, members, n), "cluster-sets").df
-    blocks = whole.select("*", _part("pieces", 1).alias("part"), F.col("name").alias("component"), F.lit(True).alias("probe"))
+    home = whole.select("*", _part("pieces", 1).alias("part"))
+    is_common = F.pmod(F.xxhash64(F.lit(2), "name"), F.col("n_sets")) < COMMON_SETS
+    guests = whole.where((F.col("pieces") > 1) & is_common).select("*", _every("pieces").alias("part"))
+    blocks = home.union(guests).withColumns({"component": F.col("name"), "probe": F.lit(True)})
     links = settle(_linked(blocks, num, den), "links-in-blocks").df
-
-    members = members.where("pieces > 1")
-    if members.isEmpty():
-        return links
-    elements = whole.where("pieces > 1").select("name", "elements")
-    # One set for each component of a block meets those of the other blocks.
-    heads = _pieces(_components(members, links).where("name = component").drop("pieces"), BLOCK_SETS)
-    heads = heads.withColumns({"part": _part("pieces", 2), "probe": F.lit(True)}).join(elements, "name")
-    links = links.union(settle(_linked(heads, num, den), "links-of-heads").df)
-
-    # What is still outside the largest component is compared with every block.
-    placed = _components(members, links)
+    found = connected_components(links)
+
+    # What lies outside the largest component is compared with every block.
+    wide = whole.where("pieces > 1").select("root", "name", "pieces")
+    if wide.isEmpty():
+        return found
+    placed = wide.join(found.select(F.col("node").alias("name"), F.col("root").alias("component")), "name", "left")
+    placed = settle(placed.withColumn("component", F.coalesce("component", "name")), "wide-components").df
     counts = placed.groupBy("root", "component").agg(F.count(F.lit(1)).alias("n"))
     major = counts.groupBy("root").agg(F.max_by("component", F.struct("n", "component")).alias("major"))
     outside = placed.join(major, "root").where("component <> major").drop("major")
     chunks = outside.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / F.lit(PROBE_SETS)).cast("int").alias("chunks"))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     columns = ["root", "name", "component", "piece", "chunk"]
-    probes = outside.join(chunks, "root").select("*", _part("chunks", 3).alias("chunk"), every("pieces").alias("piece"))
-    others = placed.join(chunks, "root").select("*", _part("pieces", 1).alias("piece"), every("chunks").alias("chunk"))
+    probes = outside.join(chunks, "root").select("*", _part("chunks", 3).alias("chunk"), _every("pieces").alias("piece"))
+    others = placed.join(chunks, "root").select("*", _part("pieces", 1).alias("piece"), _every("chunks").alias("chunk"))
     both = probes.select(*columns, F.lit(True).alias("probe")).union(others.select(*columns, F.lit(False).alias("probe")))
-    blocks = both.withColumn("part", F.col("piece").cast("bigint") * F.lit(1 << 31) + F.col("chunk")).join(elements, "name")
-    return links.union(settle(_linked(blocks, num, den), "links-outside").df)
+    blocks = both.withColumn("part", F.col("piece").cast("bigint") * F.lit(1 << 31) + F.col("chunk"))
+    more = settle(_linked(blocks.join(whole.select("name", "elements"), "name"), num, den), "links-outside").df
+    return found if more.isEmpty() else connected_components(links.union(more))
 
 
 def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -368,13 +377,11 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
             F.min("doc_id").alias("doc_id"),
             F.count(F.lit(1)).alias("copies"),
             F.min("n_grams").alias("n_grams"),
-            F.first("prefix").alias("prefix"),
             F.first("bits").alias("bits"),
         ),
         "sets",
     ).df
-    links = set_links(docs, sets.drop("copies"), n, num, den)
-    placed = connected_components(links).select(F.col("node").alias("name"), "root")
+    placed = set_components(docs, signed, sets, n, num, den).select(F.col("node").alias("name"), "root")
     grouped = settle(sets.select("name", "doc_id", "copies").join(placed, "name", "left"), "grouped-sets").df
     smallest = grouped.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     # Sets of one text without links need no look-up.
