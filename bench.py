@@ -54,7 +54,7 @@ def scale(spark, folder, copies):
     documents = table_items(
         spark.read.parquet(f"{folder}/documents.parquet"), F.col("doc_id").cast("string"), F.col("text")
     ).select("path", "content", "size_bytes")
-    many = documents.crossJoin(spark.range(copies).withColumnRenamed("id", "copy"))
+    many = documents.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
     # A third of the rows hold one text, the others end in a number of their own.
     own = F.concat("content", F.concat_ws("-", "path", "copy").cast("binary"))
     content = F.when(F.pmod(F.xxhash64("path", "copy"), F.lit(3)) == 0, F.lit(b"one text " * 100)).otherwise(own)
