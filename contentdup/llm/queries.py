@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from contentdup.llm.chat import format_chats
 from contentdup.llm.common import read_table
 from contentdup.llm.ngram_join import ngram_components
-from contentdup.llm.packing import pack_documents
+from contentdup.llm.packing import BATCH_TOKENS, BUCKETS, pack_documents
 from contentdup.llm.pii import find_personal_data
 from contentdup.llm.quality import score_quality
 from contentdup.llm.rules import apply_rules, train_rule_model
@@ -42,6 +42,36 @@ def op3_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_components(read_table(spark, folder, "documents"), n=4, num=85, den=100)
 
 
+OP3_SQL = """
+WITH RECURSIVE texts AS (
+    SELECT doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS words
+    FROM documents
+), shingles AS (
+    SELECT DISTINCT doc_id, unnest(CASE
+        WHEN len(words) = 0 THEN []
+        WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
+        ELSE list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' ')) END) AS shingle
+    FROM texts
+), sizes AS (
+    SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), shared AS (
+    SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k
+    FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+    GROUP BY ALL
+), links AS (
+    SELECT x, y FROM shared JOIN sizes s ON s.doc_id = x JOIN sizes t ON t.doc_id = y
+    WHERE 100 * k >= 85 * (s.n + t.n - k)
+), reached AS (
+    SELECT doc_id, doc_id AS other FROM documents
+    UNION SELECT r.doc_id, l.y FROM reached r JOIN links l ON l.x = r.other
+)
+SELECT doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(other) AS component_id
+FROM reached LEFT JOIN sizes USING (doc_id)
+GROUP BY doc_id
+"""
+
+
 def op4_top_products(spark: SparkSession, folder: str) -> DataFrame:
     return top_products(read_table(spark, folder, "embeddings"), every=50, k=5, scale=256)
 
@@ -69,6 +99,55 @@ def op5_length_buckets(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(read_table(spark, folder, "documents"))
 
 
+def _bucket_sql(buckets: int, batch_tokens: int) -> str:
+    """The same dynamic program, one level after the other."""
+    levels = ["d1 AS (SELECT j, length * cum AS cost, 0::BIGINT AS i FROM p)"]
+    for k in range(2, buckets + 1):
+        levels.append(f"""
+            d{k} AS (
+                SELECT j, best[1] AS cost, best[2] AS i FROM (
+                    SELECT b.j, min([a.cost + b.length * (b.cum - c.cum), a.j]) AS best
+                    FROM p b JOIN d{k - 1} a ON a.j < b.j JOIN p c ON c.j = a.j GROUP BY b.j)
+                UNION ALL SELECT 0, 0, 0)""")
+    totals = " UNION ALL ".join(f"SELECT {k} AS k, cost FROM d{k} WHERE j = (SELECT max(j) FROM p)" for k in range(1, buckets + 1))
+    start = "SELECT max(j) AS j FROM p WHERE (SELECT k FROM used) = {}"
+    traces = [f"t{buckets} AS ({start.format(buckets)} HAVING max(j) IS NOT NULL)"]
+    for k in range(buckets - 1, 0, -1):
+        traces.append(
+            f"t{k} AS ({start.format(k)} HAVING max(j) IS NOT NULL UNION ALL SELECT i FROM t{k + 1} JOIN d{k + 1} USING (j))"
+        )
+    edges = " UNION ".join(f"SELECT j FROM t{k} WHERE j > 0" for k in range(1, buckets + 1))
+    return f"""
+        WITH sized AS (
+            SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n_tokens FROM documents
+        ), lengths AS (
+            SELECT CASE WHEN n_tokens <= 4096 THEN n_tokens
+                        ELSE (ceil(n_tokens / (2 ** (floor(log2(n_tokens)) - 6))) * (2 ** (floor(log2(n_tokens)) - 6)))::BIGINT
+                   END AS length, count(*) AS n
+            FROM sized GROUP BY 1
+        ), p AS (
+            SELECT 0::BIGINT AS j, 0::BIGINT AS length, 0::BIGINT AS cum
+            UNION ALL
+            SELECT row_number() OVER (ORDER BY length), length, sum(n) OVER (ORDER BY length)::BIGINT FROM lengths
+        ), {", ".join(levels)}, used AS (
+            SELECT k FROM ({totals}) ORDER BY cost, k LIMIT 1
+        ), {", ".join(traces)}, edges AS (
+            SELECT (row_number() OVER (ORDER BY length) - 1)::INTEGER AS bucket, length AS padded_to,
+                   coalesce(lag(length) OVER (ORDER BY length), -1) AS above
+            FROM p WHERE j IN ({edges})
+        ), placed AS (
+            SELECT doc_id, n_tokens, bucket, padded_to,
+                   row_number() OVER (PARTITION BY bucket ORDER BY doc_id NULLS FIRST, n_tokens) - 1 AS pos,
+                   greatest({batch_tokens} // greatest(padded_to, 1), 1) AS size
+            FROM sized JOIN edges ON n_tokens > above AND n_tokens <= padded_to
+        )
+        SELECT doc_id, n_tokens, bucket, padded_to, (pos // size)::BIGINT AS batch, (pos % size)::BIGINT AS place FROM placed
+    """
+
+
+OP5_SQL = _bucket_sql(BUCKETS, BATCH_TOKENS)
+
+
 def op6_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     return format_chats(read_table(spark, folder, "conversations"))
 
@@ -136,4 +215,4 @@ LLM_QUERIES = {
     "op10_word_bpe": op10_word_bpe,
 }
 
-LLM_ORACLES = {"op4_top_products": OP4_SQL, "op6_chat_format": OP6_SQL}
+LLM_ORACLES = {"op3_ngram_join": OP3_SQL, "op4_top_products": OP4_SQL, "op5_length_buckets": OP5_SQL, "op6_chat_format": OP6_SQL}
