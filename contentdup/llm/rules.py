@@ -91,6 +91,20 @@ def _fit_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     )
 
 
+def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row from those of all parts, weighted by their rows."""
+    total, bias, weights = 0, 0.0, np.zeros(1 << BITS)
+    for batch in batches:
+        for n, part_bias, part in zip(batch.column("n").to_pylist(), batch.column("bias").to_pylist(), batch.column("weights")):
+            total, bias = total + n, bias + n * part_bias
+            weights += n * np.frombuffer(part.as_buffer(), np.float32).astype(np.float64)
+    mean = (weights / max(total, 1)).astype(np.float32)
+    yield pa.RecordBatch.from_arrays(
+        [pa.array([total], pa.int64()), pa.array([bias / max(total, 1)]), pa.array([mean.tobytes()], pa.binary())],
+        ["n", "bias", "weights"],
+    )
+
+
 def _platt(scores: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     """Slope and offset by Newton steps; targets are drawn in a little, so
     separable rows stay finite."""
@@ -126,18 +140,19 @@ def train_rule_model(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMP
     sample = settle(single.orderBy(key, "doc_id").limit(sample_rows), "rule-labels").df
     rows = texts(docs).join(F.broadcast(sample), "doc_id").withColumn("fold", F.pmod(key, F.lit(5)))
     rows = settle(rows, "rule-sample").df.coalesce(4 * PARTS)
+    schema = "n bigint, bias double, weights binary"
     fitted = (
         rows.where("fold > 0")
         .repartition(PARTS, "doc_id")
         .sortWithinPartitions("doc_id", "text")
         .select("text", "quality")
-        .mapInArrow(_fit_part, "n bigint, bias double, weights binary")
-        .collect()  # one row of fixed size for each of PARTS parts
+        .mapInArrow(_fit_part, schema)
+        .repartition(1)  # a row of fixed size from each part
+        .mapInArrow(_average, schema)
+        .first()
     )
-    total = max(sum(row.n for row in fitted), 1)
-    weights = sum(np.frombuffer(row.weights, np.float32) * (row.n / total) for row in fitted)
-    weights = np.asarray(weights, np.float32) * np.ones(1 << BITS, np.float32)
-    bias = float(sum(row.bias * row.n / total for row in fitted))
+    weights = np.zeros(1 << BITS, np.float32) if fitted is None else np.frombuffer(fitted.weights, np.float32)
+    bias = 0.0 if fitted is None else fitted.bias
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
