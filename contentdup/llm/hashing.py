@@ -15,6 +15,8 @@ import numpy as np
 
 # Longer words are hashed by digest, so that the table of places stays small.
 LONG_WORD = 4096
+# Bytes worked on at once, so that long texts need little more than themselves.
+CHUNK = 1 << 22
 
 _PLACES = np.random.default_rng(7).integers(1, 2**63, LONG_WORD, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _STEPS = np.random.default_rng(11).integers(1, 2**63, 64, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -78,18 +80,35 @@ class Words:
         """One 64-bit hash per word."""
         if not len(self.starts):
             return np.zeros(0, np.uint64)
-        sizes = self.stops - self.starts
-        place = np.arange(len(self.data)) - np.repeat(
-            np.append(0, self.starts), np.diff(np.concatenate([[0], self.starts, [len(self.data)]]))
-        )
-        terms = (self.folded.astype(np.uint64) + np.uint64(1)) * _PLACES[np.minimum(place, LONG_WORD - 1)]
-        terms[_SPACE[self.data]] = 0
-        sums = np.add.reduceat(terms, self.starts)
-        for word in np.flatnonzero(sizes > LONG_WORD):
+        sums = np.zeros(len(self.starts), np.uint64)
+        first = 0
+        while first < len(sums):
+            last = max(first + 1, int(np.searchsorted(self.stops, self.starts[first] + CHUNK, side="right")))
+            if last > first + 1 or self.stops[first] - self.starts[first] <= LONG_WORD:
+                sums[first:last] = self._short_words(first, last)
+            first = last
+        for word in np.flatnonzero(self.stops - self.starts > LONG_WORD):
             raw = self.folded[self.starts[word] : self.stops[word]].tobytes()
             sums[word] = int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little")
         return mix(sums)
 
+    def _short_words(self, first: int, last: int) -> np.ndarray:
+        begin, end = self.starts[first], self.stops[last - 1]
+        starts = self.starts[first:last] - begin
+        place = np.arange(end - begin) - np.repeat(starts, np.diff(np.append(starts, end - begin)))
+        terms = (self.folded[begin:end].astype(np.uint64) + np.uint64(1)) * _PLACES[np.minimum(place, LONG_WORD - 1)]
+        terms[_SPACE[self.data[begin:end]]] = 0
+        return np.add.reduceat(terms, starts)
+
+    @cached_property
+    def byte_counts(self) -> np.ndarray:
+        """How often each byte occurs in each text."""
+        counts = np.zeros((len(self.bounds) - 1, 256), np.int64)
+        for text, (begin, end) in enumerate(zip(self.bounds[:-1], self.bounds[1:])):
+            for at in range(begin, end, CHUNK):
+                counts[text] += np.bincount(self.data[at : min(at + CHUNK, end)], minlength=256)
+        return counts
+
 
 def word_grams(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all windows of ``n`` words, and the bounds of the texts in
@@ -115,11 +134,16 @@ def char_grams(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     bounds = np.append(0, np.cumsum(lengths))
     if size <= 0 or not bounds[-1]:
         return np.zeros(0, np.uint64), bounds
-    sums = np.zeros(size, np.uint64)
-    for step in range(n):
-        sums += (words.folded[step : step + size].astype(np.uint64) + np.uint64(1)) * _STEPS[32 + step]
+    hashes = np.zeros(size, np.uint64)
+    for at in range(0, size, CHUNK):
+        part = hashes[at : at + CHUNK]
+        for step in range(n):
+            part += (words.folded[at + step : at + step + len(part)].astype(np.uint64) + np.uint64(1)) * _STEPS[32 + step]
+        part[:] = mix(part)
+    if len(lengths) == 1:
+        return hashes, bounds
     text = np.repeat(np.arange(len(lengths)), lengths)
-    return mix(sums[np.arange(bounds[-1]) - bounds[text] + words.bounds[text]]), bounds
+    return hashes[np.arange(bounds[-1]) - bounds[text] + words.bounds[text]], bounds
 
 
 def sums_by_text(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:

@@ -36,7 +36,7 @@ def hashed_features(words: Words) -> list[tuple[np.ndarray, np.ndarray]]:
     """Slots of each kind of n-gram, with the bounds of the texts in them."""
     kinds = [word_grams(words, 1), word_grams(words, 2), char_grams(words, CHARACTERS)]
     return [
-        (((grams ^ np.uint64(kind)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - BITS)).astype(np.int64), bounds)
+        (((grams ^ np.uint64(kind)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - BITS)).astype(np.int32), bounds)
         for kind, (grams, bounds) in enumerate(kinds)
     ]
 
@@ -44,8 +44,9 @@ def hashed_features(words: Words) -> list[tuple[np.ndarray, np.ndarray]]:
 def margins(features, weights: np.ndarray, bias: float) -> np.ndarray:
     total = np.full(len(features[0][1]) - 1, bias)
     for slots, bounds in features:
-        sums = np.append(0.0, np.cumsum(weights[slots], dtype=np.float64))
-        total += (sums[bounds[1:]] - sums[bounds[:-1]]) / np.sqrt(np.maximum(np.diff(bounds), 1))
+        found = weights[slots]
+        sums = [found[start:stop].sum(dtype=np.float64) for start, stop in zip(bounds[:-1], bounds[1:])]
+        total += np.array(sums) / np.sqrt(np.maximum(np.diff(bounds), 1))
     return total
 
 

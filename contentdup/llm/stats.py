@@ -24,17 +24,13 @@ _HIGH = np.arange(256) >= 0x80
 _BLANKS = " \t\n\x0b\x0c\r"
 
 
-def count_bytes(words: Words, table: np.ndarray) -> np.ndarray:
-    return sums_by_text(table[words.data], words.bounds).astype(np.int64)
-
-
 def word_chars(words: Words) -> np.ndarray:
     """Code points inside words."""
-    return sums_by_text(~_SPACE[words.data] & ~_CONTINUED[words.data], words.bounds).astype(np.int64)
+    return words.byte_counts[:, ~_SPACE & ~_CONTINUED].sum(axis=1)
 
 
 def symbols(words: Words) -> np.ndarray:
-    return count_bytes(words, _SYMBOL)
+    return words.byte_counts[:, _SYMBOL].sum(axis=1)
 
 
 def _equal_to_another(hashes: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -92,9 +88,7 @@ def document_features(words: Words, texts: list[str]) -> np.ndarray:
     full = n_words > 0
     if len(lengths):
         longest[full] = np.maximum.reduceat(lengths, words.first_of_text[:-1][full])
-    text_of_byte = np.repeat(np.arange(len(n_bytes)), n_bytes)
-    counts = np.bincount(text_of_byte * 256 + words.data, minlength=256 * len(n_bytes)).reshape(-1, 256)
-    shares = counts / some[:, None]
+    shares = words.byte_counts / some[:, None]
     entropy = -(shares * np.log2(np.maximum(shares, 1e-300))).sum(axis=1)
     share = {name: shares[:, table].sum(axis=1) for name, table in
              {"digits": _DIGIT, "upper": _UPPER, "symbols": _SYMBOL, "marks": _MARK, "stops": _STOP, "high": _HIGH, "blanks": _SPACE}.items()}
