@@ -49,12 +49,20 @@ def store_rows(digests: DataFrame, spec: ScanSpec, version: str = "modified") ->
 
 @dataclass
 class Rescan:
-    """The new store, how many items were new or changed, and how many were
-    digested (the filter lets a few others through)."""
+    """The new store, the items that were new or changed, and those digested
+    (the filter lets a few others through)."""
 
     store: Settled
-    n_fresh: int
-    n_digested: int
+    fresh: Settled
+    digested: Settled
+
+    @property
+    def n_fresh(self) -> int:
+        return self.fresh.n_rows
+
+    @property
+    def n_digested(self) -> int:
+        return self.digested.n_rows
 
     def members(self, floor: int | None = None) -> DataFrame:
         return shared_rows(self.store, floor=floor)
@@ -108,9 +116,9 @@ def rescan_items(items: DataFrame, store: DataFrame, spec: ScanSpec = ScanSpec()
     column = F.col(version) if version in items.columns else F.lit(None).cast("timestamp")
     items = items.withColumn("modified", column)
     valid, fresh = _match(keep_items(items, spec).select("path", "size_bytes", "modified"), store, spec)
-    digested = settle(digest_items(among(items, fresh.df.select("path")), spec), "digests", compact=True)
+    digested = settle(digest_items(among(items, fresh.df.select("path")), spec), "digests")
     renewed = valid.unionByName(store_rows(digested.df.join(fresh.df.select("path"), "path", "left_semi"), spec))
-    return Rescan(settle(renewed, "digest-store", compact=True), fresh.n_rows, digested.n_rows)
+    return Rescan(settle(renewed, "digest-store", compact=True), fresh, digested)
 
 
 def rescan_files(found: DataFrame, store: DataFrame, spec: ScanSpec = ScanSpec()) -> Rescan:
@@ -119,4 +127,4 @@ def rescan_files(found: DataFrame, store: DataFrame, spec: ScanSpec = ScanSpec()
     how = spec.mode if stored_mode(spec) != "whole" else "whole"
     digested = read_digests(fresh.df, how, spec.prefix_bytes, spec.algorithm).where("digest IS NOT NULL")
     renewed = valid.unionByName(store_rows(digested, spec))
-    return Rescan(settle(renewed, "digest-store", compact=True), fresh.n_rows, fresh.n_rows)
+    return Rescan(settle(renewed, "digest-store", compact=True), fresh, fresh)
