@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from contentdup.llm.common import read_table
 from contentdup.llm.ngram_join import ngram_components
 from contentdup.llm.packing import pack_documents
 from contentdup.llm.pii import mask_personal_data
@@ -28,9 +29,11 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that the fixed rules or the regression reject."""
-    docs = docs.select(*COLUMNS)
-    return keep_by_rules(docs, train_rule_model(docs, training_labels(spark, sf_dir)))
+    """Drop the documents that the fixed rules or the regression reject. The
+    regression learns from all documents, as in op8: what the stage before
+    left has hardly a row of low quality."""
+    model = train_rule_model(read_table(spark, sf_dir, "documents"), training_labels(spark, sf_dir))
+    return keep_by_rules(docs.select(*COLUMNS), model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

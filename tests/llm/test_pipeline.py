@@ -2,12 +2,13 @@
 
 import duckdb
 import pytest
+from pyspark.sql import Row
 
 import corpus_pipeline as pipeline
 from contentdup.llm.ngram_join import ngram_components
 from contentdup.llm.pii import base_spans
 from contentdup.llm.quality import score_quality
-from contentdup.llm.queries import training_labels
+from contentdup.llm.queries import op8_quality_rules, training_labels
 from tests.llm.test_join import brute
 
 FOLDER = "/root/testdata/sf0.001"
@@ -44,6 +45,21 @@ def test_clean_documents_stay(stages):
     assert len(good & set(ids(stages[2]))) >= 0.9 * len(good)
 
 
+def test_rules_keep_what_op8_keeps(spark, stages):
+    kept = {row.doc_id for row in op8_quality_rules(spark, FOLDER).where("kept").collect()}
+    assert sorted(ids(stages[2])) == sorted(i for i in ids(stages[1]) if i in kept)
+
+
+def test_rules_reject_what_the_classifier_missed(spark, stages):
+    verdicts = op8_quality_rules(spark, FOLDER).where("NOT kept AND NOT base_failed").select("doc_id").collect()
+    missed = [row for row in stages[0] if row.doc_id in ids(verdicts)]
+    assert missed
+    # Under ids without a label, beside rows of one class only.
+    again = [Row(**(row.asDict() | {"doc_id": -row.doc_id - 1})) for row in missed]
+    docs = spark.createDataFrame(stages[1]).unionByName(spark.createDataFrame(again))
+    assert sorted(ids(pipeline.quality_rules(spark, docs, FOLDER).collect())) == sorted(ids(stages[2]))
+
+
 def test_one_document_of_each_group_stays(stages):
     placed = brute([(row.doc_id, row.text) for row in stages[2]], 5, 80, 100)
     assert sorted(ids(stages[3])) == sorted(i for i, _, group in placed if i == group)
