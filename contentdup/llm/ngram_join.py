@@ -240,6 +240,8 @@ def _with_elements(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
     )
     table = np.zeros(((1 << FILTER_BITS) // 8) + 8192, np.uint8)
     for row in bits:
+        if row.bucket == 0:  # slot 0, whose rows all pass below
+            continue
         at = (row.bucket - 1) * len(row.bits)
         table[at : at + len(row.bits)] = np.frombuffer(row.bits, np.uint8)
     held = docs.sparkSession.sparkContext.broadcast(table)

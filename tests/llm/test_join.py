@@ -64,6 +64,13 @@ def test_one_large_group(spark):
     assert {row.component_id for row in got.collect()} == {0}
 
 
+def test_filter_slot_zero(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "FILTER_BITS", 0)
+    rows = near_copies(3, 40)
+    got = ngram_join.ngram_components(documents(spark, rows), 4, 85, 100)
+    assert rows_of(got, "doc_id", "n_shingles", "component_id") == brute(rows, 4, 85, 100)
+
+
 def test_no_documents(spark):
     assert ngram_join.ngram_components(documents(spark).where("false")).count() == 0
     assert ngram_join.ngram_components(documents(spark, [(1, None), (2, "")])).count() == 2
