@@ -87,9 +87,9 @@ def altered_documents(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def partly_empty_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents with a stored size; every ninth has lost its text."""
+def partly_empty_documents(spark: SparkSession, folder: str, stored_size: bool = True) -> DataFrame:
+    """Documents with or without a stored size; every ninth has lost its text."""
     rows = table(spark, folder, "documents")
     path = _document_path(F.col("source"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
     text = F.when(F.col("doc_id") % 9 != 0, F.col("text"))
-    return table_items(rows, path, text, size=F.octet_length("text"))
+    return table_items(rows, path, text, size=F.octet_length("text") if stored_size else None)

@@ -243,6 +243,11 @@ ORACLES: dict[str, str] = {
                CASE WHEN doc_id % 9 = 0 THEN 'unreadable' WHEN strlen(text) > 6000 THEN 'size_out_of_range' ELSE 'kept' END AS reason,
                doc_id % 9 = 0 AND strlen(text) <= 6000 AS reported
         FROM documents""",
+    "scan_unreadable_unsized": """
+        SELECT '/' || source || '/' || lang || '/' || doc_id || '.txt' AS path,
+               CASE WHEN doc_id % 9 = 0 THEN 'unreadable' WHEN strlen(text) > 6000 THEN 'size_out_of_range' ELSE 'kept' END AS reason,
+               doc_id % 9 = 0 AS reported
+        FROM documents""",
     "exclude_glob_brackets": f"""
         SELECT path, size_bytes FROM ({_DOCUMENTS})
         WHERE NOT regexp_full_match(name, '[\\[1].*') AND NOT regexp_full_match(name, '[^0-8].[\\]^\\-0].*')""",

@@ -263,7 +263,16 @@ def dupes_by_mode(spark, folder):
 def scan_unreadable(spark, folder):
     """Documents with a stored size of which every ninth has no content: what
     the audit says, and what the scan reports."""
-    items = b.partly_empty_documents(spark, folder)
+    return _audited_and_reported(b.partly_empty_documents(spark, folder))
+
+
+@query("scan_unreadable_unsized")
+def scan_unreadable_unsized(spark, folder):
+    """The same without a stored size: what has no content has no size."""
+    return _audited_and_reported(b.partly_empty_documents(spark, folder, stored_size=False))
+
+
+def _audited_and_reported(items):
     scan = scan_items(items, ScanSpec(max_bytes=6000))
     reported = scan.unreadable.select("path", F.lit(True).alias("reported"))
     audited = audit(items, ScanSpec(max_bytes=6000))

@@ -98,11 +98,23 @@ def _entry_rules(spec: ScanSpec) -> list[tuple[str, Column]]:
     return rules
 
 
-def keep_items(items: DataFrame, spec: ScanSpec) -> DataFrame:
-    """Items that pass every rule of ``spec``; one ``where`` per rule."""
+def _pass_entry_rules(items: DataFrame, spec: ScanSpec) -> DataFrame:
     for _, rejected in _entry_rules(spec):
         items = items.where(~rejected)
-    return items.where(in_size_range(F.col("size_bytes"), spec))
+    return items
+
+
+def keep_items(items: DataFrame, spec: ScanSpec) -> DataFrame:
+    """Items that pass every rule of ``spec``; one ``where`` per rule."""
+    return _pass_entry_rules(items, spec).where(in_size_range(F.col("size_bytes"), spec))
+
+
+def unreadable_items(items: DataFrame, spec: ScanSpec) -> DataFrame:
+    """``path, error`` of the items without content or size that no rule of
+    ``spec`` rejects; a size that is not known is in any range."""
+    size, lost = F.col("size_bytes"), F.col("content").isNull()
+    found = _pass_entry_rules(items, spec).where(size.isNull() | (lost & in_size_range(size, spec)))
+    return found.select("path", F.when(lost, "no content").otherwise("no size").alias("error"))
 
 
 def audit(items: DataFrame, spec: ScanSpec) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contentdup.functions.digests import PREFIX_TIERS, candidate_bytes, digest_bytes
-from contentdup.operators.filters import keep_items
+from contentdup.operators.filters import keep_items, unreadable_items
 from contentdup.operators.groups import KEYS, count_groups, distinct_paths, shared_rows
 from contentdup.operators.settle import Settled, settle
 from contentdup.sources.content import read_digests
@@ -102,11 +102,10 @@ def scan_items(items: DataFrame, spec: ScanSpec = ScanSpec(), floor: int | None
 
     Verified modes need no candidate stage here, as the pass that would
     compute prefixes or regions has all bytes at hand. Rows without content
-    are listed in ``unreadable``.
+    or size are listed in ``unreadable``.
     """
-    without = keep_items(items, spec).where(F.col("content").isNull())
-    unreadable = without.select("path", F.lit("no content").alias("error"))
-    return Scan(settle(digest_items(items, spec), "digests", compact=True), floor, unreadable=unreadable)
+    digests = settle(digest_items(items, spec), "digests", compact=True)
+    return Scan(digests, floor, unreadable=unreadable_items(items, spec))
 
 
 def scan_groups(items: DataFrame, spec: ScanSpec = ScanSpec()) -> DataFrame:

@@ -19,6 +19,7 @@ from contentdup.sources.synthetic import plant_copies
 from contentdup.sources.tables import table_items
 from contentdup.spec import ScanSpec
 from tests.conftest import expected_groups, flat
+from tests.llm.cases import rows_of
 
 QUICK, FULL, REGIONS = (ScanSpec(mode=m) for m in ("quick", "full", "multi_region"))
 REGIONS_ONLY = ScanSpec(mode="multi_region", verify=False)
@@ -113,6 +114,19 @@ def test_rows_without_content_are_listed(spark):
     assert reasons == {"/a": "kept", "/b": "kept", "/c": "unreadable", "/d": "unreadable"}
 
 
+def test_rows_without_content_or_size_are_listed(spark):
+    rows = spark.createDataFrame([("/a", b"x", 1), ("/b", b"x", None), ("/c", None, None), ("/d.tmp", None, None)], "p string, c binary, n bigint")
+    spec = ScanSpec(max_bytes=5, exclude=("*.tmp",))
+    unsized = table_items(rows, F.col("p"), F.col("c"))
+    scan = scan_items(unsized, spec)
+    assert rows_of(scan.unreadable) == [("/c", "no content")] and scan.members.n_rows == 2
+    sized = table_items(rows, F.col("p"), F.col("c"), size=F.col("n"))
+    assert rows_of(scan_items(sized, spec).unreadable) == [("/b", "no size"), ("/c", "no content")]
+    for items in (unsized, sized):
+        lost = audit(items, spec).where("reason = 'unreadable'").select("path")
+        assert rows_of(lost) == rows_of(scan_items(items, spec).unreadable.select("path"))
+
+
 def test_verified_regions_digest_once(corpus):
     plan = scan_items(corpus(demo()), REGIONS).digests.df
     assert plan.columns == ["path", "size_bytes", "digest"]
