@@ -37,12 +37,30 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group that shares 80 % of its five-word
-    shingles: the one with the smallest ``doc_id``. Rows of one ``doc_id`` stay
-    or go together; rows without one stay."""
-    placed = ngram_components(docs, n=5, num=80, den=100)
-    dropped = settle(placed.where("doc_id <> component_id").select("doc_id").distinct(), "near-copies").df
-    return docs.select(*COLUMNS).join(dropped, "doc_id", "left_anti").select(*COLUMNS)
+    """Keep one row of each group that shares 80 % of its five-word shingles:
+    the one with the smallest ``doc_id``, and of several such rows the one with
+    the smallest hash of the row. Groups are made of rows, so rows of another
+    group under the same ``doc_id`` stay. Rows without ``doc_id`` belong to
+    groups too; such a row does not stand for one with an id, so a group keeps
+    one of each kind. Rows without words are no copies of anything and stay.
+    """
+    rows = docs.select(*COLUMNS).withColumn("row_id", F.xxhash64(*COLUMNS))
+    placed = ngram_components(rows.select(F.col("row_id").alias("doc_id"), "text"), n=5, num=80, den=100)
+    # Equal rows have one row_id, and one text is in one group.
+    placed = placed.where("n_shingles > 0").groupBy(F.col("doc_id").alias("row_id")).agg(F.min("component_id").alias("component_id"))
+    counted = rows.groupBy("row_id").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
+    grouped = settle(counted.join(placed, "row_id"), "grouped-rows").df
+    first = grouped.groupBy("component_id", F.col("doc_id").isNull()).agg(
+        F.min(F.struct("doc_id", "row_id", "copies")).alias("first")
+    )
+    first = settle(first.select("first.row_id", "first.copies"), "first-rows").df
+    dropped = settle(grouped.join(first, "row_id", "left_anti").select("row_id"), "near-copies").df
+    left = rows.join(dropped, "row_id", "left_anti")
+    repeated = settle(first.where("copies > 1").select("row_id"), "repeated-rows").df
+    if not repeated.isEmpty():
+        once = left.join(repeated, "row_id", "left_semi").dropDuplicates(["row_id"])
+        left = left.join(repeated, "row_id", "left_anti").unionByName(once)
+    return left.select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

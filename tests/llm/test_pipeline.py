@@ -86,3 +86,15 @@ def test_rows_without_id_pass_the_join(spark):
     docs = docs.selectExpr("*", "'' AS lang", "'' AS source", "1L AS n_chars", "'x' AS name")
     assert sorted(ids(pipeline.near_duplicates(spark, docs, FOLDER).collect()), key=repr) == [1, None]
     assert ngram_components(docs).count() == 3
+
+
+def test_near_duplicates_go_by_row(spark):
+    texts = [" ".join(f"{word}{i}" for i in range(30)) for word in "abcd"]
+    rows = [(5, texts[0]), (1, texts[0] + " x"), (5, texts[1]), (5, texts[1]), (7, texts[1]), (5, texts[2])]
+    rows += [(None, texts[3]), (None, texts[3]), (None, texts[3] + " x"), (8, ""), (8, ""), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "'' AS lang", "'' AS source", "1L AS n_chars")
+    left = [(row.doc_id, row.text) for row in pipeline.near_duplicates(spark, docs, FOLDER).collect()]
+    without = [text for doc_id, text in left if doc_id is None]
+    assert len(without) == 1 and without[0].startswith(texts[3])
+    wanted = [(1, texts[0] + " x"), (5, texts[1]), (5, texts[2]), (8, ""), (8, ""), (9, None)]
+    assert sorted((row for row in left if row[0] is not None), key=repr) == sorted(wanted, key=repr)
