@@ -230,7 +230,7 @@ def _with_elements(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
     """Members with ``elements``, computed from their texts again.
 
     A bit table of fixed size keeps most other texts out; the join is exact.
-    Rows that repeat a text give the same set again.
+    Of rows that repeat a text under one ``doc_id`` one counts.
     """
     bits = (
         members.select(_filter_slot().alias("slot"))
@@ -265,7 +265,7 @@ def _with_elements(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
 
     rows = texts(docs).where("doc_id IS NOT NULL").withColumn("slot", _filter_slot()).select("doc_id", "text", place.alias("place"))
     found = rows.mapInArrow(collect_elements, "doc_id bigint, name bigint, elements binary")
-    return found.join(members, ["name", "doc_id"])
+    return found.join(members, ["name", "doc_id"]).dropDuplicates(["name", "doc_id"])
 
 
 def _linked(blocks: DataFrame, num: int, den: int) -> DataFrame:

@@ -139,7 +139,9 @@ def train_rule_model(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMP
     # One label per document; of contradicting ones the lower.
     single = usable.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     sample = settle(single.orderBy(key, "doc_id").limit(sample_rows), "rule-labels").df
-    rows = texts(docs).join(F.broadcast(sample), "doc_id").withColumn("fold", F.pmod(key, F.lit(5)))
+    # One row per document; of several texts the smallest.
+    found = texts(docs).join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("quality").alias("quality"))
+    rows = found.withColumn("fold", F.pmod(key, F.lit(5)))
     rows = settle(rows, "rule-sample").df.coalesce(4 * PARTS)
     schema = "n bigint, bias double, weights binary"
     fitted = (

@@ -71,6 +71,13 @@ def test_filter_slot_zero(spark, monkeypatch):
     assert rows_of(got, "doc_id", "n_shingles", "component_id") == brute(rows, 4, 85, 100)
 
 
+def test_one_row_of_elements_per_set(spark):
+    docs = documents(spark, [(1, "a b c d e")] * 5 + [(1, "A b c d e"), (2, "a b c d e"), (3, "other words than those")])
+    signed = ngram_join.gram_signatures(docs, 4, 85, 100)
+    members = signed.where("doc_id <> 2").select("name", "doc_id").distinct()
+    assert ngram_join._with_elements(docs, members, 4).groupBy("name").count().where("count > 1").isEmpty()
+
+
 def test_no_documents(spark):
     assert ngram_join.ngram_components(documents(spark).where("false")).count() == 0
     assert ngram_join.ngram_components(documents(spark, [(1, None), (2, "")])).count() == 2

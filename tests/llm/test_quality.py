@@ -115,6 +115,14 @@ def test_rules_on_unseen_rows(spark, data):
     assert np.mean([verdicts[i] == bool(q) for i, q in truth]) > 0.95
 
 
+def test_rules_take_one_row_of_a_repeated_id(spark, data):
+    rows, marks = data
+    once = rules.train_rule_model(documents(spark, rows[:100]), labels(spark, marks[:100]))
+    more = rows[:100] + [(i, text + " ~") for i, text in rows[:40]] + rows[:40]
+    again = rules.train_rule_model(documents(spark, more), labels(spark, marks[:100]))
+    assert np.allclose(once.weights, again.weights) and once.slope == pytest.approx(again.slope)
+
+
 def test_rules_without_labels(spark):
     model = rules.train_rule_model(documents(spark), labels(spark, []))
     got = rules.apply_rules(documents(spark), model).collect()
