@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contentdup.llm.chat import format_chats
 from contentdup.llm.common import read_table
+from contentdup.llm.divergence import audit_sources
+from contentdup.llm.licenses import scan_licenses
+from contentdup.llm.merkle import merkle_manifest
 from contentdup.llm.ngram_join import ngram_components
+from contentdup.llm.oracles import divergence_sql, licenses_sql, manifest_sql
 from contentdup.llm.packing import BATCH_TOKENS, BUCKETS, pack_documents
 from contentdup.llm.pii import find_personal_data
 from contentdup.llm.quality import score_quality
@@ -192,16 +195,47 @@ def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op9_bit_planes(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
     docs = read_table(spark, folder, "documents")
     written = write_token_files(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
     return read_token_files(written.df)
 
 
 def op10_word_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
     docs = read_table(spark, folder, "documents")
     return encode_words(docs, public_tokenizers.path("word_bpe_49k.json"), digests=True)
 
 
+def op11_license_templates(spark: SparkSession, folder: str) -> DataFrame:
+    found = scan_licenses(read_table(spark, folder, "documents"))
+    base = F.filter("found", lambda f: f["base"])
+    starts = F.transform(base, lambda f: f["first_word"])
+    labels = lambda places: F.array_join(F.sort_array(F.array_distinct(F.transform(places, lambda f: f["label"]))), ",")
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("bigint").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        labels(base).alias("base_labels"),
+        labels(F.col("found")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("found", lambda f: f["score"])), F.lit(0.0)).alias("score"),
+    )
+
+
+def op12_slot_pivot(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents")
+    manifest = merkle_manifest(docs, tampered=F.crc32(F.col("doc_id").cast("string")) % 3 == 0)
+    return manifest.drop("siblings", "n_levels")
+
+
+def op13_pair_merge(spark: SparkSession, folder: str) -> DataFrame:
+    return audit_sources(read_table(spark, folder, "documents"))
+
+
 LLM_QUERIES = {
     "op1_skip_chain": op1_skip_chain,
     "op2_quality_kernel": op2_quality_kernel,
@@ -213,6 +247,17 @@ LLM_QUERIES = {
     "op7_url_trees": op7_url_trees,
     "op9_bit_planes": op9_bit_planes,
     "op10_word_bpe": op10_word_bpe,
+    "op11_license_templates": op11_license_templates,
+    "op12_slot_pivot": op12_slot_pivot,
+    "op13_pair_merge": op13_pair_merge,
 }
 
-LLM_ORACLES = {"op3_ngram_join": OP3_SQL, "op4_top_products": OP4_SQL, "op5_length_buckets": OP5_SQL, "op6_chat_format": OP6_SQL}
+LLM_ORACLES = {
+    "op3_ngram_join": OP3_SQL,
+    "op4_top_products": OP4_SQL,
+    "op5_length_buckets": OP5_SQL,
+    "op6_chat_format": OP6_SQL,
+    "op11_license_templates": licenses_sql(),
+    "op12_slot_pivot": manifest_sql(),
+    "op13_pair_merge": divergence_sql(),
+}
