@@ -32,6 +32,19 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return table_items(table(spark, folder, "documents"), _document_path(F.col("source"), name), F.col("text"))
 
 
+# What stands before and after a path, by doc_id modulo 6.
+ODD_NAMES = [(" /", ""), ("/", " "), ('/q"u,', ',"'), ("/back\\", "\\"), ("/line\n", "\n"), ("/cr\r", "\r\n'")]
+
+
+def oddly_named_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents whose paths hold what separates or quotes values in files."""
+    number = F.col("doc_id") % len(ODD_NAMES)
+    path = F.col("doc_id").cast("string")
+    for turn, (before, after) in enumerate(ODD_NAMES):
+        path = F.when(number == turn, F.concat(F.lit(before), F.col("doc_id").cast("string"), F.lit(after))).otherwise(path)
+    return table_items(table(spark, folder, "documents"), path, F.col("text"))
+
+
 def marked_documents(spark: SparkSession, folder: str) -> DataFrame:
     """The same with hidden folders (sources that end in 3), hidden files
     (under 200 characters) and links (Spanish, over 2,000 characters)."""

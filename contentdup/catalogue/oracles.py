@@ -15,6 +15,13 @@ _MARKED = """
                strlen(text)::BIGINT AS size_bytes, encode(text) AS content
         FROM documents)
 """
+_ODDLY_NAMED = """
+    SELECT CASE doc_id % 6 WHEN 0 THEN ' /' || doc_id WHEN 1 THEN '/' || doc_id || ' ' WHEN 2 THEN '/q"u,' || doc_id || ',"'
+                WHEN 3 THEN '/back\\' || doc_id || '\\' WHEN 4 THEN '/line' || chr(10) || doc_id || chr(10)
+                ELSE '/cr' || chr(13) || doc_id || chr(13) || chr(10) || chr(39) END AS path,
+           strlen(text)::BIGINT AS size_bytes, encode(text) AS content
+    FROM documents
+"""
 _PAGES = """
     SELECT '/pages/' || page_id || '.html' AS path, strlen(html)::BIGINT AS size_bytes, encode(html) AS content
     FROM pages
@@ -303,6 +310,7 @@ ORACLES: dict[str, str] = {
     "removal_selected_unguarded": _selected("picked"),
     "export_json_written": _nested(2, "size_bytes, hash, part, paths"),
     "export_csv_written": f"SELECT size_bytes, digest AS hash, path FROM ({_members(_DOCUMENTS)})",
+    "export_csv_odd_paths": f"SELECT size_bytes, digest AS hash, path FROM ({_members(_ODDLY_NAMED)})",
     "export_json_rows": _nested(10_000, "size_bytes, hash, part, paths"),
     "export_csv_rows": f"SELECT size_bytes, digest AS hash, path FROM ({_members(_DOCUMENTS)})",
 }

@@ -22,7 +22,7 @@ from contentdup.operators.removal import (
 from contentdup.operators.summary import corpus_stats, scan_funnel, scan_summary, space_savings
 from contentdup.operators.numbering import number_members
 from contentdup.operators.settle import shared_folder
-from contentdup.plans.export import csv_rows, json_rows
+from contentdup.plans.export import csv_rows, json_rows, read_csv
 from contentdup.plans.report import detail_report, nested_groups, report, result_table, sort_groups, sort_rows
 from contentdup.plans.rescan import rescan_items, store_rows
 from contentdup.plans.scan import (
@@ -495,7 +495,16 @@ def export_csv_written(spark, folder):
     """The CSV of a whole run, read back."""
     out = _export_folder(spark, "csv")
     report(scan_items(b.documents(spark, folder)), csv_out=out)
-    return spark.read.schema("size_bytes bigint, hash string, path string").option("header", True).csv(out)
+    return read_csv(spark, out)
+
+
+@query("export_csv_odd_paths")
+def export_csv_odd_paths(spark, folder):
+    """The same with blanks at both ends, quotes, commas, backslashes and line
+    ends in the paths."""
+    out = _export_folder(spark, "csv")
+    report(scan_items(b.oddly_named_documents(spark, folder)), csv_out=out)
+    return read_csv(spark, out)
 
 
 @query("report_by_decision")

@@ -31,6 +31,17 @@ def shared_folder(spark: SparkSession) -> str:
 _local_folders: dict[str, str] = {}
 
 
+def file_system(spark: SparkSession, folder: str):
+    """The file system of a folder, and the folder as one of its paths."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    files, path = file_system(spark, folder)
+    files.delete(path, True)
+
+
 @dataclass
 class Settled:
     """A written table: the frame that reads it and, on demand, its row count."""
@@ -47,9 +58,7 @@ class Settled:
 
     def drop(self) -> None:
         """Delete the table; frames made from it end with it."""
-        context = self.df.sparkSession.sparkContext
-        path = context._jvm.org.apache.hadoop.fs.Path(self.folder)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        delete_folder(self.df.sparkSession, self.folder)
 
     def __enter__(self) -> Settled:
         return self

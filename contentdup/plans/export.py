@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -21,6 +21,22 @@ def write_json(groups: DataFrame, folder: str) -> None:
     json_rows(groups).write.mode("overwrite").json(folder)
 
 
+# Every value in quotes, a quote inside doubled, blanks and line ends kept: what
+# any reader of CSV takes back as it was.
+CSV_OPTIONS = {
+    "header": True,
+    "quoteAll": True,
+    "escape": '"',
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+}
+
+
 def write_csv(members: DataFrame, folder: str) -> None:
     """CSV with a header line in every file, also when there are no rows."""
-    csv_rows(members).write.mode("overwrite").option("header", True).csv(folder)
+    csv_rows(members).write.mode("overwrite").options(**CSV_OPTIONS).csv(folder)
+
+
+def read_csv(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows of an exported folder; paths may hold line ends."""
+    return spark.read.schema("size_bytes bigint, hash string, path string").options(**CSV_OPTIONS, multiLine=True).csv(folder)

@@ -103,6 +103,9 @@ def read_digests(
             yield batch.assign(**{column: digests, "error": errors})
 
     rows = files.drop("error", column)
+    # Times go through Python as numbers, as its calendar ends before Spark's.
+    times = [f.name for f in rows.schema if f.dataType.simpleString() == "timestamp"]
+    rows = rows.withColumns({name: F.unix_micros(name) for name in times})
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
     by_size = rows.repartitionByRange(F.desc("size_bytes"), "path").sortWithinPartitions(F.desc("size_bytes"), "path")
     # The low bits count the rows of a piece: files of similar size go round.
@@ -113,4 +116,5 @@ def read_digests(
         .drop("turn")
         .sortWithinPartitions(F.desc("size_bytes"))
         .mapInPandas(digest, f"{schema}, {column} string, error string")
+        .withColumns({name: F.timestamp_micros(name) for name in times})
     )

@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
-from datetime import datetime, timezone
 from functools import reduce
 
 import pandas as pd
@@ -28,16 +27,17 @@ from contentdup.ship import ship
 from contentdup.sources.tables import binary_file_items
 from contentdup.spec import ScanSpec
 
-SCHEMA = (
-    "path string, name string, dirs array<string>, size_bytes bigint, "
-    "is_symlink boolean, modified timestamp, error string"
-)
+_STATED = "path string, name string, dirs array<string>, size_bytes bigint, is_symlink boolean, micros bigint, error string"
 _BATCH_ROWS = 10_000
+
+
 def _stat(path: str):
+    """Size and time of change in microseconds since 1970, which fit 64 bits for
+    any year that a file system can hold."""
     try:
         found = os.lstat(path)
-        return found.st_size, datetime.fromtimestamp(found.st_mtime, timezone.utc), None
-    except OSError as problem:
+        return found.st_size, found.st_mtime_ns // 1000, None
+    except (OSError, ValueError, OverflowError) as problem:
         return None, None, str(problem)
 
 
@@ -86,9 +86,9 @@ def _stat_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         size, modified, error = zip(*found) if found else ((), (), ())
         yield batch.assign(
             size_bytes=pd.array(size, dtype="Int64"),
-            modified=pd.to_datetime(pd.Series(modified, dtype="object"), utc=True).to_numpy(),
+            micros=pd.array(modified, dtype="Int64"),
             error=list(error),
-        )[["path", "name", "dirs", "size_bytes", "is_symlink", "modified", "error"]]
+        )[["path", "name", "dirs", "size_bytes", "is_symlink", "micros", "error"]]
 
 
 def _by_levels(spark: SparkSession, base: str, spec: ScanSpec, per_task: int = 64) -> DataFrame:
@@ -114,7 +114,10 @@ def _by_levels(spark: SparkSession, base: str, spec: ScanSpec, per_task: int = 6
     for level in levels[1:]:
         files = files.unionByName(level)
     tasks = max(spark.sparkContext.defaultParallelism, -(-files.count() // 100_000))
-    return files.repartition(tasks, "path").mapInPandas(_stat_files, SCHEMA)
+    stated = files.repartition(tasks, "path").mapInPandas(_stat_files, _STATED)
+    # Made in the JVM, whose timestamps hold years that those of Python do not.
+    modified = F.timestamp_micros("micros").alias("modified")
+    return stated.select("path", "name", "dirs", "size_bytes", "is_symlink", modified, "error")
 
 
 def mounted_path(folder: str) -> str | None:

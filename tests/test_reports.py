@@ -1,4 +1,6 @@
+import csv
 import json
+import os
 import random
 from pathlib import Path
 
@@ -6,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from contentdup.operators.numbering import number_members
-from contentdup.plans.export import write_csv, write_json
+from contentdup.plans.export import read_csv, write_csv, write_json
 from contentdup.plans.report import detail_report, nested_groups, report, result_table, sort_groups, sort_rows
 from contentdup.plans.scan import scan_items
 from tests.test_scan import demo
@@ -91,3 +93,18 @@ def test_whole_run(corpus, tmp_path):
     assert out.details.count() == 9 and out.manifest.count() == 5
     assert set(r.action for r in out.manifest.select("action").collect()) == {"would_delete"}
     assert sum(len(p.read_text().splitlines()) for p in Path(tmp_path / "j").glob("part*")) == 4
+
+
+def test_csv_that_any_reader_takes_back(spark, corpus, tmp_path):
+    odd = ["/plain", " /lead", "/a/ b.txt ", '/q"u,ote', '"', "/line\nend", "/cr\r", "/crlf\r\n", "/back\\", '/\\"', "/tab\t", "/'", "#x", "/é"]
+    members = scan_items(corpus({path: b"same" for path in odd})).members
+    out = str(tmp_path / "csv")
+    write_csv(members.df, out)
+    found = []
+    for name in os.listdir(out):
+        if name.endswith(".csv"):
+            with open(os.path.join(out, name), newline="", encoding="utf-8") as file:
+                found += csv.DictReader(file)
+    assert sorted(row["path"] for row in found) == sorted(odd)
+    assert all(set(row) == {"size_bytes", "hash", "path"} and row["size_bytes"] == "4" and len(row["hash"]) == 64 for row in found)
+    assert sorted(r.path for r in read_csv(spark, out).collect()) == sorted(odd)
