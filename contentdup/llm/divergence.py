@@ -6,7 +6,7 @@ a galloping intersection finds the terms that both use. These are priced
 alone, those that one side uses against the other's price of an absent term,
 and all further terms of the block at once. Everything is exact in integers.
 
-Counting combines in the tasks before the shuffle. Blocks bound the arrays, so
+Counting combines in the tasks before the one shuffle by term. Blocks bound the arrays, so
 neither a large vocabulary nor a group with most of the text ends in one task.
 """
 
@@ -31,8 +31,8 @@ _TERM = re.compile(rb"[a-z\x80-\xff]+")
 # Bytes of a text that are split into terms at once.
 CHUNK = 1 << 20
 _GAP = re.compile(rb"[^a-z\x80-\xff]")
-# Terms that a task holds before it hands its counts on.
-HELD_TERMS = 300_000
+# Terms that a task holds before it hands its counts on (some 200 bytes each).
+HELD_TERMS = 500_000
 # Terms of a language in one block.
 BLOCK = 4096
 MIN_DOCS = 10
@@ -54,41 +54,40 @@ def count_terms(docs: DataFrame) -> DataFrame:
     ship(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, dict[bytes, list[int]]] = {}
+        # Occurrences and documents of each term, by group.
+        held: dict[tuple, tuple[Counter, Counter]] = {}
         size = 0
 
         def handed_on():
-            rows = [(*group, term.decode(), n, d) for group, terms in held.items() for term, (n, d) in terms.items()]
-            types = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
-            columns = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
-            return pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "n", "n_docs"])
+            for (lang, source), (n, n_docs) in held.items():
+                terms = pa.array(list(n), pa.binary()).cast(pa.string())
+                counts = [np.fromiter(values, np.int64, len(n)) for values in (n.values(), map(n_docs.__getitem__, n))]
+                names = [pa.repeat(pa.scalar(name, pa.string()), len(n)) for name in (lang, source)]
+                yield pa.RecordBatch.from_arrays([*names, terms, *map(pa.array, counts)], ["lang", "source", "term", "n", "n_docs"])
 
         for batch in slices(batches):
             for lang, source, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "text"))):
-                found: Counter[bytes] = Counter()
+                seen: set[bytes] = set()
                 for words in _pieces(text.encode().lower()):
-                    found.update(words)
-                if not found:
-                    continue
-                terms = held.setdefault((lang, source), {})
-                size -= len(terms)
-                for term, n in found.items():
-                    entry = terms.get(term)
-                    if entry is None:
-                        terms[term] = [n, 1]
-                    else:
-                        entry[0] += n
-                        entry[1] += 1
-                size += len(terms)
+                    if (lang, source) not in held:
+                        held[lang, source] = Counter(), Counter()
+                    n, n_docs = held[lang, source]
+                    size -= len(n)
+                    n.update(words)
+                    size += len(n)
+                    seen.update(words)
+                if seen:
+                    n_docs.update(seen)
                 if size >= HELD_TERMS:
-                    yield handed_on()
+                    yield from handed_on()
                     held, size = {}, 0
-        if size:
-            yield handed_on()
+        yield from handed_on()
 
     named = docs.select(*(F.coalesce(docs[c], F.lit("")).alias(c) for c in ("lang", "source", "text")))
     partial = named.mapInArrow(count, "lang string, source string, term string, n bigint, n_docs bigint")
-    return partial.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("n_docs").alias("n_docs"))
+    # All groups of a term come together, so that what a language has of it is
+    # known without a further shuffle.
+    return partial.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("n_docs").alias("n_docs"))
 
 
 def price(n: Column, total: Column, n_terms: Column) -> Column:
@@ -198,12 +197,15 @@ def audit_sources(docs: DataFrame, min_docs: int = MIN_DOCS, top_terms: int = 10
     long texts are counted piece by piece. Further columns are ignored; an
     empty table gives no rows.
     """
-    counted = settle(count_terms(docs), "term-counts").df
-    by_lang = counted.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("n_docs").alias("lang_docs"))
-    kept = settle(by_lang.where(F.col("lang_docs") >= min_docs).drop("lang_docs"), "lang-terms").df
-    numbered = number_within(kept, "lang", ["term"], "kept-terms")
+    in_lang = W.partitionBy("lang", "term")
+    counted = count_terms(docs).select(
+        "lang", "source", "term", "n", F.sum("n").over(in_lang).alias("lang_n"), F.sum("n_docs").over(in_lang).alias("lang_docs")
+    )
+    frequent = settle(counted.where(F.col("lang_docs") >= min_docs).drop("lang_docs"), "frequent-terms").df
+    kept = settle(frequent.groupBy("lang", "term").agg(F.max("lang_n").alias("lang_n")), "kept-terms").df
+    numbered = number_within(kept, "lang", ["term"], "numbered-terms")
     vocabulary = settle(numbered.select("lang", "term", "lang_n", (F.col("pos") - 1).alias("id")), "vocabulary").df
-    used = settle(counted.join(vocabulary, ["lang", "term"]).select("lang", "source", "term", "n", "lang_n", "id"), "used-terms").df
+    used = settle(frequent.join(vocabulary.drop("lang_n"), ["lang", "term"]), "used-terms").df
 
     # One row per language, one per group.
     langs = vocabulary.groupBy("lang").agg(F.count(F.lit(1)).alias("n_terms"), F.sum("lang_n").alias("lang_total"))

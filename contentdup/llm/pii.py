@@ -56,7 +56,8 @@ def luhn(digits: str) -> bool:
 
 
 def _octets(match: str) -> bool:
-    return all(len(part.lstrip("0")) <= 3 and int(part) <= 255 for part in match.split("."))
+    parts = [part.lstrip("0") or "0" for part in match.split(".")]
+    return all(len(part) <= 3 and int(part) <= 255 for part in parts)
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:

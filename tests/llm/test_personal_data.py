@@ -80,3 +80,11 @@ def test_masking_keeps_columns(spark):
     texts = {row.doc_id: row.text for row in masked.collect()}
     assert texts[6] == "Mail [EMAIL] or call [PHONE], host [IP], card [CARD]."
     assert texts[2] is None and texts[1] == TEXTS[0][1]
+
+
+def test_octets_with_very_many_zeros(spark):
+    """A part of thousands of digits is a number all the same."""
+    text = "at 1.2.3." + "0" * 4400 + "7 or 1.2.3." + "0" * 4400 + "256 or 0000.0.0.0"
+    assert [(kind, end) for _, kind, end in pii.base_spans(text)] == [(1, 4410), (1, len(text))]
+    docs = spark.createDataFrame([(1, text), (2, "mail a@b.cc")], "doc_id bigint, text string")
+    assert {r.doc_id: (r.n_ip, r.n_email) for r in pii.find_personal_data(docs).collect()} == {1: (2, 0), 2: (0, 1)}
