@@ -106,3 +106,27 @@ def partly_empty_documents(spark: SparkSession, folder: str, stored_size: bool =
     path = _document_path(F.col("source"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
     text = F.when(F.col("doc_id") % 9 != 0, F.col("text"))
     return table_items(rows, path, text, size=F.octet_length("text") if stored_size else None)
+
+
+def earlier_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with ``version`` as they may have been before: without every
+    tenth, another tenth with a longer text, and one tenth there twice."""
+    rows = table(spark, folder, "documents").where("doc_id % 10 <> 3")
+    changed = F.col("doc_id") % 10 == 4
+    text = F.when(changed, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    path = _document_path(F.col("source"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    items = table_items(rows, path, text, modified=F.when(changed, 0).otherwise(1), size=F.octet_length(text))
+    gone = table_items(
+        rows.where("doc_id % 10 = 5"), F.concat(F.lit("/gone"), path), F.col("text"), modified=F.lit(1), size=F.octet_length("text")
+    )
+    return items.unionByName(gone).withColumnRenamed("modified", "version")
+
+
+def current_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """The same as they are now; of the new ones every other has lost its text
+    but for its size."""
+    rows = table(spark, folder, "documents")
+    path = _document_path(F.col("source"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    text = F.when(F.col("doc_id") % 20 != 3, F.col("text"))
+    items = table_items(rows, path, text, modified=F.lit(1), size=F.octet_length("text"))
+    return items.withColumnRenamed("modified", "version")

@@ -22,6 +22,20 @@ _ODDLY_NAMED = """
            strlen(text)::BIGINT AS size_bytes, encode(text) AS content
     FROM documents
 """
+_NOW = """
+    SELECT '/' || source || '/' || lang || '/' || doc_id || '.txt' AS path, strlen(text)::BIGINT AS size_bytes,
+           sha256(text) AS digest, CASE WHEN doc_id % 20 <> 3 THEN text END AS content
+    FROM documents
+"""
+_BEFORE = """
+    SELECT path, strlen(text)::BIGINT AS size_bytes, sha256(text) AS digest, version FROM (
+        SELECT '/' || source || '/' || lang || '/' || doc_id || '.txt' AS path,
+               CASE WHEN doc_id % 10 = 4 THEN text || '!' ELSE text END AS text,
+               CASE WHEN doc_id % 10 = 4 THEN 0 ELSE 1 END AS version
+        FROM documents WHERE doc_id % 10 <> 3
+        UNION ALL SELECT '/gone/' || source || '/' || lang || '/' || doc_id || '.txt', text, 1
+        FROM documents WHERE doc_id % 10 = 5)
+"""
 _PAGES = """
     SELECT '/pages/' || page_id || '.html' AS path, strlen(html)::BIGINT AS size_bytes, encode(html) AS content
     FROM pages
@@ -270,6 +284,20 @@ ORACLES: dict[str, str] = {
                   FROM ({_DOCUMENTS})))
         WHERE n_alike > 1 AND n_same = 1""",
     "rescan_incremental": _members(_DOCUMENTS),
+    "rescan_groups": f"""
+        SELECT size_bytes, digest, count(*)::BIGINT AS n_files FROM ({_NOW}) WHERE content IS NOT NULL
+        GROUP BY ALL HAVING count(*) > 1""",
+    "rescan_touched_groups": f"""
+        SELECT size_bytes, digest, coalesce(o.n, 0)::BIGINT AS n_before, coalesce(c.n, 0)::BIGINT AS n_files
+        FROM (SELECT size_bytes, digest, count(*) AS n FROM ({_BEFORE}) GROUP BY ALL) o
+        FULL JOIN (SELECT size_bytes, digest, count(*) AS n FROM ({_NOW}) WHERE content IS NOT NULL GROUP BY ALL) c
+        USING (size_bytes, digest) WHERE o.n IS DISTINCT FROM c.n""",
+    "rescan_differences": f"""
+        SELECT coalesce(c.path, o.path) AS path,
+               CASE WHEN c.path IS NULL THEN 'gone' WHEN o.path IS NULL THEN 'new' ELSE 'changed' END AS state,
+               CASE WHEN c.path IS NOT NULL AND content IS NULL THEN 'no content' END AS error
+        FROM ({_BEFORE}) o FULL JOIN ({_NOW}) c USING (path)
+        WHERE c.path IS NULL OR o.path IS NULL OR o.version <> 1""",
     "space_savings": f"SELECT {_SAVINGS} FROM ({_groups(_DOCUMENTS)})",
     "space_savings_empty": f"SELECT {_SAVINGS} FROM ({_groups(_DOCUMENTS, 'size_bytes <= -1')})",
     "scan_summary": f"""

@@ -24,7 +24,7 @@ from contentdup.operators.numbering import number_members
 from contentdup.operators.settle import shared_folder
 from contentdup.plans.export import csv_rows, json_rows, read_csv
 from contentdup.plans.report import detail_report, nested_groups, report, result_table, sort_groups, sort_rows
-from contentdup.plans.rescan import rescan_items, store_rows
+from contentdup.plans.rescan import Rescan, rescan_items, store_rows
 from contentdup.plans.scan import (
     candidates_by_size,
     digest_items,
@@ -33,6 +33,7 @@ from contentdup.plans.scan import (
     scan_groups,
     scan_items,
 )
+from contentdup.plans.store import DigestStore
 from contentdup.sources.synthetic import plant_copies
 from contentdup.spec import ScanSpec
 
@@ -322,10 +323,41 @@ def rescan_incremental(spark, folder):
     rows = stored.unionByName(stored.where("doc_id % 7 = 0")).unionByName(
         stored.where("doc_id % 11 = 0").withColumn("path", F.concat(F.lit("/gone"), "path"))
     )
-    store = store_rows(rows, ScanSpec(), "version")
+    store = DigestStore.create(store_rows(rows, ScanSpec(), "version"), _store_folder(spark))
     return _flat(rescan_items(items.drop("doc_id"), store, version="version").members())
 
 
+def _store_folder(spark) -> str:
+    return f"{shared_folder(spark)}/contentdup/store-{uuid.uuid4().hex}"
+
+
+def _rescanned(spark, folder) -> Rescan:
+    """Documents scanned into a new store as they were before (some missing,
+    some with other text, some that are gone now), then as they are."""
+    store = DigestStore(spark, _store_folder(spark))
+    rescan_items(b.earlier_documents(spark, folder), store, version="version")
+    return rescan_items(b.current_documents(spark, folder), store, version="version")
+
+
+@query("rescan_groups")
+def rescan_groups(spark, folder):
+    """Group counts kept up to date by signed steps."""
+    return _rescanned(spark, folder).store.groups()
+
+
+@query("rescan_touched_groups")
+def rescan_touched_groups(spark, folder):
+    return _rescanned(spark, folder).store.touched_groups()
+
+
+@query("rescan_differences")
+def rescan_differences(spark, folder):
+    """What has become of each document, and which could not be read."""
+    again = _rescanned(spark, folder)
+    lost = again.unreadable.select("path", "error")
+    return again.differing.df.join(lost, "path", "left").select("path", "state", "error")
+
+
 # Summaries and reports
 
 

@@ -109,6 +109,13 @@ def keep_items(items: DataFrame, spec: ScanSpec) -> DataFrame:
     return _pass_entry_rules(items, spec).where(in_size_range(F.col("size_bytes"), spec))
 
 
+def keep_known_and_unknown(items: DataFrame, spec: ScanSpec) -> DataFrame:
+    """As :func:`keep_items`, and items whose size is not known: it may be in
+    any range."""
+    size = F.col("size_bytes")
+    return _pass_entry_rules(items, spec).where(size.isNull() | in_size_range(size, spec))
+
+
 def unreadable_items(items: DataFrame, spec: ScanSpec) -> DataFrame:
     """``path, error`` of the items without content or size that no rule of
     ``spec`` rejects; a size that is not known is in any range."""

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from contentdup.operators.among import without
 from contentdup.operators.groups import KEYS, count_groups, join_groups, keepers
 from contentdup.operators.numbering import number_members
 from contentdup.operators.settle import Settled, settle
@@ -39,10 +40,12 @@ def removal_manifest(members: Settled, policy: str = "first_path", dry_run: bool
 def survivors(items: DataFrame, manifest: DataFrame) -> DataFrame:
     """Items whose path the manifest does not name.
 
-    Pass items without content, or a written manifest: Spark broadcasts the
-    latter when it is small and shuffles both sides otherwise.
+    Items may carry content and the manifest may be large: rows that a bit
+    table of the paths to remove rules out stay where they are, the others are
+    matched exactly.
     """
-    return items.join(manifest.select("path"), "path", "left_anti")
+    named = settle(manifest.select("path").distinct(), "removed-paths")
+    return without(items, named.df, named.n_rows)
 
 
 def read_decisions(decisions: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contentdup.functions.digests import PREFIX_TIERS, candidate_bytes, digest_bytes
-from contentdup.operators.filters import keep_items, unreadable_items
+from contentdup.operators.filters import keep_items, keep_known_and_unknown, unreadable_items
 from contentdup.operators.groups import KEYS, count_groups, distinct_paths, shared_rows
 from contentdup.operators.settle import Settled, settle
 from contentdup.sources.content import read_digests
@@ -49,6 +49,16 @@ def digest_items(items: DataFrame, spec: ScanSpec = ScanSpec()) -> DataFrame:
     return _digested(items, spec, digest=final)
 
 
+def digest_outcomes(items: DataFrame, spec: ScanSpec = ScanSpec()) -> DataFrame:
+    """As :func:`digest_items`, with a row and its ``error`` for items without
+    content or size: one pass over the content tells both."""
+    error = F.when(F.col("content").isNull(), "no content").when(F.col("size_bytes").isNull(), "no size")
+    final = _first_digest(spec) if _one_stage(spec) else digest_bytes(F.col("content"), spec.algorithm)
+    columns = ["path", "size_bytes", F.when(error.isNull(), final).alias("digest"), error.alias("error")]
+    columns += ["modified"] if "modified" in items.columns else []
+    return keep_known_and_unknown(items, spec).select(*columns)
+
+
 def digest_stages(items: DataFrame, spec: ScanSpec = ScanSpec()) -> DataFrame:
     """As above, with ``candidate_digest`` of the first stage of ``spec.mode``
     and the digest of all bytes, both from one pass over the content."""

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from contentdup.plans.rescan import STORE_COLUMNS, store_rows
+from contentdup.plans.rescan import store_rows
 from contentdup.plans.scan import digest_items
+from contentdup.plans.store import STORE_COLUMNS
 from contentdup.spec import ScanSpec
 
 

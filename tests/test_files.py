@@ -3,19 +3,23 @@ import hashlib
 import os
 import random
 import time
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+from contentdup.operators.among import among, without
 from contentdup.operators.filters import audit, keep_items
 from contentdup.operators.groups import scan_difference
+from contentdup.operators.removal import execute_removal, removal_manifest
 from contentdup.operators.settle import settle
-from contentdup.plans.rescan import among, rescan_files, rescan_items, store_rows
+from contentdup.plans.rescan import differences, rescan_files, rescan_items, store_rows
 from contentdup.plans.scan import digest_items, scan_files, scan_items, stage_counts
+from contentdup.plans.store import DigestStore
 from contentdup.sources.content import read_digests
-from contentdup.sources.inventory import _LISTED, _list_folders, inventory, mounted_path
+from contentdup.sources.inventory import _LISTED, _list_folders, _stat, inventory, mounted_path
 from contentdup.sources.synthetic import plant_copies, write_files
-from contentdup.sources.tables import binary_file_items
+from contentdup.sources.tables import binary_file_items, table_items
 from contentdup.spec import ScanSpec
 from contentdup.streaming.arrivals import ingest, read_store
 from tests.conftest import expected_groups, flat
@@ -68,6 +72,48 @@ def test_inventory(spark, tree):
     assert reasons == {"symlink": 2, "hidden": 2, "excluded_dir": 2, "size_out_of_range": 2, "kept": 6}
 
 
+def no_digests(spark):
+    return store_rows(spark.createDataFrame([], "path string, size_bytes bigint, digest string"), ScanSpec())
+
+
+def test_times_of_change_that_no_calendar_has(spark, tmp_path):
+    """Files from before 1970 or long after 2262 are scanned like others."""
+    seconds = [-(10**9), 10**10, 0, 1_700_000_000]
+    for number, second in enumerate(seconds):
+        (tmp_path / str(number)).write_bytes(b"same")
+        os.utime(tmp_path / str(number), (second, second))
+    scan = scan_files(spark, str(tmp_path))
+    assert scan.groups.first().n_files == len(seconds) and scan.unreadable.isEmpty()
+    wanted = {str(tmp_path / str(n)): os.lstat(tmp_path / str(n)).st_mtime_ns // 1000 for n in range(len(seconds))}
+    found = inventory(spark, str(tmp_path)).select("path", F.unix_micros("modified").alias("micros"))
+    assert {r.path: r.micros for r in found.collect()} == wanted
+    # Nothing counts as changed by its time alone, and removal goes by it.
+    first = rescan_files(inventory(spark, str(tmp_path)), no_digests(spark))
+    assert rescan_files(inventory(spark, str(tmp_path)), first.store.df).n_fresh == 0
+    log = execute_removal(removal_manifest(scan.members), dry_run=False)
+    assert {r.status for r in log.collect()} == {"deleted"} and len(os.listdir(tmp_path)) == 1
+
+
+@pytest.mark.parametrize("seconds", [-(10**11), 10**12, 2**42])
+def test_any_time_is_a_number(spark, monkeypatch, seconds):
+    """Also years that the file system of the tests cannot hold."""
+
+    class Found:
+        st_size, st_mtime_ns = 3, seconds * 10**9 + 5000
+
+    monkeypatch.setattr("contentdup.sources.inventory.os.lstat", lambda path: Found)
+    size, micros, error = _stat("x")
+    assert (size, micros, error) == (3, seconds * 10**6 + 5, None)
+    row = spark.createDataFrame([(micros,)], "micros bigint").select(F.timestamp_micros("micros").alias("at"))
+    assert row.select(F.unix_micros("at")).first()[0] == micros
+
+    def broken(path):
+        raise OverflowError("too far")
+
+    monkeypatch.setattr("contentdup.sources.inventory.os.lstat", broken)
+    assert _stat("x") == (None, None, "too far")
+
+
 def test_overlapping_folders(spark, tree, tmp_path):
     os.symlink(tree, tmp_path / "alias")
     bases = [os.path.join(tree, "sub"), tree, str(tmp_path / "alias")]
@@ -267,6 +313,91 @@ def test_rescan_of_items(spark, corpus):
     assert other_way.n_fresh == len(new)
 
 
+def test_store_that_is_met_in_place(spark, corpus, tmp_path):
+    """The join of inventory and store moves the inventory alone, and what still
+    holds is written where it lies."""
+    items = versioned(corpus({f"/{n}": b"%d" % (n // 3) for n in range(60)}), 1)
+    store = DigestStore(spark, str(tmp_path / "store"))
+    rescan_items(items, store, version="version")
+    found = items.select("path", "size_bytes", F.col("version").alias("modified"))
+    plan = differences(found, store.rows(), ScanSpec())._jdf.queryExecution().executedPlan().toString()
+    initial = plan.split("Initial Plan")[-1]
+    assert initial.count("Exchange") == 1 and "Bucketed: true" in plan
+    kept = store.rows().join(F.broadcast(found.limit(2)), "path", "left_anti")
+    assert "Exchange hash" not in kept._jdf.queryExecution().executedPlan().toString()
+
+
+def test_store_over_many_rescans(spark, corpus, tmp_path):
+    """Insertions, changes and removals: members and signed counts stay equal
+    to a full scan, also after old versions and steps were cleaned away."""
+    rng = random.Random(4)
+    store = DigestStore(spark, str(tmp_path / "store"))
+    files: dict[str, tuple[int, bytes]] = {}
+    for turn in range(5):
+        before = {path: content for path, (_, content) in files.items()}
+        for path in rng.sample(sorted(files), len(files) // 3):
+            del files[path]
+        for path in rng.sample([f"/{n}" for n in range(40)], 12):
+            files[path] = (turn, b"%d" % rng.randrange(6))
+        now = {path: content for path, (_, content) in files.items()}
+        again = rescan_items(versioned(corpus(now), {p: v for p, (v, _) in files.items()}), store, version="version")
+        assert flat(again.members()) == expected_groups(now)
+        sizes = lambda held: Counter((len(c), hashlib.sha256(c).hexdigest()) for c in held.values())
+        counted = {(r.size_bytes, r.digest): r.n_files for r in store.counts().collect()}
+        assert counted == dict(sizes(now)) and store.version == turn + 1
+        touched = {(r.size_bytes, r.digest): (r.n_before, r.n_files) for r in store.touched_groups().collect()}
+        old, new = sizes(before), sizes(now)
+        assert touched == {k: (old[k], new[k]) for k in old | new if old[k] != new[k]}
+        if turn == 2:
+            store.clean(keep_steps=1)
+            assert len(os.listdir(tmp_path / "store" / "rows")) == 1
+    assert rescan_items(versioned(corpus(now), {p: v for p, (v, _) in files.items()}), store, version="version").n_fresh == 0
+    with pytest.raises(ValueError, match="no such version"):
+        store.rows(1)
+
+
+def test_store_survives_a_run_that_died(spark, corpus, tmp_path):
+    store = DigestStore(spark, str(tmp_path / "store"))
+    rescan_items(versioned(corpus({"/a": b"x", "/b": b"x"}), 1), store, version="version")
+    # Half of a second version: its step, and rows without the last marker.
+    spark.createDataFrame([(1, "d", 5)], "size_bytes bigint, digest string, step bigint").write.parquet(f"{store.folder}/steps/s000000002")
+    broken = tmp_path / "store" / "rows" / f"v000000002-b{store.n_buckets}"
+    broken.mkdir()
+    (broken / "part-00000-x_00000.c000.parquet").write_bytes(b"half")
+    assert store.version == 1 and [r.n_files for r in store.groups().collect()] == [2]
+    again = rescan_items(versioned(corpus({"/a": b"x", "/b": b"y"}), {"/a": 1, "/b": 2}), store, version="version")
+    assert store.version == 2 and again.n_digested == 1 and store.groups().isEmpty()
+
+
+def test_rescan_lists_what_it_cannot_read(spark, tree):
+    store = DigestStore(spark, os.path.join(os.path.dirname(tree), "store"))
+    rows = [("/a", "x", 1), ("/b", None, 1), ("/c", "y", None)]
+    items = table_items(spark.createDataFrame(rows, "path string, text string, size bigint"), F.col("path"), F.col("text"), size=F.col("size"))
+    again = rescan_items(items, store)
+    assert {tuple(r) for r in again.unreadable.collect()} == {("/b", "no content"), ("/c", "no size")}
+    assert (again.n_fresh, again.n_digested, store.rows().count()) == (3, 1, 1)
+    # They are looked at again, and found once they can be read.
+    mended = table_items(spark.createDataFrame([(p, "x", 1) for p in ("/a", "/b", "/c")], "path string, text string, size bigint"), F.col("path"), F.col("text"), size=F.col("size"))
+    assert rescan_items(mended, store).members().count() == 3 and store.n_buckets == 8
+    # Files: a pipe, and a name that is no text.
+    os.mkfifo(os.path.join(tree, "pipe"))
+    with open(os.path.join(os.fsencode(tree), b"caf\xe9"), "wb") as file:
+        file.write(b"test")
+    files = DigestStore(spark, os.path.join(os.path.dirname(tree), "files"))
+    first = rescan_files(inventory(spark, tree), files)
+    assert {os.path.basename(r.path) for r in first.unreadable.collect()} == {"pipe", "caf\\xe9"}
+    assert first.n_digested == len(FILES) == files.rows().count()
+    assert flat(first.members()) == expected_groups({os.path.join(tree, n): c for n, c in FILES.items()})
+
+
+def test_filter_leaves_columns_alone(spark):
+    rows = spark.createDataFrame([("/a", "x", 1), ("/b", "y", 2), (None, "z", 3)], "path string, bucket string, place int")
+    keys = spark.createDataFrame([("/a",)], "path string")
+    assert [tuple(r) for r in among(rows, keys).collect()] == [("/a", "x", 1)]
+    for n_keys in (1, 10**9):
+        assert {tuple(r) for r in without(rows, keys, n_keys).collect()} == {("/b", "y", 2), (None, "z", 3)}
+
+
 def test_known_items_are_not_digested(spark, corpus, tmp_path):
     files = {f"/{n}": bytes([n]) for n in range(200)}
     source = str(tmp_path / "items")
