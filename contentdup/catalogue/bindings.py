@@ -130,3 +130,14 @@ def current_documents(spark: SparkSession, folder: str) -> DataFrame:
     text = F.when(F.col("doc_id") % 20 != 3, F.col("text"))
     items = table_items(rows, path, text, modified=F.lit(1), size=F.octet_length("text"))
     return items.withColumnRenamed("modified", "version")
+
+
+def arriving_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with a time of arrival, in four turns one after the other."""
+    turn = F.col("doc_id") % 4
+    arrived = F.timestamp_seconds(turn * 10_000_000 + F.col("doc_id") % 10_000_000)
+    path = _document_path(F.col("source"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    rows = table(spark, folder, "documents").withColumn("turn", turn)
+    items = table_items(rows.withColumn("arrived", arrived), path, F.col("text"), modified=F.col("arrived"))
+    number = F.regexp_extract("path", r"([0-9]+)\.txt$", 1).cast("bigint")
+    return items.withColumnRenamed("modified", "arrived").withColumn("turn", number % 4)

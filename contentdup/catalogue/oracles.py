@@ -298,6 +298,12 @@ ORACLES: dict[str, str] = {
                CASE WHEN c.path IS NOT NULL AND content IS NULL THEN 'no content' END AS error
         FROM ({_BEFORE}) o FULL JOIN ({_NOW}) c USING (path)
         WHERE c.path IS NULL OR o.path IS NULL OR o.version <> 1""",
+    # With several files per turn the first item of a content may be any of it.
+    "arriving_duplicates": f"""
+        SELECT path, size_bytes, digest, false AS late FROM (
+            SELECT *, row_number() OVER (PARTITION BY size_bytes, digest ORDER BY doc_id % 4, doc_id % 10000000, path) AS turn
+            FROM (SELECT path, size_bytes, sha256(content) AS digest, name[:-5]::BIGINT AS doc_id FROM ({_DOCUMENTS})))
+        WHERE turn > 1""",
     "space_savings": f"SELECT {_SAVINGS} FROM ({_groups(_DOCUMENTS)})",
     "space_savings_empty": f"SELECT {_SAVINGS} FROM ({_groups(_DOCUMENTS, 'size_bytes <= -1')})",
     "scan_summary": f"""

@@ -36,6 +36,7 @@ from contentdup.plans.scan import (
 from contentdup.plans.store import DigestStore
 from contentdup.sources.synthetic import plant_copies
 from contentdup.spec import ScanSpec
+from contentdup.streaming.arrivals import Arrivals, find_arriving
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -358,6 +359,20 @@ def rescan_differences(spark, folder):
     return again.differing.df.join(lost, "path", "left").select("path", "state", "error")
 
 
+@query("arriving_duplicates")
+def arriving_duplicates(spark, folder):
+    """Documents as a stream of several batches, a quarter after the other;
+    all within the time that the state remembers."""
+    place = _store_folder(spark)
+    items = b.arriving_documents(spark, folder)
+    for turn in range(4):
+        items.where(F.col("turn") == turn).drop("turn").write.mode("append").parquet(f"{place}/in")
+    stream = spark.readStream.schema(items.drop("turn").schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/in")
+    arrivals = Arrivals(spark, f"{place}/arrivals", within="3650 days", floor=100)
+    find_arriving(stream, arrivals, f"{place}/checkpoint").awaitTermination()
+    return arrivals.found.select("path", *KEYS, "late")
+
+
 # Summaries and reports
 
 

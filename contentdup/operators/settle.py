@@ -8,6 +8,7 @@ executors that wrote it.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from dataclasses import dataclass, field
@@ -42,6 +43,20 @@ def delete_folder(spark: SparkSession, folder: str) -> None:
     files.delete(path, True)
 
 
+def finished_folders(spark: SparkSession, folder: str, name: re.Pattern) -> list[re.Match]:
+    """Folders below ``folder`` that were written to the end, in order of the
+    number in their name."""
+    files, path = file_system(spark, folder)
+    if not files.exists(path):
+        return []
+    found = []
+    for status in files.listStatus(path):
+        match = name.match(status.getPath().getName())
+        if match and files.exists(file_system(spark, f"{folder}/{match.group(0)}/_SUCCESS")[1]):
+            found.append(match)
+    return sorted(found, key=lambda match: int(match.group(1)))
+
+
 @dataclass
 class Settled:
     """A written table: the frame that reads it and, on demand, its row count."""

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from contentdup.operators.among import among, filter_bits
 from contentdup.operators.groups import KEYS, join_groups
-from contentdup.operators.settle import delete_folder, file_system, settle
+from contentdup.operators.settle import delete_folder, finished_folders, settle
 
 STORE_COLUMNS = ["path", "size_bytes", "modified", "algorithm", "mode", "digest"]
 
@@ -44,20 +44,6 @@ def bucket_count(n_rows: int, least: int = 8) -> int:
     return max(least, min(MOST_BUCKETS, -(-n_rows // ROWS_PER_BUCKET)))
 
 
-def _finished(spark: SparkSession, folder: str, name: re.Pattern) -> list[re.Match]:
-    """Folders below ``folder`` that were written to the end, oldest first."""
-    files, path = file_system(spark, folder)
-    if not files.exists(path):
-        return []
-    found = []
-    for status in files.listStatus(path):
-        match = name.match(status.getPath().getName())
-        done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
-        if match and files.exists(done):
-            found.append(match)
-    return sorted(found, key=lambda match: int(match.group(1)))
-
-
 def latest_per_path(rows: DataFrame) -> DataFrame:
     """One row per path: of several that with the latest time of change."""
     others = ["modified", *(c for c in STORE_COLUMNS if c not in ("path", "modified"))]
@@ -84,7 +70,7 @@ class DigestStore:
         return store
 
     def _versions(self) -> list[re.Match]:
-        return _finished(self.spark, f"{self.folder}/rows", _VERSION)
+        return finished_folders(self.spark, f"{self.folder}/rows", _VERSION)
 
     @property
     def version(self) -> int:
@@ -132,7 +118,7 @@ class DigestStore:
     def _steps(self) -> list[str]:
         """Folders whose rows make up the counts: the newest sum, if there is
         one, and all steps after it up to the newest version."""
-        names = [m.group(0) for m in _finished(self.spark, f"{self.folder}/steps", _STEP) if int(m.group(1)) <= self.version]
+        names = [m.group(0) for m in finished_folders(self.spark, f"{self.folder}/steps", _STEP) if int(m.group(1)) <= self.version]
         whole = max((n for n in names if n.startswith("w")), default="w000000000", key=lambda n: n[1:])
         return [n for n in names if n == whole or (n.startswith("s") and n[1:] > whole[1:])]
 
@@ -173,7 +159,7 @@ class DigestStore:
             self.counts().select(*KEYS, F.col("n_files").alias("step")).write.mode("overwrite").parquet(
                 f"{self.folder}/steps/w{self.version:09d}"
             )
-            for match in _finished(self.spark, f"{self.folder}/steps", _STEP):
+            for match in finished_folders(self.spark, f"{self.folder}/steps", _STEP):
                 # The step of the newest version says what it has changed.
                 if match.group(0) not in (f"w{self.version:09d}", f"s{self.version:09d}"):
                     delete_folder(self.spark, f"{self.folder}/steps/{match.group(0)}")
