@@ -311,6 +311,9 @@ ORACLES: dict[str, str] = {
         FROM (SELECT count(*)::BIGINT AS n_groups, coalesce(sum(n_files), 0)::BIGINT AS n_files, {_SAVINGS}
               FROM ({_groups(_DOCUMENTS)}))""",
     "scan_funnel": _funnel(_ADAPTIVE),
+    "scan_funnel_observed": _funnel(_ADAPTIVE),
+    "scan_funnel_observed_short_prefix": _funnel("content[1:4]"),
+    "scan_audit_one_pass": _AUDIT,
     "scan_funnel_short_prefix": _funnel("content[1:4]"),
     "corpus_stats": f"""
         SELECT count(DISTINCT (size_bytes, digest))::BIGINT AS unique_files,

@@ -122,6 +122,12 @@ def scan_audit(spark, folder):
     return audit(b.marked_documents(spark, folder), MARKED_SPEC)
 
 
+@query("scan_audit_one_pass")
+def scan_audit_one_pass(spark, folder):
+    """The audit that a scan writes in the pass that makes its digests."""
+    return scan_items(b.marked_documents(spark, folder), MARKED_SPEC, audited=True).audit
+
+
 @query("scan_audit_counts")
 def scan_audit_counts(spark, folder):
     return audit_counts(scan_audit(spark, folder))
@@ -401,6 +407,21 @@ def scan_funnel_short_prefix(spark, folder):
     return scan_funnel(digest_stages(b.documents(spark, folder), SHORT_PREFIX))
 
 
+@query("scan_funnel_observed")
+def scan_funnel_observed(spark, folder):
+    """The funnel as the jobs of a scan have counted it."""
+    return _one_row(spark, scan_items(b.documents(spark, folder), staged=True).funnel)
+
+
+@query("scan_funnel_observed_short_prefix")
+def scan_funnel_observed_short_prefix(spark, folder):
+    return _one_row(spark, scan_items(b.documents(spark, folder), SHORT_PREFIX, staged=True).funnel)
+
+
+def _one_row(spark, numbers: dict[str, int]) -> DataFrame:
+    return spark.createDataFrame([tuple(numbers.values())], ", ".join(f"{name} bigint" for name in numbers))
+
+
 @query("corpus_stats")
 def corpus_statistics(spark, folder):
     return corpus_stats(digest_items(b.documents(spark, folder)))

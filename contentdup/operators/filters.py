@@ -116,23 +116,20 @@ def keep_known_and_unknown(items: DataFrame, spec: ScanSpec) -> DataFrame:
     return _pass_entry_rules(items, spec).where(size.isNull() | in_size_range(size, spec))
 
 
-def unreadable_items(items: DataFrame, spec: ScanSpec) -> DataFrame:
-    """``path, error`` of the items without content or size that no rule of
-    ``spec`` rejects; a size that is not known is in any range."""
-    size, lost = F.col("size_bytes"), F.col("content").isNull()
-    found = _pass_entry_rules(items, spec).where(size.isNull() | (lost & in_size_range(size, spec)))
-    return found.select("path", F.when(lost, "no content").otherwise("no size").alias("error"))
-
-
-def audit(items: DataFrame, spec: ScanSpec) -> DataFrame:
-    """Every item with the first rule that rejects it, or ``kept``."""
+def audit_reason(items: DataFrame, spec: ScanSpec) -> Column:
+    """The first rule that rejects an item, or ``kept``."""
     size = F.col("size_bytes")
     lost = size.isNull() | F.col("content").isNull() if "content" in items.columns else size.isNull()
     rules = [*_entry_rules(spec), ("unreadable", lost), ("size_out_of_range", ~in_size_range(size, spec))]
     reason = F
     for label, rejected in rules:
         reason = reason.when(rejected, F.lit(label))
-    return items.select("path", "size_bytes", reason.otherwise(F.lit("kept")).alias("reason"))
+    return reason.otherwise(F.lit("kept"))
+
+
+def audit(items: DataFrame, spec: ScanSpec) -> DataFrame:
+    """Every item with the first rule that rejects it, or ``kept``."""
+    return items.select("path", "size_bytes", audit_reason(items, spec).alias("reason"))
 
 
 def audit_counts(audited: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ broadcast, the others by a shuffle in which every key stays below the limit.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contentdup.operators.settle import Settled
@@ -50,6 +50,11 @@ def join_groups(
     return in_hot.unionByName(in_cold)
 
 
+def rows_and_bytes() -> dict[str, Column]:
+    """Figures of a table of items, for :func:`contentdup.operators.settle.settle`."""
+    return {"n_rows": F.count(F.lit(1)), "n_bytes": F.sum("size_bytes")}
+
+
 def shared_rows(rows: Settled, keys: list[str] = KEYS, floor: int | None = None) -> DataFrame:
     """Rows whose key occurs more than once, with ``n_files``."""
     return join_groups(rows.df, count_groups(rows.df, keys), rows.n_rows, keys, floor)

@@ -13,7 +13,8 @@ import tempfile
 import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql.types import StructType
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -59,16 +60,25 @@ def finished_folders(spark: SparkSession, folder: str, name: re.Pattern) -> list
 
 @dataclass
 class Settled:
-    """A written table: the frame that reads it and, on demand, its row count."""
+    """A written table: the frame that reads it and, on demand, its row count.
+
+    ``observed`` are figures that the writing job itself has counted.
+    """
 
     df: DataFrame
     folder: str
+    observed: Observation | None = None
     _count: list[int] = field(default_factory=list)
 
+    @property
+    def figures(self) -> dict[str, int]:
+        return {name: value or 0 for name, value in self.observed.get.items()} if self.observed else {}
+
     @property
     def n_rows(self) -> int:
         if not self._count:
-            self._count.append(self.df.count())
+            counted = self.figures.get("n_rows")
+            self._count.append(self.df.count() if counted is None else counted)
         return self._count[0]
 
     def drop(self) -> None:
@@ -82,13 +92,26 @@ class Settled:
         self.drop()
 
 
-def settle(df: DataFrame, label: str, compact: bool = False) -> Settled:
+def settle(
+    df: DataFrame, label: str, compact: bool = False, figures: dict[str, Column] | None = None, parts: str | None = None
+) -> Settled:
     """Write ``df`` and read it back.
 
     ``compact`` evens out the many small outputs of a wide scan first. Rows go
     by path, so a repeated task sends each row where it went before.
+    ``figures`` are sums that are counted while the table is written, in the
+    tasks that write it. ``parts`` names a column by whose values the table is
+    split into folders.
     """
     spark = df.sparkSession
     folder = f"{shared_folder(spark)}/contentdup/{label}-{uuid.uuid4().hex}"
-    (df.hint("rebalance", "path") if compact else df).write.parquet(folder)
-    return Settled(spark.read.schema(df.schema).parquet(folder), folder)
+    rows = df.hint("rebalance", "path") if compact else df
+    observed = Observation() if figures else None
+    if observed:
+        rows = rows.observe(observed, *(column.alias(name) for name, column in figures.items()))
+    writer = rows.write.partitionBy(parts) if parts else rows.write
+    writer.parquet(folder)
+    schema = df.schema
+    if parts:  # the values of this column are names of folders
+        schema = StructType([f for f in schema if f.name != parts] + [schema[parts]])
+    return Settled(spark.read.schema(schema).parquet(folder), folder, observed)

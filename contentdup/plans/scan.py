@@ -11,14 +11,15 @@ from dataclasses import dataclass, field
 from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from contentdup.functions.digests import PREFIX_TIERS, candidate_bytes, digest_bytes
-from contentdup.operators.filters import keep_items, keep_known_and_unknown, unreadable_items
-from contentdup.operators.groups import KEYS, count_groups, distinct_paths, shared_rows
+from contentdup.operators.filters import audit_reason, in_size_range, keep_items, keep_known_and_unknown
+from contentdup.operators.groups import KEYS, count_groups, join_groups, rows_and_bytes, shared_rows
 from contentdup.operators.settle import Settled, settle
 from contentdup.sources.content import read_digests
-from contentdup.sources.inventory import inventory, mounted_path
+from contentdup.sources.inventory import inventory, mounted_path, outer_folders
 from contentdup.sources.tables import binary_file_items
 from contentdup.spec import REGION_MIN_BYTES, ScanSpec
 
@@ -59,6 +60,24 @@ def digest_outcomes(items: DataFrame, spec: ScanSpec = ScanSpec()) -> DataFrame:
     return keep_known_and_unknown(items, spec).select(*columns)
 
 
+def _outcomes(items: DataFrame, spec: ScanSpec, staged: bool, audited: bool) -> DataFrame:
+    """Rows of one pass over the items: ``outcome`` is ``kept``, ``unreadable``
+    or, with ``audited``, ``rejected``; digests of kept rows only."""
+    size = F.col("size_bytes")
+    reason = audit_reason(items, spec)
+    read = F.col("reason") == "kept"
+    outcome = F.when(read, "kept").when((F.col("reason") == "unreadable") & (size.isNull() | in_size_range(size, spec)), "unreadable")
+    final = _first_digest(spec) if _one_stage(spec) and not staged else digest_bytes(F.col("content"), spec.algorithm)
+    error = F.when(F.col("content").isNull(), "no content").when(size.isNull(), "no size")
+    columns = ["path", "size_bytes", "reason", error.alias("error"), F.when(read, final).alias("digest")]
+    if staged:
+        columns.append(F.when(read, _first_digest(spec)).alias("candidate_digest"))
+    columns += ["modified"] if "modified" in items.columns else []
+    # Filters stay below the audit where it is not asked for, so that they reach the source.
+    rows = items if audited else keep_known_and_unknown(items, spec)
+    return rows.withColumn("reason", reason).select(*columns, outcome.otherwise("rejected").alias("outcome"))
+
+
 def digest_stages(items: DataFrame, spec: ScanSpec = ScanSpec()) -> DataFrame:
     """As above, with ``candidate_digest`` of the first stage of ``spec.mode``
     and the digest of all bytes, both from one pass over the content."""
@@ -79,10 +98,13 @@ class Scan:
     # Written stages of a file scan, and the files it could not read.
     stages: dict[str, Settled] = field(default_factory=dict)
     unreadable: DataFrame | None = None
+    # What became of every item, if that was asked for.
+    audit: DataFrame | None = None
 
     def drop(self) -> None:
         """Delete the written tables; frames made from them end with them."""
-        for table in (self.digests, *self.stages.values(), *([self.members] if "members" in self.__dict__ else [])):
+        lazily = [self.__dict__[name] for name in ("members", "counted") if name in self.__dict__]
+        for table in (self.digests, *self.stages.values(), *lazily):
             table.drop()
 
     def __enter__(self) -> Scan:
@@ -91,7 +113,7 @@ class Scan:
     def __exit__(self, *_) -> None:
         self.drop()
 
-    @cached_property
+    @property
     def groups(self) -> DataFrame:
         """``size_bytes, digest, n_files`` of every group of two or more."""
         return count_groups(self.digests.df)
@@ -104,18 +126,64 @@ class Scan:
     @cached_property
     def members(self) -> Settled:
         """Members as a written table, for reports that read them repeatedly."""
-        return settle(self.member_rows, "members")
+        if "counted" not in self.__dict__:
+            return settle(self.member_rows, "members")
+        groups = self.counted.df.where("n_files > 1").select(*KEYS, "n_files")
+        return settle(join_groups(self.digests.df, groups, self.digests.n_rows, floor=self.floor), "members")
 
+    @cached_property
+    def counted(self) -> Settled:
+        """Contents that share their first digest (that of ``candidate_digest``
+        in a staged scan) with another item, with ``n_files``: written once,
+        and what the funnel has to know is counted meanwhile."""
+        staged = "candidate_digest" in self.digests.df.columns
+        first = ["size_bytes", "candidate_digest"] if staged else KEYS
+        contents = self.digests.df.groupBy(*dict.fromkeys([*first, *KEYS])).agg(F.count(F.lit(1)).alias("n_files"))
+        alike = F.sum("n_files").over(W.partitionBy(*first)) if staged else F.col("n_files")
+        n, size = F.col("n_files"), F.col("size_bytes")
+        shared = F.when(n > 1, n)
+        return settle(
+            contents.withColumn("n_alike", alike).where("n_alike > 1"),
+            "counted",
+            figures={
+                "candidate_files": F.sum(n),
+                "candidate_bytes": F.sum(n * size),
+                "duplicate_files": F.sum(shared),
+                "duplicate_bytes": F.sum(shared * size),
+                "duplicate_groups": F.count(shared),
+            },
+        )
+
+    @property
+    def funnel(self) -> dict[str, int]:
+        """Items and bytes left after each stage, as the jobs of the scan have
+        counted them; no table is read for it."""
+        found = self.stages.get("found", self.digests).figures
+        later = self.counted.figures
+        if "candidates" in self.stages:
+            alike = self.stages["candidates"].figures
+            later = later | {"candidate_files": alike["n_rows"], "candidate_bytes": alike["n_bytes"]}
+        return {"found_files": found["n_rows"], "found_bytes": found["n_bytes"], **later}
 
-def scan_items(items: DataFrame, spec: ScanSpec = ScanSpec(), floor: int | None = None) -> Scan:
-    """Scan rows that carry their content.
+
+def scan_items(
+    items: DataFrame, spec: ScanSpec = ScanSpec(), floor: int | None = None, staged: bool = False, audited: bool = False
+) -> Scan:
+    """Scan rows that carry their content, in one pass.
 
     Verified modes need no candidate stage here, as the pass that would
-    compute prefixes or regions has all bytes at hand. Rows without content
-    or size are listed in ``unreadable``.
+    compute prefixes or regions has all bytes at hand; ``staged`` computes its
+    digest for the funnel all the same. Rows without content or size are
+    listed in ``unreadable``; with ``audited`` all rows are in ``audit``, with
+    the rule that rejected them. All of them are folders of one written table.
     """
-    digests = settle(digest_items(items, spec), "digests", compact=True)
-    return Scan(digests, floor, unreadable=unreadable_items(items, spec))
+    read = F.col("outcome") == "kept"
+    figures = {"n_rows": F.count(F.when(read, 1)), "n_bytes": F.sum(F.when(read, F.col("size_bytes")))}
+    written = settle(_outcomes(items, spec, staged, audited), "outcomes", compact=True, figures=figures, parts="outcome")
+    kept = written.df.where(read).drop("outcome", "reason", "error")
+    lost = written.df.where("outcome = 'unreadable'").select("path", "error")
+    everything = written.df.select("path", "size_bytes", "reason") if audited else None
+    return Scan(Settled(kept, written.folder, written.observed), floor, unreadable=lost, audit=everything)
 
 
 def scan_groups(items: DataFrame, spec: ScanSpec = ScanSpec()) -> DataFrame:
@@ -153,22 +221,23 @@ def scan_files(
     bases = [bases] if isinstance(bases, str) else list(bases)
     mounted = [mounted_path(base) is not None for base in bases]
     if not any(mounted):
-        items = reduce(DataFrame.unionByName, (binary_file_items(spark, base) for base in bases))
-        return scan_items(distinct_paths(items) if len(bases) > 1 else items, spec, floor)
+        # Folders inside others are left out before listing, so no file comes twice.
+        items = reduce(DataFrame.unionByName, (binary_file_items(spark, base) for base in outer_folders(bases, spec)))
+        return scan_items(items, spec, floor)
     if not all(mounted):
         raise ValueError("scan mounted folders and object stores separately")
     entries = settle(inventory(spark, bases, spec), "entries").df
     unlisted = entries.where(F.col("error").isNotNull()).select("path", "error")
     found = keep_items(entries.where(F.col("error").isNull()), spec)
-    sized = settle(found.select("path", "size_bytes", "modified"), "inventory")
-    same_size = settle(shared_rows(sized, ["size_bytes"], floor).drop("n_files"), "same-size")
+    sized = settle(found.select("path", "size_bytes", "modified"), "inventory", figures=rows_and_bytes())
+    same_size = settle(shared_rows(sized, ["size_bytes"], floor).drop("n_files"), "same-size", figures=rows_and_bytes())
     first = settle(read_digests(same_size.df, spec.mode, spec.prefix_bytes, spec.algorithm), "prefix-digests")
     stages = {"found": sized, "same_size": same_size}
     readable, failed = _by_outcome(first)
     failed = unlisted.unionByName(failed)
     if _one_stage(spec):
         return Scan(readable, floor, stages, failed)
-    alike = settle(shared_rows(readable, KEYS, floor).drop("n_files"), "alike")
+    alike = settle(shared_rows(readable, KEYS, floor).drop("n_files"), "alike", figures=rows_and_bytes())
     covered = F.col("size_bytes") <= _covered_bytes(spec)
     whole = settle(read_digests(alike.df.where(~covered), "whole", algorithm=spec.algorithm), "whole-digests")
     verified, failed_later = _by_outcome(whole)

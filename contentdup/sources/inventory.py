@@ -21,7 +21,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contentdup.operators.groups import distinct_paths
 from contentdup.operators.settle import settle
 from contentdup.ship import ship
 from contentdup.sources.tables import binary_file_items
@@ -128,6 +127,27 @@ def mounted_path(folder: str) -> str | None:
     return "/" + rest.lstrip("/") if scheme == "file" else None
 
 
+def outer_folders(bases: list[str], spec: ScanSpec | None = None) -> list[str]:
+    """The folders that no other one of them holds, each once. A folder that
+    the other would not enter, by the rules of ``spec`` or of the reader of
+    object stores, stays."""
+    spec = spec or ScanSpec()
+
+    def place(base: str) -> str:
+        mounted = mounted_path(base)
+        return base.rstrip("/") if mounted is None else os.path.realpath(mounted)
+
+    def enters(outer: str, inner: str) -> bool:
+        if not inner.startswith(outer.rstrip("/") + "/"):
+            return False
+        below = inner[len(outer.rstrip("/")) + 1 :].split("/")
+        hidden = (".", "_") if ":" in outer.partition("/")[0] else (".",) if spec.exclude_hidden else ()
+        return not any(name in spec.exclude_dirs or name.startswith(hidden) for name in below)
+
+    places = list(dict.fromkeys(map(place, bases)))
+    return [inner for inner in places if not any(enters(outer, inner) for outer in places if outer != inner)]
+
+
 def _by_listing(spark: SparkSession, base: str) -> DataFrame:
     return binary_file_items(spark, base).drop("content").withColumn("error", F.lit(None).cast("string"))
 
@@ -137,9 +157,9 @@ def inventory(
 ) -> DataFrame:
     """Files below one or several folders, one row per path.
 
-    Links in the names of the folders themselves are resolved, so that no file
-    is listed under two paths. Of rows with one path that with most ``dirs``
-    stays.
+    Links in the names of the folders themselves are resolved, and a folder
+    inside another one is left out before listing, so that no file is listed
+    twice.
 
     Of ``spec`` only the directory rules apply here, to save entering pruned
     subtrees; apply :func:`contentdup.operators.filters.keep_items` for all.
@@ -149,6 +169,6 @@ def inventory(
     bases = [bases] if isinstance(bases, str) else list(bases)
     trees = [
         _by_listing(spark, base) if mounted_path(base) is None else _by_levels(spark, mounted_path(base), spec)
-        for base in bases
+        for base in outer_folders(bases, spec)
     ]
-    return trees[0] if len(trees) == 1 else distinct_paths(reduce(DataFrame.unionByName, trees))
+    return reduce(DataFrame.unionByName, trees)

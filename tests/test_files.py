@@ -17,7 +17,7 @@ from contentdup.plans.rescan import differences, rescan_files, rescan_items, sto
 from contentdup.plans.scan import digest_items, scan_files, scan_items, stage_counts
 from contentdup.plans.store import DigestStore
 from contentdup.sources.content import read_digests
-from contentdup.sources.inventory import _LISTED, _list_folders, _stat, inventory, mounted_path
+from contentdup.sources.inventory import _LISTED, _list_folders, _stat, inventory, mounted_path, outer_folders
 from contentdup.sources.synthetic import plant_copies, write_files
 from contentdup.sources.tables import binary_file_items, table_items
 from contentdup.spec import ScanSpec
@@ -198,6 +198,23 @@ def test_random_trees(spark, tmp_path):
         assert {(r.path, r.size_bytes) for r in kept.collect()} == set(walk(base, spec)), spec
 
 
+def test_folders_inside_others_are_left_out():
+    hidden = ScanSpec(exclude_hidden=True, exclude_dirs=("skip",))
+    assert outer_folders(["/no/a/b", "/no/a", "/no/ab", "/no/a/"]) == ["/no/a", "/no/ab"]
+    assert outer_folders(["/", "/no/a"]) == ["/"]
+    assert outer_folders(["/no/.x/b", "/no", "/no/skip/c", "/no/z"], hidden) == ["/no/.x/b", "/no", "/no/skip/c"]
+    assert outer_folders(["s3a://x/y/", "s3a://x/y/z", "s3a://x/yz", "s3a://x/y/_t/u"]) == ["s3a://x/y", "s3a://x/yz", "s3a://x/y/_t/u"]
+
+
+def test_several_folders_are_read_without_a_shuffle_of_content(spark, tree, monkeypatch):
+    monkeypatch.setattr("contentdup.plans.scan.mounted_path", lambda folder: None)
+    monkeypatch.setattr("contentdup.sources.inventory.mounted_path", lambda folder: None)
+    plans = []
+    monkeypatch.setattr("contentdup.plans.scan.scan_items", lambda items, *rest: plans.append(items._jdf.queryExecution().executedPlan().toString()))
+    scan_files(spark, [f"file:{tree}/sub", f"file:{tree}/sub/deep", f"file:{tree}/node"])
+    assert "Exchange" not in plans[0] and plans[0].count("FileScan") == 2
+
+
 def test_bad_base(spark, tmp_path):
     with pytest.raises(Exception, match="not a folder"):
         inventory(spark, str(tmp_path / "none"))
@@ -222,6 +239,11 @@ def test_scan_files_equals_scan_items(spark, tree, corpus, mode, floor):
             ("duplicates", 5 + 2 + 2, 5 * 4 + 2 * len(big)),
         ]
         assert [os.path.basename(r.path) for r in scan.unreadable.collect()] == ["pipe"]
+        # The same figures, counted by the jobs that wrote the stages.
+        assert scan.funnel == {
+            "found_files": len(sizes), "found_bytes": sum(sizes), "candidate_files": 5 + 2 + 3, "candidate_bytes": 5 * 4 + 3 * len(big),
+            "duplicate_files": 5 + 2 + 2, "duplicate_bytes": 5 * 4 + 2 * len(big), "duplicate_groups": 3,
+        }
     if floor is None:
         assert found == flat(scan_items(corpus(files), ScanSpec(mode=mode)).member_rows)
 

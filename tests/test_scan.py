@@ -206,3 +206,29 @@ def test_stored_sizes_spare_the_content(spark, tmp_path):
     assert flat(scan_items(items, spec).member_rows) == expected_groups(
         {path: content for path, content in demo().items() if 100 <= len(content) <= 5000}
     )
+
+
+def test_one_pass_tells_everything(spark, corpus, tmp_path):
+    """Digests, audit and unreadable rows are folders of one written table; the
+    content is read by one job, whose figures are the funnel."""
+    rows = [("/a", "same"), ("/b", "same"), ("/c", None), ("/d.tmp", "x"), ("/e", "longer text"), ("/f", "samf")]
+    source = str(tmp_path / "rows")
+    spark.createDataFrame(rows, "path string, text string").coalesce(1).write.parquet(source)
+    items = table_items(spark.read.parquet(source), F.col("path"), F.col("text"))
+    spec = ScanSpec(max_bytes=8, exclude=("*.tmp",), mode="quick", prefix_bytes=3)
+    scan = scan_items(items, spec, staged=True, audited=True)
+    for frame in (scan.digests.df, scan.unreadable, scan.audit, scan.groups):
+        assert not any(file.startswith("file://" + source) or source in file for file in frame.inputFiles())
+    assert rows_of(scan.audit.select("path", "reason")) == [
+        ("/a", "kept"), ("/b", "kept"), ("/c", "unreadable"), ("/d.tmp", "excluded_file"), ("/e", "size_out_of_range"), ("/f", "kept"),
+    ]
+    assert rows_of(scan.unreadable) == [("/c", "no content")]
+    assert scan.digests.figures == {"n_rows": 3, "n_bytes": 12} and scan.digests.n_rows == scan.digests.df.count()
+    wanted = scan_funnel(digest_stages(items, spec)).first().asDict()
+    assert scan.funnel == wanted == {
+        "found_files": 3, "found_bytes": 12, "candidate_files": 3, "candidate_bytes": 12,
+        "duplicate_files": 2, "duplicate_bytes": 8, "duplicate_groups": 1,
+    }
+    assert sorted(r.path for r in scan.members.df.collect()) == ["/a", "/b"]
+    empty = scan_items(items.limit(0), spec, staged=True, audited=True)
+    assert set(empty.funnel.values()) == {0} and empty.audit.isEmpty() and empty.unreadable.isEmpty()
