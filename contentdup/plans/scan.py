@@ -175,11 +175,12 @@ def scan_items(
     compute prefixes or regions has all bytes at hand; ``staged`` computes its
     digest for the funnel all the same. Rows without content or size are
     listed in ``unreadable``; with ``audited`` all rows are in ``audit``, with
-    the rule that rejected them. All of them are folders of one written table.
+    the rule that rejected them. All of them are parts of one written table
+    (its folders, if rejected rows are in it).
     """
     read = F.col("outcome") == "kept"
     figures = {"n_rows": F.count(F.when(read, 1)), "n_bytes": F.sum(F.when(read, F.col("size_bytes")))}
-    written = settle(_outcomes(items, spec, staged, audited), "outcomes", compact=True, figures=figures, parts="outcome")
+    written = settle(_outcomes(items, spec, staged, audited), "outcomes", compact=True, figures=figures, parts="outcome" if audited else None)
     kept = written.df.where(read).drop("outcome", "reason", "error")
     lost = written.df.where("outcome = 'unreadable'").select("path", "error")
     everything = written.df.select("path", "size_bytes", "reason") if audited else None
