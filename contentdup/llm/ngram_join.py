@@ -34,7 +34,7 @@ from contentdup.llm.components import connected_components
 from contentdup.llm.hashing import Words, word_grams
 from contentdup.llm.trie_join import Forest, Trie
 from contentdup.operators.settle import settle
-from contentdup.plans.rescan import among
+from contentdup.operators.among import among
 from contentdup.ship import ship
 
 # Slots of the frequency table, and how many go in one row while it is summed.

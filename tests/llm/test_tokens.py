@@ -9,6 +9,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from contentdup.llm.latin import BYTE_LEVEL_WORDS, piece_starts
 from contentdup.llm.planes import BIT_PLANES, BYTE_PLANES, Blob, write_blob
 from contentdup.llm.token_files import PieceEncoder, read_token_files, write_token_files
 from contentdup.llm.word_bpe import LANE_SYMBOLS, WordEncoder, encode_words, merge_word, merge_words
@@ -48,6 +49,47 @@ def test_pieces_equal_the_library():
     assert PieceEncoder(BYTES).encode(texts) == wanted
 
 
+def test_pieces_begin_where_the_pattern_says():
+    """Places from classes of bytes, for texts that lie one after the other."""
+    source = random.Random(6)
+    alphabet = "aZ'stmdrevl  \n19\xb2.,-\xe9\xdf'"
+    texts = ["".join(source.choice(alphabet) for _ in range(source.randint(1, 12))) for _ in range(20_000)]
+    texts += ["'", "'s", "x's", "x'S", "x're", "x'r", " 's", "\n's", "  's", "''s", "'s's", "'ll'", "x'rex", "   ", "a  \n b", "'t\n"]
+    raw = "".join(texts).encode("latin-1")
+    bounds = np.append(0, np.cumsum([len(t) for t in texts]))
+    starts = piece_starts(np.frombuffer(raw, np.uint8), bounds)
+    wanted, at = [], 0
+    for text in texts:
+        for piece in BYTE_LEVEL_WORDS.findall(text):
+            wanted.append(at)
+            at += len(piece)
+    assert starts.tolist() == wanted
+
+
+def test_a_small_store_changes_nothing(monkeypatch):
+    """Pieces that were let go are encoded again."""
+    monkeypatch.setattr("contentdup.llm.token_files.CACHE_ENTRIES", 10)
+    texts = odd_texts()
+    small = PieceEncoder(BYTES)
+    found = [ids for at in range(0, len(texts), 7) for ids in small.encode(texts[at : at + 7])]
+    monkeypatch.undo()
+    assert found == PieceEncoder(BYTES).encode(texts) and len(small.newer) + len(small.older) < 2000
+
+
+def test_repeated_ids_in_order_of_text(spark):
+    """One id for most rows: they spread over pieces and keep their order."""
+    rows = [(7, f"text {i % 40:03d}") for i in range(200)] + [(1, "first"), (9, "last"), (None, "none")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    written = write_token_files(docs, BYTES, pieces=6)
+    assert written.df.select("piece").distinct().count() > 3
+    library, wanted, start = Tokenizer.from_file(BYTES), [], 0
+    for doc_id, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
+        ids = library.encode(text).ids + [0]
+        wanted.append((doc_id, start, len(ids), zlib.crc32(np.asarray(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert rows_of(read_token_files(written.df)) == sorted(wanted, key=repr)
+
+
 def test_words_equal_the_library():
     library = Tokenizer.from_file(WORDS)
     texts = odd_texts()
