@@ -124,9 +124,7 @@ def _bucket_sql(buckets: int, batch_tokens: int) -> str:
         WITH sized AS (
             SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n_tokens FROM documents
         ), lengths AS (
-            SELECT CASE WHEN n_tokens <= 4096 THEN n_tokens
-                        ELSE (ceil(n_tokens / (2 ** (floor(log2(n_tokens)) - 6))) * (2 ** (floor(log2(n_tokens)) - 6)))::BIGINT
-                   END AS length, count(*) AS n
+            SELECT n_tokens AS length, count(*) AS n
             FROM sized GROUP BY 1
         ), p AS (
             SELECT 0::BIGINT AS j, 0::BIGINT AS length, 0::BIGINT AS cum

@@ -3,12 +3,13 @@
 import itertools
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 
 from contentdup.llm import top_products as search
-from contentdup.llm.packing import best_boundaries, pack_documents, rounded_length
+from contentdup.llm.packing import best_boundaries, pack_documents
 from tests.llm.cases import TEXTS, documents, rows_of
 
 
@@ -85,9 +86,44 @@ def test_boundaries_are_optimal():
     assert best_boundaries(np.zeros(0, np.int64), np.zeros(0, np.int64), 3) == []
 
 
-def test_rounded_lengths(spark):
-    rows = spark.range(0, 40_000, 37).selectExpr("id AS n").select("n", rounded_length(search.F.col("n")).alias("r")).collect()
-    assert all(row.r == row.n if row.n <= 4096 else row.n <= row.r <= row.n * 65 / 64 for row in rows)
+def plain_boundaries(lengths, counts, buckets):
+    """Every beginning of every bucket tried, the lowest of equal ones taken."""
+    n, before = len(lengths), np.append(0, np.cumsum(counts))
+    best, choices, totals = np.append(0, lengths * before[1:]), [np.zeros(n + 1, int)], [lengths[-1] * before[-1]]
+    for _ in range(1, min(buckets, n)):
+        costs = [[best[i] + lengths[j - 1] * (before[j] - before[i]) for i in range(j)] for j in range(1, n + 1)]
+        choices.append(np.array([0, *(int(np.argmin(c)) for c in costs)]))
+        best = np.array([0, *(min(c) for c in costs)])
+        totals.append(best[n])
+    found, j = [], n
+    for level in range(int(np.argmin(totals)), -1, -1):
+        if j:
+            found.append(int(lengths[j - 1]))
+            j = choices[level][j]
+    return sorted(set(found))
+
+
+def test_boundaries_equal_the_plain_program():
+    """Also with many equal totals, where the lowest beginning counts."""
+    source = random.Random(12)
+    for turn in range(40):
+        most = source.choice([12, 200, 10**6])
+        lengths = np.array(sorted(source.sample(range(most), source.randint(1, min(60, most)))))
+        counts = np.array([source.randint(1, source.choice([1, 3, 10**6])) for _ in lengths])
+        buckets = source.randint(1, 9)
+        assert best_boundaries(lengths, counts, buckets) == plain_boundaries(lengths, counts, buckets), turn
+
+
+def test_long_texts_are_their_own_boundaries(spark):
+    """Beyond any length a bucket ends at its longest text."""
+    source = random.Random(5)
+    rows = [(i, "w " * source.choice([3, 4099, 5129, 20020, 20021, 20333, 64001])) for i in range(120)]
+    got = pack_documents(documents(spark, rows), buckets=4).collect()
+    edges = {r.padded_to for r in got}
+    counts = Counter(len(t.split()) for _, t in rows)
+    lengths = sorted(counts)
+    assert sorted(edges) == plain_boundaries(np.array(lengths), np.array([counts[n] for n in lengths]), 4)
+    assert all(edge == max(r.n_tokens for r in got if r.padded_to == edge) for edge in edges)
 
 
 def test_packing(spark):
