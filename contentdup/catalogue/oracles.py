@@ -334,6 +334,12 @@ ORACLES: dict[str, str] = {
     "result_table_by_size": f"SELECT * FROM ({_RESULT_TABLE}) ORDER BY size_bytes DESC",
     "groups_sorted": f"SELECT * FROM ({_groups(_DOCUMENTS)}) ORDER BY size_bytes, digest",
     "path_filter": f"SELECT * FROM ({_members(_DOCUMENTS)}) WHERE contains(lower(path), 'src1')",
+    "path_search": f"SELECT * FROM ({_members(_DOCUMENTS)}) WHERE contains(lower(path), 'src1')",
+    "result_pages": f"""
+        SELECT position, size_bytes, path FROM (
+            SELECT (row_number() OVER (ORDER BY size_bytes DESC, digest, path) - 1)::BIGINT AS position, size_bytes, path
+            FROM ({_members(_DOCUMENTS)}))
+        WHERE position // 10 % 3 = 0""",
     "removal_manifest": _manifest("path"),
     "removal_manifest_shortest": _manifest("length(path), path"),
     "removal_survivors": f"""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,8 +22,9 @@ from contentdup.operators.removal import (
 )
 from contentdup.operators.summary import corpus_stats, scan_funnel, scan_summary, space_savings
 from contentdup.operators.numbering import number_members
-from contentdup.operators.settle import shared_folder
+from contentdup.operators.settle import settle, shared_folder
 from contentdup.plans.export import csv_rows, json_rows, read_csv
+from contentdup.plans.pages import PathIndex, ResultPages
 from contentdup.plans.report import detail_report, nested_groups, report, result_table, sort_groups, sort_rows
 from contentdup.plans.rescan import Rescan, rescan_items, store_rows
 from contentdup.plans.scan import (
@@ -474,6 +476,22 @@ def path_filter(spark, folder):
     return path_contains(dupes_full(spark, folder), "SRC1")
 
 
+@query("result_pages")
+def result_pages(spark, folder):
+    """Every third page of the result, by size from the largest."""
+    table = settle(result_table(scan_items(b.documents(spark, folder)).member_rows), "results")
+    pages = ResultPages(table, rows_per_piece=50)
+    wanted = [pages.page(number, 10, "size", ascending=False) for number in range(0, -(-table.n_rows // 10), 3)]
+    return reduce(DataFrame.unionByName, wanted or [pages.page(0)]).select("position", "size_bytes", "path")
+
+
+@query("path_search")
+def path_search(spark, folder):
+    """The same rows as ``path_filter``, by the index of path parts."""
+    members = scan_items(b.documents(spark, folder)).members
+    return _flat(PathIndex.write(members, rows_per_piece=20).search("SRC1"))
+
+
 # Removal
 
 
