@@ -21,11 +21,10 @@ def write_json(groups: DataFrame, folder: str) -> None:
     json_rows(groups).write.mode("overwrite").json(folder)
 
 
-# Every value in quotes, a quote inside doubled, blanks and line ends kept: what
-# any reader of CSV takes back as it was.
+# Values in quotes where they need them, a quote inside doubled, blanks and line
+# ends kept: what any reader of CSV takes back as it was.
 CSV_OPTIONS = {
     "header": True,
-    "quoteAll": True,
     "escape": '"',
     "ignoreLeadingWhiteSpace": False,
     "ignoreTrailingWhiteSpace": False,
