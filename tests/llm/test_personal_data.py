@@ -1,9 +1,13 @@
 """Personal data: base spans against plain patterns, added spans, masking."""
 
 import hashlib
+import itertools
 import random
 import re
 
+import numpy as np
+import pytest
+
 from contentdup.llm import pii
 from tests.llm.cases import TEXTS, documents, rows_of
 
@@ -88,3 +92,71 @@ def test_octets_with_very_many_zeros(spark):
     assert [(kind, end) for _, kind, end in pii.base_spans(text)] == [(1, 4410), (1, len(text))]
     docs = spark.createDataFrame([(1, text), (2, "mail a@b.cc")], "doc_id bigint, text string")
     assert {r.doc_id: (r.n_ip, r.n_email) for r in pii.find_personal_data(docs).collect()} == {1: (2, 0), 2: (0, 1)}
+
+
+@pytest.fixture(scope="module")
+def field(spark):
+    return pii.train_field(documents(spark, CORPUS))
+
+
+@pytest.mark.parametrize("shown", ["15045552652", "5045552652", "504 555 2652", "504-555-2652", "504.555.2652", "1 504 555 2652", "5552652"])
+@pytest.mark.parametrize("times", [1, 25, 60])
+def test_bare_repeats_of_a_base_span(field, shown, times):
+    """However often and far away, a number that a base span names is found."""
+    text = "call +1 (504) 555-2652 now " + "some words between " * 40 + f"or {shown} if not, " * times
+    base, spans = pii.find_spans(text, field, 0.9)
+    added = [text[a:b] for a, k, b in spans if (a, k, b) not in base and k == 3]
+    assert base == plain(text) and added == [shown] * times
+    alone = f"see {shown} and order 3150455526529 " * times
+    assert [s for s in pii.find_spans(alone, field, 0.9)[1] if s not in plain(alone) and s[1] != 3] == []
+
+
+def test_no_fragments(field):
+    for text in ("from +1 (826 on", "+1 (504)", "(504) 12", "4111 1111 1111 1112 is no card", "+1 5 and 555"):
+        assert pii.find_spans(text, field, 0.9)[1] == plain(text)
+
+
+def enumerated(field, tokens):
+    """Probabilities of the labels by summing over all labellings."""
+    n, size = len(tokens.spans), len(pii.LABELS)
+    nodes = np.concatenate([tokens.label, tokens.key_label])
+    choices = [[y] if y else range(size) for y in nodes.tolist()]
+    total = np.zeros((n, size))
+    for labels in itertools.product(*choices):
+        score = sum(field.shapes.get(c, field.unknown)[y] for c, y, seen in zip(tokens.codes, labels, tokens.observed) if not seen)
+        score += sum(field.chain[0, y] for y, edge in zip(labels, tokens.open_left) if edge)
+        score += sum(field.chain[y, 0] for y, edge in zip(labels, tokens.open_right) if edge)
+        score += sum(field.chain[labels[a], labels[b]] for a, b in tokens.chain.tolist())
+        score += sum(field.key[labels[n + key], labels[token]] for token, key in tokens.links.tolist())
+        for place in range(n):
+            total[place, labels[place]] += np.exp(score)
+    return total / total.sum(axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["x 5552652 y 5552652 z", "a 1 2 b", "+1 (504) 555-2652 or 5552652 12", "x 5552652 3 y 77 5552652 z 5552652 1", "9 +1 (504) 555-2652"],
+)
+def test_messages_equal_enumeration(text):
+    """On graphs without loops the beliefs are exact."""
+    random_numbers = np.random.default_rng(3)
+    tokens = pii.read_tokens(text, pii.base_spans(text))
+    table = lambda: random_numbers.normal(size=(5, 5))
+    field = pii.Field({c: random_numbers.normal(size=5) for c in tokens.codes}, np.zeros(5), table(), table())
+    free = ~tokens.observed
+    assert np.allclose(field.beliefs(tokens)[free], enumerated(field, tokens)[free], atol=1e-4)
+
+
+def test_messages_end_on_loops_and_long_texts(field):
+    text = "5552652 1234567 " * 5000 + "9 " * 20_000 + "+1 (504) 555-2652"
+    base, spans = pii.find_spans(text, field, 0.9)
+    assert base == plain(text) and sum(text[a:b] == "5552652" for a, _, b in spans) == 5000
+
+
+def test_numbers_of_thousands_of_digits(field):
+    text = "+1 (504) 555-2652 or " + "7" * 100_000 + " " + "1 " * 3000 + "or 5045552652"
+    assert [text[a:b] for a, k, b in pii.find_spans(text, field, 0.9)[1] if k == 3] == ["+1 (504) 555-2652", "5045552652"]
+
+
+def test_a_field_without_examples():
+    assert pii.find_spans("+1 (504) 555-2652 or 5552652", pii.fit_field([]), 0.9)[1] == [(0, 3, 17)]
