@@ -1,15 +1,20 @@
 """URL verdicts: host and path rules first, boosted trees on the others.
 
-The trees see lexical features only, each in at most 16 bins. Equal feature
-rows of the labelled URLs are counted together; every level of a tree is one
-aggregation of gradients over (node, feature, bin), a table of fixed size from
-which the driver picks the splits. A finished model is a column expression, so
-training and scoring stay in SQL functions.
+The trees see lexical features, each in at most 16 bins between quantiles of
+the labelled URLs. Three of them are shares of blocked URLs by hashed suffix,
+domain and first path section; a labelled URL has its shares from the other
+folds, so that its own label is no part of them. Each tree sees half of the
+features, so that the shares do not hide the others. Equal feature rows of the
+labelled URLs are counted together; every level of a tree is one aggregation of
+gradients over (node, feature, bin), a table of fixed size from which the
+driver picks the splits. A finished model is a column expression, so training
+and scoring stay in SQL functions.
 """
 
 from __future__ import annotations
 
 import math
+import random
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -18,7 +23,8 @@ from pyspark.sql import functions as F
 from contentdup.operators.settle import settle
 
 BINS = 16
-RATE_SLOTS = 1024
+RATE_SLOTS = 4096
+FOLDS = 4
 RATES = ["suffix_rate", "domain_rate", "section_rate"]
 FEATURES = [
     "url_length", "host_length", "path_length", "depth", "labels", "digit_ratio", "hyphens", "entropy", "params", *RATES,
@@ -59,11 +65,6 @@ def deciding_rule(host: Column, path: Column, rules: list[Rule]) -> tuple[Column
     return text, verdict
 
 
-def _capped(value: Column) -> Column:
-    """A whole number as a bin; the last bin takes all larger ones."""
-    return F.least(F.greatest(F.floor(value), F.lit(0)), F.lit(BINS - 1)).cast("int")
-
-
 def _rate_slots(host: Column, path: Column) -> list[Column]:
     """Hashed last label of the host, its last two labels, and the first
     section of the path; each has slots of its own."""
@@ -81,24 +82,32 @@ def _entropy(url: Column) -> Column:
 
 
 def url_features(url: Column, host: Column, path: Column, rates: list[Column]) -> dict[str, Column]:
-    """Binned lexical features."""
+    """Lexical features as numbers."""
     n = F.length(url)
     digits = n - F.length(F.translate(url, "0123456789", ""))
     query = F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
     params = F.when(query == "", F.lit(0)).otherwise(F.length(query) - F.length(F.translate(query, "&", "")) + 1)
     values = [
-        F.length(url) / 8,
-        F.length(host) / 4,
-        F.length(path) / 4,
+        F.length(url),
+        F.length(host),
+        F.length(path),
         F.length(path) - F.length(F.translate(path, "/", "")),
         F.length(host) - F.length(F.translate(host, ".", "")),
-        F.when(n > 0, digits / n * 32).otherwise(F.lit(0)),
+        F.when(n > 0, digits / n).otherwise(F.lit(0.0)),
         n - F.length(F.translate(url, "-", "")),
-        _entropy(url) * 3,
+        _entropy(url),
         params,
-        *(rate * BINS for rate in rates),
+        *rates,
     ]
-    return {name: _capped(value) for name, value in zip(FEATURES, values)}
+    return {name: value.cast("double") for name, value in zip(FEATURES, values)}
+
+
+def binned(value: Column, edges: list[float]) -> Column:
+    """How many of the edges lie below the value."""
+    number = F.lit(0)
+    for edge in edges:
+        number = number + (value > F.lit(edge)).cast("int")
+    return number
 
 
 @dataclass
@@ -115,6 +124,7 @@ class Split:
     upto: int
     left: Leaf | Split
     right: Leaf | Split
+    gain: float = 0.0
 
     def column(self) -> Column:
         return F.when(F.col(FEATURES[self.feature]) <= self.upto, self.left.column()).otherwise(self.right.column())
@@ -122,9 +132,11 @@ class Split:
 
 @dataclass
 class UrlModel:
-    """Trees, and the shares of blocked URLs by hashed suffix and section."""
+    """Trees, the bounds of the bins of each feature, and the shares of blocked
+    URLs by hashed suffix, domain and section."""
 
     rates: list[float]
+    edges: list[list[float]]
     trees: list[Leaf | Split]
     base: float
 
@@ -134,64 +146,118 @@ class UrlModel:
             margin = margin + tree.column()
         return 1 / (1 + F.exp(-margin))
 
+    def gains(self) -> dict[str, float]:
+        """What the splits by each feature have gained in all trees."""
+        total = dict.fromkeys(FEATURES, 0.0)
+
+        def add(node: Leaf | Split) -> None:
+            if isinstance(node, Split):
+                total[FEATURES[node.feature]] += node.gain
+                add(node.left)
+                add(node.right)
+
+        for tree in self.trees:
+            add(tree)
+        return total
+
 
-def _featured(urls: DataFrame, rates: list[float], *keep: str) -> DataFrame:
-    table = F.lit(rates)
-    looked_up = [F.element_at(table, slot + 1) for slot in _rate_slots(F.col("host"), F.col("path"))]
-    features = url_features(F.col("shown"), F.col("host"), F.col("path"), looked_up)
+def _table(rates: list[float]) -> Column:
+    """A constant array, as one text."""
+    return F.split(F.lit(",".join(f"{rate:.6f}" for rate in rates)), ",").cast("array<double>")
+
+
+def _measured(urls: DataFrame, table: list[float], fold: Column | None, *keep: str) -> DataFrame:
+    """Feature values; ``table`` has a share per slot, or per slot and fold."""
+    places = [slot + 1 if fold is None else slot * FOLDS + fold + 1 for slot in _rate_slots(F.col("host"), F.col("path"))]
+    shares = _table(table)
+    features = url_features(F.col("shown"), F.col("host"), F.col("path"), [F.element_at(shares, place) for place in places])
     return urls.select(*keep, *(column.alias(name) for name, column in features.items()))
 
 
+def _in_bins(measured: DataFrame, edges: list[list[float]], *keep: str) -> DataFrame:
+    return measured.select(*keep, *(binned(F.col(name), at).alias(name) for name, at in zip(FEATURES, edges)))
+
+
+def _quantiles(measured: DataFrame) -> list[list[float]]:
+    """At most ``BINS - 1`` distinct bounds of each feature."""
+    shares = F.lit([i / BINS for i in range(1, BINS)])
+    row = measured.agg(*(F.percentile_approx(name, shares, F.lit(10_000)).alias(name) for name in FEATURES)).first()
+    return [sorted(set(row[name] or [])) for name in FEATURES]
+
+
+def best_split(sums: dict[tuple[int, int], tuple[float, float]], features: list[int], ridge: float) -> tuple[float, int, int]:
+    """Gain, feature and last bin on the left of the best split of a node from
+    its sums of gradient and hessian by (feature, bin); feature -1 for none.
+    Ties go to the first feature and bin."""
+    best = (0.0, -1, -1)
+    for feature in features:
+        total_g = sum(g for (f, _), (g, _) in sums.items() if f == feature)
+        total_h = sum(h for (f, _), (_, h) in sums.items() if f == feature)
+        g = h = 0.0
+        for upto in range(BINS - 1):
+            dg, dh = sums.get((feature, upto), (0.0, 0.0))
+            g, h = g + dg, h + dh
+            if min(h, total_h - h) <= 1e-6:
+                continue
+            gain = g * g / (h + ridge) + (total_g - g) ** 2 / (total_h - h + ridge) - total_g**2 / (total_h + ridge)
+            if gain > best[0] * (1 + 1e-9) + 1e-9:
+                best = (gain, feature, upto)
+    return best
+
+
 def _parted(urls: DataFrame, *keep: str) -> DataFrame:
     host, path = url_parts(F.col("url"))
     return urls.select(*keep, F.coalesce("url", F.lit("")).alias("shown"), host.alias("host"), path.alias("path"))
 
 
 def train_url_model(
-    labelled: DataFrame, n_trees: int = 8, depth: int = 3, rate: float = 0.4, ridge: float = 1.0
+    labelled: DataFrame, n_trees: int = 12, depth: int = 3, rate: float = 0.4, ridge: float = 1.0, seed: int = 1
 ) -> UrlModel:
     """Fit on ``url, blocked`` (0 or 1). Without rows, or with one class only,
     the model is the smoothed share of blocked rows."""
-    parted = _parted(labelled.select("url", F.col("blocked").cast("bigint").alias("blocked")), "blocked")
+    blocked = labelled.where(F.col("blocked").isNotNull()).select("url", F.col("blocked").cast("bigint").alias("blocked"))
+    # Equal URLs are in one fold, or one would tell the label of the other.
+    fold = F.pmod(F.xxhash64(F.col("shown"), F.lit(FOLDS)), F.lit(FOLDS)).cast("int")
+    parted = _parted(blocked, "blocked").withColumn("fold", fold)
     by_slot = (
-        parted.select("blocked", F.explode(F.array(*_rate_slots(F.col("host"), F.col("path")))).alias("slot"))
-        .groupBy("slot")
+        parted.select("blocked", "fold", F.explode(F.array(*_rate_slots(F.col("host"), F.col("path")))).alias("slot"))
+        .groupBy("slot", "fold")
         .agg(F.count(F.lit(1)).alias("n"), F.sum("blocked").alias("k"))
     )
-    seen = {row.slot: (row.n, row.k) for row in by_slot.collect()}  # at most RATE_SLOTS rows for each rate
-    n, k = (sum(pair[i] for slot, pair in seen.items() if slot < RATE_SLOTS) for i in (0, 1))
+    # At most RATE_SLOTS * FOLDS rows for each share.
+    seen = {(row.slot, row.fold): (row.n, row.k) for row in by_slot.collect()}
+    n, k = (sum(pair[i] for (slot, _), pair in seen.items() if slot < RATE_SLOTS) for i in (0, 1))
     share = (k + 1) / (n + 2)
-    slots = [seen.get(slot, (0, 0)) for slot in range(len(RATES) * RATE_SLOTS)]
-    rates = [(blocked + 2 * share) / (total + 2) for total, blocked in slots]
-    model = UrlModel(rates, [], math.log(share / (1 - share)))
+    smoothed = lambda total, hits: (hits + 2 * share) / (total + 2)
+    rates, others = [], []
+    for slot in range(len(RATES) * RATE_SLOTS):
+        parts = [seen.get((slot, fold), (0, 0)) for fold in range(FOLDS)]
+        total, hits = (sum(part[i] for part in parts) for i in (0, 1))
+        rates.append(smoothed(total, hits))
+        others += [smoothed(total - part[0], hits - part[1]) for part in parts]
+    model = UrlModel(rates, [[] for _ in FEATURES], [], math.log(share / (1 - share)))
     if not 0 < k < n:
         return model
+    measured = _measured(parted, others, F.col("fold"), "blocked")
+    model.edges = _quantiles(measured)
     cells = settle(
-        _featured(parted, rates, "blocked").groupBy(*FEATURES).agg(F.count(F.lit(1)).alias("n"), F.sum("blocked").alias("k")),
+        _in_bins(measured, model.edges, "blocked").groupBy(*FEATURES).agg(F.count(F.lit(1)).alias("n"), F.sum("blocked").alias("k")),
         "url-cells",
     ).df
     pairs = F.explode(F.array(*(F.struct(F.lit(i).alias("f"), F.col(c).alias("b")) for i, c in enumerate(FEATURES))))
+    draw = random.Random(seed)
 
     def grow(level: int, sums: dict) -> Leaf | Split:
         """``sums`` of this node by (feature, bin): gradient and hessian."""
-        total_g = sum(g for (f, _), (g, _) in sums.items() if f == 0)
-        total_h = sum(h for (f, _), (_, h) in sums.items() if f == 0)
-        best = (0.0, -1, -1)
-        for feature in range(len(FEATURES)):
-            g = h = 0.0
-            for upto in range(BINS - 1):
-                dg, dh = sums.get((feature, upto), (0.0, 0.0))
-                g, h = g + dg, h + dh
-                if min(h, total_h - h) <= 1e-6:
-                    continue
-                gain = g * g / (h + ridge) + (total_g - g) ** 2 / (total_h - h + ridge) - total_g**2 / (total_h + ridge)
-                if gain > best[0] * (1 + 1e-9) + 1e-9:
-                    best = (gain, feature, upto)
-        if level == depth or best[1] < 0:
+        gain, feature, upto = best_split(sums, features, ridge) if level < depth else (0.0, -1, -1)
+        if feature < 0:
+            total_g = sum(g for (f, _), (g, _) in sums.items() if f == 0)
+            total_h = sum(h for (f, _), (_, h) in sums.items() if f == 0)
             return Leaf(rate * -total_g / (total_h + ridge))
-        return Split(best[1], best[2], None, None)
+        return Split(feature, upto, None, None, gain)
 
     for _ in range(n_trees):
+        features = sorted(draw.sample(range(len(FEATURES)), len(FEATURES) // 2))
         p = model.probability()
         base = cells.select(*FEATURES, "n", (F.col("n") * p - F.col("k")).alias("g"), (F.col("n") * p * (1 - p)).alias("h"))
         root: list = [None]
@@ -259,8 +325,9 @@ def judge_urls(pages: DataFrame, rules: list[Rule], labelled: DataFrame | None =
     default on the pages that rules decide.
 
     A null URL, or one without ``://``, has empty host and path and is judged
-    by the trees on what text it has. Repeated rows are judged alike; an empty
-    table gives no rows; further columns are ignored.
+    by the trees on what text it has. URLs of any length are read whole. Repeated
+    rows are judged alike; an empty table gives no rows; further columns are
+    ignored.
     """
     host, path = url_parts(F.col("url"))
     text, verdict = deciding_rule(F.col("host"), F.col("path"), rules)
@@ -272,8 +339,9 @@ def judge_urls(pages: DataFrame, rules: list[Rule], labelled: DataFrame | None =
     model = train_url_model(labelled)
     shown = judged.withColumn("shown", F.coalesce("url", F.lit("")))
     by_trees = F.when(F.col("p_block") >= threshold, F.lit("block")).otherwise(F.lit("allow"))
+    keep = ("page_id", "host", "path", "rule", "by_rule")
     return (
-        _featured(shown, model.rates, "page_id", "host", "path", "rule", "by_rule")
+        _in_bins(_measured(shown, model.rates, None, *keep), model.edges, *keep)
         .withColumn("p_block", F.round(model.probability(), 9))
         .select("page_id", "host", "path", "rule", F.coalesce("by_rule", by_trees).alias("verdict"), "p_block")
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from contentdup.llm.chat import format_chats
 from contentdup.llm.queries import URL_RULES
-from contentdup.llm.url_trees import judge_urls, train_url_model
+from contentdup.llm.url_trees import BINS, FEATURES, RATES, best_split, binned, judge_urls, train_url_model
 from tests.llm.cases import rows_of
 
 PYTHON_NODES = ("Python", "Pandas", "Arrow")
@@ -111,3 +111,62 @@ def test_trees_without_two_classes(spark, blocked):
 
 def test_no_pages(spark):
     assert judge_urls(pages(spark, URLS).where("false"), URL_RULES).count() == 0
+
+
+def labelled_urls(spark, numbers):
+    """URLs whose label follows from lexical features, none of them a host."""
+    source = random.Random(9)
+    rows = []
+    for i in numbers:
+        bad = source.random() < 0.4
+        host = source.choice(["www.", ""]) + "".join(source.choices("abcdefgh", k=9)) + source.choice([".com", ".org", ".info"])
+        path = "/".join("".join(source.choices("0123456789" if bad else "lmnopqrst", k=6)) for _ in range(source.randint(1, 4)))
+        rows.append((i, f"http://{host}/{path}" + ("?a=1&b=2&c=3" if bad and i % 5 else ""), int(bad)))
+    return spark.createDataFrame(rows, "page_id bigint, url string, blocked int")
+
+
+def test_trees_judge_urls_they_have_not_seen(spark):
+    rows = labelled_urls(spark, range(1500))
+    seen, unseen = rows.where("page_id % 3 > 0"), rows.where("page_id % 3 = 0")
+    judged = judge_urls(unseen.select("page_id", "url"), [], seen).join(unseen.select("page_id", "blocked"), "page_id").collect()
+    assert sum((r.verdict == "block") == bool(r.blocked) for r in judged) >= 0.95 * len(judged)
+    assert len({r.p_block for r in judged}) >= 10
+    gains = train_url_model(seen).gains()
+    assert sum(gains[f] for f in FEATURES if f not in RATES) > sum(gains[f] for f in RATES)
+
+
+def test_shares_leave_out_the_own_label(spark):
+    """Labels by chance cannot be learnt from shares of URLs of their own."""
+    source = random.Random(4)
+    rows = [(f"http://{''.join(source.choices('abcdefgh', k=12))}.zz/x", source.randint(0, 1)) for _ in range(400)]
+    gains = train_url_model(spark.createDataFrame(rows, "url string, blocked int"), n_trees=4).gains()
+    assert gains["domain_rate"] < 0.1 * len(rows)
+
+
+def test_best_split_equals_brute_force():
+    source = random.Random(8)
+    for _ in range(50):
+        rows = [([source.randrange(BINS) for _ in range(3)], source.uniform(-1, 1), source.uniform(0.1, 1)) for _ in range(30)]
+        sums = {}
+        for bins, g, h in rows:
+            for f, b in enumerate(bins):
+                old = sums.get((f, b), (0.0, 0.0))
+                sums[f, b] = (old[0] + g, old[1] + h)
+
+        def value(part, ridge=1.0):
+            return sum(g for _, g, _ in part) ** 2 / (sum(h for *_, h in part) + ridge)
+
+        best = max(
+            (value(left) + value(right) - value(rows), -f, -upto)
+            for f in (0, 2)
+            for upto in range(BINS - 1)
+            for left, right in [([r for r in rows if r[0][f] <= upto], [r for r in rows if r[0][f] > upto])]
+            if left and right
+        )
+        gain, feature, upto = best_split(sums, [0, 2], 1.0)
+        assert abs(gain - best[0]) < 1e-6 and (feature, upto) == (-best[1], -best[2])
+
+
+def test_bins_by_edges(spark):
+    got = spark.range(10).select(binned(F.col("id"), [2.0, 2.5, 7.0]).alias("b"), binned(F.col("id"), []).alias("z")).collect()
+    assert [r.b for r in got] == [0, 0, 0, 2, 2, 2, 2, 2, 3, 3] and {r.z for r in got} == {0}
