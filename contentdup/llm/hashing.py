@@ -126,11 +126,31 @@ def word_grams(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     return mix(sums), bounds
 
 
+def characters(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each code point of the batch, made of its bytes, and the
+    bounds of the texts in them. ASCII characters are their own numbers."""
+    data = words.folded
+    if not len(data) or data.max() < 0x80:
+        return data, words.bounds
+    begins = (data & 0xC0) != 0x80
+    begins[words.bounds[words.bounds < len(data)]] = True
+    starts = np.flatnonzero(begins)
+    numbers = np.empty(len(starts), np.uint32)
+    for first in range(0, len(starts), CHUNK):
+        here = starts[first : first + CHUNK]
+        end = starts[first + CHUNK] if first + CHUNK < len(starts) else len(data)
+        places = np.arange(here[0], end) - np.repeat(here, np.diff(np.append(here, end)))
+        parts = data[here[0] : end].astype(np.uint32) << (8 * np.minimum(places, 3)).astype(np.uint32)
+        numbers[first : first + CHUNK] = np.add.reduceat(parts, here - here[0])
+    return numbers, np.searchsorted(starts, words.bounds)
+
+
 def char_grams(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all windows of ``n`` bytes inside texts, blanks included,
-    and the bounds of the texts in them."""
-    size = len(words.data) - n + 1
-    lengths = np.maximum(np.diff(words.bounds) - n + 1, 0)
+    """Hashes of all windows of ``n`` code points inside texts, blanks
+    included, and the bounds of the texts in them."""
+    letters, text_bounds = characters(words)
+    size = len(letters) - n + 1
+    lengths = np.maximum(np.diff(text_bounds) - n + 1, 0)
     bounds = np.append(0, np.cumsum(lengths))
     if size <= 0 or not bounds[-1]:
         return np.zeros(0, np.uint64), bounds
@@ -138,12 +158,12 @@ def char_grams(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     for at in range(0, size, CHUNK):
         part = hashes[at : at + CHUNK]
         for step in range(n):
-            part += (words.folded[at + step : at + step + len(part)].astype(np.uint64) + np.uint64(1)) * _STEPS[32 + step]
+            part += (letters[at + step : at + step + len(part)].astype(np.uint64) + np.uint64(1)) * _STEPS[32 + step]
         part[:] = mix(part)
     if len(lengths) == 1:
         return hashes, bounds
     text = np.repeat(np.arange(len(lengths)), lengths)
-    return hashes[np.arange(bounds[-1]) - bounds[text] + words.bounds[text]], bounds
+    return hashes[np.arange(bounds[-1]) - bounds[text] + text_bounds[text]], bounds
 
 
 def sums_by_text(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:

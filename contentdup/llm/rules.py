@@ -93,7 +93,8 @@ def _fit_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row from those of all parts, weighted by their rows."""
+    """One row from those of some parts, weighted by their rows; averages of
+    averages are the average of all."""
     total, bias, weights = 0, 0.0, np.zeros(1 << BITS)
     for batch in batches:
         for n, part_bias, part in zip(batch.column("n").to_pylist(), batch.column("bias").to_pylist(), batch.column("weights")):
@@ -150,7 +151,9 @@ def train_rule_model(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMP
         .sortWithinPartitions("doc_id", "text")
         .select("text", "quality")
         .mapInArrow(_fit_part, schema)
-        .repartition(1)  # a row of fixed size from each part
+        .repartition(4, "bias")
+        .mapInArrow(_average, schema)
+        .repartition(1)  # at most 4 rows of fixed size
         .mapInArrow(_average, schema)
         .first()
     )

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from contentdup.llm import ngram_join
+from contentdup.llm import hashing, ngram_join
 from contentdup.llm.components import connected_components
 from contentdup.llm.hashing import Words, char_grams, word_grams
 from contentdup.llm.trie_join import Forest, Trie
@@ -137,3 +137,19 @@ def test_grams_stay_inside_texts():
     letters, at = char_grams(words, 3)
     assert np.diff(at).tolist() == [max(len(t) - 2, 0) for t in texts]
     assert letters[at[6]] == letters[at[4] + 2]  # "c d" in two texts
+
+
+def test_character_grams_are_of_code_points():
+    texts = ["", "é", "añb", "日本語のテキスト", "a日é😀b", "plain", "ño日é😀", "x" * 30 + "本語"]
+    raw = [t.encode() for t in texts]
+    data, bounds = np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(t) for t in raw]))
+    for chunk in (hashing.CHUNK, 5):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(hashing, "CHUNK", chunk)
+            grams, at = char_grams(Words.of(data, bounds, fold=False), 2)
+        windows = [t[i : i + 2] for t in texts for i in range(len(t) - 1)]
+        assert np.diff(at).tolist() == [max(len(t) - 1, 0) for t in texts]
+        # Equal windows have equal hashes, others different ones.
+        assert len(grams) == len(windows) and len(set(zip(windows, grams.tolist()))) == len(set(windows)) == len(set(grams.tolist()))
+    plain = np.frombuffer(b"plain", np.uint8)
+    assert char_grams(Words.of(plain, np.array([0, 5])), 2)[0].tolist() == grams[at[5] : at[6]].tolist()
