@@ -13,6 +13,8 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -228,7 +230,8 @@ class WordEncoder:
             for text in values
         ]
         if len(self.known) > CACHE_ENTRIES:
-            self.known.clear()
+            # The older half goes.
+            self.known = dict(islice(self.known.items(), CACHE_ENTRIES // 2, None))
         new = list({word for words in split for word in words} - self.known.keys())
         self._learn(new)
         look = self.known.__getitem__
@@ -245,6 +248,12 @@ class WordEncoder:
         return out
 
 
+@lru_cache(maxsize=1)
+def worker_encoder(path: str) -> WordEncoder:
+    """One encoder per Python worker, with the words it has learnt."""
+    return WordEncoder(path)
+
+
 def _sha256(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
@@ -255,14 +264,15 @@ def encode_words(docs: DataFrame, tokenizer: str, digests: bool = False) -> Data
     Returns ``doc_id, n_tokens, ids, decoded``: the ids in decimal with a
     space between, and the text decoded with special tokens kept. With
     ``digests`` the two are given as ``ids_sha256`` and ``decoded_sha256``,
-    made in the same pass. Empty texts give no ids and an empty text. One row
-    per input row, whatever ``doc_id`` holds; further columns are ignored.
+    made in the same pass. Empty texts give no ids and an empty text. Texts of
+    any length are coded whole. One row per input row, whatever ``doc_id``
+    holds; an empty table gives none; further columns are ignored.
     """
     ship(docs.sparkSession)
     shown = _sha256 if digests else str
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer)
+        encoder = worker_encoder(tokenizer)
         for batch in slices(batches):
             coded = encoder.encode(batch.column("text").to_pylist())
             columns = [
