@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from contentdup.operators.groups import join_groups
 from contentdup.operators.settle import settle
 
+# Nodes with more links than this, and more than 1/10,000 of all, are joined by
+# broadcast, so that no centre of a star fills a task.
+FEW_LINKS = 64
+
 
 def connected_components(links: DataFrame) -> DataFrame:
     """``node, root`` for every node of ``links`` (``a, b``, any order): the
@@ -19,10 +24,12 @@ def connected_components(links: DataFrame) -> DataFrame:
     sees whether any node is left.
     """
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges = settle(edges, "links").df
+    written = settle(edges, "links")
+    edges = written.df
     while not _are_stars(edges):
-        large = _star(edges.union(edges.select("b", "a")), larger=True)
-        edges = settle(_star(large, larger=False), "links").df
+        large = _larger_star(edges.union(edges.select("b", "a")), 2 * written.n_rows)
+        written = settle(_smaller_star(large), "links")
+        edges = written.df
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
 
@@ -35,14 +42,20 @@ def _are_stars(edges: DataFrame) -> bool:
     return ends.where("up > 1 OR (up = 1 AND down = 1)").isEmpty()
 
 
-def _star(edges: DataFrame, larger: bool) -> DataFrame:
-    """Link the larger (or smaller) neighbours of each ``a`` to the smallest of
-    all, ``a`` included."""
-    if not larger:
-        edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+def _larger_star(edges: DataFrame, n_rows: int) -> DataFrame:
+    """Link the larger neighbours of each ``a`` to the smallest of all, ``a``
+    included. A node may have any share of the ``n_rows`` links."""
+    smallest = edges.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n_files"))
+    smallest = smallest.select("a", F.least("a", "m").alias("m"), "n_files")
+    joined = join_groups(edges, smallest, n_rows, ["a"], FEW_LINKS)
+    return joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+
+
+def _smaller_star(edges: DataFrame) -> DataFrame:
+    """Link the smaller neighbours of each ``a`` to the smallest of them, and
+    ``a`` too."""
+    edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     smallest = edges.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
     joined = edges.join(smallest, "a")
-    if larger:
-        return joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     linked = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(joined.select("a", F.col("m").alias("b")))
     return linked.where("a <> b").distinct()

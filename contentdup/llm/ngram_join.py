@@ -5,9 +5,12 @@ Exact in its links, and linear in the number of copies:
 1. All n-grams are ordered by a table of fixed size that counts their hashes,
    rare ones first. Two sets that are similar enough share one of the first
    elements of each (prefix filter).
-2. Texts with equal sets count once. Pairs of sets that share a prefix element
-   of few sets are tested by size and by a bitmap, which bounds the overlap;
-   the sets of a frequent prefix element are chained by size. Both give
+2. Texts with equal sets count once. The first element that two sets share has
+   a place in each; what lies before it in either is not shared, which bounds
+   the overlap. Sets whose place leaves no room for any other set of that
+   element are left out. Of the rest, pairs of sets that share a prefix element
+   of few sets are tested by size, places and a bitmap, which bounds the overlap
+   too; the sets of a frequent prefix element are chained by size. Both give
    clusters, and all links lie inside clusters.
 3. A cluster is cut into blocks of bounded size. In a block the sets form a
    trie, which is walked for links between sets that are not yet connected.
@@ -198,26 +201,39 @@ def _chained(shared: DataFrame, num: int, den: int) -> DataFrame:
     return to_first.union(across.select("name", "p.name"))
 
 
+def _has_room(num: int, den: int) -> F.Column:
+    """Whether a set may be linked with one whose first element in common with
+    it this is. All ``place`` elements before it are not shared, nor are the
+    other set's, which has at least ``least_place`` of them."""
+    n_grams, place, least = (F.col(c).cast("bigint") for c in ("n_grams", "place", "least_place"))
+    return F.lit(den) * (n_grams - place) >= F.lit(num) * (n_grams + least)
+
+
+def _have_room(num: int, den: int) -> F.Column:
+    """The same for two sets, of which all is known."""
+    n_a, n_b, place_a, place_b = (F.col(c).cast("bigint") for c in ("n_a", "n_b", "place_a", "place_b"))
+    most = F.least(n_a - place_a, n_b - place_b)
+    return F.lit(den) * most >= F.lit(num) * (n_a + n_b - most)
+
+
 def _clusters(signed: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """``name, root``: sets that may be linked, directly or by others."""
     elements = signed.where("name IS NOT NULL AND doc_id IS NOT NULL").select(
-        "name", F.col("n_grams").cast("int").alias("n_grams"), F.explode("prefix").alias("element")
+        "name", F.col("n_grams").cast("int").alias("n_grams"), F.posexplode("prefix").alias("place", "element")
     )
     several = elements.groupBy("element").agg(F.min("name").alias("lowest"), F.max("name").alias("highest"))
     several = settle(several.where("lowest <> highest").select("element"), "several-sets").df
     # The bit filter leaves few rows to shuffle; copies of a text count once.
     near = among(elements, several, ELEMENT_BITS, "element").join(several, "element", "left_semi").distinct()
     near = settle(near, "near-elements").df
-    shared = near.join(near.groupBy("element").agg(F.count(F.lit(1)).alias("n_sets")), "element")
-    shared = settle(shared, "shared-elements").df
+    counted = near.groupBy("element").agg(F.count(F.lit(1)).alias("n_sets"), F.min("place").alias("least_place"))
+    shared = settle(near.join(counted, "element").where(_has_room(num, den)), "shared-elements").df
     few = shared.where(F.col("n_sets") <= PAIRED_SETS)
-    first, second = (few.select("element", F.col("name").alias(n), F.col("n_grams").alias(f"n_{n}")) for n in ("a", "b"))
-    pairs = (
-        first.join(second, "element")
-        .where((F.col("a") < F.col("b")) & (F.lit(den) * F.least("n_a", "n_b") >= F.lit(num) * F.greatest("n_a", "n_b")))
-        .select("a", "b")
-        .distinct()
+    first, second = (
+        few.select("element", F.col("name").alias(n), F.col("n_grams").alias(f"n_{n}"), F.col("place").alias(f"place_{n}"))
+        for n in ("a", "b")
     )
+    pairs = first.join(second, "element").where((F.col("a") < F.col("b")) & _have_room(num, den)).select("a", "b").distinct()
     links = _possible(pairs, sets, num, den).union(_chained(shared.where(F.col("n_sets") > PAIRED_SETS), num, den))
     return connected_components(links).select(F.col("node").alias("name"), "root")
 

@@ -64,6 +64,32 @@ def test_one_large_group(spark):
     assert {row.component_id for row in got.collect()} == {0}
 
 
+def test_a_common_passage_makes_no_cluster(spark):
+    """Texts that share a passage and are not alike: no rows but their own."""
+    passage = " ".join(f"p{j}" for j in range(100))
+    rows = [(i, passage + "".join(f" o{i}x{j}" for j in range(14))) for i in range(3000)]
+    docs = documents(spark, rows)
+    signed = ngram_join.gram_signatures(docs, 4, 85, 100)
+    sets = signed.select("name", "doc_id", "n_grams", "bits")
+    assert ngram_join._clusters(signed, sets, 85, 100).count() == 0
+    got = ngram_join.ngram_components(docs, 4, 85, 100)
+    assert {(row.doc_id, row.component_id) for row in got.collect()} == {(i, i) for i in range(3000)}
+
+
+def test_common_passages_lose_no_link(spark):
+    """The same with own words few enough that some texts are linked."""
+    source = random.Random(11)
+    passage = [f"p{j}" for j in range(60)]
+    rows = []
+    for i in range(150):
+        words = list(passage[source.choice([0, 0, 3, 20]) :])
+        for j in range(source.randint(0, 9)):
+            words.insert(source.choice([0, len(words), source.randrange(len(words))]), f"o{i}x{j}")
+        rows.append((i, " ".join(words)))
+    got = ngram_join.ngram_components(documents(spark, rows), 4, 85, 100)
+    assert rows_of(got, "doc_id", "n_shingles", "component_id") == brute(rows, 4, 85, 100)
+
+
 def test_filter_slot_zero(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "FILTER_BITS", 0)
     rows = near_copies(3, 40)
@@ -126,6 +152,12 @@ def test_connected_components(spark):
     assert connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+def test_a_star_of_many_links(spark):
+    links = [(0, i) for i in range(1, 400)] + [(i, i + 1000) for i in range(1, 300)] + [(5000, 5001)]
+    got = connected_components(spark.createDataFrame(links, "a bigint, b bigint")).collect()
+    assert len(got) == 701 and {row.root for row in got if row.node < 5000} == {0}
+
+
 def test_grams_stay_inside_texts():
     texts = [b"", b" ", b"a b", b"A\tB\nc d e", b"b c d e", b"x" * 5000 + b" y", b"c d e"]
     data, bounds = np.frombuffer(b"".join(texts), np.uint8), np.append(0, np.cumsum([len(t) for t in texts]))
