@@ -2,13 +2,19 @@
 
 Vectors are ordered by length and cut into buckets. The bucket of the longest
 ones gives every query a first list of results, whose last score is its
-threshold. A bucket whose longest vector cannot reach a query's threshold is
-never sent to it. In the others the threshold, divided by the lengths of query
-and bucket, is a local cosine threshold: where it is high, ranges of single
-coordinates leave few candidates, else the length alone cuts the bucket short.
-What is left is verified by its product. All results are exact.
-
-Bucket and queries meet in blocks of bounded size, so neither is held whole.
+threshold; the next ones follow in phases, each of eight times as many buckets,
+and every phase raises the thresholds for the one after. A bucket whose longest
+vector cannot reach a query's threshold is never sent to it. In the others the
+threshold, divided by the lengths of query and bucket, is a local cosine
+threshold: where it is high, ranges of single coordinates leave few candidates,
+else the length alone cuts the bucket short. What is left is verified by its
+product. All results are exact.
+
+Who needs which bucket is settled on rows without vectors: lengths fall into
+classes of a quarter of an octave, a query is joined with the classes it may
+reach and then held against the very length. Queries that reach alike share a
+slot. Bucket and slot meet in blocks of bounded size, so neither is held whole,
+and a bucket goes to no slot that has no query for it.
 """
 
 from __future__ import annotations
@@ -31,8 +37,15 @@ QUERY_ROWS = 4096
 COORDINATE_FROM = 0.4
 FOCUS = 4
 _EXACT = 2.0**52
+# Buckets of a phase, times those of the one before.
+PHASE_GROWTH = 8
+# Classes of length in an octave, and parts of a class when it is joined.
+OCTAVE_CLASSES = 4
+CLASS_PARTS = 32
+# Parts of a bucket when it is joined with the slots that need it.
+BUCKET_PARTS = 8
+_MARGIN = 1 + 1e-9
 
-_ROWS = "vec_id bigint, embedding array<double>, norm double"
 _FOUND = "query_id bigint, vec_id bigint, score bigint"
 
 
@@ -151,28 +164,75 @@ def _search(k: int, scale: int):
     return run
 
 
-def _meet(vectors: DataFrame, queries: DataFrame, slots: int, k: int, scale: int) -> DataFrame:
-    """Search blocks of (bucket, slot): every bucket is copied to the slots of
-    queries, every query (with ``bucket``) belongs to one slot."""
-    block = F.col("bucket") * F.lit(slots) + F.col("slot")
-    here = vectors.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1)))).select(
-        block.cast("bigint").alias("block"),
-        F.lit(False).alias("is_query"),
-        "vec_id",
-        "embedding",
-        F.lit(None).cast("double").alias("threshold"),
-    )
-    asked = queries.select(
-        block.cast("bigint").alias("block"), F.lit(True).alias("is_query"), "vec_id", "embedding", "threshold"
-    )
+def _parts(count: int) -> F.Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+
+
+def _cut(rows: DataFrame, order: list, size: int, label: str, number: str) -> DataFrame:
+    """Rows in ranges of ``order``, with the ``number`` of the run of at most
+    ``size`` rows each is in. Numbers go on from piece to piece."""
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = settle(ordered.withColumn("row_slot", F.monotonically_increasing_id()), label).df
+    placed = placed.withColumn("piece", F.shiftright("row_slot", 33))
+    counts = placed.groupBy("piece").agg(F.ceil(F.count(F.lit(1)) / F.lit(size)).alias("n"))
+    earlier = W.orderBy("piece").rowsBetween(W.unboundedPreceding, -1)
+    starts = counts.select("piece", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))  # one row per piece
+    inside = F.floor((F.col("row_slot") - F.shiftleft("piece", 33)) / F.lit(size))
+    return placed.join(F.broadcast(starts), "piece").withColumn(number, F.col("start") + inside).drop("row_slot", "piece", "start")
+
+
+def _class(length: F.Column) -> F.Column:
+    return F.floor(F.lit(OCTAVE_CLASSES) * F.log2(F.least(length, F.lit(1e308))))
+
+
+def _searches(asked: DataFrame, lengths: DataFrame) -> DataFrame:
+    """``vec_id, slot, threshold, bucket``: the buckets whose ``longest`` vector
+    may give a query its threshold, i.e. is at least its ``reach``. Narrow rows;
+    a class that holds most buckets is joined in parts."""
+    lengths = lengths.where("longest > 0").withColumn("class", _class(F.col("longest")))
+    ends = lengths.agg(F.min("class").alias("least"), F.max("class").alias("most")).first()
+    if ends.least is None:
+        return asked.select("vec_id", "slot", "threshold", F.lit(0).cast("bigint").alias("bucket")).where("false")
+    least, most = F.lit(ends.least), F.lit(ends.most)
+    # One class below for rounding; the very length decides.
+    lowest = F.when(F.col("reach") > 0, F.greatest(_class(F.col("reach")) - 1, least)).otherwise(least)
+    wanted = asked.withColumn("lowest", lowest).where(F.col("lowest") <= most)
+    wanted = wanted.withColumn("class", F.explode(F.sequence("lowest", most)))
+    wanted = wanted.withColumn("class_part", F.pmod(F.xxhash64("vec_id"), F.lit(CLASS_PARTS)).cast("int"))
+    there = lengths.withColumn("class_part", _parts(CLASS_PARTS))
     return (
-        here.unionByName(asked)
-        .repartition("block")
-        .sortWithinPartitions("block", "is_query")
-        .mapInArrow(_search(k, scale), _FOUND)
+        wanted.join(there, ["class", "class_part"])
+        .where(F.col("longest") * F.lit(_MARGIN) >= F.col("reach"))
+        .select("vec_id", "slot", "threshold", "bucket")
     )
 
 
+def _blocks_of(vectors: DataFrame, queries: DataFrame, searches: DataFrame, slots: int) -> DataFrame:
+    """Rows of all blocks: a bucket in every slot that has a query for it, a
+    query in the block of each of its buckets."""
+    block = (F.col("bucket") * F.lit(slots) + F.col("slot")).cast("bigint").alias("block")
+    needed = searches.select("bucket", "slot").distinct().withColumn("bucket_part", _parts(BUCKET_PARTS))
+    parted = vectors.withColumn("bucket_part", F.pmod(F.xxhash64("vec_id"), F.lit(BUCKET_PARTS)).cast("int"))
+    here = parted.join(needed, ["bucket", "bucket_part"]).select(
+        block, F.lit(False).alias("is_query"), "vec_id", "embedding", F.lit(None).cast("double").alias("threshold")
+    )
+    asked = searches.join(queries, "vec_id").select(block, F.lit(True).alias("is_query"), "vec_id", "embedding", "threshold")
+    return here.unionByName(asked)
+
+
+def _meet(blocks: DataFrame, k: int, scale: int) -> DataFrame:
+    """The best ``k`` of each query in each of its blocks."""
+    return blocks.repartition("block").sortWithinPartitions("block", "is_query").mapInArrow(_search(k, scale), _FOUND)
+
+
+def _phases(n_buckets: int) -> list[tuple[int, int]]:
+    """First bucket and the one after the last of each phase."""
+    ends = [0, 1]
+    while ends[-1] < n_buckets:
+        ends.append(ends[-1] * PHASE_GROWTH)
+    return list(zip(ends[:-1], ends[1:]))
+
+
 def top_products(
     vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256, bucket_rows: int = BUCKET_ROWS, query_rows: int = QUERY_ROWS
 ) -> DataFrame:
@@ -202,50 +262,32 @@ def top_products(
         .where(finite)
         .withColumn("norm", bound)
     )
-    # Longest first; the row number inside a piece cuts it into buckets.
-    ordered = usable.repartitionByRange(F.desc("norm"), "vec_id").sortWithinPartitions(F.desc("norm"), "vec_id")
-    placed = settle(ordered.withColumn("slot", F.monotonically_increasing_id()), "vectors").df
-    piece = F.shiftright("slot", 33)
-    number = F.shiftleft(piece, 20) + F.floor((F.col("slot") - F.shiftleft(piece, 33)) / F.lit(bucket_rows))
-    rows = placed.withColumn("bucket", number).drop("slot")
-
+    rows = _cut(usable, [F.desc("norm"), F.col("vec_id")], bucket_rows, "vectors", "bucket")
     queries = (
         rows.where(F.col("vec_id") % every == 0)
         .groupBy("vec_id")
         .agg(F.max(F.struct("embedding", "norm")).alias("q"))
         .select("vec_id", "q.embedding", "q.norm")
     )
-    lengths = rows.groupBy("bucket").agg(F.max("norm").alias("longest"))
-    first, n_queries = lengths.agg(F.min("bucket")).first()[0], queries.count()
-    slots = max(1, math.ceil(n_queries / query_rows))
-    queries = queries.withColumn("slot", F.pmod(F.xxhash64("vec_id"), F.lit(slots)))
-
-    opening = _meet(
-        rows.where(F.col("bucket") == F.lit(first)),
-        queries.withColumns({"bucket": F.lit(first), "threshold": F.lit(None).cast("double")}),
-        slots,
-        k,
-        scale,
-    )
-    opening = settle(opening, "opening").df
-    last = F.when(F.count(F.lit(1)) >= k, F.min("score")).cast("double")
-    thresholds = opening.groupBy(F.col("query_id").alias("vec_id")).agg(last.alias("threshold"))
-
-    # Which buckets a query needs: one narrow row per bucket and slot decides first.
-    asked = queries.join(thresholds, "vec_id", "left")
-    others = lengths.where(F.col("bucket") != F.lit(first))
-    reach = others.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
-    needed = asked.join(reach, "slot").where(
-        F.col("threshold").isNull()
-        | (F.col("threshold") <= 0)
-        | (F.col("norm") * F.col("longest") * F.lit(1 + 1e-9) >= F.col("threshold"))
-    )
-    rest = _meet(rows.where(F.col("bucket") != F.lit(first)), needed, slots, k, scale)
+    queries = settle(queries, "queries").df
+    # The vector of an empty list has length 0; 1 is above it and below all others.
+    longest = F.greatest(F.max("norm"), F.lit(1.0)).alias("longest")
+    lengths = settle(rows.groupBy("bucket").agg(longest), "lengths").df
 
+    best = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
     ranked = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (
-        opening.unionByName(rest)
-        .withColumn("rank", F.row_number().over(ranked))
-        .where(F.col("rank") <= k)
-        .select("query_id", "rank", "vec_id", "score")
-    )
+    last = F.when(F.count(F.lit(1)) >= k, F.min("score")).cast("double")
+    for start, stop in _phases(lengths.count()):
+        thresholds = best.groupBy(F.col("query_id").alias("vec_id")).agg(last.alias("threshold"))
+        asked = queries.select("vec_id", "norm").join(thresholds, "vec_id", "left")
+        reach = F.when((F.col("threshold") > 0) & (F.col("norm") > 0), F.col("threshold") / F.col("norm")).otherwise(0.0)
+        asked = _cut(asked.select("vec_id", "threshold", reach.alias("reach")), ["reach", "vec_id"], query_rows, "asked", "slot")
+        in_phase = F.col("bucket").between(start, stop - 1)
+        searches = settle(_searches(asked, lengths.where(in_phase)), "searches").df
+        slots = searches.agg(F.max("slot")).first()[0]
+        if slots is None:  # thresholds only rise and lengths only fall
+            break
+        found = _meet(_blocks_of(rows.where(in_phase), queries, searches, slots + 1), k, scale)
+        found = best.drop("rank").unionByName(found)
+        best = settle(found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k), "best").df
+    return best.select("query_id", "rank", "vec_id", "score")

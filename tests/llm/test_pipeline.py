@@ -98,3 +98,24 @@ def test_near_duplicates_go_by_row(spark):
     assert len(without) == 1 and without[0].startswith(texts[3])
     wanted = [(1, texts[0] + " x"), (5, texts[1]), (5, texts[2]), (8, ""), (8, ""), (9, None)]
     assert sorted((row for row in left if row[0] is not None), key=repr) == sorted(wanted, key=repr)
+
+
+def odd_documents(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    return docs.selectExpr("*", "'en' AS lang", "'web' AS source", "1L AS n_chars", "1 AS row_id", "'x' AS name", "2 AS bucket")
+
+
+@pytest.mark.parametrize("name,stage", pipeline.STAGES)
+def test_stages_on_empty_tables_and_odd_texts(spark, name, stage):
+    assert stage(spark, odd_documents(spark, []), FOLDER).count() == 0
+    long = " ".join(f"word{i % 997} other{i}" for i in range(60_000))
+    rows = [(1, long), (1, long), (2, long + " end"), (None, "short"), (3, None), (4, ""), (5, "x" * 200_000)]
+    left = stage(spark, odd_documents(spark, rows), FOLDER).collect()
+    if name in ("personal_data", "packing"):
+        assert len(left) == len(rows)
+    elif name == "near_duplicates":
+        assert sorted(((r.doc_id, len(r.text or "")) for r in left), key=repr) == sorted(
+            [(1, len(long)), (None, 5), (3, 0), (4, 0), (5, 200_000)], key=repr
+        )
+    else:
+        assert len(left) <= len(rows)

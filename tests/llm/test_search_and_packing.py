@@ -54,6 +54,27 @@ def test_few_or_no_vectors(spark):
     assert rows_of(search.top_products(vectors(spark, [(0, [1.0]), (1, [1.0])]), 50, 5)) == [(0, 1, 1, 65536)]
 
 
+def test_many_buckets_and_slots(spark):
+    """Lengths over several octaves, so that phases end early for most queries."""
+    source = np.random.default_rng(8)
+    made = source.normal(size=(3000, 6)) * np.exp2(source.integers(0, 9, size=(3000, 1)) / 2)
+    rows = [(i, v.tolist()) for i, v in enumerate(made)]
+    got = search.top_products(vectors(spark, rows), 30, 4, 256, bucket_rows=50, query_rows=8)
+    assert rows_of(got, "query_id", "rank", "vec_id", "score") == brute(rows, 30, 4, 256)
+
+
+def test_buckets_go_where_they_are_needed(spark):
+    """Of 20 buckets each of 4 slots reaches its share, and gets no other rows."""
+    rows = spark.range(2000).selectExpr("id AS vec_id", "id div 100 AS bucket", "array(1.0D) AS embedding")
+    lengths = spark.range(20).selectExpr("id AS bucket", "pow(2.0D, -id) AS longest")
+    asked = spark.range(40).selectExpr("id AS vec_id", "id div 10 AS slot", "1.0D AS threshold", "pow(2.0D, -(id div 10)) AS reach")
+    searches = search._searches(asked, lengths)
+    assert searches.count() == 10 * (1 + 2 + 3 + 4)
+    blocks = search._blocks_of(rows, asked.selectExpr("vec_id", "array(1.0D) AS embedding"), searches, 4)
+    assert blocks.where("NOT is_query").count() == 100 * (1 + 2 + 3 + 4)
+    assert blocks.where("is_query").count() == searches.count()
+
+
 def test_pruning_never_loses_a_result():
     source = np.random.default_rng(5)
     ids, matrix = np.arange(2000), np.floor(source.normal(size=(2000, 16)) * 256)
