@@ -169,16 +169,16 @@ def _parts(count: int) -> F.Column:
 
 
 def _cut(rows: DataFrame, order: list, size: int, label: str, number: str) -> DataFrame:
-    """Rows in ranges of ``order``, with the ``number`` of the run of at most
-    ``size`` rows each is in. Numbers go on from piece to piece."""
+    """Rows in ranges of ``order``, with the ``number`` of the run of ``size``
+    rows each is in, whatever the pieces they are sorted in."""
     ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     placed = settle(ordered.withColumn("row_slot", F.monotonically_increasing_id()), label).df
     placed = placed.withColumn("piece", F.shiftright("row_slot", 33))
-    counts = placed.groupBy("piece").agg(F.ceil(F.count(F.lit(1)) / F.lit(size)).alias("n"))
+    counts = placed.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
     earlier = W.orderBy("piece").rowsBetween(W.unboundedPreceding, -1)
     starts = counts.select("piece", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))  # one row per piece
-    inside = F.floor((F.col("row_slot") - F.shiftleft("piece", 33)) / F.lit(size))
-    return placed.join(F.broadcast(starts), "piece").withColumn(number, F.col("start") + inside).drop("row_slot", "piece", "start")
+    place = F.col("start") + F.col("row_slot") - F.shiftleft("piece", 33)
+    return placed.join(F.broadcast(starts), "piece").withColumn(number, F.floor(place / F.lit(size))).drop("row_slot", "piece", "start")
 
 
 def _class(length: F.Column) -> F.Column:
