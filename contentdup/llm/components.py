@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contentdup.operators.groups import join_groups
-from contentdup.operators.settle import settle
+from contentdup.operators.settle import Settled, settle
 
 # Nodes with more links than this, and more than 1/10,000 of all, are joined by
 # broadcast, so that no centre of a star fills a task.
@@ -28,7 +28,7 @@ def connected_components(links: DataFrame) -> DataFrame:
     edges = written.df
     while not _are_stars(edges):
         large = _larger_star(edges.union(edges.select("b", "a")), 2 * written.n_rows)
-        written = settle(_smaller_star(large), "links")
+        written = settle(_smaller_star(settle(large, "larger-links")), "links")
         edges = written.df
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
@@ -51,11 +51,11 @@ def _larger_star(edges: DataFrame, n_rows: int) -> DataFrame:
     return joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
-def _smaller_star(edges: DataFrame) -> DataFrame:
+def _smaller_star(links: Settled) -> DataFrame:
     """Link the smaller neighbours of each ``a`` to the smallest of them, and
-    ``a`` too."""
-    edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    smallest = edges.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    joined = edges.join(smallest, "a")
+    ``a`` too. A node may have any share of the links here too."""
+    edges = links.df.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    smallest = edges.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n_files"))
+    joined = join_groups(edges, smallest, links.n_rows, ["a"], FEW_LINKS)
     linked = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(joined.select("a", F.col("m").alias("b")))
     return linked.where("a <> b").distinct()

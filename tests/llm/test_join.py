@@ -158,6 +158,12 @@ def test_a_star_of_many_links(spark):
     assert len(got) == 701 and {row.root for row in got if row.node < 5000} == {0}
 
 
+def test_a_star_around_its_largest_node(spark):
+    links = [(900, i) for i in range(1, 400)] + [(i, i + 1000) for i in range(1, 300)]
+    got = connected_components(spark.createDataFrame(links, "a bigint, b bigint")).collect()
+    assert len(got) == 699 and {row.root for row in got} == {1}
+
+
 def test_grams_stay_inside_texts():
     texts = [b"", b" ", b"a b", b"A\tB\nc d e", b"b c d e", b"x" * 5000 + b" y", b"c d e"]
     data, bounds = np.frombuffer(b"".join(texts), np.uint8), np.append(0, np.cumsum([len(t) for t in texts]))
