@@ -5,10 +5,12 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from contentdup.catalogue import QUERIES
 from contentdup.operators.filters import path_contains
 from contentdup.operators.numbering import number_members
 from contentdup.operators.settle import settle
-from contentdup.plans.pages import PathIndex, ResultPages, piece_count
+from contentdup.plans import pages as pages_module
+from contentdup.plans.pages import PathIndex, ResultPages, page_piece_count, piece_count
 from contentdup.plans.report import result_table, sort_rows
 from contentdup.plans.scan import scan_items
 
@@ -63,6 +65,54 @@ def test_a_page_reads_its_piece(results, pieces_read):
         pages.page(-1)
 
 
+@pytest.mark.parametrize("rows_per_piece", [9, 1000])
+def test_a_range_of_pages_is_these_pages(results, rows_per_piece):
+    wanted = [r.path for r in sort_rows(results.df, "size", False).collect()]
+    pages = ResultPages(results, rows_per_piece)
+    for numbers in (range(0, 99), range(1, 12, 3), range(2, 9, 5), range(4, 5, 10**20), range(40, 90), range(3, 3)):
+        places = [at for number in numbers for at in range(number * 7, number * 7 + 7) if at < len(wanted)]
+        found = pages.page(numbers, 7, "size", ascending=False).collect()
+        assert [(r.position, r.path) for r in found] == [(at, wanted[at]) for at in places]
+    pages.drop()
+
+
+def test_a_range_reads_its_pieces(results, pieces_read):
+    """Not those before, after or between its pages."""
+    pages = ResultPages(results, rows_per_piece=5)
+    every = pieces_read(pages._order("size", True).table.df)
+    assert pieces_read(pages.page(range(1, 8, 6), 5, "size")) <= 4 < every / 2
+    assert pieces_read(pages.page(range(0, 3), 5, "size")) <= 6 < every / 2
+    for numbers in (range(-1, 3), range(5, 0, -1)):
+        with pytest.raises(ValueError):
+            pages.page(numbers)
+
+
+def test_pages_read_the_order_once_however_many(spark, tmp_path, pieces_read):
+    """Every third page of 40 rows and of 400: the plan has one read of them."""
+    for n_rows in (40, 400):
+        rows = spark.range(n_rows).selectExpr("id AS doc_id", "repeat('x', cast(id div 2 AS int)) AS text", "'en' AS lang", "'s' AS source", "1L AS n_chars")
+        folder = f"{tmp_path}/{n_rows}"
+        rows.write.parquet(f"{folder}/documents.parquet")
+        wanted = QUERIES["result_pages"](spark, folder)
+        leaves = wanted._jdf.queryExecution().optimizedPlan().collectLeaves()
+        names = [leaves.apply(i).nodeName() for i in range(leaves.size())]
+        assert sum(name.startswith("LogicalRelation") or "parquet" in name for name in names) == 1, names
+        # Two of each size, the largest first, by path.
+        order = sorted(range(n_rows), key=lambda n: (-(n // 2), f"/s/en/{n}.txt"))
+        expected = [(at, n // 2) for at, n in enumerate(order) if at // 10 % 3 == 0]
+        assert [(r.position, r.size_bytes) for r in wanted.collect()] == expected
+
+
+def test_small_pieces_are_few(results, pieces_read, monkeypatch):
+    """Small pieces grow with the result, up to the usual rows of a piece."""
+    assert [page_piece_count(n, 50) for n in (0, 120, 10**6, 10**8, 10**12)] == [1, 3, 128, 1000, 100_000]
+    assert page_piece_count(10**7, 10**6) == 10
+    monkeypatch.setattr(pages_module, "SMALL_PIECES", 3)
+    pages = ResultPages(results, rows_per_piece=2)
+    assert pieces_read(pages._order("size", True).table.df) <= 3
+    assert [r.position for r in pages.page(11, 4, "size").collect()] == [44, 45, 46, 47]
+
+
 def test_search_reads_hit_pieces_only(results, pieces_read):
     index = PathIndex.write(results, rows_per_piece=10)
     every = pieces_read(index.table.df)
