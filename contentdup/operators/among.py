@@ -55,4 +55,6 @@ def without(items: DataFrame, keys: DataFrame, n_keys: int, columns: str | list[
     marked = _with_mark(items, keys, columns, filter_bits(n_keys), "left")
     clear = marked.where(~F.coalesce("_marked", F.lit(False))).drop("_marked")
     doubtful = among(items, keys, filter_bits(n_keys), columns)
-    return clear.unionByName(doubtful.join(keys.select(*columns), columns, "left_anti").select(*items.columns))
+    # Spark would move an anti-join below the bit table, and all items with it.
+    met = doubtful.join(keys.select(*columns).distinct().withColumn("_met", F.lit(True)), columns, "left")
+    return clear.unionByName(met.where(F.col("_met").isNull()).select(*items.columns))

@@ -9,6 +9,7 @@ from contentdup.llm import hashing, ngram_join
 from contentdup.llm.components import connected_components
 from contentdup.llm.hashing import Words, char_grams, word_grams
 from contentdup.llm.trie_join import Forest, Trie
+from contentdup.operators.among import without
 from tests.llm.cases import TEXTS, documents, rows_of
 
 
@@ -191,3 +192,12 @@ def test_character_grams_are_of_code_points():
         assert len(grams) == len(windows) and len(set(zip(windows, grams.tolist()))) == len(set(windows)) == len(set(grams.tolist()))
     plain = np.frombuffer(b"plain", np.uint8)
     assert char_grams(Words.of(plain, np.array([0, 5])), 2)[0].tolist() == grams[at[5] : at[6]].tolist()
+
+
+def test_only_rows_of_several_sets_are_shuffled(spark):
+    """The bit table comes before the shuffle, not after it."""
+    items = spark.range(1000).selectExpr("id AS path", "cast(id AS string) AS text")
+    keys = spark.createDataFrame([(7,), (7,), (None,)], "path bigint")
+    kept = without(items.union(spark.sql("SELECT cast(null AS bigint), 'x'")), keys, 3)
+    assert kept.count() == 1000 and kept.where("path IS NULL").count() == 1 and kept.where("path = 7").isEmpty()
+    assert "LeftAnti" not in kept._jdf.queryExecution().optimizedPlan().toString()
