@@ -27,8 +27,10 @@ def connected_components(links: DataFrame) -> DataFrame:
     written = settle(edges, "links")
     edges = written.df
     while not _are_stars(edges):
-        large = _larger_star(edges.union(edges.select("b", "a")), 2 * written.n_rows)
-        written = settle(_smaller_star(settle(large, "larger-links")), "links")
+        larger = settle(_larger_star(edges.union(edges.select("b", "a")), 2 * written.n_rows), "larger-links")
+        written.drop()
+        written = settle(_smaller_star(larger), "links")
+        larger.drop()
         edges = written.df
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)

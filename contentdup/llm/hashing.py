@@ -126,6 +126,17 @@ def word_grams(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     return mix(sums), bounds
 
 
+def gram_sums(words: Words, n: int, values: np.ndarray) -> np.ndarray:
+    """Sum of the words' ``values`` over each window of ``word_grams``."""
+    first, counts = words.first_of_text, words.counts
+    grams = np.maximum(counts - n + 1, (counts > 0).astype(np.int64))
+    bounds = np.append(0, np.cumsum(grams))
+    text = np.repeat(np.arange(len(counts)), grams)
+    at = np.arange(bounds[-1]) - bounds[text] + first[text]
+    total = np.append(0, np.cumsum(values))
+    return total[at + np.minimum(counts[text], n)] - total[at]
+
+
 def characters(words: Words) -> tuple[np.ndarray, np.ndarray]:
     """A number for each code point of the batch, made of its bytes, and the
     bounds of the texts in them. ASCII characters are their own numbers."""

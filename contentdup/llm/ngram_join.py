@@ -2,16 +2,17 @@
 
 Exact in its links, and linear in the number of copies:
 
-1. All n-grams are ordered by a table of fixed size that counts their hashes,
-   rare ones first. Two sets that are similar enough share one of the first
-   elements of each (prefix filter).
+1. All n-grams are ordered by two tables of fixed size that count the hashes of
+   n-grams and of words, rare ones first. Two sets that are similar enough
+   share one of the first elements of each (prefix filter).
 2. Texts with equal sets count once. The first element that two sets share has
    a place in each; what lies before it in either is not shared, which bounds
    the overlap. Sets whose place leaves no room for any other set of that
    element are left out. Of the rest, pairs of sets that share a prefix element
-   of few sets are tested by size, places and a bitmap, which bounds the overlap
-   too; the sets of a frequent prefix element are chained by size. Both give
-   clusters, and all links lie inside clusters.
+   are tested by size, places and a bitmap, which bounds the overlap too: as
+   rows if the element has few sets, inside a task if it has more. Only the sets
+   of an element with more than a task should compare are chained by size. All
+   give clusters, and all links lie inside clusters.
 3. A cluster is cut into blocks of bounded size. In a block the sets form a
    trie, which is walked for links between sets that are not yet connected.
 4. All blocks of a larger cluster hold some of its sets in common, which
@@ -34,25 +35,34 @@ from pyspark.sql import functions as F
 
 from contentdup.llm.common import slices, text_bytes, texts
 from contentdup.llm.components import connected_components
-from contentdup.llm.hashing import Words, word_grams
+from contentdup.llm.hashing import Words, gram_sums, word_grams
 from contentdup.llm.trie_join import Forest, Trie
 from contentdup.operators.settle import settle
-from contentdup.operators.among import among
+from contentdup.operators.among import among, filter_bits
 from contentdup.ship import ship
 
-# Slots of the frequency table, and how many go in one row while it is summed.
+# Slots of the tables of n-grams and of words, and how many go in one row while
+# they are summed.
 FREQUENCY_BITS = 19
+WORD_BITS = 18
 ROW_SLOTS = 2048
-# Prefix elements of up to so many sets give pairs, others a chain.
+# A slot counts as that of a frequent n-gram so many standard deviations above
+# the others; scores are logarithms in so many steps per doubling.
+DEVIATIONS = 6
+STEPS = 16
+# Prefix elements of up to so many sets give pairs, those of more sets and
+# elements are compared in a task, others give a chain.
 PAIRED_SETS = 16
+COMPARED_SETS = 2048
+COMPARED_ELEMENTS = 1 << 26
 # Sets and elements that one block may hold (a larger set is a block's only one).
 BLOCK_SETS = 512
 BLOCK_ELEMENTS = 1_000_000
 PROBE_SETS = 256
 # Sets (about) that all blocks of one cluster have in common.
 COMMON_SETS = 32
-# Bits of the filter that keeps elements of one set only out of the shuffle.
-ELEMENT_BITS = 1 << 24
+# Most bits of the filter that keeps elements of one set only out of the shuffle.
+ELEMENT_BITS = 1 << 28
 # Bits of the filter that keeps texts without a partner out of the shuffle.
 FILTER_BITS = 24
 
@@ -64,8 +74,8 @@ def _grams(batch: pa.RecordBatch, n: int) -> Iterator[np.ndarray]:
         yield np.unique(hashes[start:stop])
 
 
-def _slot(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - FREQUENCY_BITS)).astype(np.int64)
+def _slot(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (hashes >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def _name(elements: np.ndarray) -> int:
@@ -73,14 +83,19 @@ def _name(elements: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(elements.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def gram_frequencies(docs: DataFrame, n: int) -> np.ndarray:
-    """Counts of all n-grams by slot of their hash: the same size for any input."""
+def gram_frequencies(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of all n-grams, and of all words, by slot of their hash: the same
+    size for any input."""
+    n_slots = (1 << FREQUENCY_BITS) + (1 << WORD_BITS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << FREQUENCY_BITS, np.int64)
+        total = np.zeros(n_slots, np.int64)
+        grams, singles = total[: 1 << FREQUENCY_BITS], total[1 << FREQUENCY_BITS :]
         for batch in slices(batches):
-            hashes, _ = word_grams(Words.of(*text_bytes(batch.column("text"))), n)
-            total += np.bincount(_slot(hashes), minlength=len(total))
+            words = Words.of(*text_bytes(batch.column("text")))
+            hashes, _ = word_grams(words, n)
+            grams += np.bincount(_slot(hashes, FREQUENCY_BITS), minlength=len(grams))
+            singles += np.bincount(_slot(words.hashes, WORD_BITS), minlength=len(singles))
         rows = total.astype("<u4").reshape(-1, ROW_SLOTS)
         places = np.flatnonzero(rows.any(axis=1))
         yield pa.RecordBatch.from_arrays(
@@ -99,28 +114,56 @@ def gram_frequencies(docs: DataFrame, n: int) -> np.ndarray:
 
     schema = "place int, counts binary"
     added = texts(docs).select("text").mapInArrow(count, schema).repartition("place").mapInArrow(add, schema)
-    out = np.zeros((1 << FREQUENCY_BITS) // ROW_SLOTS * ROW_SLOTS, np.int64).reshape(-1, ROW_SLOTS)
+    out = np.zeros((n_slots // ROW_SLOTS, ROW_SLOTS), np.int64)
     for row in added.collect():  # one row for each place, so a table of fixed size
         out[row.place] = np.frombuffer(row.counts, np.int64)
-    return np.minimum(out.ravel(), np.iinfo(np.uint32).max).astype(np.uint32)
+    return out.ravel()[: 1 << FREQUENCY_BITS], out.ravel()[1 << FREQUENCY_BITS :]
+
+
+def score_tables(grams: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Scores by slot of n-grams and of words, and that of all words together.
+
+    In a large corpus every slot of the n-grams is full of rare ones. Only what
+    stands out from the others is known to be frequent; all else is estimated by
+    its words, which are far fewer.
+    """
+
+    def score(counts: np.ndarray) -> np.ndarray:
+        return np.rint(STEPS * np.log2(np.maximum(counts, 1))).astype(np.int32)
+
+    usual = float(np.median(grams))
+    known = grams - usual > DEVIATIONS * usual**0.5 + 1
+    return np.where(known, score(grams - usual), np.iinfo(np.int32).min), score(words), int(score(words.sum()))
+
+
+def gram_scores(words: Words, hashes: np.ndarray, n: int, tables: tuple[np.ndarray, np.ndarray, int]) -> np.ndarray:
+    """Estimated frequency of each n-gram, as a logarithm: what its words give
+    if they occur independently, or what its own slot tells. Equal n-grams have
+    equal scores."""
+    of_grams, of_words, of_all = tables
+    by_words = gram_sums(words, n, of_words[_slot(words.hashes, WORD_BITS)].astype(np.int64)) - (n - 1) * of_all
+    return np.maximum(by_words, of_grams[_slot(hashes, FREQUENCY_BITS)])
 
 
 def gram_signatures(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """``doc_id, n_grams, name, prefix, bits``: size and name of the set, the
     elements of which a similar set must share one, and a bitmap of the set.
     No name without words."""
-    frequencies = docs.sparkSession.sparkContext.broadcast(gram_frequencies(docs, n))
+    tables = docs.sparkSession.sparkContext.broadcast(score_tables(*gram_frequencies(docs, n)))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = frequencies.value
         for batch in slices(batches):
             sizes, names, prefixes, bits = [], [], [], []
-            for elements in _grams(batch, n):
+            words = Words.of(*text_bytes(batch.column("text")))
+            hashes, bounds = word_grams(words, n)
+            scores = gram_scores(words, hashes, n, tables.value)
+            for start, stop in zip(bounds[:-1], bounds[1:]):
+                elements, at = np.unique(hashes[start:stop], return_index=True)
                 size = len(elements)
                 sizes.append(size)
                 names.append(_name(elements) if size else None)
                 kept = size - -(-num * size // den) + 1 if size else 0
-                order = np.lexsort((elements, common[_slot(elements)]))[:kept]
+                order = np.argsort(scores[start:stop][at], kind="stable")[:kept]
                 prefixes.append(elements[order].view(np.int64))
                 bits.append(bitmap(elements))
             ends = np.append(0, np.cumsum([len(p) for p in prefixes])).astype(np.int32)
@@ -175,6 +218,83 @@ def _possible(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return pairs.mapInArrow(test, "a bigint, b bigint")
 
 
+def _fold(bits: np.ndarray, length: int) -> np.ndarray:
+    while bits.shape[1] > length:
+        half = bits.shape[1] // 2
+        bits = bits[:, :half] | bits[:, half:]
+    return bits
+
+
+def possible_links(sizes: np.ndarray, places: np.ndarray, bits: list[bytes], parts: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """Of sets in order of size that share an element, pairs that may be linked
+    and connect what ``parts`` (labels, changed here) has not connected yet.
+    ``places`` are those of the element, taken as the first that they share."""
+    lengths = np.array([len(b) // 8 for b in bits])
+    levels, found = {}, []
+    for length in np.unique(lengths):  # a larger set has no shorter bitmap
+        first, last = np.searchsorted(lengths, length), np.searchsorted(lengths, length, side="right")
+        levels[int(length)] = int(first), np.frombuffer(b"".join(bits[first:last]), "<u8").reshape(-1, length)
+    folded = {}
+    ends = np.searchsorted(sizes, den * sizes // num, side="right")
+    for i in range(len(sizes) - 1):
+        others = np.flatnonzero(parts[i + 1 : ends[i]] != parts[i]) + i + 1
+        if not len(others):
+            continue
+        length = int(lengths[i])
+        own = levels[length][1][i - levels[length][0]]
+        for longer in np.unique(lengths[others]).tolist():
+            j = others[lengths[others] == longer]
+            first, rows = levels[longer]
+            if (longer, length) not in folded:
+                folded[longer, length] = _fold(rows, length)
+            theirs = folded[longer, length][j - first]
+            most = np.minimum(
+                sizes[i] - np.maximum(np.bitwise_count(own & ~theirs).sum(axis=1, dtype=np.int64), places[i]),
+                sizes[j] - np.maximum(np.bitwise_count(theirs & ~own).sum(axis=1, dtype=np.int64), places[j]),
+            )
+            for other in j[den * most >= num * (sizes[i] + sizes[j] - most)].tolist():
+                if parts[other] != parts[i]:
+                    found.append((i, other))
+                    parts[parts == parts[other]] = parts[i]
+    return found
+
+
+def _compared(shared: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links between the sets of an element that may be linked, without those
+    that others of the same task make needless. All sets of an element are in
+    one task, so they are of bounded number and size."""
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest, number, key, held = Forest(0), {}, None, []
+
+        def links() -> pa.RecordBatch:
+            names, sizes, places, bits = zip(*held)
+            for name in names:
+                if number.setdefault(name, len(number)) == len(forest.parent):
+                    forest.parent.append(len(forest.parent))
+            parts = np.array([forest.find(number[name]) for name in names])
+            found = possible_links(np.array(sizes, np.int64), np.array(places, np.int64), bits, parts, num, den)
+            for i, j in found:
+                forest.union(number[names[i]], number[names[j]])
+            return pa.RecordBatch.from_arrays(
+                [pa.array([names[i] for i, _ in found], pa.int64()), pa.array([names[j] for _, j in found], pa.int64())], ["a", "b"]
+            )
+
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("element", "name", "n_grams", "place", "bits")]
+            for element, *row in zip(*columns):
+                if element != key:
+                    if len(held) > 1:
+                        yield links()
+                    key, held = element, []
+                held.append(row)
+        if len(held) > 1:
+            yield links()
+
+    rows = shared.select("element", "name", "n_grams", "place").join(sets.select("name", "bits"), "name")
+    return rows.repartition("element").sortWithinPartitions("element", "n_grams", "name").mapInArrow(link, "a bigint, b bigint")
+
+
 def _chained(shared: DataFrame, num: int, den: int) -> DataFrame:
     """Link the sets of an element, in order of size, as long as each is close
     enough in size to the one before: sets that could be linked stay
@@ -222,20 +342,30 @@ def _clusters(signed: DataFrame, sets: DataFrame, num: int, den: int) -> DataFra
         "name", F.col("n_grams").cast("int").alias("n_grams"), F.posexplode("prefix").alias("place", "element")
     )
     several = elements.groupBy("element").agg(F.min("name").alias("lowest"), F.max("name").alias("highest"))
-    several = settle(several.where("lowest <> highest").select("element"), "several-sets").df
-    # The bit filter leaves few rows to shuffle; copies of a text count once.
-    near = among(elements, several, ELEMENT_BITS, "element").join(several, "element", "left_semi").distinct()
-    near = settle(near, "near-elements").df
-    counted = near.groupBy("element").agg(F.count(F.lit(1)).alias("n_sets"), F.min("place").alias("least_place"))
-    shared = settle(near.join(counted, "element").where(_has_room(num, den)), "shared-elements").df
-    few = shared.where(F.col("n_sets") <= PAIRED_SETS)
+    several = settle(several.where("lowest <> highest").select("element"), "several-sets")
+    # The bit filter leaves few rows to shuffle; copies of a text count once. A
+    # semi-join would be moved below the filter, and all rows with it.
+    bits = min(filter_bits(several.n_rows), ELEMENT_BITS)
+    found = among(elements, several.df, bits, "element").join(several.df, "element").select(*elements.columns).distinct()
+    near = settle(found, "near-elements")
+    several.drop()
+    counted = near.df.groupBy("element").agg(
+        F.count(F.lit(1)).alias("n_sets"), F.sum("n_grams").alias("n_elements"), F.min("place").alias("least_place")
+    )
+    shared = settle(near.df.join(counted, "element").where(_has_room(num, den)), "shared-elements")
+    near.drop()
+    few, more = (shared.df.where(F.col("n_sets") <= PAIRED_SETS), shared.df.where(F.col("n_sets") > PAIRED_SETS))
+    in_task = (F.col("n_sets") <= COMPARED_SETS) & (F.col("n_elements") <= COMPARED_ELEMENTS)
     first, second = (
         few.select("element", F.col("name").alias(n), F.col("n_grams").alias(f"n_{n}"), F.col("place").alias(f"place_{n}"))
         for n in ("a", "b")
     )
     pairs = first.join(second, "element").where((F.col("a") < F.col("b")) & _have_room(num, den)).select("a", "b").distinct()
-    links = _possible(pairs, sets, num, den).union(_chained(shared.where(F.col("n_sets") > PAIRED_SETS), num, den))
-    return connected_components(links).select(F.col("node").alias("name"), "root")
+    links = _possible(pairs, sets, num, den).union(_compared(more.where(in_task), sets, num, den))
+    links = links.union(_chained(more.where(~in_task), num, den))
+    components = connected_components(links)
+    shared.drop()
+    return components.select(F.col("node").alias("name"), "root")
 
 
 def _filter_slot() -> F.Column:
@@ -340,13 +470,15 @@ def set_components(docs: DataFrame, signed: DataFrame, sets: DataFrame, n: int,
     """``name, root`` of all sets that are linked; ``sets`` has ``name,
     doc_id, n_grams, bits``, one row per set."""
     clustered = sets.select("name", "doc_id", "n_grams").join(_clusters(signed, sets, num, den), "name")
-    clustered = settle(clustered, "clustered").df
-    sizes = clustered.groupBy("root").agg(
+    clustered = settle(clustered, "clustered")
+    sizes = clustered.df.groupBy("root").agg(
         F.count(F.lit(1)).alias("n_sets"),
         F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_SETS)), F.ceil(F.sum("n_grams") / F.lit(BLOCK_ELEMENTS))).cast("int").alias("pieces"),
     )
-    members = clustered.join(sizes, "root")
-    whole = settle(_with_elements(docs, members, n), "cluster-sets").df
+    members = clustered.df.join(sizes, "root")
+    elements = settle(_with_elements(docs, members, n), "cluster-sets")
+    clustered.drop()
+    whole = elements.df
     home = whole.select("*", _part("pieces", 1).alias("part"))
     is_common = F.pmod(F.xxhash64(F.lit(2), "name"), F.col("n_sets")) < COMMON_SETS
     guests = whole.where((F.col("pieces") > 1) & is_common).select("*", _every("pieces").alias("part"))
@@ -357,6 +489,7 @@ def set_components(docs: DataFrame, signed: DataFrame, sets: DataFrame, n: int,
     # What lies outside the largest component is compared with every block.
     wide = whole.where("pieces > 1").select("root", "name", "pieces")
     if wide.isEmpty():
+        elements.drop()
         return found
     placed = wide.join(found.select(F.col("node").alias("name"), F.col("root").alias("component")), "name", "left")
     placed = settle(placed.withColumn("component", F.coalesce("component", "name")), "wide-components").df
@@ -370,6 +503,7 @@ def set_components(docs: DataFrame, signed: DataFrame, sets: DataFrame, n: int,
     both = probes.select(*columns, F.lit(True).alias("probe")).union(others.select(*columns, F.lit(False).alias("probe")))
     blocks = both.withColumn("part", F.col("piece").cast("bigint") * F.lit(1 << 31) + F.col("chunk"))
     more = settle(_linked(blocks.join(whole.select("name", "elements"), "name"), num, den), "links-outside").df
+    elements.drop()
     return found if more.isEmpty() else connected_components(links.union(more))
 
 

@@ -194,6 +194,57 @@ def test_character_grams_are_of_code_points():
     assert char_grams(Words.of(plain, np.array([0, 5])), 2)[0].tolist() == grams[at[5] : at[6]].tolist()
 
 
+def test_rare_words_come_before_common_ones():
+    """With every slot full of rare n-grams, words tell which are common."""
+    source = np.random.default_rng(5)
+    common = " ".join(f"c{j}" for j in source.integers(0, 6, 40_000)).encode()
+    text = b"c1 c2 c3 c4 c5 c0 r1 r2 r3 r4 r5 c1 c2 c3"
+    batch = [Words.of(np.frombuffer(t, np.uint8), np.array([0, len(t)])) for t in (common + b" " + text, text)]
+    counts = np.bincount(ngram_join._slot(batch[0].hashes, ngram_join.WORD_BITS), minlength=1 << ngram_join.WORD_BITS)
+    full = np.full(1 << ngram_join.FREQUENCY_BITS, 1000)
+    grams = word_grams(batch[1], 4)[0]
+    full[ngram_join._slot(grams[-1:], ngram_join.FREQUENCY_BITS)] = 5000
+    tables = ngram_join.score_tables(full, counts)
+    scores = ngram_join.gram_scores(batch[1], grams, 4, tables)
+    assert set(np.argsort(scores, kind="stable")[:2].tolist()) == {6, 7}  # r1 to r4, r2 to r5
+    assert scores[-1] == scores.max()
+    assert len(scores) == len(grams) and scores[0] > scores[4] > scores[6]
+
+
+def test_possible_links_connect_what_pairs_do():
+    for seed in range(60):
+        source = np.random.default_rng(seed)
+        bases = [source.integers(0, 2**63, source.integers(2, 150)).astype(np.uint64) for _ in range(3)]
+        sets = []
+        for _ in range(25):
+            own = np.append(bases[source.integers(0, 3)], source.integers(0, 2**63, source.integers(0, 30)).astype(np.uint64))
+            sets.append(np.unique(own[source.integers(0, 4) :]))
+        sets.sort(key=len)
+        sizes, bits = np.array([len(s) for s in sets]), [ngram_join.bitmap(s) for s in sets]
+        forest, wanted = Forest(25), Forest(25)
+        for a, b in ngram_join.possible_links(sizes, np.zeros(25, np.int64), bits, np.arange(25), 70, 100):
+            assert forest.find(a) != forest.find(b)
+            forest.union(a, b)
+        for a in range(25):
+            for b in range(a):
+                most = ngram_join.overlap_bound(sizes[a], bits[a], sizes[b], bits[b])
+                if 100 * most >= 70 * (sizes[a] + sizes[b] - most):
+                    wanted.union(a, b)
+        assert [forest.find(i) for i in range(25)] == [wanted.find(i) for i in range(25)]
+
+
+def test_texts_with_one_passage_are_no_chain(spark, monkeypatch):
+    """Each shares one of two passages with 48 others and is like none of them."""
+    passage = lambda name: [f"{name}x{j}" for j in range(40)]
+    rows = [(i, " ".join([*passage(f"p{i // 25}"), *passage(f"q{i % 25}"), *(f"w{i}x{j}" for j in range(4))])) for i in range(600)]
+    docs = documents(spark, rows)
+    signed = ngram_join.gram_signatures(docs, 4, 80, 100)
+    sets = signed.select("name", "doc_id", "n_grams", "bits")
+    assert ngram_join._clusters(signed, sets, 80, 100).count() == 0
+    monkeypatch.setattr(ngram_join, "COMPARED_SETS", 16)
+    assert ngram_join._clusters(signed, sets, 80, 100).count() == 600
+
+
 def test_only_rows_of_several_sets_are_shuffled(spark):
     """The bit table comes before the shuffle, not after it."""
     items = spark.range(1000).selectExpr("id AS path", "cast(id AS string) AS text")
